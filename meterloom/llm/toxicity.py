@@ -1,7 +1,7 @@
 """Toxicity by maximum-scoring segment search.
 
 Token weights are log-odds between toxic and other labelled texts under an informative Dirichlet prior, kept where
-their z-score is high. A token is a lower-case word, or its first five or four characters when the word itself has no
+their z-score is high. A token is a lower-case word, or its first seven, five or four characters when the word itself has no
 weight, so that inflected forms count. A linear-time scan splits a document into its maximal scoring segments; the best
 segment and all significant ones are judged by extreme-value statistics (Karlin-Altschul), and a logistic fit maps that
 evidence to a probability. Model and evidence histogram have fixed bounds, whatever the corpus.
@@ -25,7 +25,7 @@ from .common import crc_mod
 MAX_TRAIN = 30_000
 #: Tokens that the model keeps at most, the most significant ones.
 MAX_TOKENS = 8192
-PREFIXES = (5, 4)
+PREFIXES = (7, 5, 4)
 _STRIP = b".,;:!?*$&%#|\"'()[]{}<>-_=+/\\~`@^"
 
 
@@ -105,7 +105,7 @@ def scored(words: list[bytes], hits: Hits, model: ToxicModel) -> tuple[float, li
 
 
 def probability(x: float, model: ToxicModel) -> float:
-    return 1 / (1 + math.exp(-max(-500.0, min(500.0, model.bias + model.slope * x))))
+    return 1 / (1 + math.exp(-max(-30.0, min(30.0, model.bias + model.slope * x))))
 
 
 def _words(batch: pa.RecordBatch, text_col: str) -> list[list[bytes]]:
@@ -113,15 +113,24 @@ def _words(batch: pa.RecordBatch, text_col: str) -> list[list[bytes]]:
 
 
 def _count_tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    counts: tuple[Counter, Counter] = (Counter(), Counter())
-    texts = [0, 0]
+    """Of each token and label: occurrences and texts. The empty token has the numbers of words and of texts."""
+    tokens: tuple[Counter, Counter] = (Counter(), Counter())
+    texts: tuple[Counter, Counter] = (Counter(), Counter())
     for b in batches:
         for words, toxic in zip(_words(b, "text"), b.column("toxic").to_pylist(), strict=True):
-            texts[toxic] += 1
-            counts[toxic].update(t for w in set(words) for t in forms(w))
+            own: Counter = Counter()
+            for w, n in Counter(words).items():
+                for t in forms(w):
+                    own[t] += n
+            own[b""] = len(words)
+            tokens[toxic].update(own)
+            texts[toxic].update(own.keys())
     for y in (0, 1):
-        keys = [*counts[y], b""]
-        yield pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), pa.array([y] * len(keys), pa.int32()), pa.array([*counts[y].values(), texts[y]], pa.int64())], ["token", "toxic", "n"])
+        keys = [*tokens[y]]
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(keys, pa.binary()), pa.array([y] * len(keys), pa.int32()), pa.array([*tokens[y].values()], pa.int64()), pa.array([texts[y][k] for k in keys], pa.int64())],
+            ["token", "toxic", "n", "texts"],
+        )
 
 
 def train_rows(docs: DataFrame, labels: DataFrame, fold: int = 5, held: int = 0, max_train: int = MAX_TRAIN) -> DataFrame:
@@ -133,36 +142,40 @@ def train_rows(docs: DataFrame, labels: DataFrame, fold: int = 5, held: int = 0,
     return texts.join(F.broadcast(use), texts.doc_id == use.label_id).groupBy("text").agg(F.max("toxic").alias("toxic"))
 
 
-def fit(docs: DataFrame, labels: DataFrame, prior: float = 50.0, z_least: float = 3.0, n_least: int = 4, **rows) -> ToxicModel:
-    """Learns weights and calibration. Tables without labels of both kinds give a model that calls nothing toxic."""
+def fit(docs: DataFrame, labels: DataFrame, prior: float = 0.05, z_least: float = 4.0, odds_least: float = 2.0, texts_least: int = 4, **rows) -> ToxicModel:
+    """Learns weights and calibration. Tables without labels of both kinds give a model that calls nothing toxic.
+
+    The Dirichlet prior of a token is `prior` times its occurrences in all training texts. A weight is kept with a
+    z-score of `z_least`, log-odds of `odds_least` and toxic texts of `texts_least` at least.
+    """
     train = train_rows(docs, labels, **rows)
     spark = docs.sparkSession
-    pairs = train.mapInArrow(_count_tokens, "token binary, toxic int, n long").groupBy("token").agg(
-        F.sum(F.when(F.col("toxic") == 1, F.col("n")).otherwise(0)).alias("y"), F.sum(F.when(F.col("toxic") == 0, F.col("n")).otherwise(0)).alias("o")
-    )
-    texts = pairs.filter(F.length("token") == 0).first()
+    of = lambda c, y: F.sum(F.when(F.col("toxic") == y, F.col(c)).otherwise(0))
+    pairs = train.mapInArrow(_count_tokens, "token binary, toxic int, n long, texts long").groupBy("token").agg(of("n", 1).alias("y"), of("n", 0).alias("o"), of("texts", 1).alias("y_texts"))
+    words = pairs.filter(F.length("token") == 0).first()
     model = ToxicModel()
-    if texts is None or not texts["y"] or not texts["o"]:
+    if words is None or not words["y"] or not words["o"]:
         return model
-    n_y, n_o = texts["y"], texts["o"]
-    alpha = prior * (F.col("y") + F.col("o")) / (n_y + n_o)
-    odds = lambda k, n: F.log((F.col(k) + alpha) / F.greatest(n + prior - F.col(k) - alpha, F.lit(0.5)))
+    n_y, n_o = words["y"], words["o"]
+    alpha = prior * (F.col("y") + F.col("o"))
+    odds = lambda k, n: F.log((F.col(k) + alpha) / F.greatest(n + prior * (n_y + n_o) - F.col(k) - alpha, F.lit(0.5)))
     delta = odds("y", n_y) - odds("o", n_o)
     z = delta / F.sqrt(1 / (F.col("y") + alpha) + 1 / (F.col("o") + alpha))
     best = (
-        pairs.filter((F.length("token") > 0) & (F.col("y") >= n_least))
+        pairs.filter((F.length("token") > 0) & (F.col("y_texts") >= texts_least))
         .select("token", "y", "o", delta.alias("delta"), z.alias("z"))
-        .filter(F.col("z") >= z_least)
+        .filter((F.col("z") >= z_least) & (F.col("delta") >= odds_least))
         .orderBy(F.desc("z"), "token")
         .limit(MAX_TOKENS)
         .collect()
     )
     if not best:
         return model
-    model.weights = {bytes(r["token"]): float(min(6.0, max(0.5, r["delta"]))) for r in best}
+    model.weights = {bytes(r["token"]): float(min(6.0, r["delta"])) for r in best}
     # extreme-value law of a score that is `high` at the rate such tokens have elsewhere, and `miss` otherwise
     high = float(np.mean(list(model.weights.values())))
-    p = max(0.5, float(sum(r["o"] for r in best if bytes(r["token"]).startswith(b"w")))) / (n_o * 100.0)
+    p = max(0.5, float(sum(r["o"] for r in best if bytes(r["token"]).startswith(b"%d" % PREFIXES[-1])))) / n_o
+    p = min(p, 0.5 * -model.miss / (high - model.miss))  # the mean score stays below 0
     low, up = 1e-6, 50.0
     for _ in range(80):
         mid = (low + up) / 2
