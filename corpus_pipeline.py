@@ -6,9 +6,10 @@ stages against brute force on small tables.
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from meterloom.llm import exact_dedup, minhash, mixing, toxicity
+from meterloom.llm import exact_dedup, minhash, mixing, packing, toxicity
 from meterloom.llm.common import Scratch, table
 
 
@@ -32,11 +33,17 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return mixing.repeat_documents(docs)
 
 
+def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of documents in training sequences."""
+    return packing.pack_documents(docs, public_tokenizers.path("word_bpe_49k.json"), end_id=1)
+
+
 STAGES = [
     ("toxicity", drop_toxic),
     ("exact_dedup", drop_exact_copies),
     ("near_dedup", drop_near_copies),
     ("mixing", mix_sources),
+    ("packing", pack_sequences),
 ]
 
 ORACLE_SQL = None
