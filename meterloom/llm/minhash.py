@@ -4,8 +4,9 @@ Each text is the set of its distinct 5-word shingles. `BANDS * ROWS` strongly un
 that agree on one band meet in a bucket. Equal sets collapse to one representative first. In every bucket, each member
 is paired with the bucket's smallest id; pairs pass the signature test, then a comparison of the full sets, and the
 links' components are found by alternating large-star and small-star. Buckets whose members then still belong to
-several components are compared once more, member against member, in blocks of bounded size and by signature only;
-what passes is confirmed on the full sets too. So a bucket never gives all of its pairs, and no link between members of
+several components are compared again, member against member, in blocks of bounded size and by signature only:
+twice each member gives its most similar partner, as in Boruvka's rounds, then all partners of other components. What
+passes is confirmed on the full sets too. So a bucket never gives all of its pairs, and no link between members of
 different components is skipped. A pair at the least similarity of 0.75 shares no band with probability 5e-6.
 """
 
@@ -109,33 +110,52 @@ def _alike(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([b.column("x").filter(near), b.column("y").filter(near)], ["x", "y"])
 
 
-def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of rows sorted by (bucket, low, high): pairs of members that the signatures don't part, of different components."""
-    group, rows = None, []
+def _blocks(best: bool):
+    """Of rows sorted by (bucket, low, high): pairs of members of different components that the signatures don't part.
 
-    def compare(rows: list) -> pa.RecordBatch:
+    With `best`, each member gives its most similar partner only, so a block gives no more pairs than it has members.
+    """
+
+    def compare(low: int, high: int, rows: list) -> pa.RecordBatch:
         rep, comp = np.array([r[0] for r in rows]), np.array([r[1] for r in rows])
         block, sig = np.array([r[2] for r in rows]), np.frombuffer(b"".join(r[3] for r in rows), np.uint8).reshape(-1, MINIMA)
-        low, high = group[1], group[2]
-        xs, ys = [], []
+        most, partner = np.zeros(len(rows), np.int64), np.zeros(len(rows), np.int64)
+        xs, ys = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
         for i in np.flatnonzero(block == low):
             other = np.flatnonzero((block == high) & (comp != comp[i]) & ((rep > rep[i]) | (low != high)))
-            if len(other):
-                near = other[(sig[other] == sig[i]).sum(axis=1) >= LEAST_EQUAL]
+            if not len(other):
+                continue
+            equal = (sig[other] == sig[i]).sum(axis=1)
+            if best:
+                k = int(equal.argmax())
+                if equal[k] > most[i]:
+                    most[i], partner[i] = equal[k], rep[other[k]]
+                closer = equal > most[other]
+                most[other[closer]], partner[other[closer]] = equal[closer], rep[i]
+            else:
+                near = other[equal >= LEAST_EQUAL]
                 xs.append(np.maximum(rep[near], rep[i]))
                 ys.append(np.minimum(rep[near], rep[i]))
-        none = np.empty(0, np.int64)
-        return pa.RecordBatch.from_arrays([pa.array(np.concatenate([none, *xs])), pa.array(np.concatenate([none, *ys]))], ["x", "y"])
-
-    for b in batches:
-        for key, row in zip(zip(*(b.column(c).to_pylist() for c in ("bucket", "low", "high")), strict=True), zip(*(b.column(c).to_pylist() for c in ("rep", "component", "block", "signature")), strict=True), strict=True):
-            if key != group:
-                if rows:
-                    yield compare(rows)
-                group, rows = key, []
-            rows.append(row)
-    if rows:
-        yield compare(rows)
+        if best:
+            near = most >= LEAST_EQUAL
+            xs.append(np.maximum(rep[near], partner[near]))
+            ys.append(np.minimum(rep[near], partner[near]))
+        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(xs)), pa.array(np.concatenate(ys))], ["x", "y"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        group, rows = None, []
+        for b in batches:
+            keys = zip(*(b.column(c).to_pylist() for c in ("bucket", "low", "high")), strict=True)
+            for key, row in zip(keys, zip(*(b.column(c).to_pylist() for c in ("rep", "component", "block", "signature")), strict=True), strict=True):
+                if key != group:
+                    if rows:
+                        yield compare(group[1], group[2], rows)
+                    group, rows = key, []
+                rows.append(row)
+        if rows:
+            yield compare(group[1], group[2], rows)
+
+    return run
 
 
 def _confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -191,25 +211,31 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     def texts_of(pairs: DataFrame, name: str) -> DataFrame:
         needed = pairs.select(F.col("x").alias("doc_id")).union(pairs.select("y")).distinct()
-        return scratch.save(rows.join(needed, "doc_id").dropDuplicates(["doc_id"]).select("doc_id", "text"), name)
-
-    texts = texts_of(first, "texts")
-    links = scratch.save(_confirmed(first, texts).select(F.col("x").alias("a"), F.col("y").alias("b")), "links")
-    scratch.drop("texts")
-    found = scratch.save(components(links, scratch, "first-round"), "found")
-
-    labelled = buckets.filter("size > 2").join(found, buckets.rep == found.id, "left").select("bucket", "rep", F.coalesce("component", "rep").alias("component"))
-    mixed_buckets = labelled.groupBy("bucket").agg(F.count("*").alias("size"), F.min("component").alias("c1"), F.max("component").alias("c2")).filter("c1 <> c2").select("bucket", F.ceil(F.col("size") / BLOCK).cast("int").alias("n_blocks"))
-    member = labelled.join(mixed_buckets, "bucket").withColumn("block", F.pmod(F.xxhash64("rep"), F.col("n_blocks")).cast("int"))
-    dealt = member.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("n_blocks") - 1))).select(
-        "bucket", "rep", "component", "block", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high")
-    )
-    compared = dealt.join(signatures, "rep").repartition("bucket", "low", "high").sortWithinPartitions("bucket", "low", "high").mapInArrow(_blocks, "x long, y long").distinct()
-    second = scratch.save(compared.join(first, ["x", "y"], "left_anti"), "second")
-    more = scratch.save(_confirmed(second, texts_of(second, "more-texts")).select(F.col("x").alias("a"), F.col("y").alias("b")), "more")
-    scratch.drop("more-texts", "buckets", "first")
-    if not more.isEmpty():
-        found = scratch.save(components(links.union(more), scratch, "second-round"), "found-2")
+        return scratch.save(rows.join(needed.hint("merge"), "doc_id").dropDuplicates(["doc_id"]).select("doc_id", "text"), name)
+
+    def linked(pairs: DataFrame, name: str) -> DataFrame:
+        out = scratch.save(_confirmed(pairs, texts_of(pairs, f"texts-{name}")).select(F.col("x").alias("a"), F.col("y").alias("b")), f"links-{name}")
+        scratch.drop(f"texts-{name}")
+        return out
+
+    links, tested = linked(first, "first"), first
+    found = scratch.save(components(links, scratch, "stars-first"), "found-first")
+    for name, best in (("second", True), ("third", True), ("last", False)):
+        labelled = buckets.filter("size > 2").join(found, buckets.rep == found.id, "left").select("bucket", "rep", F.coalesce("component", "rep").alias("component"))
+        several = labelled.groupBy("bucket").agg(F.count("*").alias("size"), F.min("component").alias("c1"), F.max("component").alias("c2")).filter("c1 <> c2")
+        member = labelled.join(several.select("bucket", F.ceil(F.col("size") / BLOCK).cast("int").alias("n_blocks")), "bucket")
+        member = member.withColumn("block", F.pmod(F.xxhash64("rep"), F.col("n_blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("n_blocks") - 1)))
+        dealt = member.select("bucket", "rep", "component", "block", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"))
+        blocks = dealt.join(signatures.hint("merge"), "rep").repartition("bucket", "low", "high").sortWithinPartitions("bucket", "low", "high")
+        pairs = scratch.save(blocks.mapInArrow(_blocks(best), "x long, y long").distinct().join(tested, ["x", "y"], "left_anti"), name)
+        if pairs.isEmpty():
+            continue
+        tested = tested.union(pairs)
+        more = linked(pairs, name)
+        if not more.isEmpty():
+            links = links.union(more)
+            found = scratch.save(components(links, scratch, f"stars-{name}"), f"found-{name}")
+    scratch.drop("buckets", "first", "second", "third", "last")
 
     member_of = classes.join(found, classes.rep == found.id, "left").select(F.col("key").alias("class_key"), F.coalesce("component", "rep").alias("component"))
     narrow = signed.select("doc_id", "n_shingles", "key")
