@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, minhash, mixing, packing, token_files, toxicity
+from . import exact_dedup, fingerprints, importance, minhash, mixing, packing, token_files, toxicity
 from .common import crc_mod, table
 
 
@@ -26,6 +26,10 @@ def op5_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), end_id=0)
 
 
+def op6_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.fingerprints(table(spark, sf_dir, "documents"))
+
+
 def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), end_id=1)
 
@@ -37,13 +41,22 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", (crc_mod(F.col("doc_id"), 5) == 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), "top_segment", "n_passages")
 
 
+def op10_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    ratio = importance.fit(docs, table(spark, sf_dir, "labels"))
+    drawn = importance.resample(docs, ratio)
+    return drawn.withColumn("held_out", crc_mod(F.col("doc_id"), 5) == 0)
+
+
 QUERIES = {
     "op1_minhash": op1_minhash,
     "op2_exact": op2_exact,
     "op3_mixing": op3_mixing,
     "op5_token_files": op5_token_files,
+    "op6_fingerprints": op6_fingerprints,
     "op8_packing": op8_packing,
     "op9_toxicity": op9_toxicity,
+    "op10_importance": op10_importance,
 }
 
 #: DuckDB SQL of the same rows and columns, where SQL can express them.
