@@ -28,7 +28,6 @@ LONG = 400
 #: Text bytes of one partition.
 PART_BYTES = 32 << 20
 _LAST = (1 << 63) - 1
-_SEEDS = tuple(np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93))
 
 
 def paragraphs(text: str) -> list[str]:
@@ -53,21 +52,25 @@ def digests(text: str) -> np.ndarray:
     if not text:
         return np.empty(0, np.uint64)
     units = paragraphs(text)
-    if len(set(units)) == len(units):
-        return np.array([xxh3_64_intdigest(u) for u in units], np.uint64)
-    seen: Counter = Counter()
-    out = []
-    for u in units:
-        out.append(xxh3_64_intdigest(u, seen[u]))
-        seen[u] += 1
-    return np.array(out, np.uint64)
+    if len(set(units)) < len(units):
+        seen: Counter = Counter()
+        for k, u in enumerate(units):
+            if seen[u]:
+                units[k] = f"{seen[u]}\n{u}"  # no paragraph holds a line break
+            seen[u] += 1
+    return np.unique(np.array([xxh3_64_intdigest(u) for u in units], np.uint64))
 
 
-def _mix(x: np.ndarray, seed: np.uint64) -> np.ndarray:
-    x = (x ^ seed) * np.uint64(0xBF58476D1CE4E5B9)
+def _mix(x: np.ndarray) -> np.ndarray:
+    x = x * np.uint64(0xBF58476D1CE4E5B9)
     x ^= x >> np.uint64(31)
     x *= np.uint64(0x94D049BB133111EB)
-    return x ^ (x >> np.uint64(29))
+    x ^= x >> np.uint64(29)
+    return x
+
+
+def _check(keys: np.ndarray) -> np.ndarray:
+    return (keys ^ (keys >> np.uint64(33))) * np.uint64(0xC2B2AE3D27D4EB4F)
 
 
 class Sketch:
@@ -78,14 +81,17 @@ class Sketch:
     def __init__(self, cells: int):
         self.count, self.key, self.check = np.zeros(cells, np.int32), np.zeros(cells, np.uint64), np.zeros(cells, np.uint64)
 
-    def put(self, keys: np.ndarray, signs: np.ndarray | int = 1) -> Sketch:
-        third = len(self.count) // 3
-        check = _mix(keys, _SEEDS[3])
+    def put(self, keys: np.ndarray, signs: np.ndarray | None = None) -> Sketch:
+        """Adds digests, or takes away those of sign -1."""
+        third = np.uint64(len(self.count) // 3)
+        h, n = _mix(keys), len(keys)
+        at = np.empty(3 * n, np.int64)
         for j in range(3):
-            at = (_mix(keys, _SEEDS[j]) % np.uint64(third)).astype(np.int64) + j * third
-            np.add.at(self.count, at, signs)
-            np.bitwise_xor.at(self.key, at, keys)
-            np.bitwise_xor.at(self.check, at, check)
+            at[j * n : (j + 1) * n] = ((h >> np.uint64(21 * j)) & np.uint64(0x1FFFFF)) % third + np.uint64(j) * third
+        check = _check(keys)
+        np.add.at(self.count, at, 1 if signs is None else np.concatenate((signs, signs, signs)))
+        np.bitwise_xor.at(self.key, at, np.concatenate((keys, keys, keys)))
+        np.bitwise_xor.at(self.check, at, np.concatenate((check, check, check)))
         return self
 
     def minus(self, other: Sketch) -> Sketch:
@@ -99,7 +105,7 @@ class Sketch:
         while True:
             pure = np.flatnonzero(np.abs(self.count) == 1)
             if len(pure):
-                pure = pure[self.check[pure] == _mix(self.key[pure], _SEEDS[3])]
+                pure = pure[self.check[pure] == _check(self.key[pure])]
             if not len(pure):
                 break
             keys, first = np.unique(self.key[pure], return_index=True)
@@ -113,17 +119,17 @@ class Sketch:
         return np.concatenate([none, *plus]), np.concatenate([none, *less])
 
     def text(self) -> str:
-        return base64.b85encode(self.count.astype("<i2").tobytes() + self.key.astype("<u8").tobytes() + self.check.astype("<u4").tobytes()).decode()
+        return base64.b64encode(self.count.astype("<i2").tobytes() + self.key.astype("<u8").tobytes() + self.check.astype("<u4").tobytes()).decode()
 
 
 def difference(a: np.ndarray, b: np.ndarray, first: tuple[Sketch, Sketch] | None = None) -> tuple[np.ndarray, np.ndarray]:
-    """The digests in a only and in b only, by sketches that grow until peeling succeeds."""
+    """The digests in a only and in b only: from the sketches at hand, else from larger ones, until peeling succeeds."""
     x, y = first or (Sketch(CELLS).put(a), Sketch(CELLS).put(b))
-    cells = len(x.count)
-    while (found := x.minus(y).peel()) is None:
-        most = 3 * (len(a) + len(b)) // 2 + 12  # holds the difference of any two texts of so many paragraphs
-        cells = 3 * -(-(min(8 * cells, most) if cells < most else 2 * cells) // 3)
-        x, y = Sketch(cells).put(a), Sketch(cells).put(b)
+    found, cells = x.minus(y).peel(), 3 * (len(a) + len(b)) // 2 + 12  # so many hold the difference of any two such texts
+    while found is None:
+        cells = 3 * -(-cells // 3)
+        signs = np.concatenate((np.ones(len(a), np.int32), np.full(len(b), -1, np.int32)))
+        found, cells = Sketch(cells).put(np.concatenate((a, b)), signs).peel(), 2 * cells  # a sum with signs is the subtracted sketch
     return found
 
 
