@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, fingerprints, importance, minhash, mixing, packing, token_files, toxicity
+from . import exact_dedup, fingerprints, importance, katz, minhash, mixing, packing, token_files, toxicity
 from .common import crc_mod, table
 
 
@@ -22,6 +22,10 @@ def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken", "source", "copies")
 
 
+def op4_katz(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return katz.katz_scores(table(spark, sf_dir, "documents"))
+
+
 def op5_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), end_id=0)
 
@@ -52,6 +56,7 @@ QUERIES = {
     "op1_minhash": op1_minhash,
     "op2_exact": op2_exact,
     "op3_mixing": op3_mixing,
+    "op4_katz": op4_katz,
     "op5_token_files": op5_token_files,
     "op6_fingerprints": op6_fingerprints,
     "op8_packing": op8_packing,
