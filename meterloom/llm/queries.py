@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, fingerprints, importance, katz, minhash, mixing, packing, token_files, toxicity
+from . import exact_dedup, fingerprints, importance, katz, minhash, mixing, packing, repeats, token_files, toxicity
 from .common import crc_mod, table
 
 
@@ -34,6 +34,10 @@ def op6_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.fingerprints(table(spark, sf_dir, "documents"))
 
 
+def op7_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats.remove_repeats(table(spark, sf_dir, "documents"))
+
+
 def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), end_id=1)
 
@@ -59,6 +63,7 @@ QUERIES = {
     "op4_katz": op4_katz,
     "op5_token_files": op5_token_files,
     "op6_fingerprints": op6_fingerprints,
+    "op7_repeats": op7_repeats,
     "op8_packing": op8_packing,
     "op9_toxicity": op9_toxicity,
     "op10_importance": op10_importance,
