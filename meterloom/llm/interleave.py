@@ -21,7 +21,7 @@ STRIDE, DEPTH = 40, 5
 #: Bytes of the shared prefix that makes an interval a repeat.
 WIDTH = STRIDE * DEPTH
 #: Bytes of the strings of one shard.
-SHARD_BYTES = 1 << 16
+SHARD_BYTES = 1 << 14
 _ODD = np.random.default_rng(20240301).integers(1, 1 << 63, 16, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
@@ -54,7 +54,7 @@ class Transform:
     """
 
     def __init__(self, symbol: np.ndarray, begin: np.ndarray, end: np.ndarray, low: int, high: int):
-        at = np.arange(low, high)
+        at = np.arange(low, high, dtype=np.int32)
         ends = at + STRIDE >= end[low:high]  # fewer bytes than a symbol: the end mark alone
         head = at - STRIDE < begin[low:high]
         size = end[low:high] - begin[low:high] - 1
@@ -62,24 +62,25 @@ class Transform:
         offset = at - begin[low:high]
         before = np.where(head, begin[low:high] + offset + ((size - offset) // STRIDE) * STRIDE, at - STRIDE)
         own = np.where(ends, 0, symbol[low:high])
-        order = np.arange(high - low)
-        previous = own[before - low]
+        order = np.arange(high - low, dtype=np.int32)
+        before -= np.int32(low)
+        previous = own[before]
         for _ in range(DEPTH):  # the shard alone, by the same induced passes
-            order = (before[order] - low)[_order(previous[order])]
+            order = before[order[_order(previous[order])]]
         rank = np.empty_like(order)
-        rank[order] = np.arange(len(order))
+        rank[order] = np.arange(len(order), dtype=np.int32)
         self.position = at[order]
         self.symbols = previous[order]
-        self.to_first = rank[before[order] - low]
+        self.to_first = rank[before[order]]
 
 
 def merge(shards: list[Transform]) -> tuple[np.ndarray, np.ndarray]:
     """(positions, starts): all suffixes in merged order, and where each interval of at least WIDTH shared bytes starts."""
     base = np.cumsum([0, *(len(s.position) for s in shards)])
     symbols = np.concatenate([s.symbols for s in shards])
-    to_first = np.concatenate([s.to_first + b for s, b in zip(shards, base[:-1], strict=True)])
+    to_first = np.concatenate([s.to_first + np.int32(b) for s, b in zip(shards, base[:-1], strict=True)])
     position = np.concatenate([s.position for s in shards])
-    interleave, block = np.arange(len(position)), np.zeros(len(position), np.int32)
+    interleave, block = np.arange(len(position), dtype=np.int32), np.zeros(len(position), np.int32)
     for _ in range(DEPTH):
         read = symbols[interleave]
         order = _order(read)
@@ -97,7 +98,8 @@ class Repeats:
 
     def __init__(self, strings: list[bytes], weights: list[int]):
         sizes = np.array([len(s) + 1 for s in strings])  # one place for the end mark
-        upto = np.cumsum(sizes)
+        upto = np.cumsum(sizes).astype(np.int32)
+        sizes = sizes.astype(np.int32)
         begin, end = np.repeat(upto - sizes, sizes), np.repeat(upto, sizes)
         raw = b"\0".join(strings) + b"\0"
         self.hash = grams(words(raw + bytes(STRIDE + 8)), STRIDE // 8)[: len(raw)]

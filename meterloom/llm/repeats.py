@@ -31,7 +31,7 @@ _LOW = np.uint64((1 << 20) - 1)
 #: Classes of one anchor that one block holds.
 BLOCK = 4096
 #: Bytes of the strings that are merged together, whole groups at a time.
-BATCH = 1 << 19
+BATCH = 56_000
 
 
 def contexts(raw: bytes, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
