@@ -188,8 +188,9 @@ def repeated_spans(docs: DataFrame, scratch: Scratch, block: int = BLOCK) -> Dat
     spark = docs.sparkSession
     every = scratch.save(docs.mapInArrow(_contexts, _CONTEXT), "contexts")
     groups = every.groupBy("anchor").agg(F.count("*").alias("rows"), F.min("ctx").alias("c1"), F.max("ctx").alias("c2")).filter("rows > 1")
-    again = scratch.save(every.join(groups.select("anchor", (F.col("c1") == F.col("c2")).alias("single")), "anchor"), "again")
-    scratch.drop("contexts")
+    repeated = scratch.save(groups.select("anchor", (F.col("c1") == F.col("c2")).alias("single")), "repeated")  # written, so that a hot anchor's join can be split
+    again = scratch.save(every.join(repeated, "anchor"), "again")
+    scratch.drop("contexts", "repeated")
     several = again.filter("not single")
     classes = scratch.save(several.groupBy("anchor", "ctx").agg(F.count("*").alias("weight"), F.min(F.struct("doc_id", "row", "at", "n")).alias("rep")), "classes")
     sizes = classes.groupBy("anchor").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks")).filter("blocks > 1")
