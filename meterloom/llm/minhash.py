@@ -4,9 +4,9 @@ Each text is the set of its distinct 5-word shingles. `BANDS * ROWS` strongly un
 that agree on one band meet in a bucket. Equal sets collapse to one representative first. In every bucket, each member
 is paired with the bucket's smallest id; pairs pass the signature test, then a comparison of the full sets, and the
 links' components are found by alternating large-star and small-star. Buckets whose members then still belong to
-several components are compared again, member against member, in blocks of bounded size and by signature only:
-twice each member gives its most similar partner, as in Boruvka's rounds, then all partners of other components. What
-passes is confirmed on the full sets too. So a bucket never gives all of its pairs, and no link between members of
+several components are compared again, member against member, in blocks of bounded size: twice each member gives its
+most similar partner by signature, as in Boruvka's rounds, then all partners of other components whose bottom-k sketches
+don't part them either. What passes is confirmed on the full sets too. So a bucket never gives all of its pairs, and no link between members of
 different components is skipped. A pair at the least similarity of 0.75 shares no band with probability 5e-6.
 """
 
@@ -33,6 +33,9 @@ LEAST_EQUAL = 72
 #: Members of a bucket that one block holds when members are compared with one another.
 BLOCK = 1024
 
+#: Shingle hashes of a bottom-k sketch: a smaller set is whole in it.
+SKETCH = 512
+
 _rng = np.random.default_rng(20240229)
 _A = _rng.integers(1, 1 << 63, MINIMA, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _B = _rng.integers(0, 1 << 63, MINIMA, dtype=np.uint64) * np.uint64(2)
@@ -110,6 +113,42 @@ def _alike(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([b.column("x").filter(near), b.column("y").filter(near)], ["x", "y"])
 
 
+def _sketched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The least shingle hashes of each text, SKETCH at most."""
+    hashes = WordHashes()
+    for b in batches:
+        for at in range(0, b.num_rows, 256):
+            part = b.slice(at, 256)
+            sketch = [np.unique((shingle_set(t, hashes) >> np.uint64(32)).astype(np.uint32))[:SKETCH].tobytes() for t in part.column("text").cast(pa.binary()).to_pylist()]
+            yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(sketch, pa.binary())], ["rep", "sketch"])
+
+
+class _Sketches:
+    """Which members of a block may be similar enough, by their hashes up to one that all sketches reach."""
+
+    def __init__(self, raw: list[bytes]):
+        each = [np.frombuffer(r, np.uint32) for r in raw]
+        full = [s[-1] for s in each if len(s) >= SKETCH]
+        self.whole = not full
+        if full:
+            each = [s[: np.searchsorted(s, min(full), "right")] for s in each]
+        _, flat = np.unique(np.concatenate(each), return_inverse=True)
+        self.n = np.array([len(s) for s in each])
+        self.edge = np.concatenate(([0], np.cumsum(self.n)))
+        self.flat, self.flag = flat, np.zeros(len(_) + 1, bool)
+
+    def may_link(self, i: int, other: np.ndarray) -> np.ndarray:
+        own = self.flat[self.edge[i] : self.edge[i + 1]]
+        self.flag[own] = True
+        hit = np.concatenate(([0], np.cumsum(self.flag[self.flat])))
+        self.flag[own] = False
+        both = hit[self.edge[other + 1]] - hit[self.edge[other]]
+        union = self.n[i] + self.n[other] - both
+        share = PERCENT / 100
+        slack = 1.0 if self.whole else 1 + 5 * np.sqrt(share * (1 - share) * union)
+        return both >= share * union - slack
+
+
 def _blocks(best: bool):
     """Of rows sorted by (bucket, low, high): pairs of members of different components that the signatures don't part.
 
@@ -119,6 +158,7 @@ def _blocks(best: bool):
     def compare(low: int, high: int, rows: list) -> pa.RecordBatch:
         rep, comp = np.array([r[0] for r in rows]), np.array([r[1] for r in rows])
         block, sig = np.array([r[2] for r in rows]), np.frombuffer(b"".join(r[3] for r in rows), np.uint8).reshape(-1, MINIMA)
+        sketches = None
         most, partner = np.zeros(len(rows), np.int64), np.zeros(len(rows), np.int64)
         xs, ys = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
         for i in np.flatnonzero(block == low):
@@ -134,19 +174,24 @@ def _blocks(best: bool):
                 most[other[closer]], partner[other[closer]] = equal[closer], rep[i]
             else:
                 near = other[equal >= LEAST_EQUAL]
+                if len(near):
+                    sketches = sketches or _Sketches([r[4] for r in rows])
+                    near = near[sketches.may_link(i, near)]
                 xs.append(np.maximum(rep[near], rep[i]))
                 ys.append(np.minimum(rep[near], rep[i]))
         if best:
             near = most >= LEAST_EQUAL
-            xs.append(np.maximum(rep[near], partner[near]))
-            ys.append(np.minimum(rep[near], partner[near]))
-        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(xs)), pa.array(np.concatenate(ys))], ["x", "y"])
+            return pa.RecordBatch.from_arrays([pa.array(rep[near]), pa.array(partner[near]), pa.array(most[near])], ["x", "y", "equal"])
+        x, y = np.concatenate(xs), np.concatenate(ys)
+        return pa.RecordBatch.from_arrays([pa.array(x), pa.array(y), pa.array(np.zeros(len(x), np.int64))], ["x", "y", "equal"])
+
+    columns = ("rep", "component", "block", "signature") + ("sketch",) * (not best)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         group, rows = None, []
         for b in batches:
             keys = zip(*(b.column(c).to_pylist() for c in ("bucket", "low", "high")), strict=True)
-            for key, row in zip(keys, zip(*(b.column(c).to_pylist() for c in ("rep", "component", "block", "signature")), strict=True), strict=True):
+            for key, row in zip(keys, zip(*(b.column(c).to_pylist() for c in columns), strict=True), strict=True):
                 if key != group:
                     if rows:
                         yield compare(group[1], group[2], rows)
@@ -226,8 +271,17 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         member = labelled.join(several.select("bucket", F.ceil(F.col("size") / BLOCK).cast("int").alias("n_blocks")), "bucket")
         member = member.withColumn("block", F.pmod(F.xxhash64("rep"), F.col("n_blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("n_blocks") - 1)))
         dealt = member.select("bucket", "rep", "component", "block", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"))
-        blocks = dealt.join(signatures.hint("merge"), "rep").repartition("bucket", "low", "high").sortWithinPartitions("bucket", "low", "high")
-        pairs = scratch.save(blocks.mapInArrow(_blocks(best), "x long, y long").distinct().join(tested, ["x", "y"], "left_anti"), name)
+        known = signatures
+        if not best:
+            needed = dealt.select(F.col("rep").alias("doc_id")).distinct()
+            texts = rows.join(needed.hint("merge"), "doc_id").dropDuplicates(["doc_id"])
+            known = signatures.join(scratch.save(texts.select("doc_id", "text").mapInArrow(_sketched, "rep long, sketch binary"), "sketches"), "rep")
+        blocks = dealt.join(known.hint("merge"), "rep").repartition("bucket", "low", "high").sortWithinPartitions("bucket", "low", "high")
+        close = blocks.mapInArrow(_blocks(best), "x long, y long, equal long")
+        if best:  # one partner for each member, over all of its buckets
+            close = close.groupBy("x").agg(F.max_by("y", F.struct("equal", F.xxhash64("x", "y"))).alias("y"))
+        close = close.select(F.greatest("x", "y").alias("x"), F.least("x", "y").alias("y")).distinct()
+        pairs = scratch.save(close.join(tested, ["x", "y"], "left_anti"), name)
         if pairs.isEmpty():
             continue
         tested = tested.union(pairs)
@@ -235,7 +289,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         if not more.isEmpty():
             links = links.union(more)
             found = scratch.save(components(links, scratch, f"stars-{name}"), f"found-{name}")
-    scratch.drop("buckets", "first", "second", "third", "last")
+    scratch.drop("buckets", "first", "second", "third", "last", "sketches")
 
     member_of = classes.join(found, classes.rep == found.id, "left").select(F.col("key").alias("class_key"), F.coalesce("component", "rep").alias("component"))
     narrow = signed.select("doc_id", "n_shingles", "key")
