@@ -1,0 +1,187 @@
+"""Allowance time series: baselines, burn rates, pace, calibration, projection and session tiling."""
+
+from __future__ import annotations
+
+from datetime import datetime, timedelta
+
+from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import functions as F
+
+from ..functions.scalars import div, micros, minutes_floor, same_instance, staleness_limit
+from ..schema import ACTIVE_HOURS, BASELINE_DAYS, BOOTSTRAP_TENTHS, DUTY_LIMIT_MIN, DUTY_UNLOCK, FLOOR_MIN, MAX_PROJECTION_MIN, MAX_RESIDUAL, MIN_HORIZON_MIN, MIN_SPANS, QUANTUM_TENTHS, RATE_SCALE, SESSION_MINUTES, SLOT_DAYS
+from .units import cost_units
+
+
+def at(t: datetime) -> Column:
+    return F.lit(t).cast("timestamp_ntz")
+
+
+def burn_rate(records: DataFrame, now: datetime, minutes: int = 60) -> DataFrame:
+    """Tokens an hour of each source over the last minutes; rows after now count, silent sources are absent."""
+    return records.filter((F.col("event_ts") >= at(now - timedelta(minutes=minutes))) & F.col("display").isNotNull()).groupBy("source_app").agg(div(F.sum("display") * 60, minutes).alias("tokens_per_hour"))
+
+
+def _cells(records: DataFrame, now: datetime, offset_minutes: int) -> DataFrame:
+    local = F.col("event_ts") + F.make_dt_interval(mins=F.lit(offset_minutes))
+    return records.filter((F.col("event_ts") >= at(now - timedelta(days=BASELINE_DAYS))) & F.col("display").isNotNull()).groupBy("source_app", F.to_date(local).alias("day"), F.hour(local).alias("hour")).agg(F.sum("display").alias("tokens"), F.min("event_ts").alias("earliest"))
+
+
+def baseline(records: DataFrame, now: datetime, offset_minutes: int = 0) -> DataFrame:
+    """Days seen and, from three days on, the lower median of tokens in each local hour of the day."""
+    slot = _cells(records, now, offset_minutes).groupBy("source_app", "hour").agg(F.count("*").alias("n_days"), F.sort_array(F.collect_list("tokens")).alias("each"))  # at most one a day
+    return slot.select("source_app", "hour", "n_days", F.when(F.col("n_days") >= SLOT_DAYS, F.get("each", div(F.col("n_days") - 1, 2).cast("int"))).alias("median_tokens"))
+
+
+def duty_cycle(records: DataFrame, now: datetime, offset_minutes: int = 0) -> DataFrame:
+    """Active hours in a hundred of those observed; null below a day of active hours."""
+    seen = _cells(records, now, offset_minutes).groupBy("source_app").agg(F.count("*").alias("active_hours"), F.min("earliest").alias("earliest"))
+    hours = F.least(F.greatest(div(minutes_floor(F.col("earliest"), at(now)), 60), F.lit(1)), F.lit(BASELINE_DAYS * 24))
+    return seen.select("source_app", "active_hours", F.when(F.col("active_hours") >= ACTIVE_HOURS, F.least(div(F.col("active_hours") * 100, hours), F.lit(100))).alias("duty_percent"))
+
+
+def live_quotas(samples: DataFrame, seen_until: datetime, now: datetime) -> DataFrame:
+    """The newest reading of each window, if its window is still open."""
+    order = F.struct("observed_at", "event_id")
+    newest = samples.filter(F.col("observed_at") <= at(seen_until)).groupBy("source_app", "window_minutes").agg(*(F.max_by(c, order).alias(c) for c in ("used", "resets_at", "observed_at", "event_id")))
+    return newest.filter(F.col("resets_at").isNull() | (F.col("resets_at") > at(now)))
+
+
+def horizons(window: Column, duty: Column) -> Column:
+    """Trailing horizons in minutes; a long window has them only for a source that is active nearly always."""
+    ladder = F.array_sort(F.array_distinct(F.filter(F.array(F.greatest(div(window, 10), F.lit(MIN_HORIZON_MIN)), F.greatest(div(window, 4), F.lit(MIN_HORIZON_MIN)), F.when(window >= 30, F.greatest(F.least(F.lit(30), div(window, 2)), F.lit(MIN_HORIZON_MIN)))), lambda x: x.isNotNull())))
+    return F.when((window <= DUTY_LIMIT_MIN) | (F.coalesce(duty, F.lit(0)) >= DUTY_UNLOCK), ladder).otherwise(F.array().cast("array<bigint>"))
+
+
+def trailing_runways(quotas: DataFrame, samples: DataFrame, duty: DataFrame) -> DataFrame:
+    """(source_app, window_minutes, horizon, runway) of the horizons that show enough movement."""
+    q = quotas.join(duty.select("source_app", "duty_percent"), "source_app", "left").withColumn("horizon", F.explode(horizons(F.col("window_minutes"), F.col("duty_percent"))))
+    s = samples.select(*(F.col(c).alias(f"s_{c}") for c in ("source_app", "window_minutes", "used", "resets_at", "observed_at", "event_id")))
+    within = (micros(F.col("s_observed_at")) >= micros(F.col("observed_at")) - F.col("horizon") * 60_000_000) & (F.col("s_observed_at") < F.col("observed_at"))
+    pairs = q.join(s, (F.col("source_app") == F.col("s_source_app")) & (F.col("window_minutes") == F.col("s_window_minutes")) & same_instance(F.col("resets_at"), F.col("s_resets_at")) & within)
+    oldest = pairs.groupBy("source_app", "window_minutes", "horizon", "used", "observed_at").agg(F.min_by(F.struct("s_used", "s_observed_at"), F.struct("s_observed_at", "s_event_id")).alias("s"))
+    elapsed, consumed = minutes_floor(F.col("s.s_observed_at"), F.col("observed_at")), F.col("used") - F.col("s.s_used")
+    return oldest.select("source_app", "window_minutes", "horizon", elapsed.alias("elapsed"), consumed.alias("consumed"), (1000 - F.col("used")).alias("left")).filter((F.col("elapsed") >= MIN_HORIZON_MIN) & (F.col("consumed") >= QUANTUM_TENTHS)).select("source_app", "window_minutes", "horizon", div(F.col("left") * F.col("elapsed"), F.col("consumed")).alias("runway"))
+
+
+def window_open_runway() -> Column:
+    """From the opening of the window to the reading."""
+    elapsed = F.col("window_minutes") - minutes_floor(F.col("observed_at"), F.col("resets_at"))
+    return F.when((elapsed > 0) & (F.col("used") >= QUANTUM_TENTHS), div((1000 - F.col("used")) * elapsed, F.col("used")))
+
+
+def pace(quotas: DataFrame, samples: DataFrame, records: DataFrame, now: datetime, offset_minutes: int = 0) -> DataFrame:
+    """Will each allowance last until its reset? One row per quota, in order of urgency by (urgency, urgency_value)."""
+    key = ["source_app", "window_minutes"]
+    trail = trailing_runways(quotas, samples, duty_cycle(records, now, offset_minutes)).groupBy(*key).agg(F.min(F.struct("runway", "horizon")).alias("trail"))
+    slot = (now - timedelta(minutes=30) + timedelta(minutes=offset_minutes)).hour
+    typical = baseline(records, now, offset_minutes).filter(F.col("hour") == slot).select("source_app", F.col("median_tokens").alias("typical"))
+    q = quotas.join(trail, key, "left").join(burn_rate(records, now), "source_app", "left").join(typical, "source_app", "left")
+    q = q.withColumns({"remaining": F.greatest(F.lit(0), 1000 - F.col("used")), "until_reset": minutes_floor(at(now), F.col("resets_at")), "age": minutes_floor(F.col("observed_at"), at(now)), "opened": window_open_runway()})
+    aged = F.col("age") > staleness_limit(F.col("window_minutes"))
+    q = q.withColumn("aged", aged).withColumn("runway", F.when(aged | F.col("trail").isNull() | (F.col("opened") <= F.col("trail.runway")), F.col("opened")).otherwise(F.col("trail.runway")))
+    t, runway = F.col("until_reset"), F.col("runway")
+    tolerance = F.greatest(div(t, 10), F.col("age"), F.lit(FLOOR_MIN))
+    state = (
+        F.when(F.col("resets_at").isNull(), "notStarted")
+        .when(F.col("remaining") == 0, "exhausted")
+        .when(F.col("aged") & (F.coalesce("tokens_per_hour", F.lit(0)) > 0), "unknown")
+        .when(runway.isNull(), F.when((F.col("used") == 0) | F.col("aged"), "green").otherwise("unknown"))
+        .when(runway > t + tolerance, "green")
+        .when(runway < F.greatest(F.lit(0), t - tolerance), "red")
+        .otherwise("amber")
+    )
+    q = q.withColumn("state", state)
+    measured = F.col("state").isin("green", "red", "amber") & runway.isNotNull()
+    ratio = div(F.coalesce("tokens_per_hour", F.lit(0)) * 100, F.col("typical"))
+    q = q.withColumns(
+        {
+            "runway": F.when(measured, runway),
+            "slack": F.when(measured & (F.col("state") == "green"), runway - t),
+            "shortfall": F.when(measured & (F.col("state") == "red"), t - runway),
+            "pace_ratio": F.when(measured, div(t * 100, runway)),
+            "vs_baseline": F.when(ratio < 75, "below").when(ratio < 150, "typical").when(ratio < 250, "above").when(ratio.isNotNull(), "farAbove"),
+        }
+    )
+    urgency = F.when(F.col("state") == "red", 0).when(F.col("runway").isNotNull(), 1).otherwise(2)
+    return q.select("source_app", "window_minutes", "used", "remaining", "until_reset", "age", "aged", "state", "runway", "slack", "shortfall", "pace_ratio", "vs_baseline", urgency.alias("urgency"), F.when(urgency < 2, F.col("runway")).alias("urgency_value"))
+
+
+def binding_windows(paced: DataFrame) -> DataFrame:
+    """The window of each source that binds first: by state, then runway, then what remains."""
+    rank = F.array_position(F.array(*map(F.lit, ("exhausted", "red", "amber", "unknown", "green", "notStarted"))), F.col("state"))
+    w = Window.partitionBy("source_app").orderBy(rank, F.col("runway").asc_nulls_last(), "remaining", "window_minutes")
+    return paced.withColumn("at", F.row_number().over(w)).filter("at = 1").drop("at")
+
+
+# calibration ---------------------------------------------------------------------------------------------------------
+def spans(samples: DataFrame) -> DataFrame:
+    """Non-overlapping stretches of at least 20 tenths of movement, by a greedy scan within one window instance.
+
+    A reading of another instance than the anchor's becomes the anchor. A window's instance has at most a thousand
+    changes, and resets lie days apart, so each (source, window, day of reset) is scanned for itself.
+    """
+    item = F.struct(F.col("observed_at").alias("t"), F.col("event_id").alias("i"), F.col("used").alias("u"), F.col("resets_at").alias("r"))
+    each = samples.groupBy("source_app", "window_minutes", F.to_date("resets_at").alias("day")).agg(F.array_sort(F.collect_list(item)).alias("xs"))
+    found = F.array().cast("array<struct<t0:timestamp_ntz,t1:timestamp_ntz,moved:bigint>>")
+
+    def step(acc: Column, x: Column) -> Column:
+        moved = F.greatest(F.lit(0), x.u - acc.a.u)
+        same = same_instance(acc.a.r, x.r)
+        grown = F.concat(acc.found, F.array(F.struct(acc.a.t.alias("t0"), x.t.alias("t1"), moved.cast("long").alias("moved"))))
+        return F.when(same & (moved < QUANTUM_TENTHS), acc).when(same, F.struct(x.alias("a"), grown.alias("found"))).otherwise(F.struct(x.alias("a"), acc.found.alias("found")))
+
+    cut = each.select("source_app", "window_minutes", F.explode(F.aggregate("xs", F.struct(F.get("xs", F.lit(0)).alias("a"), found.alias("found")), step, lambda acc: acc.found)).alias("s"))
+    return cut.select("source_app", "window_minutes", F.col("s.t0").alias("t0"), F.col("s.t1").alias("t1"), F.col("s.moved").alias("moved"))
+
+
+def span_units(cut: DataFrame, records: DataFrame) -> DataFrame:
+    """Cost units of the records in (t0, t1] of each span, joined day by day; spans without any are left out."""
+    spent = records.filter("event_ts is not null").select("source_app", F.col("event_ts").alias("t"), F.to_date("event_ts").alias("day"), cost_units(F.col("model"), F.col("input"), F.col("output"), F.col("cached_input")).alias("units"))
+    by_day = cut.withColumn("day", F.explode(F.sequence(F.to_date("t0"), F.to_date("t1"))))
+    return by_day.join(spent, ["source_app", "day"]).filter((F.col("t") > F.col("t0")) & (F.col("t") <= F.col("t1"))).groupBy("source_app", "window_minutes", "t0", "t1", "moved").agg(F.sum("units").alias("units")).filter("units > 0")
+
+
+def calibration(samples: DataFrame, records: DataFrame) -> DataFrame:
+    """Allowance moved for each cost unit: the upper median of the spans' rates, and the deviation around it in percent."""
+    rated = span_units(spans(samples), records).withColumn("rate", div(F.col("moved") * F.lit(RATE_SCALE) + div(F.col("units"), 2), F.col("units")))
+    fit = rated.groupBy("source_app", "window_minutes").agg(F.sort_array(F.collect_list("rate")).alias("rates"), F.max(F.struct("moved", "t0", "rate")).alias("widest"))
+    median = F.get("rates", div(F.size("rates"), 2).cast("int"))
+    apart = F.get(F.sort_array(F.transform("rates", lambda r: F.abs(r - F.col("median")))), div(F.size("rates"), 2).cast("int"))
+    fit = fit.withColumn("median", median).withColumn("apart", apart)
+    enough = F.size("rates") >= MIN_SPANS
+    alone = (F.col("widest.moved") >= BOOTSTRAP_TENTHS) & (F.col("widest.rate") > 0)
+    return fit.select("source_app", "window_minutes", F.size("rates").cast("long").alias("n_spans"), F.when(enough, F.col("median")).when(alone, F.col("widest.rate")).alias("rate"), F.when(enough, div(F.col("apart") * 100, F.col("median"))).alias("residual_percent")).filter("rate is not null")
+
+
+def projection(quotas: DataFrame, fits: DataFrame, records: DataFrame, now: datetime) -> DataFrame:
+    """Readings carried forward by the units spent since, where the fit can be trusted and the reading isn't too old."""
+    spent = records.filter("event_ts is not null").select(F.col("source_app").alias("r_source"), F.col("event_ts").alias("t"), cost_units(F.col("model"), F.col("input"), F.col("output"), F.col("cached_input")).alias("units"))
+    open_ = quotas.join(fits.filter((F.col("residual_percent").isNull() | (F.col("residual_percent") <= MAX_RESIDUAL)) & (F.col("rate") > 0)), ["source_app", "window_minutes"])
+    open_ = open_.filter((F.col("observed_at") < at(now)) & (minutes_floor(F.col("observed_at"), at(now)) <= MAX_PROJECTION_MIN))
+    since = spent.filter((F.col("t") <= at(now)) & (F.col("t") > at(now - timedelta(minutes=MAX_PROJECTION_MIN + 1)))).join(F.broadcast(open_), (F.col("r_source") == F.col("source_app")) & (F.col("t") > F.col("observed_at")))
+    summed = since.groupBy("source_app", "window_minutes", "used", "rate").agg(F.least(F.sum("units"), F.lit(10**18)).cast("decimal(19,0)").alias("units"))
+    added = F.least(div(F.col("units") * F.col("rate").cast("decimal(18,0)") + F.lit(RATE_SCALE // 2), F.lit(RATE_SCALE).cast("decimal(13,0)")), F.lit(1000)).cast("long")
+    return summed.withColumn("added", added).filter("added > 0").select("source_app", "window_minutes", "used", "added", F.least(F.col("used") + F.col("added"), F.lit(1000)).alias("projected"))
+
+
+def tiled_sessions(times: DataFrame, by: str, now: datetime, minutes: int = SESSION_MINUTES) -> DataFrame:
+    """The reset of the fixed-length window that is open at `now`: the first time opens one, the first at or after its end the next.
+
+    Null where the last window has closed and no time has opened another.
+    """
+    each = times.groupBy(by).agg(F.array_sort(F.collect_set("t")).alias("ts"))
+    end = F.make_dt_interval(mins=F.lit(minutes))
+    anchor = F.aggregate("ts", F.get("ts", F.lit(0)), lambda a, t: F.when((t >= a + end) & (a + end <= at(now)), t).otherwise(a))
+    return each.select(by, anchor.alias("opened")).select(by, F.when(F.col("opened") + end > at(now), F.col("opened") + end).alias("resets_at"))
+
+
+def alerts(quotas: DataFrame, paced: DataFrame, thresholds: DataFrame, snoozed: DataFrame, now: datetime) -> DataFrame:
+    """Thresholds that are crossed, one row each, without those snoozed by key. `thresholds`: source_app, metric, limit_value."""
+    q = quotas.filter(F.col("resets_at") > at(now)).join(paced.select("source_app", "window_minutes", "state", "shortfall", "until_reset", "remaining"), ["source_app", "window_minutes"])
+    seconds = F.floor((micros(F.col("resets_at")) - micros(at(now))) / 1_000_000)
+    j = thresholds.join(q, "source_app").withColumn("minutes", F.ceil(seconds / 60).cast("long"))
+    value = F.when(F.col("metric") == "remaining_percent", F.col("remaining")).when(F.col("metric") == "minutes_until_reset", F.col("minutes")).otherwise(F.coalesce(F.col("until_reset") - F.col("shortfall"), F.lit(1 << 60)))
+    one = j.withColumn("at", F.row_number().over(Window.partitionBy("source_app", "metric").orderBy(value, "window_minutes"))).filter("at = 1")
+    crossed = F.when(F.col("metric") == "remaining_percent", div(F.col("remaining"), 10) <= F.col("limit_value")).when(F.col("metric") == "minutes_until_reset", F.col("minutes") <= F.col("limit_value")).otherwise((F.col("state") == "red") & (F.col("shortfall") >= F.col("limit_value")))
+    key = F.concat_ws(":", "source_app", F.col("window_minutes").cast("string"), "metric", F.col("limit_value").cast("string"), div(micros(F.col("resets_at")), 1_000_000).cast("string"))
+    return one.filter(crossed).select("source_app", "window_minutes", "metric", "limit_value", key.alias("alert_key")).join(snoozed, "alert_key", "left_anti")

@@ -1,0 +1,334 @@
+"""The registered queries of the usage ledger over the `events` and `conversations` tables."""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+from datetime import datetime, timedelta
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..functions import scalars as X
+from ..operators import conversations, ledger, series
+from ..schema import source_rank
+from ..sources.events_bridge import records, samples
+
+NOW = datetime(2024, 1, 31)
+AS_OF = datetime(2024, 1, 20, 15)
+SEEN = AS_OF - timedelta(minutes=45)
+WANTED = ledger.Filter(sources=("cursor", "codex"), models=("opus-1", "sonnet-1"), since=datetime(2024, 1, 5), until=datetime(2024, 1, 20))
+
+Query = Callable[[SparkSession, str], DataFrame]
+QUERIES: dict[str, Query] = {}
+
+
+def query(f: Query) -> Query:
+    QUERIES[f.__name__] = f
+    return f
+
+
+@query
+def totals(spark, sf_dir):
+    return ledger.totals(records(spark, sf_dir))
+
+
+@query
+def totals_by_source(spark, sf_dir):
+    return ledger.totals(records(spark, sf_dir), "source_app")
+
+
+@query
+def totals_by_model(spark, sf_dir):
+    return ledger.totals(records(spark, sf_dir), "model").withColumn("label", F.coalesce("model", F.lit("Unknown model")))
+
+
+@query
+def totals_grouping_sets(spark, sf_dir):
+    return ledger.totals_all_levels(records(spark, sf_dir))
+
+
+@query
+def cost_by_currency(spark, sf_dir):
+    return ledger.cost_by_currency(records(spark, sf_dir))
+
+
+@query
+def filtered_summary(spark, sf_dir):
+    return ledger.totals(WANTED.apply(records(spark, sf_dir)), "source_app", "model")
+
+
+@query
+def undated_excluded(spark, sf_dir):
+    return ledger.undated_excluded(records(spark, sf_dir), WANTED)
+
+
+@query
+def recent_50(spark, sf_dir):
+    return ledger.recent(records(spark, sf_dir)).select("event_id", "source_app", "model", "event_ts", "display")
+
+
+@query
+def threads_top(spark, sf_dir):
+    return ledger.top_threads(records(spark, sf_dir), 100).select("source_app", "session_id", "records", "display", "models", "first_event", "last_event", "project")
+
+
+@query
+def threads_header(spark, sf_dir):
+    return ledger.threads_header(records(spark, sf_dir))
+
+
+@query
+def share_of_total(spark, sf_dir):
+    return ledger.share_of_total(records(spark, sf_dir), "model")
+
+
+@query
+def dedupe_keys(spark, sf_dir):
+    return records(spark, sf_dir).select("event_id", "dedupe_key", X.record_id(F.col("source_app"), F.col("dedupe_key")).alias("record_id"))
+
+
+@query
+def content_hash(spark, sf_dir):
+    r = records(spark, sf_dir)
+    return r.select("event_id", content_hash_of().alias("content_hash"))
+
+
+def content_hash_of():
+    return X.joined_hash(F.lit("v1"), *(F.col(c) for c in ("source_app", "model", "input", "output", "cached_input", "reasoning", "reported", "project", "session_id", "amount_minor", "currency", "exponent")))
+
+
+@query
+def display_total_rules(spark, sf_dir):
+    rule = X.total_rule(*map(F.col, ("reported", "input", "output", "reasoning")))
+    return records(spark, sf_dir).groupBy(rule.alias("rule")).agg(F.count("*").alias("n"), F.coalesce(F.sum("display"), F.lit(0)).alias("tokens"))
+
+
+@query
+def timestamp_interpretation(spark, sf_dir):
+    """The bridge's instants written in six ways, and read back."""
+    t, k = F.col("ts").cast("timestamp"), F.col("event_id") % 6
+    raw = (
+        F.when(k == 0, F.unix_seconds(t).cast("string"))
+        .when(k == 1, F.unix_micros(t).cast("string"))
+        .when(k == 2, F.date_format(t, "yyyy-MM-dd'T'HH:mm:ss'Z'"))
+        .when(k == 3, F.date_format(t, "yyyy-MM-dd HH:mm:ss"))
+        .when(k == 4, F.lit("last tuesday"))
+        .otherwise(F.lit("  "))
+    )
+    r = records(spark, sf_dir).select("event_id", "ts", raw.alias("raw"))
+    return r.select("event_id", X.timestamp_kind(F.col("raw")).alias("kind"), X.parse_timestamp(F.col("raw")).cast("timestamp_ntz").alias("parsed"))
+
+
+def _store(r: DataFrame) -> DataFrame:
+    return r.filter("event_id % 3 <> 0").select("dedupe_key", "source_app", "event_ts", X.joined_hash(F.col("display")).alias("content_hash"))
+
+
+def _batch(r: DataFrame) -> DataFrame:
+    """Every second record, a third of them changed, and every tenth once more."""
+    changed = F.when(F.col("event_id") % 6 == 4, F.col("display") + 1).otherwise(F.col("display"))
+    rows = r.filter("event_id % 2 = 0").select("dedupe_key", "source_app", "event_ts", X.joined_hash(changed).alias("content_hash"), F.col("event_id").alias("seq"))
+    again = r.filter("event_id % 10 = 0").select("dedupe_key", "source_app", "event_ts", X.joined_hash(F.col("display") + 1).alias("content_hash"), (F.col("event_id") + 1_000_000_000).alias("seq"))
+    return rows.unionByName(again)
+
+
+@query
+def merge_classify(spark, sf_dir):
+    r = records(spark, sf_dir)
+    return ledger.classify(_batch(r), _store(r)).groupBy("outcome").agg(F.count("*").alias("n"))
+
+
+@query
+def merge_result(spark, sf_dir):
+    r = records(spark, sf_dir)
+    return ledger.merged(_batch(r), _store(r)).select("dedupe_key", "content_hash")
+
+
+@query
+def replace_scope_delete(spark, sf_dir):
+    r = records(spark, sf_dir)
+    return ledger.outside_scope(_store(r), _batch(r), "codex", datetime(2024, 1, 10), datetime(2024, 1, 15)).select("dedupe_key")
+
+
+@query
+def quota_samples_change_only(spark, sf_dir):
+    return samples(records(spark, sf_dir)).select("source_app", "used", "resets_at", "observed_at")
+
+
+def _live(spark, sf_dir):
+    r = records(spark, sf_dir)
+    s = samples(r)
+    return series.live_quotas(s, SEEN, AS_OF), s.filter(F.col("observed_at") <= series.at(SEEN)), r.filter(F.col("event_ts") <= series.at(AS_OF))
+
+
+@query
+def quota_latest(spark, sf_dir):
+    return _live(spark, sf_dir)[0].select("source_app", "used", "resets_at", "observed_at")
+
+
+@query
+def baseline_median_hour(spark, sf_dir):
+    return series.baseline(records(spark, sf_dir), NOW)
+
+
+@query
+def duty_cycle(spark, sf_dir):
+    return series.duty_cycle(records(spark, sf_dir), NOW)
+
+
+@query
+def burn_rate(spark, sf_dir):
+    return series.burn_rate(records(spark, sf_dir), AS_OF)
+
+
+@query
+def pace_states(spark, sf_dir):
+    quotas, seen, history = _live(spark, sf_dir)
+    return series.pace(quotas, seen, history, AS_OF)
+
+
+@query
+def binding_window(spark, sf_dir):
+    return series.binding_windows(pace_states(spark, sf_dir)).select("source_app", "window_minutes", "state", "remaining", "runway")
+
+
+@query
+def status_line(spark, sf_dir):
+    """One line: what is left of the binding window of each source, and how long it lasts."""
+    b = binding_window(spark, sf_dir)
+    mark = F.when(F.col("state") == "red", F.concat(F.lit("↓"), X.compact_duration(F.col("runway")))).otherwise("")
+    item = F.struct(source_rank(F.col("source_app")).alias("rank"), F.concat(F.col("source_app"), F.lit(" "), X.format_tenths(F.col("remaining")), mark).alias("text"))
+    return b.agg(F.array_join(F.transform(F.array_sort(F.collect_list(item)), lambda x: x.text), " · ").alias("line"))
+
+
+@query
+def calibration_spans(spark, sf_dir):
+    _, seen, history = _live(spark, sf_dir)
+    return series.span_units(series.spans(seen), history)
+
+
+@query
+def calibration_fit(spark, sf_dir):
+    _, seen, history = _live(spark, sf_dir)
+    return series.calibration(seen, history)
+
+
+@query
+def projection(spark, sf_dir):
+    quotas, seen, history = _live(spark, sf_dir)
+    return series.projection(quotas, series.calibration(seen, history), history, AS_OF)
+
+
+@query
+def alerts_active(spark, sf_dir):
+    quotas, seen, history = _live(spark, sf_dir)
+    limits = [(s, m, v) for s in ("cursor", "claude_code", "codex") for m, v in (("remaining_percent", 45), ("minutes_until_reset", 600), ("projected_exhaustion", 60))]
+    thresholds = spark.createDataFrame(limits, "source_app string, metric string, limit_value long")
+    snoozed = spark.createDataFrame([("cursor:1440:minutes_until_reset:600:1705795200",)], "alert_key string")
+    return series.alerts(quotas, series.pace(quotas, seen, history, AS_OF), thresholds, snoozed, AS_OF)
+
+
+@query
+def session_tiling(spark, sf_dir):
+    times = records(spark, sf_dir).filter(F.col("event_ts") <= series.at(AS_OF)).filter("session_id is not null")
+    return series.tiled_sessions(times.select("session_id", F.col("event_ts").alias("t")), "session_id", AS_OF)
+
+
+@query
+def hourly_tumbling(spark, sf_dir):
+    r = records(spark, sf_dir).filter("event_ts is not null")
+    return r.groupBy("source_app", F.window("event_ts", "1 hour").alias("w")).agg(F.count("*").alias("n"), F.coalesce(F.sum("display"), F.lit(0)).alias("tokens")).select("source_app", F.col("w.start").alias("hour_start"), "n", "tokens")
+
+
+@query
+def conversation_turns(spark, sf_dir):
+    c = spark.read.parquet(f"{sf_dir}/conversations.parquet")
+    user, size = F.col("role") == "user", F.length("text")
+    b = c.select(F.col("conv_id").alias("conversation"), F.col("turn").alias("at"), F.concat_ws(":", "role", F.sha2("text", 256)).alias("bubble"), F.coalesce(user, F.lit(False)).alias("is_user"), F.when(F.col("turn") % 3 == 0, F.concat(F.lit("m"), (F.col("conv_id") % 4).cast("string"))).alias("model"), F.when(~user & (size % 3 != 0), size.cast("long")).otherwise(0).alias("tokens"))
+    return conversations.turn_drafts(b)
+
+
+_RECORDS = """
+WITH e AS (SELECT *, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k, CAST(round(value * 100) AS BIGINT) AS c FROM events),
+r0 AS (SELECT event_id, ts,
+  CASE user_id % 3 WHEN 0 THEN 'cursor' WHEN 1 THEN 'claude_code' ELSE 'codex' END AS source_app,
+  CASE WHEN event_type = 'signup' THEN NULL ELSE concat('s', CAST(user_id AS VARCHAR)) END AS session_id,
+  CASE WHEN k % 7 = 0 THEN NULL ELSE concat('p', CAST(k % 6 AS VARCHAR)) END AS project,
+  CASE event_type WHEN 'click' THEN 'haiku-1' WHEN 'view' THEN 'sonnet-1' WHEN 'purchase' THEN 'opus-1' WHEN 'signup' THEN 'o4-mini' END AS model,
+  CASE WHEN event_type = 'error' THEN NULL ELSE c END AS input,
+  CASE WHEN event_type = 'error' THEN NULL ELSE k END AS output,
+  CASE WHEN k % 4 = 0 THEN NULL ELSE c * 3 END AS cached_input,
+  CASE WHEN user_id % 3 = 2 THEN k * 2 END AS reasoning,
+  CASE WHEN k % 10 = 0 THEN c + k + 7 END AS reported,
+  CASE WHEN event_type = 'purchase' THEN c * 100 WHEN event_type = 'view' AND k % 5 IN (0, 1) THEN c END AS amount_minor,
+  CASE WHEN event_type = 'purchase' OR (event_type = 'view' AND k % 5 = 1) THEN 'USD' WHEN event_type = 'view' AND k % 5 = 0 THEN 'EUR' END AS currency,
+  CASE WHEN event_type = 'purchase' THEN 4 WHEN event_type = 'view' AND k % 5 IN (0, 1) THEN 2 END AS exponent,
+  CASE WHEN k % 50 = 0 THEN NULL ELSE ts END AS event_ts FROM e),
+r AS (SELECT *, coalesce(reported, CASE WHEN input IS NOT NULL OR output IS NOT NULL THEN coalesce(input, 0) + coalesce(output, 0) + coalesce(reasoning, 0) END) AS display,
+  sha256('v1' || chr(31) || source_app || chr(31) || 'event' || chr(31) || 'e' || CAST(event_id AS VARCHAR)) AS dedupe_key,
+  CASE WHEN model LIKE '%opus%' THEN coalesce(input, 0) * 1500 + coalesce(output, 0) * 7500 + coalesce(cached_input, 0) * 30
+       WHEN model LIKE '%haiku%' THEN coalesce(input, 0) * 100 + coalesce(output, 0) * 500 + coalesce(cached_input, 0) * 2
+       ELSE coalesce(input, 0) * 300 + coalesce(output, 0) * 1500 + coalesce(cached_input, 0) * 6 END AS units FROM r0)
+"""
+_SAMPLES = (
+    _RECORDS
+    + """, m AS (SELECT *, CAST(ts AS DATE) AS d, 1000 * sum(units) OVER (PARTITION BY source_app, CAST(ts AS DATE) ORDER BY ts, event_id) // nullif(sum(units) OVER (PARTITION BY source_app, CAST(ts AS DATE)), 0) AS u FROM r),
+  m2 AS (SELECT *, CAST(coalesce(u, 0) AS BIGINT) AS used, lag(coalesce(u, 0)) OVER (PARTITION BY source_app, d ORDER BY ts, event_id) AS before FROM m),
+  s AS (SELECT source_app, used, CAST(d + INTERVAL 1 DAY AS TIMESTAMP) AS resets_at, ts AS observed_at, event_id FROM m2 WHERE before IS NULL OR before <> used),
+  live AS (SELECT source_app, used, resets_at, observed_at FROM s WHERE observed_at <= TIMESTAMP '2024-01-20 14:15:00' AND TRUE QUALIFY row_number() OVER (PARTITION BY source_app ORDER BY observed_at DESC, event_id DESC) = 1)
+"""
+)
+
+
+def _totals_sql() -> str:
+    out = ["count(*) AS records"]
+    for c in ledger.COUNTS:
+        out += [f"CAST(coalesce(sum({c}), 0) AS BIGINT) AS {c}", f"count({c}) AS {c}_counted", f"count(*) - count({c}) AS {c}_unknown"]
+    return ", ".join([*out, "count(*) - count(amount_minor) AS records_without_cost"])
+
+
+_T = _totals_sql()
+_HASH = "sha256(coalesce(CAST({} AS VARCHAR), ''))"
+_MERGE = (
+    _RECORDS
+    + f""", store AS (SELECT dedupe_key, source_app, event_ts, {_HASH.format("display")} AS h FROM r WHERE event_id % 3 <> 0),
+  batch AS (SELECT dedupe_key, {_HASH.format("CASE WHEN event_id % 6 = 4 THEN display + 1 ELSE display END")} AS h, event_id AS seq FROM r WHERE event_id % 2 = 0
+    UNION ALL SELECT dedupe_key, {_HASH.format("display + 1")}, event_id + 1000000000 FROM r WHERE event_id % 10 = 0),
+  c AS (SELECT b.*, coalesce(lag(b.h) OVER (PARTITION BY b.dedupe_key ORDER BY b.seq), s.h) AS before FROM batch b LEFT JOIN store s USING (dedupe_key)),
+  o AS (SELECT *, CASE WHEN before IS NULL THEN 'inserted' WHEN before = h THEN 'unchanged' ELSE 'updated' END AS outcome FROM c)
+"""
+)
+_WHERE = "source_app IN ('cursor', 'codex') AND model IN ('opus-1', 'sonnet-1')"
+ORACLE_SQL: dict[str, str] = {
+    "totals": f"{_RECORDS} SELECT {_T} FROM r",
+    "totals_by_source": f"{_RECORDS} SELECT source_app, {_T} FROM r GROUP BY source_app",
+    "totals_by_model": f"{_RECORDS} SELECT model, coalesce(model, 'Unknown model') AS label, {_T} FROM r GROUP BY model",
+    "totals_grouping_sets": f"{_RECORDS} SELECT CAST(NULL AS VARCHAR) AS source_app, CAST(NULL AS VARCHAR) AS model, 'all' AS level, {_T} FROM r UNION ALL SELECT source_app, NULL, 'source', {_T} FROM r GROUP BY source_app UNION ALL SELECT NULL, model, 'model', {_T} FROM r GROUP BY model",
+    "cost_by_currency": f"{_RECORDS} SELECT currency, CAST(sum(amount_minor * CAST(pow(10, 6 - exponent) AS BIGINT)) // CAST(pow(10, 6 - max(exponent)) AS BIGINT) AS BIGINT) AS amount_minor, max(exponent) AS exponent, count(*) AS counted FROM r WHERE amount_minor IS NOT NULL GROUP BY currency",
+    "filtered_summary": f"{_RECORDS} SELECT source_app, model, {_T} FROM r WHERE {_WHERE} AND event_ts >= TIMESTAMP '2024-01-05' AND event_ts < TIMESTAMP '2024-01-20' GROUP BY source_app, model",
+    "undated_excluded": f"{_RECORDS} SELECT count(*) AS undated_excluded FROM r WHERE {_WHERE} AND event_ts IS NULL",
+    "recent_50": f"{_RECORDS} SELECT event_id, source_app, model, event_ts, display FROM r ORDER BY event_ts IS NULL, event_ts DESC, dedupe_key LIMIT 50",
+    "threads_top": f"""{_RECORDS}, p AS (SELECT source_app, session_id, project FROM r WHERE session_id IS NOT NULL AND project IS NOT NULL QUALIFY row_number() OVER (PARTITION BY source_app, session_id ORDER BY event_ts IS NULL, event_ts DESC, event_id DESC) = 1),
+      g AS (SELECT source_app, session_id, count(*) AS records, CAST(coalesce(sum(display), 0) AS BIGINT) AS display, coalesce(string_agg(DISTINCT model, ',' ORDER BY model), '') AS models, min(event_ts) AS first_event, max(event_ts) AS last_event FROM r WHERE session_id IS NOT NULL GROUP BY source_app, session_id)
+      SELECT g.*, p.project FROM g LEFT JOIN p USING (source_app, session_id) ORDER BY display DESC, last_event DESC NULLS LAST, source_app, session_id LIMIT 100""",
+    "threads_header": f"{_RECORDS} SELECT count(DISTINCT CASE WHEN session_id IS NOT NULL THEN source_app || session_id END) AS thread_count, CAST(coalesce(sum(display) FILTER (session_id IS NOT NULL), 0) AS BIGINT) AS attributed_tokens, count(*) FILTER (session_id IS NULL) AS unattributed FROM r",
+    "share_of_total": f"{_RECORDS} SELECT model, CAST(coalesce(sum(display), 0) AS BIGINT) AS tokens, CAST(coalesce(coalesce(sum(display), 0) * 1000 // nullif((SELECT sum(display) FROM r), 0), 0) AS BIGINT) AS share_tenths FROM r GROUP BY model",
+    "dedupe_keys": f"{_RECORDS} SELECT event_id, dedupe_key, source_app || '_' || dedupe_key[1:16] AS record_id FROM r",
+    "content_hash": f"{_RECORDS} SELECT event_id, sha256(concat_ws(chr(31), 'v1', " + ", ".join(f"coalesce(CAST({c} AS VARCHAR), '')" for c in ("source_app", "model", "input", "output", "cached_input", "reasoning", "reported", "project", "session_id", "amount_minor", "currency", "exponent")) + ")) AS content_hash FROM r",
+    "display_total_rules": f"{_RECORDS} SELECT CASE WHEN reported IS NOT NULL THEN 'source_reported' WHEN input IS NULL AND output IS NULL THEN 'unknown' WHEN reasoning IS NOT NULL THEN 'input_output_reasoning' ELSE 'input_output' END AS rule, count(*) AS n, CAST(coalesce(sum(display), 0) AS BIGINT) AS tokens FROM r GROUP BY 1",
+    "timestamp_interpretation": "SELECT event_id, CASE event_id % 6 WHEN 0 THEN 'epoch' WHEN 1 THEN 'epoch' WHEN 2 THEN 'explicit_offset' WHEN 3 THEN 'assumed_utc' WHEN 4 THEN 'unparsable' ELSE 'missing' END AS kind, CASE WHEN event_id % 6 = 1 THEN ts WHEN event_id % 6 < 4 THEN date_trunc('second', ts) END AS parsed FROM events",
+    "merge_classify": f"{_MERGE} SELECT outcome, count(*) AS n FROM o GROUP BY outcome",
+    "merge_result": f"{_MERGE}, last AS (SELECT dedupe_key, h FROM o WHERE outcome <> 'unchanged' QUALIFY row_number() OVER (PARTITION BY dedupe_key ORDER BY seq DESC) = 1) SELECT dedupe_key, h AS content_hash FROM last UNION ALL SELECT dedupe_key, h FROM store WHERE dedupe_key NOT IN (SELECT dedupe_key FROM last)",
+    "replace_scope_delete": f"{_MERGE} SELECT dedupe_key FROM store WHERE NOT coalesce(source_app = 'codex' AND event_ts >= TIMESTAMP '2024-01-10' AND event_ts < TIMESTAMP '2024-01-15', FALSE) OR dedupe_key IN (SELECT dedupe_key FROM batch)",
+    "quota_samples_change_only": f"{_SAMPLES} SELECT source_app, used, resets_at, observed_at FROM s",
+    "quota_latest": f"{_SAMPLES} SELECT * FROM live WHERE resets_at > TIMESTAMP '2024-01-20 15:00:00'",
+    "baseline_median_hour": f"{_RECORDS}, cell AS (SELECT source_app, CAST(event_ts AS DATE) AS d, hour(event_ts) AS h, sum(display) AS t FROM r WHERE event_ts >= TIMESTAMP '2024-01-01' AND display IS NOT NULL GROUP BY ALL) SELECT source_app, CAST(h AS INTEGER) AS hour, count(*) AS n_days, CAST(CASE WHEN count(*) >= 3 THEN list_sort(list(t))[(count(*) - 1) // 2 + 1] END AS BIGINT) AS median_tokens FROM cell GROUP BY source_app, h",
+    "duty_cycle": f"{_RECORDS}, cell AS (SELECT source_app, CAST(event_ts AS DATE) AS d, hour(event_ts) AS h, min(event_ts) AS t FROM r WHERE event_ts >= TIMESTAMP '2024-01-01' AND display IS NOT NULL GROUP BY ALL) SELECT source_app, count(*) AS active_hours, CAST(CASE WHEN count(*) >= 24 THEN least(100, count(*) * 100 // least(720, greatest(1, (epoch_us(TIMESTAMP '2024-01-31') - epoch_us(min(t))) // 3600000000))) END AS BIGINT) AS duty_percent FROM cell GROUP BY source_app",
+    "burn_rate": f"{_RECORDS} SELECT source_app, CAST(sum(display) * 60 // 60 AS BIGINT) AS tokens_per_hour FROM r WHERE event_ts >= TIMESTAMP '2024-01-20 14:00:00' AND display IS NOT NULL GROUP BY source_app",
+    "hourly_tumbling": f"{_RECORDS} SELECT source_app, date_trunc('hour', event_ts) AS hour_start, count(*) AS n, CAST(coalesce(sum(display), 0) AS BIGINT) AS tokens FROM r WHERE event_ts IS NOT NULL GROUP BY ALL",
+    "conversation_turns": """
+      WITH b AS (SELECT conv_id AS conversation, turn AS "at", concat_ws(':', role, sha256(text)) AS bubble, coalesce(role = 'user', FALSE) AS is_user,
+        CASE WHEN turn % 3 = 0 THEN 'm' || CAST(conv_id % 4 AS VARCHAR) END AS model, CASE WHEN role <> 'user' AND length(text) % 3 <> 0 THEN length(text) ELSE 0 END AS tokens FROM conversations),
+      t AS (SELECT *, sum(CAST(is_user AS INT)) OVER w AS turn_no, last_value(model IGNORE NULLS) OVER w AS carried, NOT is_user AND tokens > 0 AS paid FROM b WINDOW w AS (PARTITION BY conversation ORDER BY "at", bubble ROWS UNBOUNDED PRECEDING)),
+      c AS (SELECT *, bool_or(paid) OVER (PARTITION BY conversation, turn_no) AS covered FROM t)
+      SELECT conversation, "at", bubble, CASE WHEN paid THEN 'tokens' ELSE 'event' END AS kind, CASE WHEN paid THEN carried ELSE model END AS model, CASE WHEN paid THEN tokens END AS tokens FROM c WHERE paid OR (is_user AND NOT covered)""",
+}

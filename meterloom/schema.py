@@ -1,0 +1,34 @@
+"""Schemas, enum orders and constants of the usage ledger."""
+
+from __future__ import annotations
+
+from pyspark.sql import Column
+from pyspark.sql import functions as F
+
+# Thresholds that decide results.
+INSTANCE_TOLERANCE_US = 120_000_000
+QUANTUM_TENTHS = 20
+MIN_HORIZON_MIN = 10
+DUTY_LIMIT_MIN, DUTY_UNLOCK = 1440, 80
+FLOOR_MIN = 15
+RATE_SCALE = 10**12
+MIN_SPANS, BOOTSTRAP_TENTHS, MAX_RESIDUAL, MAX_PROJECTION_MIN = 3, 50, 35, 120
+MODEL_WEIGHTS = {"opus": (1500, 7500, 30), "haiku": (100, 500, 2), None: (300, 1500, 6)}
+BASELINE_DAYS, SLOT_DAYS, ACTIVE_HOURS = 30, 3, 24
+LIMIT_DEFAULT, LIMIT_MAX = 50, 500
+SESSION_MINUTES = 300
+MAX_EXPONENT = 6
+BIGINT_MAX = 9223372036854775807
+SOURCES = ("cursor", "claude_code", "codex")
+COUNTABLE = ("exact", "estimated", "partial")
+
+DRAFT = (
+    "source_app string, source_event_id string, raw_timestamp string, provider string, model string, "
+    "input long, output long, cached_input long, reasoning long, reported_total long, project string, session_id string, source_ref string"
+)
+QUOTA = "source_app string, label string, window_minutes int, used_tenths int, resets_at timestamp, observed_at timestamp"
+
+
+def source_rank(c: Column) -> Column:
+    """The enum order of sources, which isn't the order of their names."""
+    return F.array_position(F.array(*map(F.lit, SOURCES)), c)
