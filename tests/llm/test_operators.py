@@ -179,6 +179,30 @@ def test_katz_contexts_sum_to_one():
         assert abs(total - 1) < 1e-9, v
 
 
+def test_katz_every_word_has_its_own_bigrams(documents):
+    raw = {i: [katz.START, *t.encode().lower().split(), katz.END] for i, t in texts(documents).items()}
+    train = [x for i, x in raw.items() if zlib.crc32(str(i).encode()) % 7 != 2]
+    ones, pairs = Counter(w for x in train for w in x[1:]), Counter(p for x in train for p in zip(x, x[1:], strict=False))
+    total, d = sum(ones.values()) + 0.5 * (len(ones) + 1), katz.good_turing([sum(c == r for c in pairs.values()) for r in range(1, 7)])
+    context, seen, covered = Counter(), Counter(), Counter()
+    for (v, w), c in pairs.items():
+        context[v] += c
+        seen[v] += c * (d[c] if c <= katz.DISCOUNTED else 1)
+        covered[v] += (ones[w] + 0.5) / total
+
+    def p(v, w):
+        if not context[v]:
+            return (ones[w] + 0.5) / total
+        short = context[v] - seen[v] < 0.5
+        if c := pairs[v, w]:
+            return c * (d[c] if c <= katz.DISCOUNTED else 1) * ((context[v] - 0.5) / seen[v] if short else 1) / context[v]
+        return (0.5 if short else context[v] - seen[v]) / context[v] / (1 - covered[v]) * (ones[w] + 0.5) / total
+
+    for r in katz.katz_scores(documents).collect():
+        x = raw[r["doc_id"]]
+        assert abs(r["score"] - sum(np.log10(p(v, w)) for v, w in zip(x, x[1:], strict=False))) < 1e-6 * len(x)
+
+
 def test_token_files(spark, documents, awkward, empty):
     path = public_tokenizers.path("byte_bpe_50k.json")
     tokenizer = Tokenizer.from_file(path)
