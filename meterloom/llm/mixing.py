@@ -88,14 +88,14 @@ def _solve(histogram: DataFrame, sources: pd.DataFrame, cap: int, rounds: int, t
 def _round_block(cap: int):
     def run(block: pd.DataFrame) -> pd.DataFrame:
         """Whole copies whose words follow the rates: the error so far moves to the next document, large ones first."""
-        block = block.sort_values(["size", "doc_id"], ascending=[False, True], na_position="last", kind="stable")
+        block = block.sort_values(["size", "doc_id", "row"], ascending=[False, True, True], na_position="last", kind="stable")
         owed, copies = 0.0, []
         for size, rate in zip(block["size"], block["rate"], strict=True):
             owed += rate * size
             n = min(cap, max(0, int(owed / size + 0.5))) if size else 0
             owed -= n * size
             copies.append(n)
-        return block.assign(copies=copies)[["doc_id", "source_ix", "size", "rate", "copies"]]
+        return block.assign(copies=copies)[["row", "doc_id", "source_ix", "size", "rate", "copies"]]
 
     return run
 
@@ -110,16 +110,20 @@ def mix(
     cap: int = 2,
     rounds: int = 40,
     tolerance: float = 1e-6,
+    row_col: str | None = None,
 ) -> DataFrame:
     """One row per row of `docs`: doc_id, source, size, source_size, target, rate, copies, taken.
 
+    With `row_col`, a column of whole numbers that differ between rows, they come as a last column `row`.
+
     Null texts have size 0; a document without words takes nothing. A null source is one of its own, after all others.
     Repeated ids are rows like any others. An empty table gives an empty result. The same rows give the same copies.
     """
     spark = docs.sparkSession
     scratch = Scratch(spark, "mix")
-    base = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[source_col].cast("string").alias("source"), F.coalesce(docs[text_col], F.lit("")).alias("text"))
-    sized = scratch.save(base.mapInArrow(word_counts, "doc_id long, source string, size long"), "sized")
+    row = (docs[row_col] if row_col else F.lit(0)).cast("long").alias("row")
+    base = docs.select(row, docs[id_col].cast("long").alias("doc_id"), docs[source_col].cast("string").alias("source"), F.coalesce(docs[text_col], F.lit("")).alias("text"))
+    sized = scratch.save(base.mapInArrow(word_counts, "row long, doc_id long, source string, size long"), "sized")
     totals = sized.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("n_docs")).limit(MAX_SOURCES + 1).collect()
     if len(totals) > MAX_SOURCES:
         raise ValueError(f"more than {MAX_SOURCES} sources: group them before mixing")
@@ -137,7 +141,7 @@ def mix(
     )
     schema = "source_ix long, source string, source_size long, mean double, blocks long, target double"
     names = F.broadcast(spark.createDataFrame([tuple(r) for r in plan.itertuples(index=False)], schema))
-    keyed = sized.join(names, sized["source"].eqNullSafe(names["source"])).select("doc_id", "source_ix", "size", "blocks")
+    keyed = sized.join(names, sized["source"].eqNullSafe(names["source"])).select("row", "doc_id", "source_ix", "size", "blocks")
     histogram = scratch.save(keyed.filter("size > 0").groupBy("source_ix", "size").agg(F.count("*").alias("n")), "histogram")
     solved = _solve(histogram, plan, cap, rounds, tolerance)
     scratch.drop("histogram")
@@ -150,15 +154,20 @@ def mix(
     )
     x = F.col("size") / F.col("mean")
     rate = F.when(F.col("full"), F.lit(float(cap))).when(F.col("target") <= 0, 0.0).otherwise(F.least(F.exp(F.least(F.col("a") * x, F.lit(50.0))), F.lit(float(cap))))
-    rated = keyed.join(tilt.select("source_ix", "mean", "target", "a", "full"), "source_ix").select("doc_id", "source_ix", "size", rate.alias("rate"), F.pmod(F.xxhash64("doc_id"), F.col("blocks")).alias("block"))
-    copied = rated.groupBy("source_ix", "block").applyInPandas(_round_block(cap), "doc_id long, source_ix long, size long, rate double, copies int")
+    own = F.when(F.col("doc_id").isNull(), F.col("row"))  # rows without an id spread over the blocks
+    rated = keyed.join(tilt.select("source_ix", "mean", "target", "a", "full"), "source_ix").select("row", "doc_id", "source_ix", "size", rate.alias("rate"), F.pmod(F.xxhash64("doc_id", own), F.col("blocks")).alias("block"))
+    copied = rated.groupBy("source_ix", "block").applyInPandas(_round_block(cap), "row long, doc_id long, source_ix long, size long, rate double, copies int")
     return copied.join(tilt.select("source_ix", "source", "source_size", "target"), "source_ix").select(
-        "doc_id", "source", "size", "source_size", "target", "rate", "copies", (F.col("copies") * F.col("size")).alias("taken")
+        "doc_id", "source", "size", "source_size", "target", "rate", "copies", (F.col("copies") * F.col("size")).alias("taken"), *(["row"] if row_col else [])
     )
 
 
-def repeat_documents(docs: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
-    """`docs` with each row as often as the mix takes it; every column stays. Ids are taken to be unique."""
-    copies = mix(docs, id_col=id_col, **options).filter("copies > 0").select(F.col("doc_id").alias("__id"), F.col("copies").alias("__copies"))
-    out = docs.join(copies, docs[id_col].cast("long") == F.col("__id"))
-    return out.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__copies")))).select([docs[c] for c in docs.columns])
+def repeat_documents(docs: DataFrame, **options) -> DataFrame:
+    """`docs` with each row as often as the mix takes it; every column stays.
+
+    Rows are told apart by a key of their own, so rows without an id and rows that repeat one each get their own copies.
+    """
+    rows = Scratch(docs.sparkSession, "rows").save(docs.withColumn("__row", F.monotonically_increasing_id()), "rows")
+    copies = mix(rows, row_col="__row", **options).filter("copies > 0").select(F.col("row").alias("__row"), F.col("copies").alias("__copies"))
+    out = rows.join(copies, "__row")
+    return out.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__copies")))).select(docs.columns)

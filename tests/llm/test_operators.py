@@ -139,6 +139,21 @@ def test_mixing(documents, awkward, empty):
     assert mixing.mix(empty).collect() == []
 
 
+def test_repeat_documents_without_ids_or_with_repeated_ones(spark, awkward, empty):
+    again = awkward.union(awkward).union(spark.createDataFrame([(4, f"word {k}", "a", "y", k) for k in range(20)] + [(None, f"none {k}", "b", "y", k) for k in range(20)], awkward.schema))
+    key = lambda r: (str(r["doc_id"]), r["text"] or "", str(r["source"]), r["n"])
+    given, want = Counter(map(key, again.collect())), mixing.mix(again).agg({"copies": "sum"}).first()[0]
+    got = Counter(map(key, mixing.repeat_documents(again).collect()))
+    assert sum(got.values()) == want
+    assert all(n <= 2 * given[k] for k, n in got.items())
+    assert any(k[0] == "None" for k in got)
+    # each source's words follow its target
+    for r in mixing.mix(again).groupBy("source").agg({"target": "max", "size": "max"}).collect():
+        taken = sum(n * len(k[1].split()) for k, n in got.items() if k[2] == str(r["source"]))
+        assert abs(taken - r["max(target)"]) <= r["max(size)"]
+    assert mixing.repeat_documents(empty).collect() == []
+
+
 def test_targets_share_what_is_over():
     assert mixing.targets([10, 1000, 1000], Fraction(1500)) == [20, Fraction(1480, 3), Fraction(2960, 3)]
 
