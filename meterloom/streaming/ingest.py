@@ -57,11 +57,36 @@ class Ledger:
         last.drop("seq", "at", "before", "stored_hash", "outcome").withColumn("revision", F.lit(revision).cast("long")).write.mode("append").parquet(f"{self.path}/log")
 
 
-def ingest(drafts: DataFrame, ledger: Ledger, checkpoint: str) -> StreamingQuery:
-    """Runs a stream of drafts into the ledger until what is there has been read. Late corrections are never dropped."""
-    return normalized(drafts).writeStream.foreachBatch(lambda df, n: ledger.commit(df, n + 1)).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    def update_hours(self, batch: DataFrame, revision: int) -> None:
+        """Appends the totals of every hour that `batch`, which is committed, may have changed, made anew from the ledger.
 
+        These are the hours of all rows ever stored under its keys, as a correction can move a record; so a replay
+        gives the same totals, and a late row counts like any other. An hour that has lost its last record has n = 0.
+        """
+        hour = F.date_trunc("hour", "event_ts").alias("hour_start")
+        keys = batch.filter("reject_reason is null").select("dedupe_key").distinct()
+        touched = self._log(None).join(keys, "dedupe_key", "left_semi").filter("event_ts is not null").select("source_app", hour).distinct()
+        totals = self.current().select("source_app", hour, "display").groupBy("source_app", "hour_start").agg(F.count("*").alias("n"), F.sum("display").alias("tokens"))
+        rows = touched.join(totals, ["source_app", "hour_start"], "left").withColumn("n", F.coalesce("n", F.lit(0).cast("long")))
+        rows.withColumn("revision", F.lit(revision).cast("long")).write.mode("append").parquet(f"{self.path}/hours")
 
-def hourly_totals(records: DataFrame, late: str = "6 hours") -> DataFrame:
-    """Running hourly totals of a stream by source; the watermark bounds state."""
-    return records.withWatermark("event_ts", late).groupBy(F.window("event_ts", "1 hour"), "source_app").agg(F.count("*").alias("n"), F.sum("display").alias("tokens"))
+
+def ingest(drafts: DataFrame, ledger: Ledger, checkpoint: str, hours: bool = False) -> StreamingQuery:
+    """Runs a stream of drafts into the ledger until what is there has been read. Late corrections are never dropped.
+
+    With `hours`, the ledger's hourly totals follow each batch.
+    """
+
+    def commit(df: DataFrame, n: int) -> None:
+        ledger.commit(df, n + 1)
+        if hours:
+            ledger.update_hours(df, n + 1)
+
+    return normalized(drafts).writeStream.foreachBatch(commit).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def hourly_totals(ledger: Ledger) -> DataFrame:
+    """Hourly totals of the current records by source, as a stream with `hours` has left them."""
+    w = Window.partitionBy("source_app", "hour_start").orderBy(F.desc("revision"))
+    newest = ledger.spark.read.parquet(f"{ledger.path}/hours").withColumn("at", F.row_number().over(w))
+    return newest.filter("at = 1 and n > 0").select("source_app", "hour_start", "n", "tokens")

@@ -9,7 +9,7 @@ from meterloom.functions import scalars as X
 from meterloom.operators import conversations, series
 from meterloom.schema import DRAFT
 from meterloom.sources import logs
-from meterloom.streaming.ingest import Ledger, ingest, normalized
+from meterloom.streaming.ingest import Ledger, hourly_totals, ingest, normalized
 
 
 def write(path, rows):
@@ -55,6 +55,20 @@ def test_stream_of_drafts(spark, tmp_path):
     assert ledger._log(None).count() == 3
 
 
+def test_hourly_totals_count_late_rows_and_corrections_once(spark, tmp_path):
+    row = lambda i, t, n: dict(source_app="codex", source_event_id=i, raw_timestamp=str(t), input=n, output=1)
+    source, ledger, hour, new = tmp_path / "in", Ledger(spark, str(tmp_path / "ledger")), 3600, 1785002400 // 3600 * 3600
+    old, source_path = new - 29 * 24 * hour, str(source)
+    source.mkdir()
+    batches = [[row("a", new, 1), row("b", new, 2)], [row("late", old, 5), row("a", new, 9)], [row("b", old, 2)], [row("a", old, 9)]]
+    want = [{new: (2, 5)}, {new: (2, 13), old: (1, 6)}, {new: (1, 10), old: (2, 9)}, {old: (3, 19)}]
+    for k, rows in enumerate(batches):
+        (source / f"{k}.json").write_text("\n".join(map(json.dumps, rows)))
+        ingest(spark.readStream.schema(DRAFT).json(source_path), ledger, str(tmp_path / "checkpoint"), hours=True).awaitTermination()
+        got = hourly_totals(ledger).select(F.unix_seconds(F.col("hour_start").cast("timestamp")).alias("t"), "n", "tokens").collect()
+        assert {r["t"]: (r["n"], r["tokens"]) for r in got} == want[k]
+
+
 def test_identity_vector(spark):
     drafts = spark.createDataFrame([("codex", "e1")], "source_app string, source_event_id string")
     full = drafts.selectExpr(*(f"{c}" if c in drafts.columns else f"cast(null as {t}) as {c}" for c, t in (x.strip().split(" ") for x in DRAFT.split(","))))
