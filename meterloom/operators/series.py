@@ -164,15 +164,56 @@ def projection(quotas: DataFrame, fits: DataFrame, records: DataFrame, now: date
     return summed.withColumn("added", added).filter("added > 0").select("source_app", "window_minutes", "used", "added", F.least(F.col("used") + F.col("added"), F.lit(1000)).alias("projected"))
 
 
+def _tile(by: str, now: datetime, minutes: int):
+    import numpy as np
+    import pyarrow as pa
+
+    end, limit = minutes * 60_000_000, (now - datetime(1970, 1, 1)) // timedelta(microseconds=1)
+
+    def run(batches):
+        key, opened, began = None, None, False
+
+        def closed(keys: list, anchors: list, kind) -> pa.RecordBatch:
+            ends = [a + end if a is not None and a + end > limit else None for a in anchors]
+            return pa.RecordBatch.from_arrays([pa.array(keys, kind), pa.array(ends, pa.int64()).cast(pa.timestamp("us"))], [by, "resets_at"])
+
+        kind = None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            column, kind = batch.column(by), batch.column(by).type
+            codes = column.dictionary_encode(null_encoding="encode").indices.to_numpy()
+            edges = np.flatnonzero(np.concatenate(([True], codes[1:] != codes[:-1], [True])))
+            keys, anchors = [], []
+            for a, z in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
+                name = column[a].as_py()
+                if not began or name != key:
+                    if began:
+                        keys.append(key)
+                        anchors.append(opened)
+                    key, opened, began = name, None, True
+                ts = batch.column("t").slice(a, z - a).drop_null().cast(pa.int64()).to_numpy()
+                if opened is None and len(ts):
+                    opened = int(ts[0])
+                while opened is not None and opened + end <= limit and (k := int(np.searchsorted(ts, opened + end))) < len(ts):
+                    opened = int(ts[k])
+            if keys:
+                yield closed(keys, anchors, kind)
+        if began:
+            yield closed([key], [opened], kind)
+
+    return run
+
+
 def tiled_sessions(times: DataFrame, by: str, now: datetime, minutes: int = SESSION_MINUTES) -> DataFrame:
     """The reset of the fixed-length window that is open at `now`: the first time opens one, the first at or after its end the next.
 
-    Null where the last window has closed and no time has opened another.
+    Null where the last window has closed and no time has opened another. Each session is read in order of time with
+    one window carried along, so its length is not bound by memory.
     """
-    each = times.groupBy(by).agg(F.array_sort(F.collect_set("t")).alias("ts"))
-    end = F.make_dt_interval(mins=F.lit(minutes))
-    anchor = F.aggregate("ts", F.get("ts", F.lit(0)), lambda a, t: F.when((t >= a + end) & (a + end <= at(now)), t).otherwise(a))
-    return each.select(by, anchor.alias("opened")).select(by, F.when(F.col("opened") + end > at(now), F.col("opened") + end).alias("resets_at"))
+    rows = times.select(by, F.col("t").cast("timestamp_ntz").alias("t"))
+    shape = f"`{by}` {rows.schema[by].dataType.simpleString()}, resets_at timestamp_ntz"
+    return rows.repartition(by).sortWithinPartitions(by, "t").mapInArrow(_tile(by, now, minutes), shape)
 
 
 def alerts(quotas: DataFrame, paced: DataFrame, thresholds: DataFrame, snoozed: DataFrame, now: datetime) -> DataFrame:

@@ -100,3 +100,26 @@ def test_session_tiling(spark):
     tiled = lambda hours, now: series.tiled_sessions(spark.createDataFrame([("s", day + timedelta(hours=h)) for h in hours], "k string, t timestamp_ntz"), "k", now).first()["resets_at"]
     assert tiled([1 / 6, 2, 5.5], day + timedelta(hours=6)) == day + timedelta(hours=10.5)
     assert tiled([1 / 6, 2], day + timedelta(hours=6)) is None
+
+
+def test_session_tiling_against_a_loop(spark):
+    import random
+
+    rng, day, now, length = random.Random(4), datetime(2026, 1, 1), datetime(2026, 1, 9), timedelta(minutes=300)
+    rows = [(k, day + timedelta(minutes=rng.randint(0, 15_000))) for k in ["a", "b", None, "c"] for _ in range(700)] + [("d", None), ("a", None)]
+    df = spark.createDataFrame(rows, "k string, t timestamp_ntz")
+    want = {}
+    for k in {k for k, _ in rows}:
+        anchor = None
+        for t in sorted(t for x, t in rows if x == k and t is not None):
+            if anchor is None or (t >= anchor + length and anchor + length <= now):
+                anchor = t
+        want[k] = anchor + length if anchor and anchor + length > now else None
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "37")  # sessions go on over batches
+    try:
+        tiled = series.tiled_sessions(df, "k", now)
+        got = [tuple(r) for r in tiled.collect()]
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert len(got) == len(want) and dict(got) == want
+    assert "collect_set" not in tiled._jdf.queryExecution().optimizedPlan().toString()
