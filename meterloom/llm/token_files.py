@@ -4,7 +4,8 @@ A file is valid in the public seekable zstandard format:
 
 * data frames, each at most FRAME_IDS ids of consecutive documents as little-endian unsigned 32-bit integers, with the
   format's own content checksum; a longer document goes on in the next frame;
-* one skippable frame (magic 0x184D2A50) with the document index, itself compressed: ids, then lengths, as 64-bit integers;
+* one skippable frame (magic 0x184D2A50) with the document index, itself compressed: ids, then lengths, as 64-bit integers,
+  then a byte for each that is 1 where the document has an id;
 * the seek table, a skippable frame (magic 0x184D2A5E): for each frame its compressed size, its decompressed size and
   the low 32 bits of the XXH64 of its data; then the number of frames, a descriptor with the checksum flag and the
   magic number 0x8F92EAB1.
@@ -35,6 +36,8 @@ from .tokens import encoder
 FRAME_IDS = 1 << 16
 #: Text bytes of one file.
 FILE_BYTES = 32 << 20
+#: Files whose numbers of ids are added up together.
+FILES_OF_RUN = 2000
 # Fixed values of the public seekable format.
 SKIPPABLE_MAGIC = 0x184D2A50
 SEEK_TABLE_MAGIC = 0x184D2A5E
@@ -46,12 +49,13 @@ class TokenFileWriter:
     """Writes documents, in the order they come, to an open binary file."""
 
     def __init__(self, out):
-        self.out, self.frames, self.ids, self.lengths = out, [], [], []
+        self.out, self.frames, self.ids, self.named, self.lengths = out, [], [], [], []
         self.buffer, self.held = [], 0
         self.packer = zstandard.ZstdCompressor(level=3, write_checksum=True, write_content_size=True)
 
     def add(self, doc_id: int | None, ids: np.ndarray) -> None:
-        self.ids.append(-1 if doc_id is None else doc_id)
+        self.ids.append(doc_id or 0)
+        self.named.append(doc_id is not None)
         self.lengths.append(len(ids))
         self.buffer.append(ids.astype("<u4"))
         self.held += len(ids)
@@ -71,7 +75,7 @@ class TokenFileWriter:
     def close(self) -> None:
         if self.held:
             self._frame(np.concatenate(self.buffer))
-        index = self.packer.compress(np.array(self.ids, "<i8").tobytes() + np.array(self.lengths, "<i8").tobytes())
+        index = self.packer.compress(np.array(self.ids, "<i8").tobytes() + np.array(self.lengths, "<i8").tobytes() + bytes(self.named))
         self.out.write(struct.pack("<II", SKIPPABLE_MAGIC, len(index)) + index)
         self.frames.append((8 + len(index), 0, xxhash.xxh64_intdigest(b"") & 0xFFFFFFFF))
         table = b"".join(struct.pack("<III", *f) for f in self.frames) + struct.pack("<IBI", len(self.frames), CHECKSUM_FLAG, SEEKABLE_FOOTER_MAGIC)
@@ -93,7 +97,9 @@ class TokenFile:
         self.at = np.concatenate(([0], np.cumsum(self.packed)))
         self.upto = np.concatenate(([0], np.cumsum(self.plain // 4)))
         index = zstandard.ZstdDecompressor().decompress(self._read(int(self.at[-1]) + 8, int(table[-1, 0]) - 8))
-        self.ids, self.lengths = np.frombuffer(index, "<i8").reshape(2, -1)
+        n_docs = len(index) // 17
+        self.ids, self.lengths = np.frombuffer(index, "<i8", 2 * n_docs).reshape(2, -1)
+        self.named = np.frombuffer(index, np.uint8, n_docs, 16 * n_docs) > 0
         self.starts = np.concatenate(([0], np.cumsum(self.lengths)[:-1])).astype(np.int64)
 
     def _read(self, at: int, n: int) -> bytes:
@@ -108,22 +114,22 @@ class TokenFile:
 
     def document(self, doc_id: int) -> np.ndarray:
         """The ids of one document, from its own frames only."""
-        k = int(np.flatnonzero(self.ids == doc_id)[0])
+        k = int(np.flatnonzero((self.ids == doc_id) & self.named)[0])
         first, end = int(self.starts[k]), int(self.starts[k] + self.lengths[k])
         a, z = int(np.searchsorted(self.upto, first, "right")) - 1, int(np.searchsorted(self.upto, end, "left"))
         return np.concatenate([self.frame(j) for j in range(a, z)])[first - int(self.upto[a]) : end - int(self.upto[a])]
 
-    def documents(self) -> Iterator[tuple[int, int, np.ndarray]]:
-        """(id, start, ids) of every document in order, a frame at a time."""
+    def documents(self) -> Iterator[tuple[int | None, int, np.ndarray]]:
+        """(id, start, ids) of every document in order, a frame at a time; a document without an id has None."""
         rest, k = np.zeros(0, np.uint32), 0
-        for doc_id, start, n in zip(self.ids.tolist(), self.starts.tolist(), self.lengths.tolist(), strict=True):
+        for doc_id, named, start, n in zip(self.ids.tolist(), self.named.tolist(), self.starts.tolist(), self.lengths.tolist(), strict=True):
             if len(rest) < n:
                 parts = [rest]
                 while sum(map(len, parts)) < n:
                     parts.append(self.frame(k))
                     k += 1
                 rest = np.concatenate(parts)
-            yield doc_id, start, rest[:n]
+            yield doc_id if named else None, start, rest[:n]
             rest = rest[n:]
 
 
@@ -157,8 +163,8 @@ def _writer(root: str, tokenizer: str, end_id: int):
 def write_token_files(docs: DataFrame, root: str, tokenizer: str, end_id: int, id_col: str = "doc_id", text_col: str = "text", file_bytes: int = FILE_BYTES) -> DataFrame:
     """The lazy manifest of the files in `root` (a URI): part, file, n_docs, n_ids. Save it once; its rows are the write.
 
-    Documents go to files in ascending id order. A null text has its end id alone; a row without an id comes first and
-    is stored under id -1; rows that repeat an id follow one another. An empty table writes no file.
+    Documents go to files in ascending id order. A null text has its end id alone; rows without an id come first;
+    rows that repeat an id follow one another. An empty table writes no file.
     """
     rows = id_and_text(docs, id_col, text_col)
     total = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
@@ -175,7 +181,7 @@ def _reader(root: str):
                     rows = [(i, base + start, len(x), zlib.crc32(x)) for i, start, x in TokenFile(file).documents()]
                 ids, starts, counts, sums = zip(*rows, strict=True)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([None if i == -1 else i for i in ids], pa.int64()), pa.array(starts, pa.int64()), pa.array(counts, pa.int64()), pa.array(sums, pa.int64())],
+                    [pa.array(ids, pa.int64()), pa.array(starts, pa.int64()), pa.array(counts, pa.int64()), pa.array(sums, pa.int64())],
                     ["doc_id", "start", "n_tokens", "ids_crc32"],
                 )
 
@@ -184,15 +190,18 @@ def _reader(root: str):
 
 def read_token_files(manifest: DataFrame, root: str) -> DataFrame:
     """doc_id, start, n_tokens, ids_crc32 of every document, from the files."""
-    based = manifest.withColumn("base", F.sum("n_ids").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)))
-    spread = based.select("file", F.coalesce("base", F.lit(0)).alias("base")).repartition(int(manifest.sparkSession.conf.get("spark.sql.shuffle.partitions")), "file")
+    before = lambda w: F.coalesce(F.sum("n_ids").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    # sums in runs of files, so that one task orders only as many rows as there are runs
+    run = F.floor(F.col("part") / FILES_OF_RUN)
+    inside = manifest.withColumn("run", run).withColumn("inside", before(Window.partitionBy("run").orderBy("part")))
+    runs = manifest.groupBy(run.alias("run")).agg(F.sum("n_ids").alias("n_ids")).select("run", before(Window.orderBy("run")).alias("outside"))
+    spread = inside.join(runs, "run").select("file", (F.col("inside") + F.col("outside")).alias("base")).repartition(int(manifest.sparkSession.conf.get("spark.sql.shuffle.partitions")), "file")
     return spread.mapInArrow(_reader(root), "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
 def round_trip(docs: DataFrame, tokenizer: str, end_id: int, **options) -> DataFrame:
     """Writes the files to the shared folder and reads them back."""
     scratch = Scratch(docs.sparkSession, "token-files")
-    root = f"{scratch.root}/files"
-    uri = root if "://" in root else root.replace("file:", "file://", 1) if root.startswith("file:") else root
+    uri = scratch.folder("files")
     manifest = scratch.save(write_token_files(docs, uri, tokenizer, end_id, **options), "manifest")
     return read_token_files(manifest, uri)

@@ -2,7 +2,8 @@
 
 Encoding is a map over pre-token pieces, so each distinct piece is encoded by the library once per worker. Pieces of
 ordinary texts (ASCII and Latin letters up to U+024F, no apostrophe) are found with array operations over the bytes of
-many texts at a time; all other texts go to the library whole. Either way the ids are the library's.
+many texts at a time; all other texts go to the library whole, those that hold the string of an added token (such as
+an end-of-text mark) among them. Either way the ids are those of the library's plain call.
 """
 
 from __future__ import annotations
@@ -57,8 +58,10 @@ class PieceEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True  # the strings of special tokens are ordinary text
-        suffix = json.loads(self.tokenizer.to_str())["model"].get("end_of_word_suffix") or ""
+        spec = json.loads(self.tokenizer.to_str())
+        suffix = spec["model"].get("end_of_word_suffix") or ""
+        added = [re.escape(t["content"]) for t in spec.get("added_tokens") or [] if t["content"]]
+        self.added = re.compile("|".join(added), re.IGNORECASE) if added else None
         self.words, self.end_id = bool(suffix), end_id
         vocab = self.tokenizer.get_vocab(with_added_tokens=True)
         self.token_bytes = np.zeros(max(vocab.values()) + 1, np.int64)
@@ -193,7 +196,7 @@ class PieceEncoder:
         end = np.array([self.end_id], np.uint32)
         for k, text in enumerate(texts):
             raw = (text.lower() if self.words else text).encode()
-            if len(raw) > CHUNK or _HARD.search(raw):
+            if len(raw) > CHUNK or _HARD.search(raw) or (self.added and self.added.search(text)):
                 out[k] = np.concatenate((np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, np.uint32), end))
                 continue
             if held + len(raw) > CHUNK:
