@@ -17,7 +17,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WHITE, Scratch
+from .common import WHITE, Scratch, fresh
 
 #: Sources are a dimension table: this many at most, checked, so that their sums may go to the driver and be broadcast.
 MAX_SOURCES = 100_000
@@ -167,7 +167,7 @@ def repeat_documents(docs: DataFrame, **options) -> DataFrame:
 
     Rows are told apart by a key of their own, so rows without an id and rows that repeat one each get their own copies.
     """
-    rows = Scratch(docs.sparkSession, "rows").save(docs.withColumn("__row", F.monotonically_increasing_id()), "rows")
-    copies = mix(rows, row_col="__row", **options).filter("copies > 0").select(F.col("row").alias("__row"), F.col("copies").alias("__copies"))
-    out = rows.join(copies, "__row")
-    return out.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__copies")))).select(docs.columns)
+    rows, row = Scratch(docs.sparkSession, "rows").numbered(docs)
+    times, copy = fresh(rows, "copies"), fresh(rows, "copy")
+    copies = mix(rows, row_col=row, **options).filter("copies > 0").select(F.col("row").alias(row), F.col("copies").alias(times))
+    return rows.join(copies, row).withColumn(copy, F.explode(F.sequence(F.lit(1), F.col(times)))).select(docs.columns)

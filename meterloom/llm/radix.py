@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import io
 import pickle
-import tempfile
 from collections.abc import Iterator
 
+from pyarrow import fs
+
 #: Bytes that a node costs beside its edge.
 NODE_BYTES = 250
 
@@ -30,6 +32,40 @@ def common_length(a: bytes, b: bytes) -> int:
     return low
 
 
+class Spill:
+    """Entries of a subtree that left the trie: a file of the shared folder, or memory where no folder is given."""
+
+    def __init__(self, folder: str | None, name: str):
+        self.fs = self.path = None
+        if folder is None:
+            self.out = io.BytesIO()
+        else:
+            self.fs, root = fs.FileSystem.from_uri(folder)
+            self.fs.create_dir(root, recursive=True)
+            self.path = f"{root}/{name}"
+            self.out = self.fs.open_output_stream(self.path, buffer_size=1 << 18)
+
+    def add(self, entry: tuple[bytes, Owner]) -> None:
+        self.out.write(pickle.dumps(entry))
+
+    def entries(self) -> Iterator[tuple[bytes, Owner]]:
+        """All entries, once; the file goes."""
+        if self.path is None:
+            self.out.seek(0)
+            file = self.out
+        else:
+            self.out.close()
+            file = self.fs.open_input_stream(self.path, buffer_size=1 << 18)
+        with file:
+            while True:
+                try:
+                    yield pickle.load(file)
+                except EOFError:
+                    break
+        if self.path is not None:
+            self.fs.delete_file(self.path)
+
+
 class Node:
     __slots__ = ("children", "edge", "owner", "spill")
 
@@ -40,19 +76,21 @@ class Node:
 class RadixTrie:
     """Strings share their prefixes; a terminal node holds the owner of its string.
 
-    With a `budget` in bytes, the heaviest subtree below the first branching moves to a temporary file of the task
-    when the trie outgrows it. Later strings of that subtree are appended to the file, and `items` builds a trie of
-    each file in turn, so memory stays bounded whatever the number of strings.
+    With a `budget` in bytes, the heaviest subtree below the first branching moves to a file of `folder`, named after
+    `name`, when the trie outgrows it. Later strings of that subtree are appended to the file, and `items` builds a trie
+    of each file in turn, so memory stays bounded whatever the number of strings. A lost task's files stay with the
+    other scratch tables; the task that takes its place writes its own.
     """
 
-    def __init__(self, budget: int | None = None):
+    def __init__(self, budget: int | None = None, folder: str | None = None, name: str = "trie"):
         self.root, self.budget, self.held = Node(b""), budget, 0
+        self.folder, self.name, self.spills = folder, name, 0
 
     def insert(self, key: bytes, owner: Owner) -> None:
         node, at, end = self.root, 0, len(key)
         while True:
             if node.spill is not None:
-                pickle.dump((key, owner), node.spill)
+                node.spill.add((key, owner))
                 return
             if at == end:
                 node.owner = owner if node.owner is None else better(node.owner, owner)
@@ -88,9 +126,10 @@ class RadixTrie:
             self.budget = 2 * self.held  # one string alone, which has to be held anyway
             return
         weight, child = max(choices, key=lambda x: x[0])
-        out = tempfile.TemporaryFile()
+        out = Spill(self.folder, f"{self.name}-{self.spills}")
+        self.spills += 1
         for entry in self._walk(child, path):
-            pickle.dump(entry, out)
+            out.add(entry)
         child.children, child.owner, child.spill = {}, None, out
         self.held -= weight
 
@@ -114,15 +153,11 @@ class RadixTrie:
                 node.spill = None
             stack.extend((child, path) for child in node.children.values())
 
-    def _unspill(self, file) -> Iterator[tuple[bytes, Owner]]:
-        file.seek(0)
-        inner = RadixTrie(self.budget)
-        with file:
-            while True:
-                try:
-                    inner.insert(*pickle.load(file))
-                except EOFError:
-                    break
+    def _unspill(self, spill: Spill) -> Iterator[tuple[bytes, Owner]]:
+        inner = RadixTrie(self.budget, self.folder, f"{self.name}-{self.spills}x")
+        self.spills += 1
+        for entry in spill.entries():
+            inner.insert(*entry)
         yield from inner.items()
 
     def items(self) -> Iterator[tuple[bytes, Owner]]:
