@@ -14,27 +14,33 @@ from meterloom.llm.common import Scratch, table
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the toxicity model rejects go; it learns from the labelled ones among `docs`."""
+    """Documents that the toxicity model rejects go; it learns from the labelled ones among `docs`.
+
+    Rows are judged by their text alone: null and empty texts stay, equal rows stay or go together, ids may be null or
+    repeat. Without labels of both kinds all rows stay."""
     return toxicity.drop_toxic(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
 
 
 def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of equal texts one row stays."""
+    """Of rows with equal texts one stays, whatever their ids; null and empty texts are equal to one another."""
     return exact_dedup.drop_exact_copies(docs)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near copies one document stays."""
+    """Of each group of near copies one document stays. Rows without an id and texts without words stay; rows of one id
+    are one document."""
     return minhash.drop_near_copies(docs)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as often as the mix of sources takes it."""
+    """Each row as often as the mix of sources takes it, 0 to 2 times. Rows without words take no part and go; a null source
+    is one of its own; rows without an id, or with a repeated one, get their own copies."""
     return mixing.repeat_documents(docs)
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of documents in training sequences."""
+    """Pieces of documents in training sequences. Each row's ids lie in exactly one piece each; rows that repeat an id are
+    packed as often, an empty text is its end id, a null id stays null."""
     return packing.pack_documents(docs, public_tokenizers.path("word_bpe_49k.json"), end_id=1)
 
 
