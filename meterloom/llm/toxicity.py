@@ -4,7 +4,9 @@ Token weights are log-odds between toxic and other labelled texts under an infor
 their z-score is high. A token is a lower-case word, or its first seven, five or four characters when the word itself has no
 weight, so that inflected forms count. A linear-time scan splits a document into its maximal scoring segments; the best
 segment and all significant ones are judged by extreme-value statistics (Karlin-Altschul), and a logistic fit maps that
-evidence to a probability. Model and evidence histogram have fixed bounds, whatever the corpus.
+evidence to a probability. Both parameters of the extreme-value law come from the clean training texts: lambda from how
+often each weight occurs there, K from the upper half of their best segments, by maximum likelihood. The model is no larger than the
+bounded training sample, whatever the corpus.
 """
 
 from __future__ import annotations
@@ -19,12 +21,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import crc_mod
+from .common import Scratch, crc_mod, text_slices
 
 #: Labelled rows that a fit uses at most, drawn by a hash of their id: the bound of what is broadcast.
 MAX_TRAIN = 30_000
-#: Tokens that the model keeps at most, the most significant ones.
-MAX_TOKENS = 8192
+#: Distinct tokens that a task counts before it hands on what it has.
+HELD_TOKENS = 150_000
+#: Weights are multiples of 1 / GRID, so that their histogram is small.
+GRID = 16
 PREFIXES = (7, 5, 4)
 _STRIP = b".,;:!?*$&%#|\"'()[]{}<>-_=+/\\~`@^"
 
@@ -34,7 +38,7 @@ class ToxicModel:
     weights: dict[bytes, float] = field(default_factory=dict)
     miss: float = -0.1
     rate: float = 0.7  # lambda of the extreme-value law
-    scale: float = 0.1  # K of the extreme-value law
+    scale: float = 0.1  # K of the extreme-value law, fitted
     bias: float = -3.0
     slope: float = 0.5
 
@@ -87,20 +91,26 @@ def segments(positions: list[int], scores: list[float], miss: float) -> list[tup
     return [(s, e, after - before) for s, e, before, after in found]
 
 
-def evidence(n_words: int, found: list[tuple[int, int, float]], model: ToxicModel) -> tuple[float, int]:
+def evidence(n_words: int, found: list[float], model: ToxicModel) -> tuple[float, int]:
     """Summed normalised scores of the significant segments (at least the best one's), and how many are significant."""
     if not found:
         return -20.0, 0
-    bits = sorted((model.rate * s - math.log(max(model.scale * n_words, 1e-9)) for _, _, s in found), reverse=True)
+    bits = sorted((model.rate * s - math.log(max(model.scale * n_words, 1e-9)) for s in found), reverse=True)
     strong = [b for b in bits if b > 3.0]
     return max(-20.0, min(60.0, bits[0] + sum(strong[1:]))), len(strong)
 
 
-def scored(words: list[bytes], hits: Hits, model: ToxicModel) -> tuple[float, list[tuple[int, int, float]], int]:
+def located(words: list[bytes], hits: Hits, model: ToxicModel) -> tuple[list[int], list[float], list[tuple[int, int, float]]]:
+    """Places and weights of the words that have one, and the segments over them."""
     weights = list(map(hits.__getitem__, words))
     at = [k for k, w in enumerate(weights) if w]
-    found = segments(at, [weights[k] for k in at], model.miss) if at else []
-    x, n = evidence(len(words), found, model)
+    own = [weights[k] for k in at]
+    return at, own, segments(at, own, model.miss) if at else []
+
+
+def scored(words: list[bytes], hits: Hits, model: ToxicModel) -> tuple[float, list[tuple[int, int, float]], int]:
+    found = located(words, hits, model)[2]
+    x, n = evidence(len(words), [s for _, _, s in found], model)
     return x, found, n
 
 
@@ -108,29 +118,37 @@ def probability(x: float, model: ToxicModel) -> float:
     return 1 / (1 + math.exp(-max(-30.0, min(30.0, model.bias + model.slope * x))))
 
 
-def _words(batch: pa.RecordBatch, text_col: str) -> list[list[bytes]]:
-    return [x.lower().split() if x else [] for x in batch.column(text_col).cast(pa.binary()).to_pylist()]
+def _words(batch: pa.RecordBatch, text_col: str = "text") -> Iterator[list[bytes]]:
+    """The words of one text at a time."""
+    for _, texts in text_slices(batch, text_col):
+        for t in texts:
+            yield t.lower().split()
 
 
 def _count_tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of each token and label: occurrences and texts. The empty token has the numbers of words and of texts."""
-    tokens: tuple[Counter, Counter] = (Counter(), Counter())
-    texts: tuple[Counter, Counter] = (Counter(), Counter())
+    """Partial sums for each token and label: occurrences and texts. The empty token has the numbers of words and of texts."""
+    held: dict[tuple[bytes, int], list[int]] = {}
+
+    def out() -> pa.RecordBatch:
+        n, texts = zip(*held.values(), strict=True) if held else ((), ())
+        columns = [pa.array([t for t, _ in held], pa.binary()), pa.array([y for _, y in held], pa.int32()), pa.array(n, pa.int64()), pa.array(texts, pa.int64())]
+        held.clear()
+        return pa.RecordBatch.from_arrays(columns, ["token", "toxic", "n", "texts"])
+
     for b in batches:
-        for words, toxic in zip(_words(b, "text"), b.column("toxic").to_pylist(), strict=True):
+        for words, toxic in zip(_words(b), b.column("toxic").to_pylist(), strict=True):
             own: Counter = Counter()
             for w, n in Counter(words).items():
                 for t in forms(w):
                     own[t] += n
             own[b""] = len(words)
-            tokens[toxic].update(own)
-            texts[toxic].update(own.keys())
-    for y in (0, 1):
-        keys = [*tokens[y]]
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(keys, pa.binary()), pa.array([y] * len(keys), pa.int32()), pa.array([*tokens[y].values()], pa.int64()), pa.array([texts[y][k] for k in keys], pa.int64())],
-            ["token", "toxic", "n", "texts"],
-        )
+            for t, n in own.items():
+                sums = held.setdefault((t, toxic), [0, 0])
+                sums[0] += n
+                sums[1] += 1
+            if len(held) > HELD_TOKENS:
+                yield out()
+    yield out()
 
 
 def train_rows(docs: DataFrame, labels: DataFrame, fold: int = 5, held: int = 0, max_train: int = MAX_TRAIN) -> DataFrame:
@@ -148,10 +166,12 @@ def fit(docs: DataFrame, labels: DataFrame, prior: float = 0.05, z_least: float
     The Dirichlet prior of a token is `prior` times its occurrences in all training texts. A weight is kept with a
     z-score of `z_least`, log-odds of `odds_least` and toxic texts of `texts_least` at least.
     """
-    train = train_rows(docs, labels, **rows)
     spark = docs.sparkSession
+    scratch = Scratch(spark, "toxicity")
+    train = scratch.save(train_rows(docs, labels, **rows), "train")
     of = lambda c, y: F.sum(F.when(F.col("toxic") == y, F.col(c)).otherwise(0))
-    pairs = train.mapInArrow(_count_tokens, "token binary, toxic int, n long, texts long").groupBy("token").agg(of("n", 1).alias("y"), of("n", 0).alias("o"), of("texts", 1).alias("y_texts"))
+    counts = train.mapInArrow(_count_tokens, "token binary, toxic int, n long, texts long").groupBy("token")
+    pairs = scratch.save(counts.agg(of("n", 1).alias("y"), of("n", 0).alias("o"), of("texts", 1).alias("y_texts")), "tokens")
     words = pairs.filter(F.length("token") == 0).first()
     model = ToxicModel()
     if words is None or not words["y"] or not words["o"]:
@@ -163,35 +183,67 @@ def fit(docs: DataFrame, labels: DataFrame, prior: float = 0.05, z_least: float
     z = delta / F.sqrt(1 / (F.col("y") + alpha) + 1 / (F.col("o") + alpha))
     best = (
         pairs.filter((F.length("token") > 0) & (F.col("y_texts") >= texts_least))
-        .select("token", "y", "o", delta.alias("delta"), z.alias("z"))
+        .select("token", delta.alias("delta"), z.alias("z"))
         .filter((F.col("z") >= z_least) & (F.col("delta") >= odds_least))
-        .orderBy(F.desc("z"), "token")
-        .limit(MAX_TOKENS)
-        .collect()
+        .collect()  # of the bounded sample, tokens of several toxic texts
     )
     if not best:
         return model
-    model.weights = {bytes(r["token"]): float(min(6.0, r["delta"])) for r in best}
-    # extreme-value law of a score that is `high` at the rate such tokens have elsewhere, and `miss` otherwise
-    high = float(np.mean(list(model.weights.values())))
-    p = max(0.5, float(sum(r["o"] for r in best if bytes(r["token"]).startswith(b"%d" % PREFIXES[-1])))) / n_o
-    p = min(p, 0.5 * -model.miss / (high - model.miss))  # the mean score stays below 0
+    model.weights = {bytes(r["token"]): max(1, round(GRID * min(6.0, r["delta"]))) / GRID for r in best}
+    found = scratch.save(train.mapInArrow(_segments_of(spark.sparkContext.broadcast(model)), "toxic int, n_words long, hits array<double>, found array<double>"), "segments")
+    clean = found.filter("toxic = 0")
+    times = {r["w"]: r["n"] for r in clean.select(F.explode("hits").alias("w")).groupBy("w").agg(F.count("*").alias("n")).collect()}
+    model.rate = _decay(times, n_o, model)
+    best_of = clean.select("n_words", F.coalesce(F.array_max("found"), F.lit(0.0)).alias("s"))
+    # maximum likelihood of K over the upper half of the clean texts' best segments; all other texts lie below, by an unknown amount
+    usual = best_of.filter("s > 0").agg(F.percentile("s", F.lit(0.5))).first()[0] or min(model.weights.values())
+    law = best_of.agg(F.count(F.when(F.col("s") >= usual, 1)).alias("n"), F.sum(F.col("n_words") * F.exp(-model.rate * F.greatest("s", F.lit(usual)))).alias("e")).first()
+    model.scale = max(law["n"], 0.5) / max(law["e"], 1e-9)
+    bins = found.mapInArrow(_evidence_of(spark.sparkContext.broadcast(model)), "x double, toxic int").groupBy("x", "toxic").agg(F.count("*").alias("n")).collect()
+    model.bias, model.slope = _logistic([(r["x"], r["toxic"], r["n"]) for r in bins])
+    scratch.drop("train", "tokens", "segments")
+    return model
+
+
+def _decay(times: dict[float, int], n_words: int, model: ToxicModel) -> float:
+    """Lambda: the positive root of E[exp(lambda * score)] = 1 over the words of clean texts.
+
+    Where no weight occurs in them, the least one counts as seen half a time; where the mean score isn't below 0, hits
+    count less often, so that it is.
+    """
+    seen = times or {min(model.weights.values()): 0.5}
+    scores, p = np.array([*seen]), np.array([*seen.values()], float) / max(1, n_words)
+    p *= min(1.0, 0.5 * -model.miss / float(p @ (scores - model.miss)))
     low, up = 1e-6, 50.0
     for _ in range(80):
         mid = (low + up) / 2
-        low, up = (mid, up) if p * math.exp(mid * high) + (1 - p) * math.exp(mid * model.miss) < 1 else (low, mid)
-    model.rate = (low + up) / 2
-    bins = train.mapInArrow(_evidence_of(spark.sparkContext.broadcast(model)), "x double, toxic int").groupBy("x", "toxic").agg(F.count("*").alias("n")).collect()
-    model.bias, model.slope = _logistic([(r["x"], r["toxic"], r["n"]) for r in bins])
-    return model
+        total = float(p @ np.exp(np.minimum(mid * scores, 600.0))) + (1 - float(p.sum())) * math.exp(mid * model.miss)
+        low, up = (mid, up) if total < 1 else (low, mid)
+    return (low + up) / 2
 
 
-def _evidence_of(shared):
+def _segments_of(shared):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
         hits = Hits(model.weights)
         for b in batches:
-            x = [round(scored(w, hits, model)[0] * 5) / 5 for w in _words(b, "text")]  # at most 401 values
+            sizes, weights, scores = [], [], []
+            for words in _words(b):
+                at, own, found = located(words, hits, model)
+                sizes.append(len(words)), weights.append(own), scores.append([s for _, _, s in found])
+            yield pa.RecordBatch.from_arrays(
+                [b.column("toxic"), pa.array(sizes, pa.int64()), pa.array(weights, pa.list_(pa.float64())), pa.array(scores, pa.list_(pa.float64()))], ["toxic", "n_words", "hits", "found"]
+            )
+
+    return run
+
+
+def _evidence_of(shared):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model = shared.value
+        for b in batches:
+            rows = zip(b.column("n_words").to_pylist(), b.column("found").to_pylist(), strict=True)
+            x = [round(evidence(n, found, model)[0] * 5) / 5 for n, found in rows]  # at most 401 values
             yield pa.RecordBatch.from_arrays([pa.array(x, pa.float64()), b.column("toxic")], ["x", "toxic"])
 
     return run
@@ -220,7 +272,7 @@ def _score_rows(shared, spans: bool):
         hits = Hits(model.weights)
         for b in batches:
             score, top, count, passages = [], [], [], []
-            for words in _words(b, "text"):
+            for words in _words(b):
                 x, found, n = scored(words, hits, model)
                 score.append(probability(x, model))
                 top.append(max((s for _, _, s in found), default=0.0))
