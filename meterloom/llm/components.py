@@ -12,7 +12,7 @@ def _large_star(edges: DataFrame) -> DataFrame:
     """Each larger neighbour of a node moves to the least of the node and its neighbours."""
     both = edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
     least = both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("m"))
-    return both.join(least, "a").filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
+    return both.join(least, "a").filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
 
 
 def _small_star(edges: DataFrame) -> DataFrame:
@@ -29,15 +29,14 @@ def components(edges: DataFrame, scratch: Scratch, name: str = "components", rou
     joined back, so the star of a hot node is never gathered in one place. Each round is one written table.
     """
     now = scratch.save(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).filter("a <> b").distinct(), f"{name}-0")
-    seen = None
+    state = lambda e: e.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
+    seen = state(now)
     for k in range(1, rounds + 1):
         after = scratch.save(_small_star(_large_star(now)), f"{name}-{k}")
         scratch.drop(f"{name}-{k - 1}")
-        now = after
-        state = now.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-        if state == seen:
+        now, before, seen = after, seen, state(after)
+        if seen == before:  # stars are what a round doesn't change
             break
-        seen = state
     else:
         raise RuntimeError(f"components did not settle in {rounds} rounds")
     return now.select(F.col("a").alias("id"), F.col("b").alias("component")).union(now.select(F.col("b").alias("id"), F.col("b").alias("component")).distinct())
