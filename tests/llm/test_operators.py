@@ -9,13 +9,14 @@ from fractions import Fraction
 import numpy as np
 import public_tokenizers
 import pytest
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from meterloom.llm import exact_dedup, fingerprints, importance, katz, minhash, mixing, packing, radix, token_files, toxicity
 from meterloom.llm.common import Scratch, table
 from meterloom.llm.components import components
 
-AWKWARD = [(1, None, None), (2, "", "b"), (3, " \n\t", "a"), (4, "one two", "a"), (5, "One  TWO", "a"), (6, "one two", None), (7, "a b c d e f g", "b"), (8, "é'' <|endoftext|> x" * 30, "b"), (9, "w " * 30_000, "c"), (None, "no id", "c")]
+AWKWARD = [(1, None, None), (2, "", "b"), (3, " \n\t", "a"), (4, "one two", "a"), (5, "One  TWO", "a"), (6, "one two", None), (7, "a b c d e f g", "b"), (8, "é'' <|endoftext|> x" * 30, "b"), (-1, "a <|endoftext|> b <|ENDOFTEXT|> c<|startoftext|>", "b"), (9, "w " * 30_000, "c"), (None, "no id", "c")]
 
 
 @pytest.fixture(scope="module")
@@ -221,7 +222,6 @@ def test_katz_every_word_has_its_own_bigrams(documents):
 def test_token_files(spark, documents, awkward, empty):
     path = public_tokenizers.path("byte_bpe_50k.json")
     tokenizer = Tokenizer.from_file(path)
-    tokenizer.encode_special_tokens = True
     for df, options in ((documents, {"file_bytes": 100_000}), (awkward, {})):
         start, want = 0, []
         for i, t in sorted(((r["doc_id"], r["text"] or "") for r in df.collect()), key=lambda x: (x[0] is not None, x[0] or 0)):
@@ -272,7 +272,6 @@ def test_fingerprints(documents, awkward, empty):
 def test_packing(documents, awkward, empty):
     path = public_tokenizers.path("word_bpe_49k.json")
     tokenizer = Tokenizer.from_file(path)
-    tokenizer.encode_special_tokens = True
     for df in (documents, awkward):
         ids = defaultdict(list)
         for r in df.collect():
@@ -365,3 +364,57 @@ def test_pipeline_stages(spark, sf_dir):
             assert {r["doc_id"] for r in after.collect()} == set(brute_components(sets).values())
         docs = after
     assert corpus_pipeline.STAGES[-1][1](spark, docs, sf_dir).select("doc_id").distinct().count() == docs.select("doc_id").distinct().count()
+
+
+def test_stages_on_awkward_rows(spark, awkward, empty, sf_dir):
+    """Null and repeated ids, null, empty, equal and long texts, and clashing columns go through every stage."""
+    import corpus_pipeline
+
+    names = {"key": "row", "n": "copies"}  # names that the stages use themselves
+    df = awkward.union(awkward).withColumnsRenamed(names).withColumn("_row", F.lit(1)).withColumn("copy", F.lit(2)).withColumn("gone", F.lit(3)).withColumn("label_id", F.lit(4))
+    df = df.union(spark.createDataFrame([(4, "other words here", "a", "x", 5, 1, 2, 3, 4), (None, "no id", "c", "x", 5, 1, 2, 3, 4)], df.schema))
+    rows = {name: stage for name, stage in corpus_pipeline.STAGES}
+    bare = lambda r: (r["doc_id"], (r["text"] or "").encode().translate(None, b" \t\n\x0b\x0c\r"))
+
+    clean = rows["toxicity"](spark, df, sf_dir)
+    assert clean.columns == df.columns and clean.count() == df.count()
+    once = rows["exact_dedup"](spark, df, sf_dir).collect()
+    assert Counter(bare(r)[1] for r in once) == Counter({bare(r)[1] for r in df.collect()})
+    assert {r["doc_id"] for r in once} == {3, 4, 5, 7, 8, 9, -1, None}
+    near = rows["near_dedup"](spark, df, sf_dir)
+    assert near.columns == df.columns and {r["doc_id"] for r in near.collect()} == {None, -1, 1, 2, 3, 4, 7, 8, 9}
+    mixed = rows["mixing"](spark, df, sf_dir)
+    given = Counter(map(bare, df.collect()))
+    assert mixed.columns == df.columns and all(n <= 2 * given[k] for k, n in Counter(map(bare, mixed.collect())).items())
+    packed = rows["packing"](spark, df, sf_dir).filter("start = 0").groupBy("doc_id").count().collect()
+    assert {r["doc_id"]: r["count"] for r in packed} == Counter(r["doc_id"] for r in df.collect())
+    for name, stage in corpus_pipeline.STAGES:
+        assert stage(spark, empty, sf_dir).collect() == [], name
+
+
+def test_minhash_texts_that_share_an_id(spark):
+    a, b = [f"a{k}" for k in range(60)], [f"b{k}" for k in range(60)]
+    rows = [(1, " ".join(a)), (2, " ".join([*a[:-1], "x"])), (1, " ".join(b)), (3, " ".join([*b[:-1], "y"])), (0, " ".join(b)), (9, "alone")]
+    got = {(r["doc_id"], r["component_id"]) for r in minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {(0, 0), (1, 0), (2, 0), (3, 0), (9, 9)}
+
+
+def test_minhash_measured_recall(spark):
+    """Pairs at the least similarity of a link, on both sides of the sketch size: at most one in a thousand is missed."""
+    rng = random.Random(11)
+    rows = []
+    for k in range(400):
+        n = 104 if k < 300 else 900
+        own = [f"w{k}.{j}" for j in range(n)]
+        edits = 0
+        while True:  # as many scattered edits as a link allows
+            other = list(own)
+            for at in range(3, 3 + 9 * (edits + 1), 9):
+                other[at % n] = f"e{k}.{at}"
+            if 100 * len(shingles(" ".join(own)) & shingles(" ".join(other))) < 75 * len(shingles(" ".join(own)) | shingles(" ".join(other))):
+                break
+            edits, best = edits + 1, other
+        rows += [(2 * k, " ".join(own)), (2 * k + 1, " ".join(best))]
+    rng.shuffle(rows)
+    got = {r["doc_id"]: r["component_id"] for r in minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert sum(got[2 * k + 1] != 2 * k for k in range(400)) == 0
