@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from ..schema import COUNTABLE, FLOOR_MIN, INSTANCE_TOLERANCE_US
+from ..schema import COST_STATUSES, COUNTABLE, FLOOR_MIN, INSTANCE_TOLERANCE_US, MAX_EXPONENT, QUALITIES, WINDOW_NAMES, named
 
 SEPARATOR = "\x1f"
 
@@ -25,10 +25,34 @@ def joined_hash(*parts: Column) -> Column:
     return F.sha2(F.concat_ws(SEPARATOR, *(F.coalesce(p.cast("string"), F.lit("")) for p in parts)), 256)
 
 
+def trimmed(c: Column) -> Column:
+    """Unicode white space off both ends, nulls empty."""
+    return F.coalesce(clean(c), F.lit(""))
+
+
 def dedupe_key(source: Column, event_id: Column, *content: Column) -> Column:
-    """Identity by the source's own event id, else by content."""
+    """Identity by the source's own event id, else by content, trimmed."""
     own = clean(event_id)
-    return F.when(own.isNotNull(), joined_hash(F.lit("v1"), source, F.lit("event"), own)).otherwise(joined_hash(F.lit("v1"), source, F.lit("content"), *content))
+    return F.when(own.isNotNull(), joined_hash(F.lit("v1"), source, F.lit("event"), own)).otherwise(joined_hash(F.lit("v1"), source, F.lit("content"), *(trimmed(c.cast("string")) for c in content)))
+
+
+def content_hash(raw_timestamp: Column, provider: Column, model: Column, counts: list[tuple[Column, Column]], reported: Column, project: Column, session: Column, cost: tuple[Column, Column, Column, Column, Column]) -> Column:
+    """What a correction may change: instant, provider, model, each count with its quality, total, project, session, cost.
+
+    `counts`: value and quality of input, output, cached input and reasoning; `cost`: status, pricing version, minor
+    units, currency and exponent. Without a status there is no cost, which is one empty part.
+    """
+    status, pricing, minor, currency, exponent = cost
+    amount = F.when(minor.isNotNull(), F.concat_ws("/", minor.cast("string"), currency, exponent.cast("string")))
+    priced = F.when(status.isNull(), "").otherwise(F.concat_ws(SEPARATOR, named(status, COST_STATUSES), trimmed(pricing), F.coalesce(amount, F.lit(""))))
+    each = [x for value, quality in counts for x in (value, named(F.coalesce(quality, F.when(value.isNotNull(), "exact").otherwise("unknown")), QUALITIES))]
+    return joined_hash(F.lit("v1"), trimmed(raw_timestamp), trimmed(provider), trimmed(model), *each, reported, trimmed(project), trimmed(session), priced)
+
+
+def cost_problem(status: Column, pricing: Column, minor: Column, currency: Column, exponent: Column) -> Column:
+    """Why a draft's cost can't be taken, or null: currency of three letters, exponent of 0 to 6, status that fits."""
+    shape = minor.isNotNull() & ~F.coalesce(currency.rlike("^[A-Za-z]{3}$") & exponent.between(0, MAX_EXPONENT), F.lit(False))
+    return F.when(shape, "invalid cost").when((status == "computed_from_pricing") & clean(pricing).isNull(), "missing pricing version").when((status == "not_available") & minor.isNotNull(), "contradictory cost status")
 
 
 def record_id(source: Column, key: Column) -> Column:
@@ -54,28 +78,33 @@ def total_rule(reported: Column, given: Column, output: Column, reasoning: Colum
     )
 
 
-_NAIVE = r"^\d{4}-\d{2}-\d{2}([ T]\d{2}:\d{2}:\d{2}(\.\d{1,9})?)?$"
+_NAIVE = r"^\d{4}-\d{2}-\d{2}([ T]\d{2}:\d{2}(:\d{2}(\.\d{1,9})?)?)?$"
 _ZONED = r"^\d{4}-\d{2}-\d{2}[Tt ]\d{2}:\d{2}:\d{2}(\.\d{1,9})?([Zz]|[+-]\d{2}:\d{2})$"
+_EPOCH = r"^-?\d{1,19}$"
 
 
 def timestamp_kind(raw: Column) -> Column:
-    """How a source's timestamp is read: missing, epoch, explicit_offset, assumed_utc or unparsable."""
+    """How a source's timestamp is read: missing, explicit_offset (epoch digits too), assumed_utc or unparsable."""
     s = clean(raw)
     return (
         F.when(s.isNull(), "missing")
-        .when(s.rlike(r"^\d+$"), F.when(F.length(s) <= 19, "epoch").otherwise("unparsable"))
+        .when(s.rlike(_EPOCH) & s.try_cast("long").isNotNull(), "explicit_offset")
         .when(s.rlike(_ZONED) & F.try_to_timestamp(s).isNotNull(), "explicit_offset")
         .when(s.rlike(_NAIVE) & F.try_to_timestamp(s).isNotNull(), "assumed_utc")
         .otherwise("unparsable")
     )
 
 
+def is_resolved(kind: Column) -> Column:
+    return ~kind.isin("unparsable", "missing")
+
+
 def parse_timestamp(raw: Column) -> Column:
     """A UTC timestamp; epoch digits are seconds, milli-, micro- or nanoseconds by their number. The session is in UTC."""
     s = clean(raw)
-    n = F.when(F.length(s) <= 19, s.try_cast("long"))
-    micros = F.when(F.length(s) <= 11, n * 1_000_000).when(F.length(s) <= 13, n * 1000).when(F.length(s) <= 16, n).otherwise(div(n, 1000))
-    return F.when(timestamp_kind(raw) == "epoch", F.timestamp_micros(micros)).when(timestamp_kind(raw).isin("explicit_offset", "assumed_utc"), F.try_to_timestamp(s))
+    n, digits = F.when(s.rlike(_EPOCH), s.try_cast("long")), F.length(F.regexp_replace(s, "^-", ""))
+    micros = F.when(digits <= 11, n * 1_000_000).when(digits <= 13, n * 1000).when(digits <= 16, n).otherwise(F.floor(n / 1000).cast("long"))
+    return F.when(n.isNotNull(), F.timestamp_micros(micros)).when(is_resolved(timestamp_kind(raw)), F.try_to_timestamp(s))
 
 
 def same_instance(a: Column, b: Column) -> Column:
@@ -125,9 +154,31 @@ def format_tenths(t: Column) -> Column:
     return F.concat(div(t, 10).cast("string"), F.when(t % 10 != 0, F.concat(F.lit("."), (t % 10).cast("string"))).otherwise(""), F.lit("%"))
 
 
+def round_tenths(t: Column) -> Column:
+    """Whole percent, half up."""
+    return div(t + 5, 10)
+
+
 def compact_duration(m: Column) -> Column:
-    """Minutes as 45m, 7h or 3d."""
-    return F.when(m < 60, F.concat(m.cast("string"), F.lit("m"))).when(m < 2880, F.concat(div(m, 60).cast("string"), F.lit("h"))).otherwise(F.concat(div(m, 1440).cast("string"), F.lit("d")))
+    """Minutes as 45m, 7h or 3d, hours and days rounded half up."""
+    return F.when(m < 60, F.concat(m.cast("string"), F.lit("m"))).when(m < 2880, F.concat(div(m + 30, 60).cast("string"), F.lit("h"))).otherwise(F.concat(div(m + 720, 1440).cast("string"), F.lit("d")))
+
+
+def window_name(minutes: Column) -> Column:
+    return named(minutes, WINDOW_NAMES, F.lit("this window"))
+
+
+def group_digits(n: Column) -> Column:
+    return F.format_number(n, 0)
+
+
+def even_pace_percent(until_reset: Column, window: Column) -> Column:
+    """How much of a window has gone by, in percent: what an even pace would have used."""
+    return F.least(F.lit(100.0), F.greatest(F.lit(0.0), (window - until_reset) / window * 100))
+
+
+def thread_name(project: Column, session: Column) -> Column:
+    return F.coalesce(clean(project), F.concat(F.lit("thread "), F.substring(session, 1, 6)))
 
 
 def format_money(minor: Column, exponent: Column, currency: Column) -> Column:

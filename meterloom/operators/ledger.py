@@ -3,12 +3,12 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
-from datetime import datetime
+from datetime import datetime, timedelta
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.scalars import div
+from ..functions.scalars import div, record_id
 from ..schema import BIGINT_MAX, LIMIT_DEFAULT, LIMIT_MAX, MAX_EXPONENT
 
 COUNTS = ("input", "output", "cached_input", "reasoning", "display")
@@ -90,7 +90,24 @@ def effective_limit(n: int | None) -> int:
 
 
 def recent(records: DataFrame, n: int | None = None) -> DataFrame:
-    return records.orderBy(F.col("event_ts").isNull(), F.col("event_ts").desc(), "dedupe_key").limit(effective_limit(n))
+    """Newest first; undated rows last, by import time where that is known; ties by record id."""
+    undated = F.col("event_ts").isNull()
+    at = F.coalesce("event_ts", F.col("imported_at")) if "imported_at" in records.columns else F.col("event_ts")
+    return records.orderBy(undated, at.desc(), record_id(F.col("source_app"), F.col("dedupe_key"))).limit(effective_limit(n))
+
+
+def ordered_groups(groups: DataFrame, label: str) -> DataFrame:
+    """Groups by falling display total, then by label."""
+    return groups.orderBy(F.desc("display"), label)
+
+
+def date_span(records: DataFrame, *by: str) -> DataFrame:
+    return records.groupBy(*by).agg(F.min("event_ts").alias("first_event"), F.max("event_ts").alias("last_event"))
+
+
+def last_days(now: datetime, days: int = 30, source: str | None = None) -> Filter:
+    """The dashboard's default filter."""
+    return Filter(sources=None if source is None else (source,), since=now - timedelta(days=days))
 
 
 def threads(records: DataFrame) -> DataFrame:
@@ -148,10 +165,14 @@ def classify(batch: DataFrame, store: DataFrame) -> DataFrame:
 
 
 def merged(batch: DataFrame, store: DataFrame) -> DataFrame:
-    """The store after the batch: the last row that changed a key wins, unchanged rows keep what was there."""
+    """The store after the batch: the last row that changed a key wins, unchanged rows keep what was there.
+
+    Store and batch meet in one aggregation by key, in which a key's row of the batch counts as later than the stored one.
+    """
     changed = classify(batch, store).filter("outcome <> 'unchanged'")
-    last = changed.withColumn("at", F.row_number().over(Window.partitionBy("dedupe_key").orderBy(F.desc("seq")))).filter("at = 1").select(*store.columns)
-    return store.join(last.select("dedupe_key"), "dedupe_key", "left_anti").select(*store.columns).unionByName(last)
+    row = F.struct(*store.columns)
+    both = changed.select("dedupe_key", F.col("seq").alias("seq"), F.lit(1).alias("new"), row.alias("row")).unionByName(store.select("dedupe_key", F.lit(None).cast(batch.schema["seq"].dataType).alias("seq"), F.lit(0).alias("new"), row.alias("row")))
+    return both.groupBy("dedupe_key").agg(F.max_by("row", F.struct("new", "seq")).alias("row")).select("row.*")
 
 
 def outside_scope(store: DataFrame, batch: DataFrame, source: str, since: datetime, until: datetime) -> DataFrame:

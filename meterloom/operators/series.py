@@ -7,8 +7,8 @@ from datetime import datetime, timedelta
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.scalars import div, micros, minutes_floor, same_instance, staleness_limit
-from ..schema import ACTIVE_HOURS, BASELINE_DAYS, BOOTSTRAP_TENTHS, DUTY_LIMIT_MIN, DUTY_UNLOCK, FLOOR_MIN, MAX_PROJECTION_MIN, MAX_RESIDUAL, MIN_HORIZON_MIN, MIN_SPANS, QUANTUM_TENTHS, RATE_SCALE, SESSION_MINUTES, SLOT_DAYS
+from ..functions.scalars import compact_duration, div, format_tenths, micros, minutes_ceil, minutes_floor, round_tenths, same_instance, staleness_limit, window_name
+from ..schema import ACTIVE_HOURS, BASELINE_DAYS, BOOTSTRAP_TENTHS, DUTY_LIMIT_MIN, DUTY_UNLOCK, FLOOR_MIN, INSTANCE_TOLERANCE_US, MAX_PROJECTION_MIN, MAX_RESIDUAL, METRICS, MIN_HORIZON_MIN, MIN_SPANS, QUANTUM_TENTHS, RATE_SCALE, SESSION_MINUTES, SLOT_DAYS, SOURCE_TITLES, SOURCES, named
 from .units import cost_units
 
 
@@ -39,10 +39,20 @@ def duty_cycle(records: DataFrame, now: datetime, offset_minutes: int = 0) -> Da
     return seen.select("source_app", "active_hours", F.when(F.col("active_hours") >= ACTIVE_HOURS, F.least(div(F.col("active_hours") * 100, hours), F.lit(100))).alias("duty_percent"))
 
 
+#: What tells allowances apart; `pool` is the label, empty where there is none.
+KEY = ["source_app", "pool", "window_minutes"]
+
+
+def pooled(df: DataFrame) -> DataFrame:
+    """`df` with the columns label and pool, whether it has labels or not."""
+    label = F.col("label") if "label" in df.columns else F.lit(None).cast("string")
+    return df.withColumn("label", label).withColumn("pool", F.coalesce(label, F.lit("")))
+
+
 def live_quotas(samples: DataFrame, seen_until: datetime, now: datetime) -> DataFrame:
     """The newest reading of each window, if its window is still open."""
     order = F.struct("observed_at", "event_id")
-    newest = samples.filter(F.col("observed_at") <= at(seen_until)).groupBy("source_app", "window_minutes").agg(*(F.max_by(c, order).alias(c) for c in ("used", "resets_at", "observed_at", "event_id")))
+    newest = pooled(samples).filter(F.col("observed_at") <= at(seen_until)).groupBy(*KEY).agg(*(F.max_by(c, order).alias(c) for c in ("label", "used", "resets_at", "observed_at", "event_id")))
     return newest.filter(F.col("resets_at").isNull() | (F.col("resets_at") > at(now)))
 
 
@@ -53,29 +63,36 @@ def horizons(window: Column, duty: Column) -> Column:
 
 
 def trailing_runways(quotas: DataFrame, samples: DataFrame, duty: DataFrame) -> DataFrame:
-    """(source_app, window_minutes, horizon, runway) of the horizons that show enough movement."""
+    """(source_app, pool, window_minutes, horizon, runway) of the horizons that show enough movement."""
     q = quotas.join(duty.select("source_app", "duty_percent"), "source_app", "left").withColumn("horizon", F.explode(horizons(F.col("window_minutes"), F.col("duty_percent"))))
-    s = samples.select(*(F.col(c).alias(f"s_{c}") for c in ("source_app", "window_minutes", "used", "resets_at", "observed_at", "event_id")))
+    s = pooled(samples).select(*(F.col(c).alias(f"s_{c}") for c in (*KEY, "used", "resets_at", "observed_at", "event_id")))
     within = (micros(F.col("s_observed_at")) >= micros(F.col("observed_at")) - F.col("horizon") * 60_000_000) & (F.col("s_observed_at") < F.col("observed_at"))
-    pairs = q.join(s, (F.col("source_app") == F.col("s_source_app")) & (F.col("window_minutes") == F.col("s_window_minutes")) & same_instance(F.col("resets_at"), F.col("s_resets_at")) & within)
-    oldest = pairs.groupBy("source_app", "window_minutes", "horizon", "used", "observed_at").agg(F.min_by(F.struct("s_used", "s_observed_at"), F.struct("s_observed_at", "s_event_id")).alias("s"))
+    same = F.lit(True)
+    for c in KEY:
+        same &= F.col(c) == F.col(f"s_{c}")
+    pairs = q.join(s, same & same_instance(F.col("resets_at"), F.col("s_resets_at")) & within)
+    oldest = pairs.groupBy(*KEY, "horizon", "used", "observed_at").agg(F.min_by(F.struct("s_used", "s_observed_at"), F.struct("s_observed_at", "s_event_id")).alias("s"))
     elapsed, consumed = minutes_floor(F.col("s.s_observed_at"), F.col("observed_at")), F.col("used") - F.col("s.s_used")
-    return oldest.select("source_app", "window_minutes", "horizon", elapsed.alias("elapsed"), consumed.alias("consumed"), (1000 - F.col("used")).alias("left")).filter((F.col("elapsed") >= MIN_HORIZON_MIN) & (F.col("consumed") >= QUANTUM_TENTHS)).select("source_app", "window_minutes", "horizon", div(F.col("left") * F.col("elapsed"), F.col("consumed")).alias("runway"))
+    moved = oldest.select(*KEY, "horizon", elapsed.alias("elapsed"), consumed.alias("consumed"), F.greatest(F.lit(0), 1000 - F.col("used")).alias("left")).filter((F.col("elapsed") >= MIN_HORIZON_MIN) & (F.col("consumed") >= QUANTUM_TENTHS))
+    return moved.select(*KEY, "horizon", div(F.col("left") * F.col("elapsed"), F.col("consumed")).alias("runway"))
 
 
 def window_open_runway() -> Column:
     """From the opening of the window to the reading."""
     elapsed = F.col("window_minutes") - minutes_floor(F.col("observed_at"), F.col("resets_at"))
-    return F.when((elapsed > 0) & (F.col("used") >= QUANTUM_TENTHS), div((1000 - F.col("used")) * elapsed, F.col("used")))
+    return F.when((elapsed > 0) & (F.col("used") >= QUANTUM_TENTHS), div(F.greatest(F.lit(0), 1000 - F.col("used")) * elapsed, F.col("used")))
 
 
 def pace(quotas: DataFrame, samples: DataFrame, records: DataFrame, now: datetime, offset_minutes: int = 0) -> DataFrame:
-    """Will each allowance last until its reset? One row per quota, in order of urgency by (urgency, urgency_value)."""
-    key = ["source_app", "window_minutes"]
-    trail = trailing_runways(quotas, samples, duty_cycle(records, now, offset_minutes)).groupBy(*key).agg(F.min(F.struct("runway", "horizon")).alias("trail"))
+    """Will each allowance last until its reset? One row per quota, in order of urgency by (urgency, urgency_value).
+
+    `quotas` are the readings as `projected` has carried them forward, so that a stale one isn't judged as it stands.
+    """
+    quotas = pooled(quotas)
+    trail = trailing_runways(quotas, samples, duty_cycle(records, now, offset_minutes)).groupBy(*KEY).agg(F.min(F.struct("runway", "horizon")).alias("trail"))
     slot = (now - timedelta(minutes=30) + timedelta(minutes=offset_minutes)).hour
     typical = baseline(records, now, offset_minutes).filter(F.col("hour") == slot).select("source_app", F.col("median_tokens").alias("typical"))
-    q = quotas.join(trail, key, "left").join(burn_rate(records, now), "source_app", "left").join(typical, "source_app", "left")
+    q = quotas.join(trail, KEY, "left").join(burn_rate(records, now), "source_app", "left").join(typical, "source_app", "left")
     q = q.withColumns({"remaining": F.greatest(F.lit(0), 1000 - F.col("used")), "until_reset": minutes_floor(at(now), F.col("resets_at")), "age": minutes_floor(F.col("observed_at"), at(now)), "opened": window_open_runway()})
     aged = F.col("age") > staleness_limit(F.col("window_minutes"))
     q = q.withColumn("aged", aged).withColumn("runway", F.when(aged | F.col("trail").isNull() | (F.col("opened") <= F.col("trail.runway")), F.col("opened")).otherwise(F.col("trail.runway")))
@@ -103,65 +120,108 @@ def pace(quotas: DataFrame, samples: DataFrame, records: DataFrame, now: datetim
         }
     )
     urgency = F.when(F.col("state") == "red", 0).when(F.col("runway").isNotNull(), 1).otherwise(2)
-    return q.select("source_app", "window_minutes", "used", "remaining", "until_reset", "age", "aged", "state", "runway", "slack", "shortfall", "pace_ratio", "vs_baseline", urgency.alias("urgency"), F.when(urgency < 2, F.col("runway")).alias("urgency_value"))
+    return q.select("source_app", "pool", "label", "window_minutes", "used", "remaining", "until_reset", "age", "aged", "state", "runway", "slack", "shortfall", "pace_ratio", "vs_baseline", urgency.alias("urgency"), F.when(urgency < 2, F.col("runway")).alias("urgency_value"))
+
 
+def ordered_pace(paced: DataFrame) -> DataFrame:
+    """Windows that run out first, then by runway, then the rest; ties by window and label."""
+    return paced.orderBy("urgency", "urgency_value", "window_minutes", F.col("label").asc_nulls_first())
 
-def binding_windows(paced: DataFrame) -> DataFrame:
-    """The window of each source that binds first: by state, then runway, then what remains."""
+
+def binding_windows(quotas: DataFrame, paced: DataFrame) -> DataFrame:
+    """The window of each source that binds first: by state, then runway, then what remains of the confirmed reading."""
     rank = F.array_position(F.array(*map(F.lit, ("exhausted", "red", "amber", "unknown", "green", "notStarted"))), F.col("state"))
-    w = Window.partitionBy("source_app").orderBy(rank, F.col("runway").asc_nulls_last(), "remaining", "window_minutes")
-    return paced.withColumn("at", F.row_number().over(w)).filter("at = 1").drop("at")
+    confirmed = quotas.select(*KEY, F.greatest(F.lit(0), 1000 - F.col("used")).alias("confirmed_remaining"))
+    w = Window.partitionBy("source_app").orderBy(rank, F.col("runway").asc_nulls_last(), "confirmed_remaining", "window_minutes", "pool")
+    return paced.join(confirmed, KEY).withColumn("at", F.row_number().over(w)).filter("at = 1").drop("at")
+
+
+def status_text(binding: DataFrame) -> DataFrame:
+    """One line: of each source's binding window what is left, a mark where the pace means trouble, and when it resets."""
+    runway = F.col("runway")
+    mark = F.when(F.col("state") == "red", F.concat(F.lit("↓"), F.coalesce(compact_duration(runway), F.lit("")))).when(F.col("state") == "amber", "~").when(F.col("state") == "exhausted", "×").otherwise("")
+    reset = F.coalesce(F.concat(F.lit("·"), compact_duration(F.col("until_reset"))), F.lit(""))
+    tag = F.when(F.col("source_app") == "claude_code", "claude").otherwise(F.col("source_app"))
+    text = F.concat(tag, F.lit(" "), round_tenths(F.col("confirmed_remaining")).cast("string"), F.lit("%"), mark, reset)
+    rank = F.array_position(F.array(*map(F.lit, reversed(SOURCES))), F.col("source_app"))
+    line = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(rank.alias("rank"), text.alias("text")))), lambda x: x.text), " · ")
+    return binding.agg(F.coalesce(F.nullif(line, F.lit("")), F.lit("—")).alias("line"))
+
+
+def tightest_quotas(quotas: DataFrame) -> DataFrame:
+    """The allowance of each source with least left; the first by window and label on ties."""
+    w = Window.partitionBy("source_app").orderBy(F.greatest(F.lit(0), 1000 - F.col("used")), "window_minutes", "pool")
+    return quotas.withColumn("at", F.row_number().over(w)).filter("at = 1").drop("at")
 
 
 # calibration ---------------------------------------------------------------------------------------------------------
-def spans(samples: DataFrame) -> DataFrame:
-    """Non-overlapping stretches of at least 20 tenths of movement, by a greedy scan within one window instance.
+def _scan_spans(batches):
+    import pyarrow as pa
 
-    A reading of another instance than the anchor's becomes the anchor. A window's instance has at most a thousand
-    changes, and resets lie days apart, so each (source, window, day of reset) is scanned for itself.
-    """
-    item = F.struct(F.col("observed_at").alias("t"), F.col("event_id").alias("i"), F.col("used").alias("u"), F.col("resets_at").alias("r"))
-    each = samples.groupBy("source_app", "window_minutes", F.to_date("resets_at").alias("day")).agg(F.array_sort(F.collect_list(item)).alias("xs"))
-    found = F.array().cast("array<struct<t0:timestamp_ntz,t1:timestamp_ntz,moved:bigint>>")
+    key = anchor = None
+    names = [*KEY, "t0", "t1", "moved"]
+    for b in batches:
+        out = []
+        columns = [b.column(c).to_pylist() for c in KEY] + [b.column(c).cast(pa.int64()).to_pylist() for c in ("observed_at", "used", "resets_at")]
+        for *own, t, used, reset in zip(*columns, strict=True):
+            same = own == key and (reset == anchor[2] or (reset is not None and anchor[2] is not None and abs(reset - anchor[2]) <= INSTANCE_TOLERANCE_US))
+            if same and used - anchor[1] < QUANTUM_TENTHS:
+                continue
+            if same:
+                out.append((*own, anchor[0], t, used - anchor[1]))
+            key, anchor = own, (t, used, reset)
+        types = [pa.string(), pa.string(), pa.int64(), pa.timestamp("us"), pa.timestamp("us"), pa.int64()]
+        yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], pa.int64() if k in (3, 4) else t).cast(t) for k, t in enumerate(types)], names)
 
-    def step(acc: Column, x: Column) -> Column:
-        moved = F.greatest(F.lit(0), x.u - acc.a.u)
-        same = same_instance(acc.a.r, x.r)
-        grown = F.concat(acc.found, F.array(F.struct(acc.a.t.alias("t0"), x.t.alias("t1"), moved.cast("long").alias("moved"))))
-        return F.when(same & (moved < QUANTUM_TENTHS), acc).when(same, F.struct(x.alias("a"), grown.alias("found"))).otherwise(F.struct(x.alias("a"), acc.found.alias("found")))
 
-    cut = each.select("source_app", "window_minutes", F.explode(F.aggregate("xs", F.struct(F.get("xs", F.lit(0)).alias("a"), found.alias("found")), step, lambda acc: acc.found)).alias("s"))
-    return cut.select("source_app", "window_minutes", F.col("s.t0").alias("t0"), F.col("s.t1").alias("t1"), F.col("s.moved").alias("moved"))
+def spans(samples: DataFrame) -> DataFrame:
+    """Non-overlapping stretches of at least 20 tenths of movement, by a greedy scan of each window's readings in order.
+
+    A reading of another instance than the anchor's becomes the anchor. The scan carries one anchor along, so a window's
+    history isn't bound by memory.
+    """
+    s = pooled(samples).select("source_app", "pool", F.col("window_minutes").cast("long").alias("window_minutes"), "observed_at", F.col("used").cast("long").alias("used"), "resets_at", "event_id")
+    ordered = s.repartition(*KEY).sortWithinPartitions(*KEY, "observed_at", "event_id")
+    return ordered.mapInArrow(_scan_spans, "source_app string, pool string, window_minutes long, t0 timestamp_ntz, t1 timestamp_ntz, moved long")
 
 
 def span_units(cut: DataFrame, records: DataFrame) -> DataFrame:
     """Cost units of the records in (t0, t1] of each span, joined day by day; spans without any are left out."""
     spent = records.filter("event_ts is not null").select("source_app", F.col("event_ts").alias("t"), F.to_date("event_ts").alias("day"), cost_units(F.col("model"), F.col("input"), F.col("output"), F.col("cached_input")).alias("units"))
     by_day = cut.withColumn("day", F.explode(F.sequence(F.to_date("t0"), F.to_date("t1"))))
-    return by_day.join(spent, ["source_app", "day"]).filter((F.col("t") > F.col("t0")) & (F.col("t") <= F.col("t1"))).groupBy("source_app", "window_minutes", "t0", "t1", "moved").agg(F.sum("units").alias("units")).filter("units > 0")
+    return by_day.join(spent, ["source_app", "day"]).filter((F.col("t") > F.col("t0")) & (F.col("t") <= F.col("t1"))).groupBy(*KEY, "t0", "t1", "moved").agg(F.sum("units").alias("units")).filter("units > 0")
 
 
 def calibration(samples: DataFrame, records: DataFrame) -> DataFrame:
     """Allowance moved for each cost unit: the upper median of the spans' rates, and the deviation around it in percent."""
     rated = span_units(spans(samples), records).withColumn("rate", div(F.col("moved") * F.lit(RATE_SCALE) + div(F.col("units"), 2), F.col("units")))
-    fit = rated.groupBy("source_app", "window_minutes").agg(F.sort_array(F.collect_list("rate")).alias("rates"), F.max(F.struct("moved", "t0", "rate")).alias("widest"))
+    wide = F.when((F.col("rate") > 0) & (F.col("moved") >= BOOTSTRAP_TENTHS), F.struct("moved", "t0", "rate"))
+    fit = rated.groupBy(*KEY).agg(F.sort_array(F.collect_list("rate")).alias("rates"), F.max(wide).alias("widest"))
     median = F.get("rates", div(F.size("rates"), 2).cast("int"))
     apart = F.get(F.sort_array(F.transform("rates", lambda r: F.abs(r - F.col("median")))), div(F.size("rates"), 2).cast("int"))
     fit = fit.withColumn("median", median).withColumn("apart", apart)
     enough = F.size("rates") >= MIN_SPANS
-    alone = (F.col("widest.moved") >= BOOTSTRAP_TENTHS) & (F.col("widest.rate") > 0)
-    return fit.select("source_app", "window_minutes", F.size("rates").cast("long").alias("n_spans"), F.when(enough, F.col("median")).when(alone, F.col("widest.rate")).alias("rate"), F.when(enough, div(F.col("apart") * 100, F.col("median"))).alias("residual_percent")).filter("rate is not null")
+    rate = F.when(enough, F.nullif(F.col("median"), F.lit(0).cast("long"))).otherwise(F.col("widest.rate"))
+    n, residual = F.when(enough, F.size("rates")).otherwise(1).cast("long"), F.when(enough, div(F.col("apart") * 100, F.col("median"))).otherwise(0).cast("long")
+    return fit.select(*KEY, n.alias("n_spans"), rate.alias("rate"), residual.alias("residual_percent"), (~enough).alias("provisional")).filter("rate is not null")
 
 
 def projection(quotas: DataFrame, fits: DataFrame, records: DataFrame, now: datetime) -> DataFrame:
     """Readings carried forward by the units spent since, where the fit can be trusted and the reading isn't too old."""
     spent = records.filter("event_ts is not null").select(F.col("source_app").alias("r_source"), F.col("event_ts").alias("t"), cost_units(F.col("model"), F.col("input"), F.col("output"), F.col("cached_input")).alias("units"))
-    open_ = quotas.join(fits.filter((F.col("residual_percent").isNull() | (F.col("residual_percent") <= MAX_RESIDUAL)) & (F.col("rate") > 0)), ["source_app", "window_minutes"])
-    open_ = open_.filter((F.col("observed_at") < at(now)) & (minutes_floor(F.col("observed_at"), at(now)) <= MAX_PROJECTION_MIN))
-    since = spent.filter((F.col("t") <= at(now)) & (F.col("t") > at(now - timedelta(minutes=MAX_PROJECTION_MIN + 1)))).join(F.broadcast(open_), (F.col("r_source") == F.col("source_app")) & (F.col("t") > F.col("observed_at")))
-    summed = since.groupBy("source_app", "window_minutes", "used", "rate").agg(F.least(F.sum("units"), F.lit(10**18)).cast("decimal(19,0)").alias("units"))
+    open_ = quotas.join(fits.filter(F.col("provisional") | (F.col("residual_percent") <= MAX_RESIDUAL)), KEY)
+    span = minutes_floor(F.col("observed_at"), at(now))
+    open_ = open_.filter((span > 0) & (span <= MAX_PROJECTION_MIN))
+    since = spent.filter((F.col("t") <= at(now)) & (F.col("t") > at(now - timedelta(minutes=MAX_PROJECTION_MIN + 1)))).join(open_, (F.col("r_source") == F.col("source_app")) & (F.col("t") > F.col("observed_at")))
+    summed = since.groupBy(*KEY, "used", "rate").agg(F.least(F.sum("units"), F.lit(10**18)).cast("decimal(19,0)").alias("units"))
     added = F.least(div(F.col("units") * F.col("rate").cast("decimal(18,0)") + F.lit(RATE_SCALE // 2), F.lit(RATE_SCALE).cast("decimal(13,0)")), F.lit(1000)).cast("long")
-    return summed.withColumn("added", added).filter("added > 0").select("source_app", "window_minutes", "used", "added", F.least(F.col("used") + F.col("added"), F.lit(1000)).alias("projected"))
+    return summed.withColumn("added", added).filter("added > 0").select(*KEY, "used", "added", F.least(F.col("used") + F.col("added"), F.lit(1000)).alias("projected"))
+
+
+def projected(quotas: DataFrame, projections: DataFrame, now: datetime) -> DataFrame:
+    """The quotas with projected readings, seen at `now`, in place of those that have one."""
+    ahead = projections.select(*KEY, "projected")
+    return quotas.join(ahead, KEY, "left").withColumns({"observed_at": F.when(F.col("projected").isNotNull(), at(now)).otherwise(F.col("observed_at")), "used": F.coalesce("projected", "used")}).drop("projected")
 
 
 def _tile(by: str, now: datetime, minutes: int):
@@ -205,24 +265,42 @@ def _tile(by: str, now: datetime, minutes: int):
     return run
 
 
-def tiled_sessions(times: DataFrame, by: str, now: datetime, minutes: int = SESSION_MINUTES) -> DataFrame:
+def tiled_sessions(times: DataFrame, by: str, now: datetime, minutes: int = SESSION_MINUTES, resets: DataFrame | None = None) -> DataFrame:
     """The reset of the fixed-length window that is open at `now`: the first time opens one, the first at or after its end the next.
 
     Null where the last window has closed and no time has opened another. Each session is read in order of time with
-    one window carried along, so its length is not bound by memory.
+    one window carried along, so its length is not bound by memory. `resets` (by, reset) holds the last resets known:
+    times before them belong to windows that have closed.
     """
     rows = times.select(by, F.col("t").cast("timestamp_ntz").alias("t"))
+    if resets is not None:
+        rows = rows.join(resets.select(by, "reset"), by, "left").filter(F.col("reset").isNull() | (F.col("t") >= F.col("reset"))).select(by, "t")
     shape = f"`{by}` {rows.schema[by].dataType.simpleString()}, resets_at timestamp_ntz"
     return rows.repartition(by).sortWithinPartitions(by, "t").mapInArrow(_tile(by, now, minutes), shape)
 
 
 def alerts(quotas: DataFrame, paced: DataFrame, thresholds: DataFrame, snoozed: DataFrame, now: datetime) -> DataFrame:
-    """Thresholds that are crossed, one row each, without those snoozed by key. `thresholds`: source_app, metric, limit_value."""
-    q = quotas.filter(F.col("resets_at") > at(now)).join(paced.select("source_app", "window_minutes", "state", "shortfall", "until_reset", "remaining"), ["source_app", "window_minutes"])
-    seconds = F.floor((micros(F.col("resets_at")) - micros(at(now))) / 1_000_000)
-    j = thresholds.join(q, "source_app").withColumn("minutes", F.ceil(seconds / 60).cast("long"))
-    value = F.when(F.col("metric") == "remaining_percent", F.col("remaining")).when(F.col("metric") == "minutes_until_reset", F.col("minutes")).otherwise(F.coalesce(F.col("until_reset") - F.col("shortfall"), F.lit(1 << 60)))
-    one = j.withColumn("at", F.row_number().over(Window.partitionBy("source_app", "metric").orderBy(value, "window_minutes"))).filter("at = 1")
-    crossed = F.when(F.col("metric") == "remaining_percent", div(F.col("remaining"), 10) <= F.col("limit_value")).when(F.col("metric") == "minutes_until_reset", F.col("minutes") <= F.col("limit_value")).otherwise((F.col("state") == "red") & (F.col("shortfall") >= F.col("limit_value")))
-    key = F.concat_ws(":", "source_app", F.col("window_minutes").cast("string"), "metric", F.col("limit_value").cast("string"), div(micros(F.col("resets_at")), 1_000_000).cast("string"))
-    return one.filter(crossed).select("source_app", "window_minutes", "metric", "limit_value", key.alias("alert_key")).join(snoozed, "alert_key", "left_anti")
+    """Thresholds that are crossed, one row each, without those snoozed by key. `thresholds`: source_app, metric, limit_value.
+
+    Of each source the window decides that is nearest to the threshold; what is left is that of the confirmed reading.
+    """
+    q = quotas.filter(F.col("resets_at") > at(now)).join(paced.select(*KEY, "state", "shortfall", "until_reset"), KEY)
+    q = q.withColumns({"remaining": F.greatest(F.lit(0), 1000 - F.col("used")), "minutes": minutes_ceil(at(now), F.col("resets_at"))})
+    j = thresholds.join(q, "source_app")
+    metric, limit = F.col("metric"), F.col("limit_value")
+    value = F.when(metric == "remaining_percent", F.col("remaining")).when(metric == "minutes_until_reset", F.col("minutes")).otherwise(F.coalesce(F.col("until_reset") - F.col("shortfall"), F.lit(1 << 60)))
+    one = j.withColumn("at", F.row_number().over(Window.partitionBy("source_app", "metric").orderBy(value, "window_minutes", "pool"))).filter("at = 1")
+    crossed = F.when(metric == "remaining_percent", div(F.col("remaining"), 10) <= limit).when(metric == "minutes_until_reset", F.col("minutes") <= limit).otherwise((F.col("state") == "red") & (F.col("shortfall") >= limit))
+    key = F.concat_ws(":", "source_app", F.col("window_minutes").cast("string"), named(metric, METRICS), limit.cast("string"), div(micros(F.col("resets_at")), 1_000_000).cast("string"))
+    threshold = lambda unit: F.concat(F.lit(" "), window_name(F.col("window_minutes")), F.lit(" · threshold "), limit.cast("string"), F.lit(unit))
+    body = (
+        F.when(metric == "remaining_percent", F.concat(format_tenths(F.col("remaining")), F.lit(" left"), threshold("%")))
+        .when(metric == "minutes_until_reset", F.concat(F.lit("resets in "), F.col("minutes").cast("string"), F.lit(" min"), threshold(" min")))
+        .otherwise(F.concat(F.lit("projected to run out "), F.coalesce("shortfall", F.lit(0)).cast("string"), F.lit(" min early"), threshold(" min")))
+    )
+    title = F.concat(named(F.col("source_app"), SOURCE_TITLES), F.lit(" running low"))
+    return one.filter(crossed).select("source_app", "window_minutes", "metric", "limit_value", key.alias("alert_key"), title.alias("title"), body.alias("body")).join(snoozed, "alert_key", "left_anti")
+
+
+def ordered_alerts(active: DataFrame) -> DataFrame:
+    return active.orderBy(F.array_position(F.array(*map(F.lit, SOURCES)), F.col("source_app")), "window_minutes")

@@ -9,9 +9,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import scalars as X
-from ..operators import conversations, ledger, series
-from ..schema import source_rank
+from ..operators import conversations, ledger, series, state
+from ..schema import SOURCES
 from ..sources.events_bridge import records, samples
+from ..streaming.ingest import reject_reason
 
 NOW = datetime(2024, 1, 31)
 AS_OF = datetime(2024, 1, 20, 15)
@@ -89,12 +90,12 @@ def dedupe_keys(spark, sf_dir):
 
 @query
 def content_hash(spark, sf_dir):
-    r = records(spark, sf_dir)
-    return r.select("event_id", content_hash_of().alias("content_hash"))
-
-
-def content_hash_of():
-    return X.joined_hash(F.lit("v1"), *(F.col(c) for c in ("source_app", "model", "input", "output", "cached_input", "reasoning", "reported", "project", "session_id", "amount_minor", "currency", "exponent")))
+    """The bridge's instant is its source's timestamp; a count is exact where known; reported cost has no pricing version."""
+    instant, none = F.date_format("event_ts", "yyyy-MM-dd HH:mm:ss"), F.lit(None).cast("string")
+    counts = [(F.col(c), F.when(F.col(c).isNotNull(), "exact").otherwise("unknown")) for c in ("input", "output", "cached_input", "reasoning")]
+    status = F.when(F.col("amount_minor").isNotNull(), "reported_by_source")
+    of = X.content_hash(instant, X.provider_of(F.col("model")), F.col("model"), counts, F.col("reported"), F.col("project"), F.col("session_id"), (status, none, F.col("amount_minor"), F.col("currency"), F.col("exponent")))
+    return records(spark, sf_dir).select("event_id", of.alias("content_hash"))
 
 
 @query
@@ -105,28 +106,32 @@ def display_total_rules(spark, sf_dir):
 
 @query
 def timestamp_interpretation(spark, sf_dir):
-    """The bridge's instants written in six ways, and read back."""
-    t, k = F.col("ts").cast("timestamp"), F.col("event_id") % 6
+    """The bridge's instants written in nine ways, and read back."""
+    t, k = F.col("ts").cast("timestamp"), F.col("event_id") % 9
     raw = (
         F.when(k == 0, F.unix_seconds(t).cast("string"))
         .when(k == 1, F.unix_micros(t).cast("string"))
         .when(k == 2, F.date_format(t, "yyyy-MM-dd'T'HH:mm:ss'Z'"))
         .when(k == 3, F.date_format(t, "yyyy-MM-dd HH:mm:ss"))
-        .when(k == 4, F.lit("last tuesday"))
-        .otherwise(F.lit("  "))
+        .when(k == 4, F.lit("not a time"))
+        .when(k == 5, F.lit("  "))
+        .when(k == 6, F.date_format(t, "yyyy-MM-dd HH:mm"))
+        .when(k == 7, F.date_format(t, "yyyy-MM-dd'T'HH:mm"))
+        .otherwise(F.concat(F.lit("-"), F.unix_seconds(t).cast("string")))
     )
     r = records(spark, sf_dir).select("event_id", "ts", raw.alias("raw"))
     return r.select("event_id", X.timestamp_kind(F.col("raw")).alias("kind"), X.parse_timestamp(F.col("raw")).cast("timestamp_ntz").alias("parsed"))
 
 
 def _store(r: DataFrame) -> DataFrame:
-    return r.filter("event_id % 3 <> 0").select("dedupe_key", "source_app", "event_ts", X.joined_hash(F.col("display")).alias("content_hash"))
+    """All records before the middle of the month."""
+    return r.filter(F.col("ts") < series.at(datetime(2024, 1, 16))).select("dedupe_key", "source_app", "event_ts", X.joined_hash(F.col("display")).alias("content_hash"))
 
 
 def _batch(r: DataFrame) -> DataFrame:
-    """Every second record, a third of them changed, and every tenth once more."""
+    """All records, a sixth of them changed, and every tenth once more."""
     changed = F.when(F.col("event_id") % 6 == 4, F.col("display") + 1).otherwise(F.col("display"))
-    rows = r.filter("event_id % 2 = 0").select("dedupe_key", "source_app", "event_ts", X.joined_hash(changed).alias("content_hash"), F.col("event_id").alias("seq"))
+    rows = r.select("dedupe_key", "source_app", "event_ts", X.joined_hash(changed).alias("content_hash"), F.col("event_id").alias("seq"))
     again = r.filter("event_id % 10 = 0").select("dedupe_key", "source_app", "event_ts", X.joined_hash(F.col("display") + 1).alias("content_hash"), (F.col("event_id") + 1_000_000_000).alias("seq"))
     return rows.unionByName(again)
 
@@ -143,10 +148,55 @@ def merge_result(spark, sf_dir):
     return ledger.merged(_batch(r), _store(r)).select("dedupe_key", "content_hash")
 
 
+@query
+def change_rows(spark, sf_dir):
+    r = records(spark, sf_dir)
+    return state.change_rows(ledger.classify(_batch(r), _store(r)))
+
+
+@query
+def rejected_drafts(spark, sf_dir):
+    """The bridge's records as drafts, some of them broken in one of five ways."""
+    e, none = F.col("event_id") % 16, F.lit(None).cast("string")
+    cost = F.col("amount_minor").isNotNull()
+    drafts = records(spark, sf_dir).select(
+        F.when(e != 1, F.col("source_app")).alias("source_app"), F.when(e == 2, -F.col("input")).otherwise(F.col("input")).alias("input"), "output", "cached_input", "reasoning", F.col("reported").alias("reported_total"),
+        F.when(e == 3, "unknown").alias("input_quality"), F.when(e == 4, "exact").alias("output_quality"), none.alias("cached_input_quality"), none.alias("reasoning_quality"),
+        F.when(cost, F.when(e == 5, "computed_from_pricing").when(e == 6, "not_available").otherwise("reported_by_source")).alias("cost_status"), F.when(e == 5, " ").alias("pricing_version"), "amount_minor",
+        F.when(e == 7, "US").otherwise(F.col("currency")).alias("currency"), F.when(e == 8, 7).otherwise(F.col("exponent")).alias("exponent"),
+    )
+    return drafts.groupBy(reject_reason().alias("reason")).agg(F.count("*").alias("n"))
+
+
+@query
+def quota_merge(spark, sf_dir):
+    """Readings up to a day before, merged with those of the last source and its replaced windows."""
+    s = samples(records(spark, sf_dir), True).drop("event_id")
+    newest = lambda until: s.filter(F.col("observed_at") <= series.at(until)).groupBy("source_app", "label", "window_minutes").agg(*(F.max_by(c, "observed_at").alias(c) for c in ("used", "resets_at", "observed_at")))
+    later = newest(SEEN).filter("label is null or label = 'Small models'")
+    return state.merged_quotas(newest(SEEN - timedelta(days=1)), later, source="cursor").select("source_app", "label", "used", "resets_at", "observed_at")
+
+
+@query
+def health_states(spark, sf_dir):
+    """Every event as an attempt to read its source."""
+    k = F.col("event_id") % 7
+    outcome = F.when(k.isin(0, 4), "started").when(k.isin(1, 5), "succeeded").when(k == 2, "offline").otherwise("failed")
+    attempts = records(spark, sf_dir).select("source_app", F.col("event_id").alias("seq"), F.col("ts").alias("at"), outcome.alias("outcome"), F.when(k == 5, F.col("event_ts")).alias("observed_at"), (k == 5).alias("awaiting"), F.concat(F.lit("error "), k.cast("string")).alias("error"))
+    return state.health_history(attempts)
+
+
+@query
+def placeholders_retired(spark, sf_dir):
+    """Undated models stand for live rows here: those the dated feed of their source has passed go."""
+    r = records(spark, sf_dir).withColumn("source_ref", F.when(F.col("model").isNull(), "local-activity").otherwise("dashboard-window"))
+    return state.without_placeholders(r).groupBy("source_app", "source_ref").agg(F.count("*").alias("n"))
+
+
 @query
 def replace_scope_delete(spark, sf_dir):
     r = records(spark, sf_dir)
-    return ledger.outside_scope(_store(r), _batch(r), "codex", datetime(2024, 1, 10), datetime(2024, 1, 15)).select("dedupe_key")
+    return ledger.outside_scope(_store(r), r.filter(F.col("display") > 20_000), "codex", datetime(2024, 1, 10), datetime(2024, 1, 15)).select("dedupe_key")
 
 
 @query
@@ -154,15 +204,30 @@ def quota_samples_change_only(spark, sf_dir):
     return samples(records(spark, sf_dir)).select("source_app", "used", "resets_at", "observed_at")
 
 
-def _live(spark, sf_dir):
+def _live(spark, sf_dir, pools=True):
     r = records(spark, sf_dir)
-    s = samples(r)
+    s = samples(r, pools)
     return series.live_quotas(s, SEEN, AS_OF), s.filter(F.col("observed_at") <= series.at(SEEN)), r.filter(F.col("event_ts") <= series.at(AS_OF))
 
 
+def _paced(spark, sf_dir):
+    """Live allowances, and their pace after projection."""
+    quotas, seen, history = _live(spark, sf_dir)
+    ahead = series.projection(quotas, series.calibration(seen, history), history, AS_OF)
+    return quotas, series.pace(series.projected(quotas, ahead, AS_OF), seen, history, AS_OF)
+
+
 @query
 def quota_latest(spark, sf_dir):
-    return _live(spark, sf_dir)[0].select("source_app", "used", "resets_at", "observed_at")
+    return _live(spark, sf_dir, pools=False)[0].select("source_app", "used", "resets_at", "observed_at")
+
+
+@query
+def quota_pools(spark, sf_dir):
+    """The newest reading of each allowance, and which is the tightest of its source."""
+    quotas = _live(spark, sf_dir)[0]
+    tightest = series.tightest_quotas(quotas).select(*series.KEY, F.lit(True).alias("tightest"))
+    return quotas.join(tightest, series.KEY, "left").select("source_app", "label", "used", "resets_at", "observed_at", F.coalesce("tightest", F.lit(False)).alias("tightest"))
 
 
 @query
@@ -182,22 +247,17 @@ def burn_rate(spark, sf_dir):
 
 @query
 def pace_states(spark, sf_dir):
-    quotas, seen, history = _live(spark, sf_dir)
-    return series.pace(quotas, seen, history, AS_OF)
+    return _paced(spark, sf_dir)[1].drop("pool")
 
 
 @query
 def binding_window(spark, sf_dir):
-    return series.binding_windows(pace_states(spark, sf_dir)).select("source_app", "window_minutes", "state", "remaining", "runway")
+    return series.binding_windows(*_paced(spark, sf_dir)).select("source_app", "label", "window_minutes", "state", "confirmed_remaining", "runway")
 
 
 @query
 def status_line(spark, sf_dir):
-    """One line: what is left of the binding window of each source, and how long it lasts."""
-    b = binding_window(spark, sf_dir)
-    mark = F.when(F.col("state") == "red", F.concat(F.lit("↓"), X.compact_duration(F.col("runway")))).otherwise("")
-    item = F.struct(source_rank(F.col("source_app")).alias("rank"), F.concat(F.col("source_app"), F.lit(" "), X.format_tenths(F.col("remaining")), mark).alias("text"))
-    return b.agg(F.array_join(F.transform(F.array_sort(F.collect_list(item)), lambda x: x.text), " · ").alias("line"))
+    return series.status_text(series.binding_windows(*_paced(spark, sf_dir)))
 
 
 @query
@@ -218,13 +278,15 @@ def projection(spark, sf_dir):
     return series.projection(quotas, series.calibration(seen, history), history, AS_OF)
 
 
+LIMITS = (("remaining_percent", 45), ("minutes_until_reset", 600), ("projected_exhaustion", 60))
+SNOOZED = "cursor:1440:MinutesUntilReset:600:1705795200"
+
+
 @query
 def alerts_active(spark, sf_dir):
-    quotas, seen, history = _live(spark, sf_dir)
-    limits = [(s, m, v) for s in ("cursor", "claude_code", "codex") for m, v in (("remaining_percent", 45), ("minutes_until_reset", 600), ("projected_exhaustion", 60))]
-    thresholds = spark.createDataFrame(limits, "source_app string, metric string, limit_value long")
-    snoozed = spark.createDataFrame([("cursor:1440:minutes_until_reset:600:1705795200",)], "alert_key string")
-    return series.alerts(quotas, series.pace(quotas, seen, history, AS_OF), thresholds, snoozed, AS_OF)
+    thresholds = spark.createDataFrame([(s, m, v) for s in SOURCES for m, v in LIMITS], "source_app string, metric string, limit_value long")
+    quotas, paced = _paced(spark, sf_dir)
+    return series.alerts(quotas, paced, thresholds, spark.createDataFrame([(SNOOZED,)], "alert_key string"), AS_OF)
 
 
 @query
@@ -279,6 +341,51 @@ _SAMPLES = (
 )
 
 
+#: Allowances with pools, and everything that pace is made of, step by step.
+_PACE = (
+    _RECORDS.replace("WITH e AS", "WITH RECURSIVE e AS", 1)
+    + """, p AS (SELECT *, CAST(ts AS DATE) AS d, CASE WHEN source_app <> 'cursor' THEN '' WHEN model IN ('haiku-1', 'o4-mini') THEN 'Small models' ELSE 'Other models' END AS pool FROM r),
+  m AS (SELECT *, CAST(coalesce(1000 * sum(units) OVER (PARTITION BY source_app, pool, d ORDER BY ts, event_id) // nullif(sum(units) OVER (PARTITION BY source_app, pool, d), 0), 0) AS BIGINT) AS used FROM p),
+  m2 AS (SELECT *, lag(used) OVER (PARTITION BY source_app, pool, d ORDER BY ts, event_id) AS before FROM m),
+  s AS (SELECT source_app, pool, used, CAST(d + INTERVAL 1 DAY AS TIMESTAMP) AS resets_at, ts AS observed_at, event_id FROM m2 WHERE (before IS NULL OR before <> used) AND ts <= TIMESTAMP '2024-01-20 14:15:00'),
+  quotas AS (SELECT * FROM (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY source_app, pool ORDER BY observed_at DESC, event_id DESC) = 1) WHERE resets_at > TIMESTAMP '2024-01-20 15:00:00'),
+  history AS (SELECT * FROM r WHERE event_ts <= TIMESTAMP '2024-01-20 15:00:00'),
+  nth AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY source_app, pool ORDER BY observed_at, event_id) AS i FROM s),
+  scan AS (SELECT source_app, pool, i, observed_at AS a_at, used AS a_used, resets_at AS a_reset, CAST(NULL AS TIMESTAMP) AS t0, CAST(NULL AS TIMESTAMP) AS t1, CAST(NULL AS BIGINT) AS moved FROM nth WHERE i = 1
+    UNION ALL SELECT n.source_app, n.pool, n.i, CASE WHEN same AND step < 20 THEN a_at ELSE n.observed_at END, CASE WHEN same AND step < 20 THEN a_used ELSE n.used END, CASE WHEN same AND step < 20 THEN a_reset ELSE n.resets_at END,
+      CASE WHEN same AND step >= 20 THEN a_at END, CASE WHEN same AND step >= 20 THEN n.observed_at END, CASE WHEN same AND step >= 20 THEN step END
+      FROM (SELECT n.*, c.a_at, c.a_used, c.a_reset, abs(epoch_us(c.a_reset) - epoch_us(n.resets_at)) <= 120000000 AS same, greatest(0, n.used - c.a_used) AS step FROM scan c JOIN nth n ON n.source_app = c.source_app AND n.pool = c.pool AND n.i = c.i + 1) n),
+  spans AS (SELECT c.source_app, c.pool, 1440 AS window_minutes, c.t0, c.t1, c.moved, CAST(sum(h.units) AS BIGINT) AS units FROM scan c JOIN history h ON h.source_app = c.source_app AND h.event_ts > c.t0 AND h.event_ts <= c.t1 WHERE c.t0 IS NOT NULL GROUP BY ALL HAVING sum(h.units) > 0),
+  rated AS (SELECT *, (moved * 1000000000000 + units // 2) // units AS rate FROM spans),
+  lists AS (SELECT source_app, pool, list_sort(list(rate)) AS rates, count(*) AS n, max({'moved': moved, 't0': t0, 'rate': rate}) FILTER (rate > 0 AND moved >= 50) AS widest FROM rated GROUP BY source_app, pool),
+  middle AS (SELECT *, rates[n // 2 + 1] AS median FROM lists),
+  fit AS (SELECT source_app, pool, 1440 AS window_minutes, CAST(CASE WHEN n >= 3 THEN n ELSE 1 END AS BIGINT) AS n_spans, CAST(CASE WHEN n >= 3 THEN nullif(median, 0) ELSE widest.rate END AS BIGINT) AS rate,
+      CAST(CASE WHEN n >= 3 THEN list_sort(list_transform(rates, lambda x: abs(x - median)))[n // 2 + 1] * 100 // nullif(median, 0) ELSE 0 END AS BIGINT) AS residual_percent, n < 3 AS provisional FROM middle),
+  spent AS (SELECT q.source_app, q.pool, q.used, f.rate, least(sum(h.units), 1000000000000000000) AS units FROM quotas q JOIN fit f USING (source_app, pool) JOIN history h ON h.source_app = q.source_app AND h.event_ts > q.observed_at
+      WHERE f.rate IS NOT NULL AND (f.provisional OR f.residual_percent <= 35) AND (epoch_us(TIMESTAMP '2024-01-20 15:00:00') - epoch_us(q.observed_at)) // 60000000 BETWEEN 1 AND 120 GROUP BY ALL),
+  ahead AS (SELECT source_app, pool, 1440 AS window_minutes, used, CAST(least((CAST(units AS HUGEINT) * rate + 500000000000) // 1000000000000, 1000) AS BIGINT) AS added FROM spent),
+  projection AS (SELECT *, least(1000, used + added) AS projected FROM ahead WHERE added > 0),
+  q0 AS (SELECT q.source_app, q.pool, coalesce(p.projected, q.used) AS used, q.used AS confirmed, q.resets_at, CASE WHEN p.projected IS NULL THEN q.observed_at ELSE TIMESTAMP '2024-01-20 15:00:00' END AS observed_at FROM quotas q LEFT JOIN projection p USING (source_app, pool)),
+  cell AS (SELECT source_app, CAST(event_ts AS DATE) AS d, hour(event_ts) AS h, sum(display) AS t FROM history WHERE event_ts >= TIMESTAMP '2023-12-21 15:00:00' AND display IS NOT NULL GROUP BY ALL),
+  typical AS (SELECT source_app, CASE WHEN count(*) >= 3 THEN list_sort(list(t))[(count(*) - 1) // 2 + 1] END AS typical FROM cell WHERE h = 14 GROUP BY source_app),
+  burn AS (SELECT source_app, sum(display) * 60 // 60 AS rate FROM history WHERE event_ts >= TIMESTAMP '2024-01-20 14:00:00' AND display IS NOT NULL GROUP BY source_app),
+  tried AS (SELECT q.source_app, q.pool, q.used, q.observed_at, g.h, min_by({'u': s.used, 't': s.observed_at}, {'t': s.observed_at, 'i': s.event_id}) AS o FROM q0 q CROSS JOIN (VALUES (CAST(30 AS BIGINT)), (144), (360)) AS g(h)
+      JOIN s ON s.source_app = q.source_app AND s.pool = q.pool AND abs(epoch_us(s.resets_at) - epoch_us(q.resets_at)) <= 120000000 AND epoch_us(s.observed_at) >= epoch_us(q.observed_at) - g.h * 60000000 AND s.observed_at < q.observed_at GROUP BY ALL),
+  trail AS (SELECT source_app, pool, min((1000 - used) * ((epoch_us(observed_at) - epoch_us(o.t)) // 60000000) // (used - o.u)) AS trail FROM tried WHERE (epoch_us(observed_at) - epoch_us(o.t)) // 60000000 >= 10 AND used - o.u >= 20 GROUP BY source_app, pool),
+  q1 AS (SELECT q0.*, trail, burn.rate AS burning, typical, greatest(0, 1000 - used) AS remaining, greatest(0, (epoch_us(resets_at) - epoch_us(TIMESTAMP '2024-01-20 15:00:00')) // 60000000) AS left_min,
+      greatest(0, (epoch_us(TIMESTAMP '2024-01-20 15:00:00') - epoch_us(observed_at)) // 60000000) AS age, 1440 - greatest(0, (epoch_us(resets_at) - epoch_us(observed_at)) // 60000000) AS gone
+      FROM q0 LEFT JOIN trail USING (source_app, pool) LEFT JOIN burn USING (source_app) LEFT JOIN typical USING (source_app)),
+  q2 AS (SELECT *, age > 144 AS aged, CASE WHEN gone > 0 AND used >= 20 THEN remaining * gone // used END AS opened, greatest(left_min // 10, age, 15) AS tolerance FROM q1),
+  q3 AS (SELECT *, CASE WHEN aged THEN opened ELSE least(coalesce(opened, trail), coalesce(trail, opened)) END AS run FROM q2),
+  q4 AS (SELECT *, CASE WHEN remaining = 0 THEN 'exhausted' WHEN aged AND coalesce(burning, 0) > 0 THEN 'unknown' WHEN run IS NULL THEN CASE WHEN used = 0 OR aged THEN 'green' ELSE 'unknown' END
+      WHEN run > left_min + tolerance THEN 'green' WHEN run < greatest(0, left_min - tolerance) THEN 'red' ELSE 'amber' END AS state, coalesce(burning, 0) * 100 // nullif(typical, 0) AS ratio FROM q3),
+  pace AS (SELECT *, CASE WHEN state IN ('green', 'red', 'amber') THEN run END AS runway FROM q4),
+  b AS (SELECT *, greatest(0, 1000 - confirmed) AS confirmed_remaining FROM pace QUALIFY row_number() OVER (PARTITION BY source_app ORDER BY list_position(['exhausted', 'red', 'amber', 'unknown', 'green', 'notStarted'], state), runway NULLS LAST, greatest(0, 1000 - confirmed), pool) = 1)
+"""
+)
+_SHORT = "CASE WHEN {0} < 60 THEN concat({0}, 'm') WHEN {0} < 2880 THEN concat(({0} + 30) // 60, 'h') ELSE concat(({0} + 720) // 1440, 'd') END"
+
+
 def _totals_sql() -> str:
     out = ["count(*) AS records"]
     for c in ledger.COUNTS:
@@ -290,9 +397,9 @@ _T = _totals_sql()
 _HASH = "sha256(coalesce(CAST({} AS VARCHAR), ''))"
 _MERGE = (
     _RECORDS
-    + f""", store AS (SELECT dedupe_key, source_app, event_ts, {_HASH.format("display")} AS h FROM r WHERE event_id % 3 <> 0),
-  batch AS (SELECT dedupe_key, {_HASH.format("CASE WHEN event_id % 6 = 4 THEN display + 1 ELSE display END")} AS h, event_id AS seq FROM r WHERE event_id % 2 = 0
-    UNION ALL SELECT dedupe_key, {_HASH.format("display + 1")}, event_id + 1000000000 FROM r WHERE event_id % 10 = 0),
+    + f""", store AS (SELECT dedupe_key, source_app, event_ts, {_HASH.format("display")} AS h FROM r WHERE ts < TIMESTAMP '2024-01-16'),
+  batch AS (SELECT dedupe_key, {_HASH.format("CASE WHEN event_id % 6 = 4 THEN display + 1 ELSE display END")} AS h, event_id AS seq, source_app FROM r
+    UNION ALL SELECT dedupe_key, {_HASH.format("display + 1")}, event_id + 1000000000, source_app FROM r WHERE event_id % 10 = 0),
   c AS (SELECT b.*, coalesce(lag(b.h) OVER (PARTITION BY b.dedupe_key ORDER BY b.seq), s.h) AS before FROM batch b LEFT JOIN store s USING (dedupe_key)),
   o AS (SELECT *, CASE WHEN before IS NULL THEN 'inserted' WHEN before = h THEN 'unchanged' ELSE 'updated' END AS outcome FROM c)
 """
@@ -306,21 +413,59 @@ ORACLE_SQL: dict[str, str] = {
     "cost_by_currency": f"{_RECORDS} SELECT currency, CAST(sum(amount_minor * CAST(pow(10, 6 - exponent) AS BIGINT)) // CAST(pow(10, 6 - max(exponent)) AS BIGINT) AS BIGINT) AS amount_minor, max(exponent) AS exponent, count(*) AS counted FROM r WHERE amount_minor IS NOT NULL GROUP BY currency",
     "filtered_summary": f"{_RECORDS} SELECT source_app, model, {_T} FROM r WHERE {_WHERE} AND event_ts >= TIMESTAMP '2024-01-05' AND event_ts < TIMESTAMP '2024-01-20' GROUP BY source_app, model",
     "undated_excluded": f"{_RECORDS} SELECT count(*) AS undated_excluded FROM r WHERE {_WHERE} AND event_ts IS NULL",
-    "recent_50": f"{_RECORDS} SELECT event_id, source_app, model, event_ts, display FROM r ORDER BY event_ts IS NULL, event_ts DESC, dedupe_key LIMIT 50",
+    "recent_50": f"{_RECORDS} SELECT event_id, source_app, model, event_ts, display FROM r ORDER BY event_ts IS NULL, event_ts DESC, source_app || '_' || dedupe_key[1:16] LIMIT 50",
     "threads_top": f"""{_RECORDS}, p AS (SELECT source_app, session_id, project FROM r WHERE session_id IS NOT NULL AND project IS NOT NULL QUALIFY row_number() OVER (PARTITION BY source_app, session_id ORDER BY event_ts IS NULL, event_ts DESC, event_id DESC) = 1),
       g AS (SELECT source_app, session_id, count(*) AS records, CAST(coalesce(sum(display), 0) AS BIGINT) AS display, coalesce(string_agg(DISTINCT model, ',' ORDER BY model), '') AS models, min(event_ts) AS first_event, max(event_ts) AS last_event FROM r WHERE session_id IS NOT NULL GROUP BY source_app, session_id)
       SELECT g.*, p.project FROM g LEFT JOIN p USING (source_app, session_id) ORDER BY display DESC, last_event DESC NULLS LAST, source_app, session_id LIMIT 100""",
     "threads_header": f"{_RECORDS} SELECT count(DISTINCT CASE WHEN session_id IS NOT NULL THEN source_app || session_id END) AS thread_count, CAST(coalesce(sum(display) FILTER (session_id IS NOT NULL), 0) AS BIGINT) AS attributed_tokens, count(*) FILTER (session_id IS NULL) AS unattributed FROM r",
     "share_of_total": f"{_RECORDS} SELECT model, CAST(coalesce(sum(display), 0) AS BIGINT) AS tokens, CAST(coalesce(coalesce(sum(display), 0) * 1000 // nullif((SELECT sum(display) FROM r), 0), 0) AS BIGINT) AS share_tenths FROM r GROUP BY model",
     "dedupe_keys": f"{_RECORDS} SELECT event_id, dedupe_key, source_app || '_' || dedupe_key[1:16] AS record_id FROM r",
-    "content_hash": f"{_RECORDS} SELECT event_id, sha256(concat_ws(chr(31), 'v1', " + ", ".join(f"coalesce(CAST({c} AS VARCHAR), '')" for c in ("source_app", "model", "input", "output", "cached_input", "reasoning", "reported", "project", "session_id", "amount_minor", "currency", "exponent")) + ")) AS content_hash FROM r",
+    "content_hash": _RECORDS
+    + "SELECT event_id, sha256(array_to_string(['v1', coalesce(strftime(event_ts, '%Y-%m-%d %H:%M:%S'), ''), coalesce(CASE WHEN model LIKE 'o%' THEN 'openai' END, ''), coalesce(model, ''), "
+    + ", ".join(f"coalesce(CAST({c} AS VARCHAR), ''), CASE WHEN {c} IS NULL THEN 'Unknown' ELSE 'Exact' END" for c in ("input", "output", "cached_input", "reasoning"))
+    + ", coalesce(CAST(reported AS VARCHAR), ''), coalesce(project, ''), coalesce(session_id, ''), CASE WHEN amount_minor IS NULL THEN '' ELSE concat('ReportedBySource', chr(31), '', chr(31), amount_minor, '/', currency, '/', exponent) END], chr(31))) AS content_hash FROM r",
     "display_total_rules": f"{_RECORDS} SELECT CASE WHEN reported IS NOT NULL THEN 'source_reported' WHEN input IS NULL AND output IS NULL THEN 'unknown' WHEN reasoning IS NOT NULL THEN 'input_output_reasoning' ELSE 'input_output' END AS rule, count(*) AS n, CAST(coalesce(sum(display), 0) AS BIGINT) AS tokens FROM r GROUP BY 1",
-    "timestamp_interpretation": "SELECT event_id, CASE event_id % 6 WHEN 0 THEN 'epoch' WHEN 1 THEN 'epoch' WHEN 2 THEN 'explicit_offset' WHEN 3 THEN 'assumed_utc' WHEN 4 THEN 'unparsable' ELSE 'missing' END AS kind, CASE WHEN event_id % 6 = 1 THEN ts WHEN event_id % 6 < 4 THEN date_trunc('second', ts) END AS parsed FROM events",
+    "timestamp_interpretation": "SELECT event_id, CASE WHEN event_id % 9 IN (0, 1, 2, 8) THEN 'explicit_offset' WHEN event_id % 9 IN (3, 6, 7) THEN 'assumed_utc' WHEN event_id % 9 = 4 THEN 'unparsable' ELSE 'missing' END AS kind, CASE WHEN event_id % 9 = 1 THEN ts WHEN event_id % 9 IN (0, 2, 3) THEN date_trunc('second', ts) WHEN event_id % 9 IN (6, 7) THEN date_trunc('minute', ts) WHEN event_id % 9 = 8 THEN CAST(make_timestamp(-1000000 * (epoch_us(ts) // 1000000)) AS TIMESTAMP) END AS parsed FROM events",
     "merge_classify": f"{_MERGE} SELECT outcome, count(*) AS n FROM o GROUP BY outcome",
     "merge_result": f"{_MERGE}, last AS (SELECT dedupe_key, h FROM o WHERE outcome <> 'unchanged' QUALIFY row_number() OVER (PARTITION BY dedupe_key ORDER BY seq DESC) = 1) SELECT dedupe_key, h AS content_hash FROM last UNION ALL SELECT dedupe_key, h FROM store WHERE dedupe_key NOT IN (SELECT dedupe_key FROM last)",
-    "replace_scope_delete": f"{_MERGE} SELECT dedupe_key FROM store WHERE NOT coalesce(source_app = 'codex' AND event_ts >= TIMESTAMP '2024-01-10' AND event_ts < TIMESTAMP '2024-01-15', FALSE) OR dedupe_key IN (SELECT dedupe_key FROM batch)",
+    "change_rows": f"{_MERGE} SELECT source_app, count(*) FILTER (outcome = 'inserted') AS inserted, count(*) FILTER (outcome = 'updated') AS updated, count(*) FILTER (outcome = 'unchanged') AS unchanged, count(*) FILTER (outcome <> 'unchanged') > 0 AS data_changed FROM o GROUP BY source_app",
+    "rejected_drafts": f"""{_RECORDS}, d AS (SELECT *, event_id % 16 AS e FROM r) SELECT CASE WHEN e = 1 THEN 'no source' WHEN e = 2 AND input > 0 THEN 'negative count' WHEN (e = 3 AND input IS NOT NULL) OR (e = 4 AND output IS NULL) THEN 'inconsistent token quality'
+      WHEN amount_minor IS NOT NULL AND e IN (7, 8) THEN 'invalid cost' WHEN amount_minor IS NOT NULL AND e = 5 THEN 'missing pricing version' WHEN amount_minor IS NOT NULL AND e = 6 THEN 'contradictory cost status' END AS reason, count(*) AS n FROM d GROUP BY 1""",
+    "quota_merge": f"""{_PACE}, a AS (SELECT * FROM s WHERE observed_at <= TIMESTAMP '2024-01-19 14:15:00' QUALIFY row_number() OVER (PARTITION BY source_app, pool ORDER BY observed_at DESC) = 1),
+      z AS (SELECT * FROM s WHERE pool <> 'Other models' QUALIFY row_number() OVER (PARTITION BY source_app, pool ORDER BY observed_at DESC) = 1),
+      u AS (SELECT * FROM a WHERE source_app <> 'cursor' OR pool IN (SELECT pool FROM z WHERE source_app = 'cursor') UNION ALL SELECT * FROM z)
+      SELECT source_app, nullif(pool, '') AS label, used, resets_at, observed_at FROM u QUALIFY row_number() OVER (PARTITION BY source_app, pool ORDER BY observed_at DESC) = 1""",
+    "health_states": f"""{_RECORDS}, a AS (SELECT source_app, event_id AS seq, ts, event_ts, event_id % 7 AS k FROM r),
+      g AS (SELECT *, k IN (1, 5) AS good, max(CASE WHEN k IN (1, 5) THEN seq END) OVER w AS good_seq, max(CASE WHEN k IN (2, 3, 6) THEN seq END) OVER w AS bad_seq, last_value(CASE WHEN k = 5 THEN event_ts END IGNORE NULLS) OVER w AS seen, last_value(CASE WHEN k IN (1, 5) THEN ts END IGNORE NULLS) OVER w AS synced,
+        first_value(CASE WHEN k IN (1, 5) THEN ts END IGNORE NULLS) OVER w AS first_sync, last_value(CASE WHEN k IN (2, 3, 6) THEN k END IGNORE NULLS) OVER w AS bad, last_value(CASE WHEN k IN (1, 5) THEN k = 5 END IGNORE NULLS) OVER w AS waiting FROM a WINDOW w AS (PARTITION BY source_app ORDER BY seq ROWS UNBOUNDED PRECEDING)),
+      h AS (SELECT source_app, seq, ts AS last_attempt_at, CASE WHEN k IN (0, 4) THEN 'syncing' WHEN good THEN 'current' WHEN k = 2 THEN 'offline' ELSE 'error' END AS state, synced AS app_synced_at, coalesce(seen, first_sync) AS source_observed_at, CASE WHEN bad_seq > coalesce(good_seq, -1) THEN concat('error ', bad) END AS last_error, coalesce(waiting, FALSE) AS awaiting_upstream FROM g),
+      m AS (SELECT *, coalesce(row(state, app_synced_at, source_observed_at, last_error, awaiting_upstream) IS DISTINCT FROM lag(row(state, app_synced_at, source_observed_at, last_error, awaiting_upstream)) OVER w, TRUE) AS material FROM h WINDOW w AS (PARTITION BY source_app ORDER BY seq))
+      SELECT *, CAST(sum(CAST(material AS INTEGER)) OVER (PARTITION BY source_app ORDER BY seq ROWS UNBOUNDED PRECEDING) AS BIGINT) AS revision FROM m""",
+    "placeholders_retired": f"{_RECORDS}, f AS (SELECT source_app, max(event_ts) AS passed FROM r WHERE model IS NOT NULL GROUP BY source_app) SELECT source_app, CASE WHEN model IS NULL THEN 'local-activity' ELSE 'dashboard-window' END AS source_ref, count(*) AS n FROM r LEFT JOIN f USING (source_app) WHERE NOT (model IS NULL AND coalesce(event_ts <= passed, FALSE)) GROUP BY ALL",
+    "replace_scope_delete": f"{_MERGE} SELECT dedupe_key FROM store WHERE NOT coalesce(source_app = 'codex' AND event_ts >= TIMESTAMP '2024-01-10' AND event_ts < TIMESTAMP '2024-01-15', FALSE) OR dedupe_key IN (SELECT dedupe_key FROM r WHERE display > 20000)",
     "quota_samples_change_only": f"{_SAMPLES} SELECT source_app, used, resets_at, observed_at FROM s",
     "quota_latest": f"{_SAMPLES} SELECT * FROM live WHERE resets_at > TIMESTAMP '2024-01-20 15:00:00'",
+    "quota_pools": f"{_PACE} SELECT source_app, nullif(pool, '') AS label, used, resets_at, observed_at, row_number() OVER (PARTITION BY source_app ORDER BY greatest(0, 1000 - used), pool) = 1 AS tightest FROM quotas",
+    "calibration_spans": f"{_PACE} SELECT source_app, pool, CAST(window_minutes AS BIGINT) AS window_minutes, t0, t1, moved, units FROM spans",
+    "calibration_fit": f"{_PACE} SELECT source_app, pool, CAST(window_minutes AS BIGINT) AS window_minutes, n_spans, rate, residual_percent, provisional FROM fit WHERE rate IS NOT NULL",
+    "projection": f"{_PACE} SELECT source_app, pool, CAST(window_minutes AS BIGINT) AS window_minutes, used, added, projected FROM projection",
+    "pace_states": f"""{_PACE} SELECT source_app, nullif(pool, '') AS label, CAST(1440 AS BIGINT) AS window_minutes, CAST(used AS BIGINT) AS used, CAST(remaining AS BIGINT) AS remaining, CAST(left_min AS BIGINT) AS until_reset, CAST(age AS BIGINT) AS age, aged, state, CAST(runway AS BIGINT) AS runway,
+      CAST(CASE WHEN state = 'green' THEN runway - left_min END AS BIGINT) AS slack, CAST(CASE WHEN state = 'red' THEN left_min - runway END AS BIGINT) AS shortfall, CAST(left_min * 100 // nullif(runway, 0) AS BIGINT) AS pace_ratio,
+      CASE WHEN ratio < 75 THEN 'below' WHEN ratio < 150 THEN 'typical' WHEN ratio < 250 THEN 'above' WHEN ratio IS NOT NULL THEN 'farAbove' END AS vs_baseline,
+      CAST(CASE WHEN state = 'red' THEN 0 WHEN runway IS NOT NULL THEN 1 ELSE 2 END AS INTEGER) AS urgency, CAST(runway AS BIGINT) AS urgency_value FROM pace""",
+    "binding_window": f"{_PACE} SELECT source_app, nullif(pool, '') AS label, CAST(1440 AS BIGINT) AS window_minutes, state, CAST(confirmed_remaining AS BIGINT) AS confirmed_remaining, CAST(runway AS BIGINT) AS runway FROM b",
+    "status_line": f"""{_PACE} SELECT coalesce(string_agg(concat(CASE source_app WHEN 'claude_code' THEN 'claude' ELSE source_app END, ' ', (confirmed_remaining + 5) // 10, '%', CASE state WHEN 'red' THEN '↓' || {_SHORT.format("runway")} WHEN 'amber' THEN '~' WHEN 'exhausted' THEN '×' ELSE '' END, '·', {_SHORT.format("left_min")}), ' · ' ORDER BY list_position(['codex', 'claude_code', 'cursor'], source_app)), '—') AS line FROM b""",
+    "alerts_active": f"""{_PACE}, limits AS (SELECT * FROM (VALUES ('remaining_percent', 45), ('minutes_until_reset', 600), ('projected_exhaustion', 60)) AS v(metric, limit_value)),
+      j AS (SELECT *, greatest(0, 1000 - confirmed) AS have, greatest(0, -((-((epoch_us(resets_at) - epoch_us(TIMESTAMP '2024-01-20 15:00:00')) // 1000000)) // 60)) AS minutes, CASE WHEN state = 'red' THEN left_min - runway END AS short FROM pace CROSS JOIN limits),
+      one AS (SELECT * FROM j QUALIFY row_number() OVER (PARTITION BY source_app, metric ORDER BY CASE metric WHEN 'remaining_percent' THEN have WHEN 'minutes_until_reset' THEN minutes ELSE coalesce(left_min - short, 1152921504606846976) END, pool) = 1),
+      k AS (SELECT *, concat_ws(':', source_app, 1440, CASE metric WHEN 'remaining_percent' THEN 'RemainingPercent' WHEN 'minutes_until_reset' THEN 'MinutesUntilReset' ELSE 'ProjectedExhaustion' END, limit_value, epoch_us(resets_at) // 1000000) AS alert_key FROM one
+        WHERE CASE metric WHEN 'remaining_percent' THEN have // 10 <= limit_value WHEN 'minutes_until_reset' THEN minutes <= limit_value ELSE coalesce(short >= limit_value, FALSE) END)
+      SELECT source_app, CAST(1440 AS BIGINT) AS window_minutes, metric, CAST(limit_value AS BIGINT) AS limit_value, alert_key, CASE source_app WHEN 'cursor' THEN 'Cursor' WHEN 'codex' THEN 'Codex' ELSE 'Claude' END || ' running low' AS title,
+        CASE metric WHEN 'remaining_percent' THEN concat(have // 10, CASE WHEN have % 10 <> 0 THEN concat('.', have % 10) ELSE '' END, '% left this window · threshold ', limit_value, '%') WHEN 'minutes_until_reset' THEN concat('resets in ', minutes, ' min this window · threshold ', limit_value, ' min')
+          ELSE concat('projected to run out ', short, ' min early this window · threshold ', limit_value, ' min') END AS body FROM k WHERE alert_key <> 'cursor:1440:MinutesUntilReset:600:1705795200'""",
+    "session_tiling": f"""{_RECORDS.replace("WITH e AS", "WITH RECURSIVE e AS", 1)}, t AS MATERIALIZED (SELECT session_id, event_ts AS t FROM r WHERE session_id IS NOT NULL AND event_ts <= TIMESTAMP '2024-01-20 15:00:00'),
+      w AS (SELECT session_id, min(t) AS o FROM t GROUP BY session_id UNION ALL SELECT w.session_id, min(t.t) FROM w JOIN t ON t.session_id = w.session_id AND t.t >= w.o + INTERVAL 5 HOUR WHERE w.o + INTERVAL 5 HOUR <= TIMESTAMP '2024-01-20 15:00:00' GROUP BY w.session_id)
+      SELECT session_id, CASE WHEN max(o) + INTERVAL 5 HOUR > TIMESTAMP '2024-01-20 15:00:00' THEN max(o) + INTERVAL 5 HOUR END AS resets_at FROM w GROUP BY session_id""",
     "baseline_median_hour": f"{_RECORDS}, cell AS (SELECT source_app, CAST(event_ts AS DATE) AS d, hour(event_ts) AS h, sum(display) AS t FROM r WHERE event_ts >= TIMESTAMP '2024-01-01' AND display IS NOT NULL GROUP BY ALL) SELECT source_app, CAST(h AS INTEGER) AS hour, count(*) AS n_days, CAST(CASE WHEN count(*) >= 3 THEN list_sort(list(t))[(count(*) - 1) // 2 + 1] END AS BIGINT) AS median_tokens FROM cell GROUP BY source_app, h",
     "duty_cycle": f"{_RECORDS}, cell AS (SELECT source_app, CAST(event_ts AS DATE) AS d, hour(event_ts) AS h, min(event_ts) AS t FROM r WHERE event_ts >= TIMESTAMP '2024-01-01' AND display IS NOT NULL GROUP BY ALL) SELECT source_app, count(*) AS active_hours, CAST(CASE WHEN count(*) >= 24 THEN least(100, count(*) * 100 // least(720, greatest(1, (epoch_us(TIMESTAMP '2024-01-31') - epoch_us(min(t))) // 3600000000))) END AS BIGINT) AS duty_percent FROM cell GROUP BY source_app",
     "burn_rate": f"{_RECORDS} SELECT source_app, CAST(sum(display) * 60 // 60 AS BIGINT) AS tokens_per_hour FROM r WHERE event_ts >= TIMESTAMP '2024-01-20 14:00:00' AND display IS NOT NULL GROUP BY source_app",

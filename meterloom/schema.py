@@ -22,9 +22,17 @@ BIGINT_MAX = 9223372036854775807
 SOURCES = ("cursor", "claude_code", "codex")
 COUNTABLE = ("exact", "estimated", "partial")
 
+QUALITIES = {"exact": "Exact", "estimated": "Estimated", "partial": "Partial", "unknown": "Unknown"}
+COST_STATUSES = {"reported_by_source": "ReportedBySource", "computed_from_pricing": "ComputedFromPricing", "not_available": "NotAvailable"}
+METRICS = {"remaining_percent": "RemainingPercent", "minutes_until_reset": "MinutesUntilReset", "projected_exhaustion": "ProjectedExhaustion"}
+SOURCE_TITLES = {"cursor": "Cursor", "claude_code": "Claude", "codex": "Codex"}
+WINDOW_NAMES = {300: "this session", 10_080: "this week"}
+
 DRAFT = (
     "source_app string, source_event_id string, raw_timestamp string, provider string, model string, "
-    "input long, output long, cached_input long, reasoning long, reported_total long, project string, session_id string, source_ref string"
+    "input long, output long, cached_input long, reasoning long, reported_total long, project string, session_id string, source_ref string, "
+    "input_quality string, output_quality string, cached_input_quality string, reasoning_quality string, "
+    "cost_status string, pricing_version string, amount_minor long, currency string, exponent int"
 )
 QUOTA = "source_app string, label string, window_minutes int, used_tenths int, resets_at timestamp, observed_at timestamp"
 
@@ -32,3 +40,11 @@ QUOTA = "source_app string, label string, window_minutes int, used_tenths int, r
 def source_rank(c: Column) -> Column:
     """The enum order of sources, which isn't the order of their names."""
     return F.array_position(F.array(*map(F.lit, SOURCES)), c)
+
+
+def named(c: Column, names: dict, other: Column | None = None) -> Column:
+    """The value of a fixed table for each key."""
+    out = F.lit(None) if other is None else other
+    for key, value in reversed(names.items()):
+        out = F.when(c == key, F.lit(value)).otherwise(out)
+    return out

@@ -39,18 +39,21 @@ def records(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.withColumns({"display": display_total(*map(F.col, ("reported", "input", "output", "reasoning"))), "dedupe_key": dedupe_key(F.col("source_app"), own)})
 
 
-def samples(records: DataFrame) -> DataFrame:
+def samples(records: DataFrame, pools: bool = False) -> DataFrame:
     """Change-only readings of a daily allowance of each source, driven by cost units.
 
-    A day's window is one instance, so each (source, day) is a partition of its own.
+    With `pools`, the first source has two allowances, told apart by their labels: one for its small models, one for all
+    others. A day's window is one instance, so each (source, label, day) is a partition of its own.
     """
     day = F.to_date("ts")
-    w = Window.partitionBy("source_app", "day").orderBy("ts", "event_id")
-    metered = records.select("source_app", "ts", "event_id", day.alias("day"), cost_units(F.col("model"), F.col("input"), F.col("output"), F.col("cached_input")).alias("units"))
-    used = div(1000 * F.sum("units").over(w.rowsBetween(Window.unboundedPreceding, 0)), F.sum("units").over(Window.partitionBy("source_app", "day")))
+    pool = F.when(F.col("source_app") == SOURCES[0], F.when(F.col("model").isin("haiku-1", "o4-mini"), "Small models").otherwise("Other models")) if pools else F.lit(None).cast("string")
+    key = Window.partitionBy("source_app", "label", "day")
+    w = key.orderBy("ts", "event_id")
+    metered = records.select("source_app", "ts", "event_id", day.alias("day"), pool.alias("label"), cost_units(F.col("model"), F.col("input"), F.col("output"), F.col("cached_input")).alias("units"))
+    used = div(1000 * F.sum("units").over(w.rowsBetween(Window.unboundedPreceding, 0)), F.sum("units").over(key))
     read = metered.withColumn("used", F.coalesce(used, F.lit(0)))
     return (
         read.withColumn("before", F.lag("used").over(w))
         .filter("before is null or before <> used")
-        .select("source_app", F.lit(1440).cast("long").alias("window_minutes"), "used", F.date_add("day", 1).cast("timestamp_ntz").alias("resets_at"), F.col("ts").alias("observed_at"), "event_id")
+        .select("source_app", "label", F.lit(1440).cast("long").alias("window_minutes"), "used", F.date_add("day", 1).cast("timestamp_ntz").alias("resets_at"), F.col("ts").alias("observed_at"), "event_id")
     )

@@ -1,6 +1,7 @@
 """Readers of the three kinds of raw session logs: JSON lines to drafts, malformed lines skipped.
 
-Every reader takes a folder or glob and returns the columns of `schema.DRAFT`. Lines of one file keep their order by a
+Readers take a folder or glob. Those named after drafts return the columns of `schema.DRAFT`, those of allowances the
+columns of `schema.QUOTA`; `bubbles` and `billed_events` are steps on the way. Lines of one file keep their order by a
 number that is assigned while the file's lines are read, so state is carried by windows over (file, line).
 """
 
@@ -15,7 +16,7 @@ from ..schema import DRAFT
 _ROLLOUT = "timestamp string, type string, payload struct<id:string,cwd:string,model_provider:string,model:string,type:string,info:struct<last_token_usage:struct<input_tokens:bigint,cached_input_tokens:bigint,output_tokens:bigint,reasoning_output_tokens:bigint,total_tokens:bigint>>,rate_limits:struct<primary:struct<used_percent:double,window_minutes:int,resets_at:bigint>>>"
 _TRANSCRIPT = "timestamp string, uuid string, sessionId string, cwd string, type string, message struct<id:string,model:string,usage:struct<input_tokens:bigint,cache_creation_input_tokens:bigint,cache_read_input_tokens:bigint,output_tokens:bigint>>"
 _BUBBLE = "conversationId string, bubbleId string, type int, createdAt string, model string, inputTokens bigint, outputTokens bigint"
-_NAMES = [c.strip().split(" ")[0] for c in DRAFT.split(",")]
+_TYPES = dict(c.strip().split(" ") for c in DRAFT.split(","))
 
 
 def lines(spark: SparkSession, path: str, glob: str) -> DataFrame:
@@ -31,7 +32,7 @@ def _parsed(raw: DataFrame, schema: str) -> DataFrame:
 
 
 def _draft(df: DataFrame, **columns: Column) -> DataFrame:
-    return df.select(*(columns.get(n, F.lit(None).cast("string")).alias(n) for n in _NAMES))
+    return df.select(*(columns.get(n, F.lit(None)).cast(kind).alias(n) for n, kind in _TYPES.items()))
 
 
 def sum_known(a: Column, b: Column) -> Column:
@@ -71,11 +72,52 @@ def rollout_drafts(spark: SparkSession, path: str) -> DataFrame:
 
 
 def rollout_quota(spark: SparkSession, path: str) -> DataFrame:
-    """The newest reading of each allowance window in the rollouts; percentages outside 0 to 1000 tenths are rejected."""
+    """The newest reading of each allowance window in the rollouts; percentages outside 0 to 10,000 tenths are rejected."""
     q = F.col("j.payload.rate_limits.primary")
     tenths = F.round(q.used_percent * 10).cast("int")
-    read = _rollouts(spark, path).filter(q.isNotNull() & tenths.between(0, 10_000)).select(F.lit("codex").alias("source_app"), q.window_minutes.alias("window_minutes"), percent_to_tenths(q.used_percent).alias("used_tenths"), F.timestamp_seconds(q.resets_at).alias("resets_at"), F.try_to_timestamp("j.timestamp").alias("observed_at"))
-    return read.groupBy("source_app", "window_minutes").agg(*(F.max_by(c, "observed_at").alias(c) for c in ("used_tenths", "resets_at", "observed_at")))
+    read = _rollouts(spark, path).filter(q.isNotNull() & tenths.between(0, 10_000)).select(F.lit("codex").alias("source_app"), q.window_minutes.alias("window_minutes"), tenths.alias("used_tenths"), F.timestamp_seconds(q.resets_at).alias("resets_at"), F.try_to_timestamp("j.timestamp").alias("observed_at"))
+    newest = read.groupBy("source_app", "window_minutes").agg(*(F.max_by(c, "observed_at").alias(c) for c in ("used_tenths", "resets_at", "observed_at")))
+    return _quota(newest, F.lit(None))
+
+
+def _quota(df: DataFrame, label: Column) -> DataFrame:
+    return df.select("source_app", label.cast("string").alias("label"), F.col("window_minutes").cast("int").alias("window_minutes"), F.col("used_tenths").cast("int").alias("used_tenths"), "resets_at", "observed_at")
+
+
+def cached_quota(spark: SparkSession, path: str) -> DataFrame:
+    """The allowances of a transcript source's cache files: four windows, those without a percentage left out.
+
+    A null reset stays null; one that can't be read drops its window.
+    """
+    one = "struct<utilization:double,resets_at:string>"
+    names = {"five_hour": (300, None), "seven_day": (10_080, None), "seven_day_opus": (10_080, "Opus"), "seven_day_sonnet": (10_080, "Sonnet")}
+    cache = spark.read.option("multiLine", True).schema(f"cachedUsageUtilization struct<fetchedAtMs:bigint,utilization:struct<{','.join(f'{n}:{one}' for n in names)}>>").json(path).select("cachedUsageUtilization.*")
+    window = lambda n, minutes, label: F.struct(F.lit(minutes).alias("window_minutes"), F.lit(label).cast("string").alias("label"), F.col(f"utilization.{n}").alias("u"))
+    each = cache.select("fetchedAtMs", F.explode(F.array(*(window(n, *w) for n, w in names.items()))).alias("w")).filter("w.u.utilization is not null")
+    reset = F.try_to_timestamp("w.u.resets_at")
+    each = each.filter(F.col("w.u.resets_at").isNull() | reset.isNotNull())
+    read = each.select(F.lit("claude_code").alias("source_app"), "w.window_minutes", F.col("w.label").alias("pool_label"), percent_to_tenths(F.col("w.u.utilization")).alias("used_tenths"), reset.alias("resets_at"), F.timestamp_millis("fetchedAtMs").alias("observed_at"))
+    return _quota(read, F.col("pool_label"))
+
+
+def limit_quota(spark: SparkSession, path: str, now: str) -> DataFrame:
+    """The newest rate-limit line of transcripts as a used-up allowance, if it resets after `now` (a UTC timestamp).
+
+    The text names a wall clock and a zone; a clock that isn't after the line's own time is of the next day.
+    """
+    text = F.array_join(F.transform("j.message.content", lambda c: c.text), " ")
+    raw = _parsed(lines(spark, path, "*.jsonl").filter(F.col("value").contains("rate_limit")), "timestamp string, error string, message struct<content:array<struct<type:string,text:string>>>")
+    hit = raw.filter(F.col("j.error") == "rate_limit").select(F.try_to_timestamp("j.timestamp").alias("observed_at"), text.alias("text")).filter("observed_at is not null")
+    pattern = r"hit your (session|weekly|week) limit.*resets (\d{1,2})(?::(\d{2}))?(am|pm) \(([^)]+)\)"
+    part = lambda k: F.regexp_extract("text", pattern, k)
+    hour = part(2).try_cast("int") % 12 + F.when(part(4) == "pm", 12).otherwise(0)
+    day = F.to_date(F.from_utc_timestamp("observed_at", part(5)))
+    local = F.make_timestamp_ntz(F.year(day), F.month(day), F.day(day), hour, F.coalesce(part(3).try_cast("int"), F.lit(0)), F.lit(0)).cast("timestamp")
+    same = F.to_utc_timestamp(local, part(5))
+    reset = F.when(same > F.col("observed_at"), same).otherwise(F.to_utc_timestamp(local + F.expr("INTERVAL 1 DAY"), part(5)))
+    read = hit.filter(part(2) != "").select(F.lit("claude_code").alias("source_app"), F.when(part(1) == "session", 300).otherwise(10_080).alias("window_minutes"), F.lit(1000).alias("used_tenths"), reset.alias("resets_at"), "observed_at")
+    newest = read.groupBy("source_app").agg(F.max_by(F.struct("window_minutes", "used_tenths", "resets_at", "observed_at"), "observed_at").alias("q")).select("source_app", "q.*")
+    return _quota(newest.filter(F.col("resets_at") > F.lit(now).cast("timestamp")), F.lit(None))
 
 
 def transcript_drafts(spark: SparkSession, path: str) -> DataFrame:
@@ -86,7 +128,7 @@ def transcript_drafts(spark: SparkSession, path: str) -> DataFrame:
     u = lambda c: F.col(f"j.message.usage.{c}")
     return _draft(
         last, source_app=F.lit("claude_code"), source_event_id=F.col("own"), raw_timestamp=F.col("j.timestamp"), provider=F.lit("anthropic"), model=F.col("j.message.model"), input=sum_known(u("input_tokens"), u("cache_creation_input_tokens")),
-        output=u("output_tokens"), cached_input=u("cache_read_input_tokens"), reasoning=F.lit(None).cast("long"), reported_total=F.lit(None).cast("long"), project=project_name(F.col("j.cwd")), session_id=F.col("j.sessionId"), source_ref=F.col("path"),
+        output=u("output_tokens"), cached_input=u("cache_read_input_tokens"), project=project_name(F.col("j.cwd")), session_id=F.col("j.sessionId"), source_ref=F.col("path"),
     )
 
 
@@ -107,3 +149,13 @@ def billed_events(spark: SparkSession, path: str) -> DataFrame:
     e = e.withColumn("occurrence", F.row_number().over(Window.partitionBy("identity").orderBy("timestamp")) - 1)
     number = lambda c: F.col(f"tokenUsage.{c}").try_cast("long")
     return e.select("identity", "occurrence", "timestamp", clean(F.col("model")).alias("model"), provider_of(F.col("model")).alias("provider"), sum_known(number("inputTokens"), number("cacheWriteTokens")).alias("input"), number("outputTokens").alias("output"), number("cacheReadTokens").alias("cached_input"), cents_to_minor(F.coalesce(F.col("chargedCents").try_cast("double"), F.col("tokenUsage.totalCents").try_cast("double"))).alias("amount_minor"))
+
+
+def billed_drafts(spark: SparkSession, path: str) -> DataFrame:
+    """Billed events as drafts, with the cost their source reports."""
+    e = billed_events(spark, path)
+    return _draft(
+        e, source_app=F.lit("cursor"), source_event_id=F.concat_ws("-", F.lit("dashboard"), "identity", F.col("occurrence").cast("string")), raw_timestamp=F.col("timestamp"), provider=F.col("provider"), model=F.col("model"), input=F.col("input"),
+        output=F.col("output"), cached_input=F.col("cached_input"), source_ref=F.lit("dashboard-window"), cost_status=F.when(F.col("amount_minor").isNotNull(), "reported_by_source"), amount_minor=F.col("amount_minor"), currency=F.when(F.col("amount_minor").isNotNull(), "USD"),
+        exponent=F.when(F.col("amount_minor").isNotNull(), 4),
+    )

@@ -1,34 +1,52 @@
 """Streaming ingestion: micro-batches of drafts committed to a revisioned ledger on Parquet.
 
-The ledger is a log: a commit appends the rows that changed, under the next revision, and a key's newest row counts.
-So a commit writes no more than its batch, and reads only keys and hashes of what is stored. A batch that is replayed
-after a failure finds its own hashes stored and changes nothing.
+The ledger is a log: a commit writes the rows that changed as the folder of its revision, and a key's newest row
+counts. So a commit writes no more than its batch, and reads only keys and hashes of what is stored. A batch that is
+replayed after a failure is compared with the revisions before its own and overwrites its own folder, so that half a
+revision never stays.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from ..functions.scalars import dedupe_key, display_total, joined_hash, parse_timestamp, record_id, timestamp_kind
+from ..functions.scalars import content_hash, cost_problem, countable, dedupe_key, display_total, parse_timestamp, record_id, timestamp_kind
 from ..operators.ledger import classify
 
-CONTENT = ("raw_timestamp", "provider", "model", "input", "output", "cached_input", "reasoning", "reported_total", "project", "session_id")
+COUNTS = ("input", "output", "cached_input", "reasoning")
+CONTENT = ("raw_timestamp", "provider", "model", *COUNTS, "reported_total", "project", "session_id")
+COST = ("cost_status", "pricing_version", "amount_minor", "currency", "exponent")
+
+
+def reject_reason() -> Column:
+    """Why a draft can't be a record, or null: source, negative counts, a quality that contradicts its count, cost."""
+    negative = F.greatest(*(F.when(F.col(c) < 0, 1).otherwise(0) for c in (*COUNTS, "reported_total"))) == 1
+    off = F.lit(False)
+    for c in COUNTS:
+        known = F.coalesce(F.col(f"{c}_quality"), F.when(F.col(c).isNotNull(), "exact").otherwise("unknown")) != "unknown"
+        off |= F.col(c).isNotNull() != known
+    return F.when(F.col("source_app").isNull(), "no source").when(negative, "negative count").when(off, "inconsistent token quality").otherwise(cost_problem(*map(F.col, COST)))
 
 
 def normalized(drafts: DataFrame) -> DataFrame:
-    """Drafts as records: identity, content hash, instant and display total; `reject_reason` says why a draft isn't one."""
-    key = dedupe_key(F.col("source_app"), F.col("source_event_id"), *map(F.col, CONTENT))
-    negative = F.greatest(*(F.when(F.col(c) < 0, 1).otherwise(0) for c in ("input", "output", "cached_input", "reasoning", "reported_total"))) == 1
+    """Drafts as records: identity, content hash, instant and display total; `reject_reason` says why a draft isn't one.
+
+    A count without a quality is exact where it is known; currencies are upper-cased.
+    """
+    value = lambda c: F.when(F.col(f"{c}_quality").isNull(), F.col(c)).otherwise(countable(F.col(c), F.col(f"{c}_quality")))
+    drafts = drafts.withColumn("currency", F.upper("currency"))
     out = drafts.withColumns(
         {
-            "dedupe_key": key,
-            "content_hash": joined_hash(F.lit("v1"), *map(F.col, CONTENT)),
+            "dedupe_key": dedupe_key(F.col("source_app"), F.col("source_event_id"), *map(F.col, CONTENT)),
+            "content_hash": content_hash(
+                F.col("raw_timestamp"), F.col("provider"), F.col("model"), [(F.col(c), F.col(f"{c}_quality")) for c in COUNTS], F.col("reported_total"), F.col("project"), F.col("session_id"), tuple(map(F.col, COST))
+            ),
             "timestamp_interpretation": timestamp_kind(F.col("raw_timestamp")),
             "event_ts": parse_timestamp(F.col("raw_timestamp")),
-            "display": display_total(*map(F.col, ("reported_total", "input", "output", "reasoning"))),
-            "reject_reason": F.when(F.col("source_app").isNull(), "no source").when(negative, "negative count"),
+            "display": display_total(F.col("reported_total"), value("input"), value("output"), value("reasoning")),
+            "reject_reason": reject_reason(),
         }
     )
     return out.withColumn("id", record_id(F.col("source_app"), F.col("dedupe_key")))
@@ -43,19 +61,23 @@ class Ledger:
         there = hadoop.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).exists(hadoop)
         return self.spark.read.parquet(f"{self.path}/log") if there else self.spark.createDataFrame([], schema)
 
-    def current(self, schema=None) -> DataFrame:
-        """The newest row of each key."""
+    def current(self, schema=None, before: int | None = None) -> DataFrame:
+        """The newest row of each key, of the revisions before `before` where that is given."""
         w = Window.partitionBy("dedupe_key").orderBy(F.desc("revision"))
-        return self._log(schema).withColumn("at", F.row_number().over(w)).filter("at = 1").drop("at")
+        log = self._log(schema).withColumn("revision", F.col("revision").cast("long"))
+        log = log if before is None else log.filter(F.col("revision") < before)
+        return log.withColumn("at", F.row_number().over(w)).filter("at = 1").drop("at")
 
     def commit(self, batch: DataFrame, revision: int) -> None:
-        """Appends the rows of `batch` that change something, the last one of each key."""
-        rows = batch.filter("reject_reason is null").drop("reject_reason").withColumn("seq", F.monotonically_increasing_id())
+        """Writes the rows of `batch` that change something, the last one of each key.
+
+        Rows of one key come in order of their source's timestamp, then of their content, so a replay orders them alike.
+        """
+        rows = batch.filter("reject_reason is null").drop("reject_reason").withColumn("seq", F.struct(F.coalesce("event_ts", F.timestamp_seconds(F.lit(0))).alias("t"), "content_hash"))
         schema = rows.drop("seq").withColumn("revision", F.lit(0).cast("long")).schema
-        changed = classify(rows, self.current(schema)).filter("outcome <> 'unchanged'")
+        changed = classify(rows, self.current(schema, revision)).filter("outcome <> 'unchanged'")
         last = changed.withColumn("at", F.row_number().over(Window.partitionBy("dedupe_key").orderBy(F.desc("seq")))).filter("at = 1")
-        last.drop("seq", "at", "before", "stored_hash", "outcome").withColumn("revision", F.lit(revision).cast("long")).write.mode("append").parquet(f"{self.path}/log")
-
+        last.drop("seq", "at", "before", "stored_hash", "outcome").write.mode("overwrite").parquet(f"{self.path}/log/revision={revision}")
 
     def update_hours(self, batch: DataFrame, revision: int) -> None:
         """Appends the totals of every hour that `batch`, which is committed, may have changed, made anew from the ledger.
@@ -68,7 +90,7 @@ class Ledger:
         touched = self._log(None).join(keys, "dedupe_key", "left_semi").filter("event_ts is not null").select("source_app", hour).distinct()
         totals = self.current().select("source_app", hour, "display").groupBy("source_app", "hour_start").agg(F.count("*").alias("n"), F.sum("display").alias("tokens"))
         rows = touched.join(totals, ["source_app", "hour_start"], "left").withColumn("n", F.coalesce("n", F.lit(0).cast("long")))
-        rows.withColumn("revision", F.lit(revision).cast("long")).write.mode("append").parquet(f"{self.path}/hours")
+        rows.write.mode("overwrite").parquet(f"{self.path}/hours/revision={revision}")
 
 
 def ingest(drafts: DataFrame, ledger: Ledger, checkpoint: str, hours: bool = False) -> StreamingQuery:
