@@ -3,9 +3,10 @@
 Whole long windows are cut off each document; the rest is routed to the smallest context tier that holds it. Windows
 are packed from the longest tier down: the longest open rest opens a window of its tier, the best-fitting shorter rests
 fill its gap, and when none fits, the shortest one is cut so that the window is exactly full. What is left of a block
-of documents opens the next block; a task's last window is cut into powers of two, so nothing is padded. Sequences of a
-tier are then dealt into step groups of similar attention cost, heaviest first in serpentine order. A task packs its
-own documents in blocks of bounded tokens, so no row is shuffled.
+of documents opens the next block; a task's last window is cut into powers of two, so nothing is padded. A task packs
+its own documents in blocks of bounded tokens, so no text is shuffled. All sequences of a tier are then ranked by
+attention cost over the whole corpus, by a range sort of narrow rows, and dealt into step groups, heaviest first in
+serpentine order.
 """
 
 from __future__ import annotations
@@ -17,9 +18,10 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
 
-from .common import id_and_text
+from .common import Scratch, id_and_text
 from .tokens import encoder
 
 TIERS = (256, 512, 1024, 2048)
@@ -83,50 +85,51 @@ def powers_of_two(parts: list[Part]) -> list[list[Part]]:
     return out
 
 
-def step_groups(sequences: list[list[Part]]) -> list[int]:
-    """The step group of each sequence: those of one length, by falling attention cost, in serpentine order."""
-    by_length: dict[int, list[int]] = {}
-    for k, s in enumerate(sequences):
-        by_length.setdefault(sum(p[0] for p in s), []).append(k)
-    out, base = [0] * len(sequences), 0
-    for _, members in sorted(by_length.items()):
-        n = -(-len(members) // GROUP)
-        members.sort(key=lambda k: (-sum(p[0] ** 2 for p in sequences[k]), k))
-        for i, k in enumerate(members):
-            lap, at = divmod(i, n)
-            out[k] = base + (at if lap % 2 == 0 else n - 1 - at)
-        base += n
-    return out
+def with_step_groups(pieces: DataFrame, scratch: Scratch, group: int = GROUP) -> DataFrame:
+    """`pieces` with step_group: the sequences of a tier, by falling attention cost, in serpentine order over its groups.
+
+    Ranks come from a range sort and the numbers of rows before each range, so no task orders more than its share.
+    """
+    costs = pieces.groupBy("sequence_id", "tier").agg(F.sum(F.col("length") * F.col("length")).alias("cost"))
+    order = [F.col("tier"), F.desc("cost"), F.col("sequence_id")]
+    ordered = scratch.save(costs.repartitionByRange(*order).sortWithinPartitions(*order).select("sequence_id", "tier", F.monotonically_increasing_id().alias("at")), "sequences")
+    part = F.shiftright("at", 33)
+    runs = ordered.groupBy("tier", part.alias("part")).agg(F.count("*").alias("n"), F.min("at").alias("first"))
+    w = Window.partitionBy("tier").orderBy("part")
+    runs = runs.select("tier", "part", "first", F.coalesce(F.sum("n").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"), F.sum("n").over(Window.partitionBy("tier")).alias("all"))
+    ranked = ordered.withColumn("part", part).join(runs, ["tier", "part"]).withColumns({"rank": F.col("before") + F.col("at") - F.col("first"), "groups": F.ceil(F.col("all") / group)})
+    at = F.col("rank") % F.col("groups")
+    own = F.when(F.floor(F.col("rank") / F.col("groups")) % 2 == 0, at).otherwise(F.col("groups") - 1 - at)
+    return pieces.join(ranked.select("sequence_id", (F.shiftleft(F.col("tier").cast("long"), 40) + own).alias("step_group")), "sequence_id")
 
 
-COLUMNS = {"doc_id": pa.int64(), "start": pa.int64(), "length": pa.int64(), "ids_crc32": pa.int64(), "doc_tokens": pa.int64(), "sequence_id": pa.int64(), "offset": pa.int64(), "tier": pa.int32(), "step_group": pa.int64()}
+COLUMNS = {"doc_id": pa.int64(), "start": pa.int64(), "length": pa.int64(), "ids_crc32": pa.int64(), "doc_tokens": pa.int64(), "sequence_id": pa.int64(), "offset": pa.int64(), "tier": pa.int32()}
 
 
 def _packer(tokenizer: str, end_id: int, with_ids: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         task = TaskContext.get().partitionId() << 32
-        next_sequence, next_group = 0, 0
+        next_sequence = 0
         docs: dict[int, tuple[int | None, np.ndarray]] = {}
         parts: list[Part] = []
         held, n_docs = 0, 0
 
         def packed(last: bool) -> Iterator[pa.RecordBatch]:
-            nonlocal next_sequence, next_group, parts, held
+            nonlocal next_sequence, parts, held
             done, left = pack(parts, last=last)
             rows: list[list] = [[] for _ in COLUMNS]
             bodies = []
-            groups = step_groups(done)
             for k, sequence in enumerate(done):
                 offset, tier = 0, sum(p[0] for p in sequence)
                 for n, doc, start in sequence:
                     doc_id, ids = docs[doc]
                     body = ids[start : start + n]
-                    for column, x in zip(rows, (doc_id, start, n, zlib.crc32(body), len(ids), task + next_sequence + k, offset, tier, task + next_group + groups[k]), strict=True):
+                    for column, x in zip(rows, (doc_id, start, n, zlib.crc32(body), len(ids), task + next_sequence + k, offset, tier), strict=True):
                         column.append(x)
                     if with_ids:
                         bodies.append(body.tolist())
                     offset += n
-            next_sequence, next_group = next_sequence + len(done), next_group + (max(groups, default=-1) + 1)
+            next_sequence += len(done)
             kept = {doc for _, doc, _ in left}
             for doc in [d for d in docs if d not in kept]:
                 del docs[doc]
@@ -161,5 +164,8 @@ def pack_documents(docs: DataFrame, tokenizer: str, end_id: int, id_col: str = "
     text is its end id alone. The pieces of a sequence follow one another from offset 0; a sequence is as long as a tier
     or another power of two. An empty table gives an empty result.
     """
-    shape = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, tier int, step_group long" + ", ids array<long>" * with_ids
-    return id_and_text(docs, id_col, text_col).mapInArrow(_packer(tokenizer, end_id, with_ids), shape)
+    shape = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, tier int" + ", ids array<long>" * with_ids
+    scratch = Scratch(docs.sparkSession, "packing")
+    pieces = scratch.save(id_and_text(docs, id_col, text_col).mapInArrow(_packer(tokenizer, end_id, with_ids), shape), "pieces")
+    columns = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "tier", "step_group"]
+    return with_step_groups(pieces, scratch).select(*columns, *["ids"] * with_ids)
