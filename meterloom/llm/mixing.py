@@ -5,40 +5,48 @@ more than `cap` times its own size, and what it can't take is shared again by we
 that stays closest to one in Kullback-Leibler divergence while its source meets its token constraint and no rate
 exceeds `cap`: r = min(cap, exp(a * size / mean size)). The multiplier `a` of each source solves a convex dual problem;
 Newton iterations (kept inside a bracket) run for all sources at once over a (source, size) histogram, as one
-aggregation each. Rates become whole copies by error diffusion, largest documents first, in blocks of a bounded number
+aggregation each. Sources are a table like any other, of any length. Rates become whole copies by error diffusion, largest documents first, in blocks of a bounded number
 of documents, so that a hot source spreads over many tasks.
 """
 
 from __future__ import annotations
 
+from decimal import Decimal
 from fractions import Fraction
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import WHITE, Scratch, fresh
 
-#: Sources are a dimension table: this many at most, checked, so that their sums may go to the driver and be broadcast.
-MAX_SOURCES = 100_000
 #: Documents of one rounding block.
 BLOCK_ROWS = 4096
 WEIGHTS = (3, 1, 2)
 
 
-def targets(sizes: list[int], budget: Fraction, weights: tuple[int, ...] = WEIGHTS, cap: int = 2) -> list[Fraction]:
-    """Token targets of sources in order: shares by weight, capped, the excess shared again until none is above."""
-    out: list[Fraction | None] = [None] * len(sizes)
-    left = Fraction(budget)
-    while open_ := [k for k, x in enumerate(out) if x is None]:
-        total = sum(weights[k % len(weights)] for k in open_)
-        share = {k: left * weights[k % len(weights)] / total for k in open_}
-        if not (over := [k for k in open_ if share[k] > cap * sizes[k]]):
-            return [share[k] if x is None else x for k, x in enumerate(out)]
-        for k in over:
-            out[k] = Fraction(cap * sizes[k])
-            left -= out[k]
-    return out  # type: ignore[return-value]
+def water_level(sources: DataFrame, budget: Fraction, cap: int) -> Fraction | None:
+    """Tokens for each unit of weight, so that all targets, held at `cap` times the size, make up the budget.
+
+    A source is over its cap as soon as its share is, and shares only grow while what is over is shared again, so the
+    level alone tells which sources are over; each step is one sum over the sources. None where all are over.
+    """
+    level = budget / (sources.agg(F.sum("weight")).first()[0] or 1)
+    many = lambda n: F.lit(Decimal(n)).cast("decimal(38,0)")
+    seen = -1
+    while True:
+        over = above_cap(level, cap)
+        full, weight, size = sources.agg(F.count_if(over), F.sum(F.when(~over, F.col("weight"))), F.sum(F.when(over, F.col("source_size").cast("decimal(38,0)")) * many(cap))).first()
+        if weight is None:
+            return None
+        if full == seen:
+            return level
+        seen, level = full, (budget - int(size or 0)) / int(weight)
+
+
+def above_cap(level: Fraction, cap: int) -> Column:
+    many = lambda n: F.lit(Decimal(n)).cast("decimal(38,0)")
+    return F.col("weight") * many(level.numerator) > F.col("source_size") * many(level.denominator * cap)
 
 
 def word_counts(batches):
@@ -53,36 +61,54 @@ def word_counts(batches):
 assert WHITE.split() == []  # bytes.split() parts words at exactly these six bytes
 
 
-def _solve(histogram: DataFrame, sources: pd.DataFrame, cap: int, rounds: int, tolerance: float) -> pd.DataFrame:
-    """The multiplier of each source, by Newton steps inside a bracket; sources at their cap or at 0 need none."""
-    spark = histogram.sparkSession
-    s = sources.assign(a=0.0, low=-60.0, high=60.0)
-    s["open"] = (s["target"] > 0) & (s["target"] < cap * s["source_size"])
-    for _ in range(rounds):
-        if not s["open"].any():
+def _planned(sized: DataFrame, scratch: Scratch, share: Fraction, weights: tuple[int, ...], cap: int) -> DataFrame:
+    """One row for each source: its number in code-point order (null last), size, mean, blocks, target."""
+    order = F.col("source").asc_nulls_last()
+    sums = sized.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("n_docs"))
+    ordered = scratch.save(sums.repartitionByRange(order).sortWithinPartitions(order).withColumn("at", F.monotonically_increasing_id()), "ordered")
+    part = F.shiftright("at", 33)
+    runs = ordered.groupBy(part.alias("part")).agg(F.count("*").alias("n"), F.min("at").alias("first"))  # one row for each range
+    runs = runs.select("part", "first", F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
+    number = F.col("before") + F.col("at") - F.col("first")
+    numbered = ordered.withColumn("part", part).join(runs, "part").withColumn("source_ix", number).withColumn("weight", F.get(F.array(*map(F.lit, weights)), (F.col("source_ix") % len(weights)).cast("int")))
+    sources = scratch.save(numbered.select("source_ix", "source", "source_size", "n_docs", "weight"), "sources")
+    level = water_level(sources, share * int(sources.agg(F.sum("source_size")).first()[0] or 0), cap)
+    target = (F.col("source_size") * cap).cast("double")
+    if level is not None:
+        shared = F.lit(0.0)
+        for w in set(weights):
+            shared = F.when(F.col("weight") == w, F.lit(float(level * w))).otherwise(shared)
+        target = F.when(above_cap(level, cap), target).otherwise(shared)
+    mean = F.greatest(F.lit(1.0), F.col("source_size") / F.col("n_docs"))
+    return sources.select("source_ix", "source", "source_size", mean.alias("mean"), F.ceil(F.col("n_docs") / BLOCK_ROWS).alias("blocks"), target.alias("target"))
+
+
+def _solve(histogram: DataFrame, plan: DataFrame, scratch: Scratch, cap: int, rounds: int, tolerance: float) -> DataFrame:
+    """`plan` with the multiplier `a` of each source, by Newton steps inside a bracket; sources at their cap or at 0 need
+    none. Each round is one written table; after all rounds a bracket is narrower than a double can tell."""
+    open_ = (F.col("target") > 0) & (F.col("target") < cap * F.col("source_size"))
+    zero = F.lit(0.0)
+    now = scratch.save(plan.withColumns({"a": zero, "low": F.lit(-60.0), "high": F.lit(60.0), "open": open_}), "solve-0")
+    whole = lambda c: F.sum(F.round(c * 1024).cast("decimal(38,0)")).cast("double")  # noqa: E731  exact sums: reruns agree
+    for k in range(1, rounds + 1):
+        if now.filter("open").isEmpty():
             break
-        now = F.broadcast(spark.createDataFrame(s.loc[s["open"], ["source_ix", "a", "mean"]]))
         x = F.col("size") / F.col("mean")
         tilt = F.least(F.exp(F.least(F.col("a") * x, F.lit(50.0))), F.lit(float(cap)))
         tokens = F.col("size") * F.col("n")
-        whole = lambda c: F.sum(F.round(c * 1024).cast("decimal(38,0)")).cast("double")  # noqa: E731  exact sums: reruns agree
-        sums = (
-            histogram.join(now, "source_ix")
-            .groupBy("source_ix")
-            .agg((whole(tokens * tilt) / 1024).alias("have"), (whole(F.when(tilt < cap, tokens * tilt * x).otherwise(0.0)) / 1024).alias("slope"))
-            .toPandas()
-        )
-        s = s.drop(columns=["have", "slope"], errors="ignore").merge(sums, on="source_ix", how="left")
-        gap = s["have"] - s["target"]
-        o = s["open"]
-        s.loc[o & (gap > 0), "high"] = s["a"]
-        s.loc[o & (gap <= 0), "low"] = s["a"]
-        step = s["a"] - gap / s["slope"].where(s["slope"] > 0)
-        inside = (step > s["low"]) & (step < s["high"])
-        done = gap.abs() <= tolerance * s["target"]
-        s.loc[o & ~done, "a"] = step.where(inside, (s["low"] + s["high"]) / 2)
-        s["open"] = o & ~done
-    return s
+        sums = histogram.join(now.filter("open").select("source_ix", "a", "mean"), "source_ix").groupBy("source_ix")
+        sums = sums.agg((whole(tokens * tilt) / 1024).alias("have"), (whole(F.when(tilt < cap, tokens * tilt * x).otherwise(0.0)) / 1024).alias("slope"))
+        gap, a = F.col("have") - F.col("target"), F.col("a")
+        low, high = F.when(gap <= 0, a).otherwise(F.col("low")), F.when(gap > 0, a).otherwise(F.col("high"))
+        step = F.when(F.col("slope") > 0, a - gap / F.col("slope"))
+        settled = F.abs(gap) <= tolerance * F.col("target")
+        moved = F.when((step > low) & (step < high), step).otherwise((low + high) / 2)
+        is_open = F.col("open") & ~F.coalesce(settled, F.lit(True))
+        after = now.join(sums, "source_ix", "left").withColumns({"a": F.when(is_open, moved).otherwise(a), "low": F.when(is_open, low).otherwise(F.col("low")), "high": F.when(is_open, high).otherwise(F.col("high")), "open": is_open})
+        after = scratch.save(after.select(now.columns), f"solve-{k}")
+        scratch.drop(f"solve-{k - 1}")
+        now = after
+    return now.select(*plan.columns, "a", (F.col("target") >= cap * F.col("source_size")).alias("full"))
 
 
 def _round_block(cap: int):
@@ -108,7 +134,7 @@ def mix(
     share: Fraction = Fraction(3, 2),
     weights: tuple[int, ...] = WEIGHTS,
     cap: int = 2,
-    rounds: int = 40,
+    rounds: int = 80,
     tolerance: float = 1e-6,
     row_col: str | None = None,
 ) -> DataFrame:
@@ -124,38 +150,16 @@ def mix(
     row = (docs[row_col] if row_col else F.lit(0)).cast("long").alias("row")
     base = docs.select(row, docs[id_col].cast("long").alias("doc_id"), docs[source_col].cast("string").alias("source"), F.coalesce(docs[text_col], F.lit("")).alias("text"))
     sized = scratch.save(base.mapInArrow(word_counts, "row long, doc_id long, source string, size long"), "sized")
-    totals = sized.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("n_docs")).limit(MAX_SOURCES + 1).collect()
-    if len(totals) > MAX_SOURCES:
-        raise ValueError(f"more than {MAX_SOURCES} sources: group them before mixing")
-    totals.sort(key=lambda r: (r["source"] is None, (r["source"] or "").encode("utf-32-be")))
-    goal = targets([r["source_size"] for r in totals], share * sum(r["source_size"] for r in totals), weights, cap)
-    plan = pd.DataFrame(
-        {
-            "source_ix": range(len(totals)),
-            "source": [r["source"] for r in totals],
-            "source_size": [r["source_size"] for r in totals],
-            "mean": [max(1.0, r["source_size"] / r["n_docs"]) for r in totals],
-            "blocks": [-(-r["n_docs"] // BLOCK_ROWS) for r in totals],
-            "target": [float(x) for x in goal],
-        }
-    )
-    schema = "source_ix long, source string, source_size long, mean double, blocks long, target double"
-    names = F.broadcast(spark.createDataFrame([tuple(r) for r in plan.itertuples(index=False)], schema))
-    keyed = sized.join(names, sized["source"].eqNullSafe(names["source"])).select("row", "doc_id", "source_ix", "size", "blocks")
+    plan = scratch.save(_planned(sized, scratch, share, weights, cap), "plan")
+    names = plan.select(F.col("source").alias("named"), "source_ix", "blocks")
+    keyed = sized.join(names, sized["source"].eqNullSafe(names["named"])).select("row", "doc_id", "source_ix", "size", "blocks")
     histogram = scratch.save(keyed.filter("size > 0").groupBy("source_ix", "size").agg(F.count("*").alias("n")), "histogram")
-    solved = _solve(histogram, plan, cap, rounds, tolerance)
+    tilt = scratch.save(_solve(histogram, plan, scratch, cap, rounds, tolerance), "tilt")
     scratch.drop("histogram")
-    full = [float(t) >= cap * s and s > 0 for t, s in zip(solved["target"], solved["source_size"], strict=True)]
-    tilt = F.broadcast(
-        spark.createDataFrame(
-            [(int(r.source_ix), r.source, int(r.source_size), r.mean, float(r.target), float(r.a), f) for r, f in zip(solved.itertuples(), full, strict=True)],
-            "source_ix long, source string, source_size long, mean double, target double, a double, full boolean",
-        )
-    )
     x = F.col("size") / F.col("mean")
-    rate = F.when(F.col("full"), F.lit(float(cap))).when(F.col("target") <= 0, 0.0).otherwise(F.least(F.exp(F.least(F.col("a") * x, F.lit(50.0))), F.lit(float(cap))))
+    rate = F.when(F.col("full") & (F.col("source_size") > 0), F.lit(float(cap))).when(F.col("target") <= 0, 0.0).otherwise(F.least(F.exp(F.least(F.col("a") * x, F.lit(50.0))), F.lit(float(cap))))
     own = F.when(F.col("doc_id").isNull(), F.col("row"))  # rows without an id spread over the blocks
-    rated = keyed.join(tilt.select("source_ix", "mean", "target", "a", "full"), "source_ix").select("row", "doc_id", "source_ix", "size", rate.alias("rate"), F.pmod(F.xxhash64("doc_id", own), F.col("blocks")).alias("block"))
+    rated = keyed.join(tilt.select("source_ix", "source_size", "mean", "target", "a", "full"), "source_ix").select("row", "doc_id", "source_ix", "size", rate.alias("rate"), F.pmod(F.xxhash64("doc_id", own), F.col("blocks")).alias("block"))
     copied = rated.groupBy("source_ix", "block").applyInPandas(_round_block(cap), "row long, doc_id long, source_ix long, size long, rate double, copies int")
     return copied.join(tilt.select("source_ix", "source", "source_size", "target"), "source_ix").select(
         "doc_id", "source", "size", "source_size", "target", "rate", "copies", (F.col("copies") * F.col("size")).alias("taken"), *(["row"] if row_col else [])
