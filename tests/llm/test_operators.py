@@ -129,17 +129,47 @@ def test_mixing(documents, awkward, empty):
         taken[r["source"]] += r["taken"]
         target[r["source"]] = r["target"]
     order = sorted(size)
-    want = mixing.targets([size[s] for s in order], Fraction(3, 2) * sum(size.values()))
-    largest = defaultdict(int)
+    want = brute_targets([size[s] for s in order], Fraction(3, 2) * sum(size.values()))
+    sizes = defaultdict(list)
     for r in rows:
-        largest[r["source"]] = max(largest[r["source"]], r["size"])
+        sizes[r["source"]].append((r["size"], r["rate"]))
     for s, t in zip(order, want, strict=True):
         assert abs(target[s] - float(t)) < 1e-6
-        assert abs(taken[s] - float(t)) <= largest[s]
+        assert abs(taken[s] - float(t)) <= max(n for n, _ in sizes[s])
+        # the tilt: of all rates with these tokens and this cap, the ones nearest to one
+        mean, low, high = max(1.0, size[s] / len(sizes[s])), -60.0, 60.0
+        rate = lambda n, a, mean=mean: min(2.0, float(np.exp(min(50.0, a * n / mean))))
+        for _ in range(100):
+            a = (low + high) / 2
+            low, high = (a, high) if sum(n * rate(n, a) for n, _ in sizes[s]) < float(t) else (low, a)
+        if 0 < t < 2 * size[s]:
+            assert all(abs(x - rate(n, a)) < 1e-4 for n, x in sizes[s] if n)
     assert len(mixing.mix(awkward).collect()) == len(AWKWARD)
     assert mixing.mix(empty).collect() == []
 
 
+def brute_targets(sizes, budget):
+    """Shares by weight 3, 1, 2, capped at twice the size, what is over shared again until none is."""
+    fixed, weight = {}, lambda k: (3, 1, 2)[k % 3]
+    while True:
+        rest, total = budget - sum(fixed.values()), sum(weight(k) for k in range(len(sizes)) if k not in fixed)
+        over = [k for k in range(len(sizes)) if k not in fixed and rest * weight(k) > 2 * sizes[k] * total]
+        if not over:
+            return [fixed[k] if k in fixed else rest * weight(k) / total for k in range(len(sizes))]
+        fixed |= {k: Fraction(2 * sizes[k]) for k in over}
+
+
+def test_mixing_of_many_sources(spark):
+    rng = random.Random(6)
+    rows = [(k, "w " * rng.randint(0, 9), f"s{k % 400:03d}") for k in range(2000)]
+    got = {r["source"]: r["target"] for r in mixing.mix(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()}
+    size = Counter()
+    for _, t, s in rows:
+        size[s] += len(t.split())
+    want = brute_targets([size[s] for s in sorted(size)], Fraction(3, 2) * sum(size.values()))
+    assert all(abs(got[s] - float(t)) < 1e-6 for s, t in zip(sorted(size), want, strict=True))
+
+
 def test_repeat_documents_without_ids_or_with_repeated_ones(spark, awkward, empty):
     again = awkward.union(awkward).union(spark.createDataFrame([(4, f"word {k}", "a", "y", k) for k in range(20)] + [(None, f"none {k}", "b", "y", k) for k in range(20)], awkward.schema))
     key = lambda r: (str(r["doc_id"]), r["text"] or "", str(r["source"]), r["n"])
@@ -155,10 +185,6 @@ def test_repeat_documents_without_ids_or_with_repeated_ones(spark, awkward, empt
     assert mixing.repeat_documents(empty).collect() == []
 
 
-def test_targets_share_what_is_over():
-    assert mixing.targets([10, 1000, 1000], Fraction(1500)) == [20, Fraction(1480, 3), Fraction(2960, 3)]
-
-
 def test_katz(documents, awkward, empty):
     raw = {i: t.encode().lower().split() for i, t in texts(documents).items()}
     held = {i: zlib.crc32(str(i).encode()) % 7 == 2 for i in raw}
@@ -277,7 +303,9 @@ def test_packing(documents, awkward, empty):
         for r in df.collect():
             ids[r["doc_id"]].append(np.array([*tokenizer.encode(r["text"] or "", add_special_tokens=False).ids, 1], "<u4"))
         pieces, sequences = defaultdict(list), defaultdict(list)
-        for r in packing.pack_documents(df, path, end_id=1).collect():
+        rows = packing.pack_documents(df, path, end_id=1).collect()
+        assert len({r["step_group"] for r in rows}) == len({(r["tier"], r["step_group"]) for r in rows})
+        for r in rows:
             (own,) = ids[r["doc_id"]]
             assert r["ids_crc32"] == zlib.crc32(own[r["start"] : r["start"] + r["length"]].tobytes()) and r["doc_tokens"] == len(own)
             pieces[r["doc_id"]].append((r["start"], r["length"]))
@@ -295,6 +323,16 @@ def test_packing(documents, awkward, empty):
                 assert offset == at
                 at += n
             assert at <= 2048 and at & (at - 1) == 0
+        groups, costs = defaultdict(lambda: defaultdict(int)), defaultdict(int)
+        for r in rows:
+            costs[r["sequence_id"]] += r["length"] ** 2
+            groups[r["tier"], r["step_group"]][r["sequence_id"]] += r["length"] ** 2
+        for tier in {t for t, _ in groups}:
+            own = [g for (t, _), g in groups.items() if t == tier]
+            n = [len(g) for g in own]
+            assert max(n) <= packing.GROUP and max(n) - min(n) <= 1
+            total = [sum(g.values()) / len(g) for g in own]
+            assert max(total) - min(total) <= max(c for g in own for c in g.values())
     assert packing.pack_documents(empty, path, end_id=1).collect() == []
 
 
@@ -325,6 +363,15 @@ def test_toxicity_held_out(spark):
     d, y = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
     model = toxicity.fit(d, y)
     got = {r["doc_id"]: r["score"] for r in toxicity.score(d, model).collect()}
+    assert 0 < model.scale < 10 and 0 < model.rate < 10
+    for i, text in docs:  # a score by its definition, from the best of all runs of words
+        words = text.encode().lower().split()
+        weight = [next((model.weights[t] for t in toxicity.forms(w) if t in model.weights), 0.0) or model.miss for w in words]
+        runs = [sum(weight[a:z]) for a in range(len(words)) for z in range(a + 1, len(words) + 1)] if i % 29 == 0 else []
+        if runs and max(runs) > 0:
+            x = model.rate * max(runs) - np.log(model.scale * len(words))
+            others = toxicity.evidence(len(words), [s for *_, s in toxicity.located(words, toxicity.Hits(model.weights), model)[2]], model)
+            assert others[1] > 1 or abs(got[i] - 1 / (1 + np.exp(-(model.bias + model.slope * max(-20.0, min(60.0, x)))))) < 1e-9
     wrong = [i for i, _, t in labels if zlib.crc32(str(i).encode()) % 5 == 0 and (got[i] >= 0.5) != bool(t)]
     assert not wrong
     assert toxicity.drop_toxic(d, model).count() == 500
@@ -343,6 +390,19 @@ def test_importance(spark, documents, awkward, empty, sf_dir):
     keys = sorted((r["key"] for r in rows), reverse=True)
     k = int(len(rows) * 0.75)
     assert {r["doc_id"] for r in rows if r["kept"]} == {r["doc_id"] for r in rows if r["key"] >= keys[k - 1]}
+    # log weights against plain counts of every word and pair
+    hashes, raw = importance.WordHashes(), {i: t.encode() for i, t in texts(documents).items()}
+    good = {r["doc_id"] for r in table(spark, sf_dir, "labels").filter("quality = 1").collect() if zlib.crc32(str(r["doc_id"]).encode()) % 5}
+    own = {i: importance.features(t, hashes) for i, t in raw.items()}
+    assert all(len(own[i]) == max(0, 2 * len(t.split()) - 1) for i, t in raw.items())
+    model = []
+    for ids in (raw.keys() & good, raw.keys()):
+        n = np.ones(importance.BUCKETS)
+        for i in ids:
+            np.add.at(n, own[i], 1)
+        model.append(np.log(n / n.sum()))
+    for r in rows:
+        assert abs(r["log_weight"] - (model[0] - model[1])[own[r["doc_id"]]].sum()) < 1e-6 and r["n_grams"] == len(own[r["doc_id"]])
     assert importance.kth_largest(spark.createDataFrame([(float(x % 1000),) for x in range(20_000)], "v double"), "v", 7777, bins=16, few=10) == float(sorted((x % 1000 for x in range(20_000)), reverse=True)[7776])
     assert len(importance.resample(awkward, ratio).collect()) == len(AWKWARD)
     assert importance.resample(empty, ratio).collect() == []
