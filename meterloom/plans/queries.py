@@ -98,6 +98,29 @@ def content_hash(spark, sf_dir):
     return records(spark, sf_dir).select("event_id", of.alias("content_hash"))
 
 
+@query
+def group_lists(spark, sf_dir):
+    """Totals by model with their span, in list order, as a list shows them."""
+    r = records(spark, sf_dir)
+    label = F.coalesce("model", F.lit("Unknown model"))
+    groups = ledger.totals(r, "model").join(ledger.date_span(r, "model").withColumnRenamed("model", "of"), F.col("model").eqNullSafe(F.col("of")))
+    shown = groups.select(label.alias("label"), "display", X.group_digits(F.col("display")).alias("tokens"), state.partial_total(F.col("display_unknown")).alias("partial"), "first_event", "last_event")
+    return ledger.ordered_groups(shown, "label")
+
+
+@query
+def cost_display(spark, sf_dir):
+    """Each cost in two decimals, and the threads' names."""
+    r = records(spark, sf_dir)
+    return r.select("event_id", X.format_money(F.col("amount_minor"), F.col("exponent"), F.col("currency")).alias("cost"), X.thread_name(F.col("project"), F.col("session_id")).alias("thread"))
+
+
+@query
+def last_days(spark, sf_dir):
+    """The default view of one source: its last thirty days."""
+    return ledger.totals(ledger.last_days(NOW, source="codex").apply(records(spark, sf_dir)), "model")
+
+
 @query
 def display_total_rules(spark, sf_dir):
     rule = X.total_rule(*map(F.col, ("reported", "input", "output", "reasoning")))
@@ -424,6 +447,9 @@ ORACLE_SQL: dict[str, str] = {
     + "SELECT event_id, sha256(array_to_string(['v1', coalesce(strftime(event_ts, '%Y-%m-%d %H:%M:%S'), ''), coalesce(CASE WHEN model LIKE 'o%' THEN 'openai' END, ''), coalesce(model, ''), "
     + ", ".join(f"coalesce(CAST({c} AS VARCHAR), ''), CASE WHEN {c} IS NULL THEN 'Unknown' ELSE 'Exact' END" for c in ("input", "output", "cached_input", "reasoning"))
     + ", coalesce(CAST(reported AS VARCHAR), ''), coalesce(project, ''), coalesce(session_id, ''), CASE WHEN amount_minor IS NULL THEN '' ELSE concat('ReportedBySource', chr(31), '', chr(31), amount_minor, '/', currency, '/', exponent) END], chr(31))) AS content_hash FROM r",
+    "group_lists": f"{_RECORDS} SELECT coalesce(model, 'Unknown model') AS label, CAST(coalesce(sum(display), 0) AS BIGINT) AS display, format('{{:,}}', CAST(coalesce(sum(display), 0) AS BIGINT)) AS tokens, count(*) > count(display) AS partial, min(event_ts) AS first_event, max(event_ts) AS last_event FROM r GROUP BY model",
+    "cost_display": f"{_RECORDS} SELECT event_id, CASE WHEN amount_minor IS NOT NULL THEN concat((amount_minor * 100 + CAST(pow(10, exponent) AS BIGINT) // 2) // CAST(pow(10, exponent) AS BIGINT) // 100, '.', lpad(CAST((amount_minor * 100 + CAST(pow(10, exponent) AS BIGINT) // 2) // CAST(pow(10, exponent) AS BIGINT) % 100 AS VARCHAR), 2, '0'), ' ', currency) END AS cost, coalesce(project, 'thread ' || session_id[1:6]) AS thread FROM r",
+    "last_days": f"{_RECORDS} SELECT model, {_T} FROM r WHERE source_app = 'codex' AND event_ts >= TIMESTAMP '2024-01-01' GROUP BY model",
     "display_total_rules": f"{_RECORDS} SELECT CASE WHEN reported IS NOT NULL THEN 'source_reported' WHEN input IS NULL AND output IS NULL THEN 'unknown' WHEN reasoning IS NOT NULL THEN 'input_output_reasoning' ELSE 'input_output' END AS rule, count(*) AS n, CAST(coalesce(sum(display), 0) AS BIGINT) AS tokens FROM r GROUP BY 1",
     "timestamp_interpretation": "SELECT event_id, CASE WHEN event_id % 9 IN (0, 1, 2, 8) THEN 'explicit_offset' WHEN event_id % 9 IN (3, 6, 7) THEN 'assumed_utc' WHEN event_id % 9 = 4 THEN 'unparsable' ELSE 'missing' END AS kind, CASE WHEN event_id % 9 = 1 THEN ts WHEN event_id % 9 IN (0, 2, 3) THEN date_trunc('second', ts) WHEN event_id % 9 IN (6, 7) THEN date_trunc('minute', ts) WHEN event_id % 9 = 8 THEN CAST(make_timestamp(-1000000 * (epoch_us(ts) // 1000000)) AS TIMESTAMP) END AS parsed FROM events",
     "merge_classify": f"{_MERGE} SELECT outcome, count(*) AS n FROM o GROUP BY outcome",
