@@ -27,6 +27,8 @@ CELLS = 18
 LONG = 400
 #: Text bytes of one partition.
 PART_BYTES = 32 << 20
+#: Most partitions; their bounds and first ids are held by the driver.
+MAX_PARTS = 10_000
 _LAST = (1 << 63) - 1
 
 
@@ -208,12 +210,14 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     The edited text has its last quarter replaced by the start of the next document's text; documents are in ascending
     id order (rows that repeat an id by text, rows without an id last), and the first follows the last. Null texts are
     empty: their sketch is empty, and two empty texts are alike. Texts go to range partitions once; only the first row
-    of each range is sent twice. Range bounds come from an approximate percentile of the ids, one for each partition.
+    of each range is sent twice. Range bounds come from an approximate percentile of the ids, one for each partition;
+    there are at most `MAX_PARTS`, so what the driver holds of them is bounded, and beyond that ranges grow: a task sorts
+    its range on disk where it must and reads it as a stream.
     """
     rows = id_and_text(docs, id_col, text_col).select(F.coalesce("doc_id", F.lit(_LAST)).alias("order_id"), "doc_id", "text")
     total = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    n = max(1, -(-total // part_bytes))
-    bounds = sorted(set(rows.agg(F.percentile_approx("order_id", [k / n for k in range(1, n)], 10_000)).first()[0] or [])) if n > 1 else []
+    n = min(MAX_PARTS, max(1, -(-total // part_bytes)))
+    bounds = sorted(set(rows.agg(F.percentile_approx("order_id", [k / n for k in range(1, n)], max(10_000, 10 * n))).first()[0] or [])) if n > 1 else []
     if bounds:
         ids = rows.select("order_id").mapInArrow(_part_of(bounds), "part int, order_id long")
         firsts = {r["part"]: r["first"] for r in ids.groupBy("part").agg(F.min("order_id").alias("first")).collect()}
