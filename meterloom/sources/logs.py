@@ -121,8 +121,12 @@ def limit_quota(spark: SparkSession, path: str, now: str) -> DataFrame:
 
 
 def transcript_drafts(spark: SparkSession, path: str) -> DataFrame:
-    """The last snapshot of each message of a file; input includes what was written to the cache."""
-    rows = _parsed(lines(spark, path, "*.jsonl"), _TRANSCRIPT).filter((F.col("j.type") == "assistant") & F.col("j.message.usage").isNotNull())
+    return transcripts(lines(spark, path, "*.jsonl"))
+
+
+def transcripts(raw: DataFrame) -> DataFrame:
+    """Of lines (path, line_no, value) the last snapshot of each message of a file; input includes what was written to the cache."""
+    rows = _parsed(raw, _TRANSCRIPT).filter((F.col("j.type") == "assistant") & F.col("j.message.usage").isNotNull())
     rows = rows.withColumn("own", F.coalesce("j.message.id", "j.uuid", F.lit("")))
     last = rows.withColumn("at", F.row_number().over(Window.partitionBy("path", "own").orderBy(F.desc("line_no")))).filter("at = 1")
     u = lambda c: F.col(f"j.message.usage.{c}")

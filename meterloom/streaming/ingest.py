@@ -8,6 +8,8 @@ revision never stays.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -98,13 +100,25 @@ def ingest(drafts: DataFrame, ledger: Ledger, checkpoint: str, hours: bool = Fal
 
     With `hours`, the ledger's hourly totals follow each batch.
     """
+    return _commits(drafts, normalized, ledger, checkpoint, hours)
+
+
+def ingest_lines(tail: DataFrame, drafts: Callable[[DataFrame], DataFrame], ledger: Ledger, checkpoint: str, hours: bool = False) -> StreamingQuery:
+    """Runs appended lines (`sources.tail`) into the ledger; `drafts` reads those of one batch (path, line_no, value).
+
+    A message that goes on in a later batch corrects its record.
+    """
+    return _commits(tail.withColumnRenamed("at", "line_no"), lambda df: normalized(drafts(df)), ledger, checkpoint, hours)
+
 
+def _commits(stream: DataFrame, of: Callable[[DataFrame], DataFrame], ledger: Ledger, checkpoint: str, hours: bool) -> StreamingQuery:
     def commit(df: DataFrame, n: int) -> None:
-        ledger.commit(df, n + 1)
+        rows = of(df)
+        ledger.commit(rows, n + 1)
         if hours:
-            ledger.update_hours(df, n + 1)
+            ledger.update_hours(rows, n + 1)
 
-    return normalized(drafts).writeStream.foreachBatch(commit).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    return stream.writeStream.foreachBatch(commit).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
 def hourly_totals(ledger: Ledger) -> DataFrame:
