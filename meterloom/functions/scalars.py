@@ -173,16 +173,18 @@ def group_digits(n: Column) -> Column:
 
 
 def even_pace_percent(until_reset: Column, window: Column) -> Column:
-    """How much of a window has gone by, in percent: what an even pace would have used."""
-    return F.least(F.lit(100.0), F.greatest(F.lit(0.0), (window - until_reset) / window * 100))
+    """How much of a window has gone by, in percent: what an even pace would have used. Null before any of it has."""
+    gone = window - until_reset
+    return F.when((window > 0) & (gone > 0), F.least(F.lit(100.0), gone / window * 100))
 
 
 def thread_name(project: Column, session: Column) -> Column:
     return F.coalesce(clean(project), F.concat(F.lit("thread "), F.substring(session, 1, 6)))
 
 
-def format_money(minor: Column, exponent: Column, currency: Column) -> Column:
-    """Two decimals, half up, from integers alone."""
-    scale = F.pow(F.lit(10), exponent).cast("decimal(38,0)")
-    cents = div(F.abs(minor).cast("decimal(38,0)") * 100 + div(scale, 2), scale)
-    return F.concat(F.when(minor < 0, "-").otherwise(""), div(cents, 100).cast("string"), F.lit("."), F.lpad((cents % 100).cast("long").cast("string"), 2, "0"), F.lit(" "), currency)
+def format_money(minor: Column, exponent: Column, currency: Column, digits: int = 2) -> Column:
+    """So many decimals, half up, from integers alone, thousands parted."""
+    scale, step = F.pow(F.lit(10), exponent).cast("decimal(38,0)"), 10**digits
+    scaled = div(F.abs(minor).cast("decimal(38,0)") * step + div(scale, 2), scale)
+    fraction = F.concat(F.lit("."), F.lpad((scaled % step).cast("long").cast("string"), digits, "0")) if digits else F.lit("")
+    return F.concat(F.when(minor < 0, "-").otherwise(""), F.format_number(div(scaled, step).cast("decimal(38,0)"), 0), fraction, F.lit(" "), currency)

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import scalars as X
-from ..operators import conversations, ledger, series, state
+from ..operators import conversations, ledger, series, state, views
 from ..schema import SOURCES
 from ..sources.events_bridge import records, samples
 from ..streaming.ingest import reject_reason
@@ -318,6 +318,49 @@ def session_tiling(spark, sf_dir):
     return series.tiled_sessions(times.select("session_id", F.col("event_ts").alias("t")), "session_id", AS_OF)
 
 
+@query
+def source_strip(spark, sf_dir):
+    return views.source_strip(records(spark, sf_dir), _live(spark, sf_dir)[0])
+
+
+@query
+def model_rows(spark, sf_dir):
+    return views.model_rows(records(spark, sf_dir))
+
+
+@query
+def thread_list(spark, sf_dir):
+    return views.thread_list(records(spark, sf_dir))
+
+
+@query
+def stat_bar(spark, sf_dir):
+    return views.stat_bar(WANTED.apply(records(spark, sf_dir)))
+
+
+@query
+def quota_rows(spark, sf_dir):
+    """Every allowance as a row of the screen, from confirmed reading, projection and pace."""
+    quotas, seen, history = _live(spark, sf_dir)
+    fits = series.calibration(seen, history)
+    ahead = series.projection(quotas, fits, history, AS_OF)
+    paced = series.pace(series.projected(quotas, ahead, AS_OF), seen, history, AS_OF)
+    return views.quota_rows(quotas, ahead, fits, paced, AS_OF)
+
+
+@query
+def event_details(spark, sf_dir):
+    kind, priced = F.when(F.col("event_ts").isNull(), "missing").otherwise("explicit_offset"), F.col("amount_minor").isNotNull()
+    known = {"timestamp_interpretation": kind, "cost_status": F.when(priced, F.when(F.col("currency") == "EUR", "computed_from_pricing").otherwise("reported_by_source")), "pricing_version": F.when(F.col("event_id") % 2 == 0, "v7")}
+    return views.event_details(records(spark, sf_dir).withColumns(known))
+
+
+@query
+def health_rows(spark, sf_dir):
+    """The health that every source is left in."""
+    return views.health_rows(health_states(spark, sf_dir), spark.createDataFrame([(s, s == SOURCES[0]) for s in SOURCES], "source_app string, needs_network boolean"), NOW)
+
+
 @query
 def hourly_tumbling(spark, sf_dir):
     r = records(spark, sf_dir).filter("event_ts is not null")
@@ -427,6 +470,49 @@ _MERGE = (
   o AS (SELECT *, CASE WHEN before IS NULL THEN 'inserted' WHEN before = h THEN 'unchanged' ELSE 'updated' END AS outcome FROM c)
 """
 )
+
+
+def _money_sql(a: str, e: str, digits: int = 2) -> str:
+    n = f"(({a} * {10**digits} + CAST(pow(10, {e}) AS BIGINT) // 2) // CAST(pow(10, {e}) AS BIGINT))"
+    return "concat(format('{:,}', " + f"{n} // {10**digits}), '.', lpad(CAST({n} % {10**digits} AS VARCHAR), {digits}, '0'), ' ', currency)"
+
+
+def _costs_sql(by: str, table: str = "r") -> str:
+    each = f"SELECT {by}, currency, CAST(sum(amount_minor * CAST(pow(10, 6 - exponent) AS BIGINT)) // CAST(pow(10, 6 - max(exponent)) AS BIGINT) AS BIGINT) AS a, max(exponent) AS e FROM {table} WHERE amount_minor IS NOT NULL GROUP BY ALL"
+    return f"SELECT {by}, string_agg({_money_sql('a', 'e')}, ' · ' ORDER BY currency) AS cost FROM ({each}) GROUP BY ALL"
+
+
+def _count_sql(n: str, rest: str, one: str = "record") -> str:
+    return f"CASE WHEN {n} > 0 THEN concat({_digits_sql(n)}, CASE WHEN {n} = 1 THEN ' {one}' ELSE ' {one}s' END, '{rest}') END"
+
+
+def _digits_sql(n: str) -> str:
+    return "format('{:,}', CAST(" + n + " AS BIGINT))"
+
+
+def _percent_sql(part: str, whole: str) -> str:
+    return f"CAST(CASE WHEN {whole} > 0 THEN ({part} * 200 + {whole}) // ({whole} * 2) ELSE 0 END AS BIGINT)"
+
+
+def _ago_sql(then: str, now: str) -> str:
+    s = f"((epoch_us(TIMESTAMP '{now}') - epoch_us({then})) // 1000000)"
+    return f"CASE WHEN {then} IS NULL THEN 'never' WHEN {s} < 10 THEN 'just now' WHEN {s} < 60 THEN concat({s}, 's ago') WHEN {s} < 3600 THEN concat({s} // 60, 'm ago') WHEN {s} < 86400 THEN concat({s} // 3600, 'h ago') ELSE concat({s} // 86400, 'd ago') END"
+
+
+def _span_sql(a: str, b: str) -> str:
+    return f"CASE WHEN strftime({a}, '%b %-d') = strftime({b}, '%b %-d') THEN strftime({a}, '%b %-d') ELSE strftime({a}, '%b %-d') || ' – ' || strftime({b}, '%b %-d') END"
+
+
+def _runway_sql(m: str) -> str:
+    return f"""CASE WHEN {m} IS NULL THEN '—' WHEN {m} < 1 THEN '<1m' WHEN {m} < 60 THEN concat({m}, 'm') WHEN {m} < 1440 THEN concat({m} // 60, 'h', CASE WHEN {m} % 60 > 0 THEN concat(' ', {m} % 60, 'm') END)
+      ELSE concat({m} // 1440, 'd', CASE WHEN {m} // 60 % 24 > 0 THEN concat(' ', {m} // 60 % 24, 'h') END) END"""
+
+
+def _tenths_sql(t: str) -> str:
+    return f"concat({t} // 10, CASE WHEN {t} % 10 <> 0 THEN concat('.', {t} % 10) END, '%')"
+
+
+_LABEL = "CASE source_app WHEN 'claude_code' THEN 'claude code' ELSE source_app END"
 _WHERE = "source_app IN ('cursor', 'codex') AND model IN ('opus-1', 'sonnet-1')"
 ORACLE_SQL: dict[str, str] = {
     "totals": f"{_RECORDS} SELECT {_T} FROM r",
@@ -489,6 +575,35 @@ ORACLE_SQL: dict[str, str] = {
       SELECT source_app, CAST(1440 AS BIGINT) AS window_minutes, metric, CAST(limit_value AS BIGINT) AS limit_value, alert_key, CASE source_app WHEN 'cursor' THEN 'Cursor' WHEN 'codex' THEN 'Codex' ELSE 'Claude' END || ' running low' AS title,
         CASE metric WHEN 'remaining_percent' THEN concat(have // 10, CASE WHEN have % 10 <> 0 THEN concat('.', have % 10) ELSE '' END, '% left this window · threshold ', limit_value, '%') WHEN 'minutes_until_reset' THEN concat('resets in ', minutes, ' min this window · threshold ', limit_value, ' min')
           ELSE concat('projected to run out ', short, ' min early this window · threshold ', limit_value, ' min') END AS body FROM k WHERE alert_key <> 'cursor:1440:MinutesUntilReset:600:1705795200'""",
+    "source_strip": f"""{_PACE}, g AS (SELECT source_app, CAST(coalesce(sum(display), 0) AS BIGINT) AS t, (SELECT sum(display) FROM r) AS w FROM r GROUP BY source_app), c AS ({_costs_sql("source_app")}), l AS (SELECT * FROM quotas WHERE source_app = 'cursor'),
+      one AS (SELECT source_app, min(used) AS meter FROM l GROUP BY source_app HAVING count(*) = 1)
+      SELECT source_app, NULL AS pool, {_LABEL} AS name, CAST(CASE WHEN meter IS NOT NULL THEN (meter + 5) // 10 ELSE {_percent_sql("t", "w")} END AS BIGINT) AS percent, {_digits_sql("t")} AS figure, coalesce(cost, '—') AS cost FROM g LEFT JOIN c USING (source_app) LEFT JOIN one USING (source_app)
+      UNION ALL SELECT source_app, pool, lower(pool), (used + 5) // 10, concat({_tenths_sql("greatest(0, 1000 - used)")}, ' left'), '—' FROM l WHERE (SELECT count(*) FROM l) > 1""",
+    "model_rows": f"""{_RECORDS}, m AS (SELECT *, coalesce(model, 'Unknown model') AS label FROM r), c AS ({_costs_sql("label", "m")}), g AS (SELECT label, CAST(coalesce(sum(display), 0) AS BIGINT) AS t, count(*) - count(display) AS u, (SELECT sum(display) FROM r) AS w FROM m GROUP BY label)
+      SELECT label, {_digits_sql("t")} AS tokens, {_percent_sql("t", "w")} AS percent, coalesce(cost, '—') AS cost, {_count_sql("u", " did not report this")} AS gaps FROM g LEFT JOIN c USING (label)""",
+    "thread_list": f"""{_RECORDS}, o AS (SELECT * FROM r WHERE session_id IS NOT NULL), c AS ({_costs_sql("source_app, session_id", "o")}),
+      p AS (SELECT source_app, session_id, project FROM o WHERE project IS NOT NULL QUALIFY row_number() OVER (PARTITION BY source_app, session_id ORDER BY event_ts IS NULL, event_ts DESC, event_id DESC) = 1),
+      g AS (SELECT source_app, session_id, CAST(coalesce(sum(display), 0) AS BIGINT) AS t, min(event_ts) AS a, max(event_ts) AS b FROM o GROUP BY source_app, session_id), h AS (SELECT count(*) AS threads, sum(t) AS w, (SELECT count(*) FROM r WHERE session_id IS NULL) AS none FROM g)
+      SELECT source_app, session_id, coalesce(project, 'thread ' || session_id[1:6]) AS name, {_span_sql("a", "b")} AS span, {_digits_sql("t")} AS tokens, {_percent_sql("t", "w")} AS percent, coalesce(cost, '—') AS cost,
+        nullif(concat_ws(' · ', CASE WHEN threads > 50 THEN concat('showing 50 of ', threads) END, {_count_sql("none", " not tied to a thread", "event")}), '') AS foot
+      FROM g CROSS JOIN h LEFT JOIN p USING (source_app, session_id) LEFT JOIN c USING (source_app, session_id) ORDER BY t DESC, b DESC NULLS LAST, source_app, session_id LIMIT 50""",
+    "stat_bar": f"""{_RECORDS}, o AS (SELECT *, 1 AS one FROM r WHERE {_WHERE} AND event_ts >= TIMESTAMP '2024-01-05' AND event_ts < TIMESTAMP '2024-01-20'), c AS ({_costs_sql("one", "o")}),
+      g AS (SELECT coalesce(sum(display), 0) AS t, coalesce(sum(input), 0) AS i, coalesce(sum(output), 0) AS o, count(*) AS n, count(*) - count(display) AS u, count(*) - count(amount_minor) AS f, min(event_ts) AS a, max(event_ts) AS b FROM o)
+      SELECT {_digits_sql("t")} AS tokens, concat({_digits_sql("i")}, ' in · ', {_digits_sql("o")}, ' out') AS in_out, {_count_sql("u", " did not report this")} AS gaps, coalesce((SELECT cost FROM c), '—') AS cost, CASE WHEN f > 0 THEN concat({_digits_sql("f")}, ' without cost') END AS cost_gaps, {_digits_sql("n")} AS events, {_span_sql("a", "b")} AS span FROM g""",
+    "quota_rows": f"""{_PACE}, j AS (SELECT q.source_app, q.pool, q.used, q.resets_at, q.observed_at, a.added, a.projected, f.n_spans, f.residual_percent, f.provisional, p.state, p.runway, p.left_min, p.aged, p.ratio, coalesce(a.projected, q.used) AS live,
+        greatest(0, (epoch_us(q.resets_at) - epoch_us(TIMESTAMP '2024-01-20 15:00:00') + 30000000) // 60000000) AS until FROM quotas q LEFT JOIN projection a USING (source_app, pool) LEFT JOIN fit f USING (source_app, pool) LEFT JOIN pace p USING (source_app, pool))
+      SELECT source_app, pool, CAST(1440 AS BIGINT) AS window_minutes, CASE WHEN pool = '' THEN 'day' ELSE lower(pool) END AS name, concat(CASE WHEN projected IS NOT NULL THEN '≈' END, {_tenths_sql("greatest(0, 1000 - live)")}, ' left') AS "left", least(1000, used) AS confirmed_tenths, least(1000, live) AS live_tenths,
+        CAST(CASE WHEN until < 1440 THEN round(least(100, (1440 - until) / 1440 * 100)) END AS BIGINT) AS even_pace, CASE WHEN aged THEN '≈' ELSE '' END || CASE state WHEN 'red' THEN concat('out in ', {_runway_sql("runway")}) WHEN 'amber' THEN 'at the edge' WHEN 'green' THEN CASE WHEN runway IS NULL THEN 'idle' ELSE 'on track' END WHEN 'exhausted' THEN 'used up' END AS verdict,
+        CASE WHEN state = 'red' THEN concat({_runway_sql("(left_min - runway)")}, ' short') END AS gap, CASE WHEN CAST(resets_at AS DATE) = DATE '2024-01-20' THEN '' ELSE strftime(resets_at, 'resets %b %-d %H:%M') END AS reset,
+        concat_ws(chr(10), CASE state WHEN 'red' THEN concat('runs out ', {_runway_sql("(left_min - runway)")}, ' early at this pace') WHEN 'amber' THEN concat({_runway_sql("runway")}, ' of usage left · right at the edge of the window') WHEN 'green' THEN CASE WHEN runway IS NULL THEN 'nothing being spent' ELSE concat({_runway_sql("runway")}, ' of usage left · comfortably inside the window') END WHEN 'exhausted' THEN 'allowance used up' ELSE 'too early to say' END,
+          CASE WHEN ratio < 75 THEN 'lighter than your usual right now' WHEN ratio >= 250 THEN 'far heavier than your usual right now' WHEN ratio >= 150 THEN 'heavier than your usual right now' END, CASE WHEN aged THEN concat('from a reading ', {_ago_sql("observed_at", "2024-01-20 15:00:00")}, '; nothing spent since, so it can only be optimistic') END) AS detail,
+        CASE WHEN projected IS NOT NULL THEN concat({_tenths_sql("used")}, ' confirmed ', {_ago_sql("observed_at", "2024-01-20 15:00:00")}, chr(10), '+', {_tenths_sql("added")}, ' estimated from usage since', chr(10), CASE WHEN provisional THEN 'rate from a single reading so far, not yet corroborated' ELSE concat('rate fitted from ', n_spans, ' readings, typically within ±', residual_percent, '%') END) END AS projection FROM j""",
+    "event_details": _RECORDS
+    + "SELECT event_id, "
+    + ", ".join(f"concat_ws(' ', coalesce({_digits_sql(c)}, '—'), CASE WHEN {c} IS NULL THEN 'not reported' END) AS {c}" for c in ("input", "output", "cached_input", "reasoning"))
+    + f""", concat_ws(' ', coalesce({_digits_sql("display")}, '—'), CASE WHEN reported IS NOT NULL THEN 'total reported by the source' WHEN input IS NULL AND output IS NULL THEN NULL WHEN reasoning IS NOT NULL THEN 'input + output + reasoning' ELSE 'input + output' END) AS total,
+      CASE WHEN amount_minor IS NULL THEN '—' ELSE concat({_money_sql("amount_minor", "exponent", 4)}, ' ', CASE WHEN currency <> 'EUR' THEN 'reported by the source' WHEN event_id % 2 = 0 THEN 'priced locally · v7' ELSE 'priced locally · —' END) END AS cost,
+      CASE WHEN model LIKE 'o%' THEN 'openai' ELSE '—' END AS provider, coalesce(project, '—') AS project, coalesce(session_id, '—') AS session, CASE WHEN event_ts IS NULL THEN 'the log recorded no timestamp' END AS logged_note FROM r""",
     "session_tiling": f"""{_RECORDS.replace("WITH e AS", "WITH RECURSIVE e AS", 1)}, t AS MATERIALIZED (SELECT session_id, event_ts AS t FROM r WHERE session_id IS NOT NULL AND event_ts <= TIMESTAMP '2024-01-20 15:00:00'),
       w AS (SELECT session_id, min(t) AS o FROM t GROUP BY session_id UNION ALL SELECT w.session_id, min(t.t) FROM w JOIN t ON t.session_id = w.session_id AND t.t >= w.o + INTERVAL 5 HOUR WHERE w.o + INTERVAL 5 HOUR <= TIMESTAMP '2024-01-20 15:00:00' GROUP BY w.session_id)
       SELECT session_id, CASE WHEN max(o) + INTERVAL 5 HOUR > TIMESTAMP '2024-01-20 15:00:00' THEN max(o) + INTERVAL 5 HOUR END AS resets_at FROM w GROUP BY session_id""",
@@ -503,3 +618,9 @@ ORACLE_SQL: dict[str, str] = {
       c AS (SELECT *, bool_or(paid) OVER (PARTITION BY conversation, turn_no) AS covered FROM t)
       SELECT conversation, "at", bubble, CASE WHEN paid THEN 'tokens' ELSE 'event' END AS kind, CASE WHEN paid THEN carried ELSE model END AS model, CASE WHEN paid THEN tokens END AS tokens FROM c WHERE paid OR (is_user AND NOT covered)""",
 }
+_HEALTH = ORACLE_SQL["health_states"].replace("SELECT *, CAST(sum(CAST(material", ", h2 AS (SELECT *, CAST(sum(CAST(material", 1)
+_WORD = "CASE WHEN state = 'current' THEN CASE WHEN awaiting_upstream THEN 'awaiting billing' ELSE 'watching' END ELSE state END"
+_CLOCKS = [f"concat('{words} ', {_ago_sql(clock, '2024-01-31 00:00:00')})" for words, clock in (("app synced", "app_synced_at"), ("source reported", "source_observed_at"))]
+ORACLE_SQL["health_rows"] = f"""{_HEALTH.rstrip()}), z AS (SELECT * FROM h2 QUALIFY row_number() OVER (PARTITION BY source_app ORDER BY seq DESC) = 1)
+  SELECT source_app, {_LABEL} AS label, {_WORD} AS word, {_CLOCKS[0]} AS synced, {_CLOCKS[1]} AS reported, CASE WHEN state IN ('offline', 'error') THEN last_error || CASE WHEN state = 'offline' AND source_app = 'cursor' THEN ' · retrying with backoff' ELSE '' END END AS failure,
+    concat_ws(' · ', {_WORD}, {_CLOCKS[0]}, {_CLOCKS[1]}, CASE WHEN awaiting_upstream THEN 'activity detected; awaiting billing data' END, 'last error: ' || last_error) AS freshness FROM z"""

@@ -28,6 +28,21 @@ METRICS = {"remaining_percent": "RemainingPercent", "minutes_until_reset": "Minu
 SOURCE_TITLES = {"cursor": "Cursor", "claude_code": "Claude", "codex": "Codex"}
 WINDOW_NAMES = {300: "this session", 10_080: "this week"}
 
+# The words of the screen.
+DAY_MINUTES, WEEK_MINUTES, MONTH_MINUTES = 1440, 10_080, 43_200
+SOURCE_LABELS = {"cursor": "cursor", "claude_code": "claude code", "codex": "codex"}
+WINDOW_WORDS = {300: "this session", 10_080: "this week", 1440: "today"}
+SYNC_WORDS = {"syncing": "syncing", "current": "watching", "stale": "stale", "offline": "offline", "error": "error", "unknown": "not checked"}
+BASELINE_WORDS = {"above": "heavier than your usual right now", "farAbove": "far heavier than your usual right now", "below": "lighter than your usual right now"}
+TIMESTAMP_NOTES = {
+    "assumed_utc": "no timezone in the log; read as UTC",
+    "assumed_local": "no timezone in the log; read as local time",
+    "unparsable": "the log's timestamp could not be read",
+    "missing": "the log recorded no timestamp",
+}
+QUALITY_NOTES = {"estimated": "estimated by the source", "partial": "the source reported only part of this", "unknown": "not reported"}
+RULE_WORDS = {"source_reported": "total reported by the source", "input_output": "input + output", "input_output_reasoning": "input + output + reasoning"}
+
 DRAFT = (
     "source_app string, source_event_id string, raw_timestamp string, provider string, model string, "
     "input long, output long, cached_input long, reasoning long, reported_total long, project string, session_id string, source_ref string, "

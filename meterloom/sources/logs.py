@@ -7,11 +7,13 @@ number that is assigned while the file's lines are read, so state is carried by
 
 from __future__ import annotations
 
+from datetime import datetime
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions.scalars import clean, cents_to_minor, joined_hash, percent_to_tenths, project_name, provider_of
-from ..schema import DRAFT
+from ..functions.scalars import clean, cents_to_minor, joined_hash, minutes_floor, parse_timestamp, percent_to_tenths, project_name, provider_of
+from ..schema import DRAFT, MONTH_MINUTES
 
 _ROLLOUT = "timestamp string, type string, payload struct<id:string,cwd:string,model_provider:string,model:string,type:string,info:struct<last_token_usage:struct<input_tokens:bigint,cached_input_tokens:bigint,output_tokens:bigint,reasoning_output_tokens:bigint,total_tokens:bigint>>,rate_limits:struct<primary:struct<used_percent:double,window_minutes:int,resets_at:bigint>>>"
 _TRANSCRIPT = "timestamp string, uuid string, sessionId string, cwd string, type string, message struct<id:string,model:string,usage:struct<input_tokens:bigint,cache_creation_input_tokens:bigint,cache_read_input_tokens:bigint,output_tokens:bigint>>"
@@ -100,6 +102,28 @@ def cached_quota(spark: SparkSession, path: str) -> DataFrame:
     return _quota(read, F.col("pool_label"))
 
 
+def period_quota(spark: SparkSession, path: str, observed_at: datetime) -> DataFrame:
+    """The allowances of exported cycle-usage answers, bare or wrapped: one for each pool that has a percentage, else the total.
+
+    The window is the cycle's length, a month where its start is missing or not before its end; an answer without an end
+    that can be read has no allowance. Numbers may be written as strings.
+    """
+    body = "planUsage struct<autoPercentUsed:string,apiPercentUsed:string,totalPercentUsed:string>, billingCycleStart string, billingCycleEnd string"
+    wrapped = f"struct<{body.replace(' struct', ':struct').replace(' string', ':string')}>"
+    page = spark.read.option("multiLine", True).schema(f"{body}, result {wrapped}, usage {wrapped}, data {wrapped}").json(path)
+    bare = F.struct("planUsage", "billingCycleStart", "billingCycleEnd")
+    root = F.coalesce(F.when(F.col("planUsage").isNotNull(), bare), *(F.when(F.col(f"{n}.planUsage").isNotNull(), F.col(n)) for n in ("result", "usage", "data")))
+    r = page.select(root.alias("r")).select("r.planUsage.*", parse_timestamp(F.col("r.billingCycleStart")).alias("start"), parse_timestamp(F.col("r.billingCycleEnd")).alias("resets_at")).filter("resets_at is not null")
+    number = lambda c: F.col(c).try_cast("double")
+    pool = lambda label, percent: F.struct(F.lit(label).alias("pool_label"), percent.alias("percent"))
+    own, other = number("autoPercentUsed"), number("apiPercentUsed")
+    whole = F.when(own.isNull() & other.isNull(), number("totalPercentUsed"))
+    each = r.select("start", "resets_at", F.explode(F.array(pool("Cursor Models", own), pool("Other Models", other), pool("Total", whole))).alias("p")).filter("p.percent is not null")
+    length = minutes_floor(F.col("start"), F.col("resets_at"))
+    read = each.select(F.lit("cursor").alias("source_app"), F.when(length > 0, length).otherwise(MONTH_MINUTES).alias("window_minutes"), "p.pool_label", percent_to_tenths(F.col("p.percent")).alias("used_tenths"), "resets_at", F.lit(observed_at).cast("timestamp").alias("observed_at"))
+    return _quota(read, F.col("pool_label"))
+
+
 def limit_quota(spark: SparkSession, path: str, now: str) -> DataFrame:
     """The newest rate-limit line of transcripts as a used-up allowance, if it resets after `now` (a UTC timestamp).
 

@@ -3,7 +3,7 @@
 The ledger is a log: a commit writes the rows that changed as the folder of its revision, and a key's newest row
 counts. So a commit writes no more than its batch, and reads only keys and hashes of what is stored. A batch that is
 replayed after a failure is compared with the revisions before its own and overwrites its own folder, so that half a
-revision never stays.
+revision never stays. `compact` folds old revisions into a base, beside the log; a base counts once it is complete.
 """
 
 from __future__ import annotations
@@ -58,13 +58,39 @@ class Ledger:
     def __init__(self, spark: SparkSession, path: str):
         self.spark, self.path = spark, path.rstrip("/")
 
+    def _folder(self, name: str):
+        hadoop = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}")
+        return hadoop, hadoop.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
+
+    def _base(self) -> int | None:
+        """The last revision of the newest complete base."""
+        folder, files = self._folder("base")
+        marks = files.globStatus(self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder, "upto=*/_SUCCESS")) or []
+        return max((int(m.getPath().getParent().getName().split("=")[1]) for m in marks), default=None)
+
     def _log(self, schema) -> DataFrame:
-        hadoop = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{self.path}/log")
-        there = hadoop.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).exists(hadoop)
-        return self.spark.read.parquet(f"{self.path}/log") if there else self.spark.createDataFrame([], schema)
+        folder, files = self._folder("log")
+        if not files.exists(folder):
+            return self.spark.createDataFrame([], schema)
+        log, base = self.spark.read.parquet(f"{self.path}/log"), self._base()
+        return log if base is None else log.filter(F.col("revision") > base).unionByName(self.spark.read.parquet(f"{self.path}/base/upto={base}"))
+
+    def compact(self, upto: int) -> None:
+        """Writes the newest row of each key of the revisions up to `upto` as a base that later reads begin with.
+
+        The last revision is what a stream may replay, so `upto` lies before it. The log stays as it is; its folders up to
+        `upto` are no longer read.
+        """
+        last = self.spark.read.parquet(f"{self.path}/log").agg(F.max("revision").alias("r")).first()["r"]
+        if upto >= last:
+            raise ValueError("the last revision can't be compacted")
+        self.current(before=upto + 1).write.mode("overwrite").parquet(f"{self.path}/base/upto={upto}")
 
     def current(self, schema=None, before: int | None = None) -> DataFrame:
-        """The newest row of each key, of the revisions before `before` where that is given."""
+        """The newest row of each key, of the revisions before `before` where that is given; none may lie in a base."""
+        base = None if before is None else self._base()
+        if base is not None and before <= base:
+            raise ValueError("older than the base")
         w = Window.partitionBy("dedupe_key").orderBy(F.desc("revision"))
         log = self._log(schema).withColumn("revision", F.col("revision").cast("long"))
         log = log if before is None else log.filter(F.col("revision") < before)
