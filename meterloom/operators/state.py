@@ -7,10 +7,15 @@ from datetime import datetime, timedelta
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..schema import METRICS, SOURCES, WEEK_MINUTES, named
 from .series import KEY, at, pooled
 
-#: How far a delta reads back, and how far a reconciliation does.
+#: How far a delta reads back, and how far a reconciliation does; a source's limit where none is set; the
+#: largest limit of each metric; what kinds of errors mean that a source can't be reached.
 OVERLAP, RECONCILE, SAMPLE_DAYS = timedelta(hours=6), timedelta(days=30), 62
+DEFAULT_METRIC, DEFAULT_LIMIT = "remaining_percent", 25
+LARGEST_LIMIT = {"remaining_percent": 100, "minutes_until_reset": WEEK_MINUTES, "projected_exhaustion": WEEK_MINUTES}
+UNREACHABLE = ("offline", "rate_limited")
 
 
 def merged_quotas(stored: DataFrame, incoming: DataFrame, source: str | None = None) -> DataFrame:
@@ -83,6 +88,26 @@ def change_rows(outcomes: DataFrame) -> DataFrame:
     return outcomes.groupBy("source_app").agg(n("inserted").alias("inserted"), n("updated").alias("updated"), n("unchanged").alias("unchanged"), (n("unchanged") < F.count("*")).alias("data_changed"))
 
 
+def outcome_of(error_kind: Column) -> Column:
+    """How an attempt ended, by the kind of its error: null is a success, an unreachable source is offline."""
+    return F.when(error_kind.isNull(), "succeeded").when(error_kind.isin(*UNREACHABLE), "offline").otherwise("failed")
+
+
+def limits(options: DataFrame) -> DataFrame:
+    """One limit for each source, of options (seq, source_app, metric, limit_value, enabled): the last one, or the default.
+
+    Options of other sources are left out. `problem` says why a limit can't be taken: its metric is unknown, or its value
+    negative or too large for it.
+    """
+    spark = options.sparkSession
+    last = options.groupBy("source_app").agg(F.max_by(F.struct("metric", "limit_value", "enabled"), "seq").alias("o"))
+    every = spark.createDataFrame([(s,) for s in SOURCES], "source_app string").join(last, "source_app", "left")
+    usual = F.struct(F.lit(DEFAULT_METRIC).alias("metric"), F.lit(DEFAULT_LIMIT).cast("long").alias("limit_value"), F.lit(True).alias("enabled"))
+    o = every.select("source_app", F.coalesce("o", usual).alias("o")).select("source_app", "o.*")
+    inside = F.coalesce(F.col("limit_value").between(0, named(F.col("metric"), LARGEST_LIMIT)), F.lit(False))
+    return o.withColumn("problem", F.when(~F.coalesce(F.col("metric").isin(*METRICS), F.lit(False)), "unknown metric").when(~inside, "limit out of range"))
+
+
 def to_fire(active: DataFrame, fired: DataFrame) -> DataFrame:
     """Active alerts that haven't been shown for their window instance."""
     return active.join(fired.select("alert_key"), "alert_key", "left_anti")

@@ -312,6 +312,14 @@ def alerts_active(spark, sf_dir):
     return series.alerts(quotas, paced, thresholds, spark.createDataFrame([(SNOOZED,)], "alert_key string"), AS_OF)
 
 
+@query
+def limit_options(spark, sf_dir):
+    """Every event of two sources as a setting of its limit; the third source keeps the default."""
+    r, k = records(spark, sf_dir), F.col("event_id") % 3
+    metric = F.when(k == 0, "remaining_percent").when(k == 1, "minutes_until_reset").otherwise("projected_exhaustion")
+    return state.limits(r.filter("source_app <> 'cursor'").select(F.col("event_id").alias("seq"), "source_app", metric.alias("metric"), F.col("input").alias("limit_value"), (F.col("event_id") % 2 == 0).alias("enabled")))
+
+
 @query
 def session_tiling(spark, sf_dir):
     times = records(spark, sf_dir).filter(F.col("event_ts") <= series.at(AS_OF)).filter("session_id is not null")
@@ -604,6 +612,9 @@ ORACLE_SQL: dict[str, str] = {
     + f""", concat_ws(' ', coalesce({_digits_sql("display")}, '—'), CASE WHEN reported IS NOT NULL THEN 'total reported by the source' WHEN input IS NULL AND output IS NULL THEN NULL WHEN reasoning IS NOT NULL THEN 'input + output + reasoning' ELSE 'input + output' END) AS total,
       CASE WHEN amount_minor IS NULL THEN '—' ELSE concat({_money_sql("amount_minor", "exponent", 4)}, ' ', CASE WHEN currency <> 'EUR' THEN 'reported by the source' WHEN event_id % 2 = 0 THEN 'priced locally · v7' ELSE 'priced locally · —' END) END AS cost,
       CASE WHEN model LIKE 'o%' THEN 'openai' ELSE '—' END AS provider, coalesce(project, '—') AS project, coalesce(session_id, '—') AS session, CASE WHEN event_ts IS NULL THEN 'the log recorded no timestamp' END AS logged_note FROM r""",
+    "limit_options": f"""{_RECORDS}, o AS (SELECT source_app, CASE event_id % 3 WHEN 0 THEN 'remaining_percent' WHEN 1 THEN 'minutes_until_reset' ELSE 'projected_exhaustion' END AS metric, input AS limit_value, event_id % 2 = 0 AS enabled FROM r WHERE source_app <> 'cursor' QUALIFY row_number() OVER (PARTITION BY source_app ORDER BY event_id DESC) = 1
+      UNION ALL SELECT 'cursor', 'remaining_percent', 25, TRUE)
+      SELECT *, CASE WHEN limit_value IS NULL OR limit_value < 0 OR limit_value > CASE metric WHEN 'remaining_percent' THEN 100 ELSE 10080 END THEN 'limit out of range' END AS problem FROM o""",
     "session_tiling": f"""{_RECORDS.replace("WITH e AS", "WITH RECURSIVE e AS", 1)}, t AS MATERIALIZED (SELECT session_id, event_ts AS t FROM r WHERE session_id IS NOT NULL AND event_ts <= TIMESTAMP '2024-01-20 15:00:00'),
       w AS (SELECT session_id, min(t) AS o FROM t GROUP BY session_id UNION ALL SELECT w.session_id, min(t.t) FROM w JOIN t ON t.session_id = w.session_id AND t.t >= w.o + INTERVAL 5 HOUR WHERE w.o + INTERVAL 5 HOUR <= TIMESTAMP '2024-01-20 15:00:00' GROUP BY w.session_id)
       SELECT session_id, CASE WHEN max(o) + INTERVAL 5 HOUR > TIMESTAMP '2024-01-20 15:00:00' THEN max(o) + INTERVAL 5 HOUR END AS resets_at FROM w GROUP BY session_id""",

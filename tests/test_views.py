@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from meterloom.functions import scalars as X
 from meterloom.functions import wording as T
-from meterloom.operators import ledger, views
+from meterloom.operators import ledger, state, views
 from meterloom.sources import logs
 from meterloom.sources.events_bridge import records
 from meterloom.streaming.ingest import Ledger, normalized
@@ -84,3 +84,16 @@ def test_compaction_keeps_what_is_current(spark, tmp_path):
     for wrong in (lambda: store.compact(4), lambda: store.current(before=2)):
         with pytest.raises(ValueError):
             wrong()
+
+
+def test_limits(spark):
+    rows = [(1, "codex", "remaining_percent", 101, True), (2, "cursor", "minutes_until_reset", 10080, False), (3, "codex", "remaining_percent", 100, True), (4, "elsewhere", "remaining_percent", 1, True), (5, "claude_code", "mood", 1, True)]
+    options = spark.createDataFrame(rows, "seq long, source_app string, metric string, limit_value long, enabled boolean")
+    of = lambda df: {r["source_app"]: (r["metric"], r["limit_value"], r["enabled"], r["problem"]) for r in state.limits(df).collect()}
+    assert of(options) == {"codex": ("remaining_percent", 100, True, None), "cursor": ("minutes_until_reset", 10080, False, None), "claude_code": ("mood", 1, True, "unknown metric")}
+    assert of(options.filter("seq = 1"))["codex"][3] == "limit out of range" and of(options.filter("false"))["cursor"] == ("remaining_percent", 25, True, None)
+
+
+def test_outcomes(spark):
+    kinds = spark.createDataFrame([(None,), ("offline",), ("rate_limited",), ("parse",)], "kind string")
+    assert [r["o"] for r in kinds.select(state.outcome_of(F.col("kind")).alias("o")).collect()] == ["succeeded", "offline", "offline", "failed"]
