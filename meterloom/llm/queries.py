@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, fingerprints, importance, katz, minhash, mixing, packing, repeats, token_files, toxicity
+from . import exact_dedup, fingerprints, importance, katz, minhash, mixing, packing, private, repair, repeats, search, token_files, toxicity
 from .common import crc_mod, table
 
 
@@ -56,6 +56,18 @@ def op10_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
     return drawn.withColumn("held_out", crc_mod(F.col("doc_id"), 5) == 0)
 
 
+def op11_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return search.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op12_private(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return private.find(table(spark, sf_dir, "documents"))
+
+
+def op13_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repair.repair(table(spark, sf_dir, "conversations"))
+
+
 QUERIES = {
     "op1_minhash": op1_minhash,
     "op2_exact": op2_exact,
@@ -67,6 +79,9 @@ QUERIES = {
     "op8_packing": op8_packing,
     "op9_toxicity": op9_toxicity,
     "op10_importance": op10_importance,
+    "op11_search": op11_search,
+    "op12_private": op12_private,
+    "op13_repair": op13_repair,
 }
 
 #: DuckDB SQL of the same rows and columns, where SQL can express them.
