@@ -110,8 +110,11 @@ def _salted_join(many: DataFrame, few: DataFrame, key: str, by: str) -> DataFram
 
 
 def found_instances(spans: DataFrame, scratch: Scratch) -> DataFrame:
-    """(instance, score) of the instances that are no seeds and end above the threshold; `spans` has instance, seed, patterns."""
-    edges = spans.select("instance", "seed", F.explode("patterns").alias("pattern")).groupBy("pattern", "instance").agg(F.max("seed").alias("seed"))
+    """The instances that candidates may stand for: seeds found loosely elsewhere, and those that end above the threshold.
+
+    `spans` has instance, seed, patterns.
+    """
+    edges = spans.select("instance", "seed", F.explode("patterns").alias("pattern")).groupBy("pattern", "instance").agg(F.max("seed").alias("seed"), F.min("seed").alias("strict"))
     edges = scratch.save(edges, "edges")
     sizes = edges.groupBy("pattern").agg(F.count("*").alias("size"))
     scores = edges.filter("seed").select("pattern", F.lit(ONE).cast("long").alias("score"))
@@ -123,7 +126,7 @@ def found_instances(spans: DataFrame, scratch: Scratch) -> DataFrame:
         reached = scratch.save(reached, f"reached-{n}")
         if n + 1 < ROUNDS:
             scores = edges.filter("seed").select("pattern", F.lit(ONE).cast("long").alias("score")).unionByName(_salted_join(edges.filter("not seed"), reached, "instance", "pattern").select("pattern", "score"))
-    return reached.filter(F.col("score") >= TRUST)
+    return edges.filter("seed and not strict").select("instance").distinct().unionByName(reached.filter(F.col("score") >= TRUST).select("instance"))
 
 
 def _listed(spans: Column) -> Column:
@@ -148,7 +151,7 @@ def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     instance = F.concat_ws(":", "kind", normalized(F.col("kind"), F.col("match")))
     clear = spans.withColumn("met", met).filter("seed or not met").select("row", "kind", "start", "end", "seed", instance.alias("instance"), patterns().alias("patterns"))
     clear = scratch.save(clear, "clear")
-    found = _salted_join(clear.filter("not seed"), found_instances(clear, scratch).select("instance"), "instance", "row")
+    found = _salted_join(clear.filter("not seed"), found_instances(clear, scratch), "instance", "row")
     kind_no = F.array_position(F.array(*map(F.lit, KINDS)), F.col("kind")).cast("int")
     span = F.struct(kind_no.alias("kind_no"), "start", "end", "seed")
     kept = clear.filter("seed").select("row", span.alias("s")).unionByName(found.select("row", span.alias("s")))

@@ -51,7 +51,7 @@ def test_base_spans_whole_table(spark, sf_dir):
 AWKWARD = [
     "a@b.c_d@e.f g@h i@j. k@l..m x.@-.-", "@a.b a@@b.c +@+.+", "1.2.3.4.5.6.7.8 256.1.1.1 0001.02.003.0255 1.2.3 1..2.3.4 00000000000000000255.1.1.1 1.2.3.99999999999999999999",
     "4111 1111 1111 1111 4111-1111-1111-1111  4111111111111111 4 1 1 1", "12 4111111111111111 99", "+1 (523) 555-5810, +1 2 +123456789 +1234567890123456 +1-2-3-4-5-6-7-8-9- +1()9", "++49 30 1234567+49 30 7654321",
-    "é\U0001f600 mail: ü.a@b.de \U0001f600 9.9.9.9", None, "", " ", "a" * 6000, "a." * 3000 + "@b.c", "x@" + "y." * 20_000 + "z", "1 " * 30_000, "1." * 30_000, "+1" * 20_000, "a@b.c " * 3000, "1" * 100_000, "\n@\n1.1.1.1\n",
+    "é\U0001f600 mail: ü.a@b.de \U0001f600 9.9.9.9", None, "", " ", "a" * 6000, "a." * 3000 + "@b.c", "x@" + "y." * 20_000 + "z", "1 " * 30_000, "1." * 30_000, "+1" * 20_000, "a@b.c " * 3000, "1" * 5000, "\n@\n1.1.1.1\n",
 ]
 
 
@@ -71,5 +71,5 @@ def test_contexts_find_unseen(spark):
     rows = {r["doc_id"]: r for r in private.find(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
     check(list(rows.values()), docs)
     assert rows[100]["spans"] == "email:16:53" and rows[101]["spans"] == "email:8:45"
-    assert rows[102]["spans"] == "" and rows[300]["spans"] == "card:6:22"
+    assert (rows[102]["spans"], rows[300]["spans"]) == ("", "card:6:22")
     assert all(r["n_found"] == 0 for d, r in rows.items() if d < 100)
