@@ -78,7 +78,8 @@ def total_rule(reported: Column, given: Column, output: Column, reasoning: Colum
     )
 
 
-_NAIVE = r"^\d{4}-\d{2}-\d{2}([ T]\d{2}:\d{2}(:\d{2}(\.\d{1,9})?)?)?$"
+#: Without an offset, fields may have one digit; with one, they have two.
+_NAIVE = r"^\d{4}-\d{1,2}-\d{1,2}([ T]\d{1,2}:\d{1,2}(:\d{1,2}(\.\d{1,9})?)?)?$"
 _ZONED = r"^\d{4}-\d{2}-\d{2}[Tt ]\d{2}:\d{2}:\d{2}(\.\d{1,9})?([Zz]|[+-]\d{2}:\d{2})$"
 _EPOCH = r"^-?\d{1,19}$"
 

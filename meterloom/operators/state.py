@@ -7,12 +7,14 @@ from datetime import datetime, timedelta
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.scalars import same_instance
 from ..schema import METRICS, SOURCES, WEEK_MINUTES, named
 from .series import KEY, at, pooled
 
 #: How far a delta reads back, and how far a reconciliation does; a source's limit where none is set; the
 #: largest limit of each metric; what kinds of errors mean that a source can't be reached.
 OVERLAP, RECONCILE, SAMPLE_DAYS = timedelta(hours=6), timedelta(days=30), 62
+SAMPLE_KEPT = timedelta(days=SAMPLE_DAYS)
 DEFAULT_METRIC, DEFAULT_LIMIT = "remaining_percent", 25
 LARGEST_LIMIT = {"remaining_percent": 100, "minutes_until_reset": WEEK_MINUTES, "projected_exhaustion": WEEK_MINUTES}
 UNREACHABLE = ("offline", "rate_limited")
@@ -32,6 +34,34 @@ def merged_quotas(stored: DataFrame, incoming: DataFrame, source: str | None = N
     return newest.select("source_app", "window_minutes", "q.*")
 
 
+def changed_samples(quotas: DataFrame, newest: DataFrame) -> DataFrame:
+    """The quotas that differ from the newest sample of their window in value or in instance, or have none."""
+    mark = pooled(newest).select(*KEY, F.struct("used_tenths", "resets_at").alias("mark"))
+    same = (F.col("mark.used_tenths") == F.col("used_tenths")) & same_instance(F.col("mark.resets_at"), F.col("resets_at"))
+    return pooled(quotas).join(mark, KEY, "left").filter(F.col("mark").isNull() | ~F.coalesce(same, F.lit(False))).drop("mark", "pool")
+
+
+def next_health(stored: DataFrame, attempts: DataFrame, now: datetime) -> DataFrame:
+    """Stored health after one attempt of some sources, by the rules of `health_history`; `material` tells what has changed."""
+    held = stored.select("source_app", F.struct("state", "app_synced_at", "source_observed_at", "last_error", "awaiting_upstream", "last_attempt_at").alias("h"))
+    a = attempts.select("source_app", F.struct("outcome", "observed_at", F.coalesce("awaiting", F.lit(False)).alias("awaiting"), "error").alias("a"))
+    both, t = held.join(a, "source_app", "full"), F.lit(now).cast("timestamp")
+    kind, tried = F.col("a.outcome"), F.col("a").isNotNull()
+    good, bad = F.coalesce(kind == "succeeded", F.lit(False)), F.coalesce(kind.isin("offline", "failed"), F.lit(False))
+    fields = {
+        "state": F.when(good, "current").when(kind == "started", "syncing").when(kind == "offline", "offline").when(kind == "failed", "error").otherwise(F.col("h.state")),
+        "app_synced_at": F.when(good, t).otherwise(F.col("h.app_synced_at")),
+        "source_observed_at": F.when(good, F.coalesce("a.observed_at", "h.source_observed_at", t)).otherwise(F.col("h.source_observed_at")),
+        "last_error": F.when(bad, F.col("a.error")).when(~good, F.col("h.last_error")),
+        "awaiting_upstream": F.when(good, F.col("a.awaiting")).otherwise(F.coalesce("h.awaiting_upstream", F.lit(False))),
+    }
+    out = both.withColumns(fields).withColumn("last_attempt_at", F.when(tried, t).otherwise(F.col("h.last_attempt_at")))
+    same = F.col("h").isNotNull()
+    for c in fields:
+        same &= F.col(c).eqNullSafe(F.col(f"h.{c}"))
+    return out.select("source_app", "state", "last_attempt_at", *list(fields)[1:], (~same).alias("material"))
+
+
 def pruned_samples(samples: DataFrame, now: datetime) -> DataFrame:
     return samples.filter(F.col("observed_at") >= at(now - timedelta(days=SAMPLE_DAYS)))
 

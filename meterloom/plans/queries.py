@@ -12,7 +12,9 @@ from ..functions import scalars as X
 from ..operators import conversations, ledger, series, state, views
 from ..schema import SOURCES
 from ..sources.events_bridge import records, samples
+from ..sources.paths import scratch_folder
 from ..streaming.ingest import reject_reason
+from ..streaming.ledger import Ledger, Scope
 
 NOW = datetime(2024, 1, 31)
 AS_OF = datetime(2024, 1, 20, 15)
@@ -222,6 +224,47 @@ def replace_scope_delete(spark, sf_dir):
     return ledger.outside_scope(_store(r), r.filter(F.col("display") > 20_000), "codex", datetime(2024, 1, 10), datetime(2024, 1, 15)).select("dedupe_key")
 
 
+def _committed(spark, sf_dir) -> Ledger:
+    """A ledger after three commits: all records before the middle of the month; all of them, a sixth changed and every
+    tenth once more; the large ones as they were, which is all that the source reports of five days."""
+    r = records(spark, sf_dir)
+
+    def drafts(rows, display, position):
+        value = display.alias("display")
+        return rows.select(*(c for c in rows.columns if c != "display"), value, X.joined_hash(display).alias("content_hash"), position.alias("position"), F.lit("bridge").alias("adapter"), F.lit(None).cast("string").alias("reject_reason"))
+
+    plain, place = F.col("display"), F.col("event_id")
+    changed = drafts(r, F.when(place % 6 == 4, plain + 1).otherwise(plain), place).unionByName(drafts(r.filter("event_id % 10 = 0"), plain + 1, place + 1_000_000_000))
+    out = Ledger(spark, scratch_folder(spark, "ledger"))
+    out.commit(drafts(r.filter(F.col("ts") < series.at(datetime(2024, 1, 16))), plain, place), 1)
+    out.commit(changed, 2)
+    out.commit(drafts(r.filter("display > 20000"), plain, place), 3, scopes=[Scope("codex", datetime(2024, 1, 15), datetime(2024, 1, 10), "bridge")])
+    return out
+
+
+@query
+def ledger_after_commits(spark, sf_dir):
+    """The records that stand after three commits, and the commit that each is of."""
+    return _committed(spark, sf_dir).current().select("dedupe_key", "content_hash", "revision")
+
+
+@query
+def ledger_folded_totals(spark, sf_dir):
+    """Totals after three commits, folded from what each has added and taken away; no record is read for them."""
+    return _committed(spark, sf_dir).at().totals("source_app", "model")
+
+
+@query
+def ledger_folded_costs(spark, sf_dir):
+    return _committed(spark, sf_dir).at().costs("source_app")
+
+
+@query
+def ledger_published(spark, sf_dir):
+    """What each of three commits has published of each source."""
+    return _committed(spark, sf_dir).changes().select("commit", "revision", "source_app", "inserted", "updated", "deleted", "unchanged")
+
+
 @query
 def quota_samples_change_only(spark, sf_dir):
     return samples(records(spark, sf_dir)).select("source_app", "used", "resets_at", "observed_at")
@@ -635,3 +678,15 @@ _CLOCKS = [f"concat('{words} ', {_ago_sql(clock, '2024-01-31 00:00:00')})" for w
 ORACLE_SQL["health_rows"] = f"""{_HEALTH.rstrip()}), z AS (SELECT * FROM h2 QUALIFY row_number() OVER (PARTITION BY source_app ORDER BY seq DESC) = 1)
   SELECT source_app, {_LABEL} AS label, {_WORD} AS word, {_CLOCKS[0]} AS synced, {_CLOCKS[1]} AS reported, CASE WHEN state IN ('offline', 'error') THEN last_error || CASE WHEN state = 'offline' AND source_app = 'cursor' THEN ' · retrying with backoff' ELSE '' END END AS failure,
     concat_ws(' · ', {_WORD}, {_CLOCKS[0]}, {_CLOCKS[1]}, CASE WHEN awaiting_upstream THEN 'activity detected; awaiting billing data' END, 'last error: ' || last_error) AS freshness FROM z"""
+_COMMITS = f"""{_MERGE}, f2 AS (SELECT dedupe_key, h FROM batch QUALIFY row_number() OVER (PARTITION BY dedupe_key ORDER BY seq DESC) = 1),
+  s2 AS (SELECT r.*, f2.h, s.h AS h1, coalesce(display > 20000, FALSE) AS again, {_HASH.format("display")} AS h3, coalesce(source_app = 'codex' AND event_ts >= TIMESTAMP '2024-01-10' AND event_ts < TIMESTAMP '2024-01-15', FALSE) AS held
+    FROM r JOIN f2 USING (dedupe_key) LEFT JOIN (SELECT dedupe_key, h FROM store) s USING (dedupe_key)),
+  s3 AS (SELECT * FROM s2 WHERE again OR NOT held),
+  n AS (SELECT * REPLACE (CASE WHEN again OR NOT (event_id % 10 = 0 OR event_id % 6 = 4) THEN display ELSE display + 1 END AS display) FROM s3)"""
+_N = "CAST(count(*) FILTER ({}) AS BIGINT) AS {}"
+ORACLE_SQL["ledger_after_commits"] = f"{_COMMITS} SELECT dedupe_key, CASE WHEN again THEN h3 ELSE h END AS content_hash, CAST(CASE WHEN again AND h3 <> h THEN 3 WHEN h1 = h THEN 1 ELSE 2 END AS BIGINT) AS revision FROM s3"
+ORACLE_SQL["ledger_folded_totals"] = f"{_COMMITS} SELECT source_app, model, {_T} FROM n GROUP BY source_app, model"
+ORACLE_SQL["ledger_folded_costs"] = f"{_COMMITS} SELECT source_app, currency, CAST(sum(amount_minor * CAST(pow(10, 6 - exponent) AS BIGINT)) // CAST(pow(10, 6 - max(exponent)) AS BIGINT) AS BIGINT) AS amount_minor, max(exponent) AS exponent, count(*) AS counted FROM n WHERE amount_minor IS NOT NULL GROUP BY source_app, currency"
+ORACLE_SQL["ledger_published"] = f"""{_COMMITS} SELECT CAST(1 AS BIGINT) AS "commit", CAST(1 AS BIGINT) AS revision, source_app, {_N.format("TRUE", "inserted")}, CAST(0 AS BIGINT) AS updated, CAST(0 AS BIGINT) AS deleted, CAST(0 AS BIGINT) AS unchanged FROM store GROUP BY source_app
+  UNION ALL SELECT 2, 2, source_app, {_N.format("h1 IS NULL", "inserted")}, {_N.format("h1 <> h", "updated")}, 0, {_N.format("h1 = h", "unchanged")} FROM s2 GROUP BY source_app
+  UNION ALL SELECT 3, 3, source_app, 0, {_N.format("again AND h3 <> h", "updated")}, {_N.format("held AND NOT again", "deleted")}, {_N.format("again AND h3 = h", "unchanged")} FROM s2 WHERE again OR held AND source_app = 'codex' GROUP BY source_app"""

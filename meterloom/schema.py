@@ -47,8 +47,13 @@ DRAFT = (
     "source_app string, source_event_id string, raw_timestamp string, provider string, model string, "
     "input long, output long, cached_input long, reasoning long, reported_total long, project string, session_id string, source_ref string, "
     "input_quality string, output_quality string, cached_input_quality string, reasoning_quality string, "
-    "cost_status string, pricing_version string, amount_minor long, currency string, exponent int"
+    "cost_status string, pricing_version string, amount_minor long, currency string, exponent int, "
+    "adapter string, origin string, position long"
 )
+#: Where a draft stands in its source: a file or page, and a line or byte in it. Of drafts of one key the last counts.
+ORDER = ("origin", "position")
+HEALTH = "source_app string, state string, last_attempt_at timestamp, app_synced_at timestamp, source_observed_at timestamp, last_error string, awaiting_upstream boolean"
+CHECKPOINT = "adapter string, unit string, payload string"
 QUOTA = "source_app string, label string, window_minutes int, used_tenths int, resets_at timestamp, observed_at timestamp"
 
 

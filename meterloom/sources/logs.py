@@ -13,11 +13,14 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import clean, cents_to_minor, joined_hash, minutes_floor, parse_timestamp, percent_to_tenths, project_name, provider_of
-from ..schema import DRAFT, MONTH_MINUTES
+from ..schema import CHECKPOINT, DRAFT, MONTH_MINUTES
 
 _ROLLOUT = "timestamp string, type string, payload struct<id:string,cwd:string,model_provider:string,model:string,type:string,info:struct<last_token_usage:struct<input_tokens:bigint,cached_input_tokens:bigint,output_tokens:bigint,reasoning_output_tokens:bigint,total_tokens:bigint>>,rate_limits:struct<primary:struct<used_percent:double,window_minutes:int,resets_at:bigint>>>"
 _TRANSCRIPT = "timestamp string, uuid string, sessionId string, cwd string, type string, message struct<id:string,model:string,usage:struct<input_tokens:bigint,cache_creation_input_tokens:bigint,cache_read_input_tokens:bigint,output_tokens:bigint>>"
 _BUBBLE = "conversationId string, bubbleId string, type int, createdAt string, model string, inputTokens bigint, outputTokens bigint"
+_CARRIED = "own string, provider string, model string, turn_cwd string, meta_cwd string, counted long"
+#: Names of adapters, under which records are replaced and checkpoints kept.
+ROLLOUTS, TRANSCRIPTS, BILLED, BUBBLES, LIVE_REF = "rollouts", "transcripts", "billed", "bubbles", "local-activity"
 _TYPES = dict(c.strip().split(" ") for c in DRAFT.split(","))
 
 
@@ -42,35 +45,49 @@ def sum_known(a: Column, b: Column) -> Column:
 
 
 def _rollouts(spark: SparkSession, path: str) -> DataFrame:
-    raw = lines(spark, path, "rollout-*.jsonl").filter(F.col("value").rlike("session_meta|turn_context|token_count"))
+    return _rollout_lines(lines(spark, path, "rollout-*.jsonl"))
+
+
+def _rollout_lines(raw: DataFrame) -> DataFrame:
+    some = raw.filter(F.col("value").rlike("session_meta|turn_context|token_count"))
     stem = F.regexp_extract("path", r"rollout-.+-(.{36})\.jsonl$", 1)
-    return _parsed(raw, _ROLLOUT).withColumn("rollout", F.coalesce(F.nullif(stem, F.lit("")), F.col("path")))
+    return _parsed(some, _ROLLOUT).withColumn("rollout", F.coalesce(F.nullif(stem, F.lit("")), F.col("path")))
 
 
 def rollout_drafts(spark: SparkSession, path: str) -> DataFrame:
-    """One draft per token count; rollout id, provider, model and folder are carried from the lines before.
+    return rollouts(lines(spark, path, "rollout-*.jsonl"), spark.createDataFrame([], CHECKPOINT))[0]
+
+
+def rollouts(raw: DataFrame, held: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Of lines (path, line_no, value) one draft per token count, and checkpoints of how far each rollout has come.
 
-    A turn's folder overrides; a session's fills in only while there is none.
+    Rollout id, provider, model and folder are carried from the lines before, from `held` where these came in an earlier
+    batch. A turn's folder overrides; a session's fills in only while there is none. A rollout whose first line comes again
+    has been written anew and goes on from nothing.
     """
-    w = Window.partitionBy("path").orderBy("line_no").rowsBetween(Window.unboundedPreceding, 0)
     p = lambda c: F.col(f"j.payload.{c}")
     meta, turn = F.col("j.type") == "session_meta", F.col("j.type") == "turn_context"
+    counted = F.coalesce((F.col("j.type") == "event_msg") & (p("type") == "token_count") & p("info.last_token_usage").isNotNull(), F.lit(False))
+    fresh = raw.groupBy("path").agg(F.min("line_no").alias("least")).filter("least = 0").select("path")
+    told = {"own": F.when(meta, p("id")), "provider": F.when(meta, p("model_provider")), "model": F.when(turn, p("model")), "turn_cwd": F.when(turn, p("cwd")), "meta_cwd": F.when(meta, p("cwd"))}
+    rows = _rollout_lines(raw).withColumns(told | {"counted": counted.cast("long")})
+    before = held.filter(F.col("adapter") == ROLLOUTS).select(F.col("unit").alias("rollout"), F.from_json("payload", _CARRIED).alias("c")).select("rollout", "c.*")
+    # what was carried so far stands before the first line
+    before = before.join(rows.select("rollout", "path").distinct().join(fresh, "path", "left_anti"), "rollout").withColumn("line_no", F.lit(-1))
+    both = rows.unionByName(before, allowMissingColumns=True)
+    w = Window.partitionBy("path").orderBy("line_no").rowsBetween(Window.unboundedPreceding, 0)
     last = lambda c: F.last(c, ignorenulls=True).over(w)
-    carried = _rollouts(spark, path).withColumns(
-        {
-            "own": F.coalesce(last(F.when(meta, p("id"))), F.col("rollout")),
-            "provider": last(F.when(meta, p("model_provider"))),
-            "model": last(F.when(turn, p("model"))),
-            "cwd": F.coalesce(last(F.when(turn, p("cwd"))), F.first(F.when(meta, p("cwd")), ignorenulls=True).over(w)),
-        }
-    )
-    used = carried.filter((F.col("j.type") == "event_msg") & (p("type") == "token_count") & p("info.last_token_usage").isNotNull())
-    used = used.withColumn("nth", F.row_number().over(Window.partitionBy("path").orderBy("line_no")) - 1)
+    carried = both.withColumns({c: last(c) for c in ("own", "provider", "model", "turn_cwd")} | {"meta_cwd": F.first("meta_cwd", ignorenulls=True).over(w), "nth": F.sum("counted").over(w) - 1})
+    names = ("own", "provider", "model", "turn_cwd", "meta_cwd")
+    reached = carried.groupBy("rollout").agg(F.max_by(F.struct(*names), F.struct("line_no", "path")).alias("c"), (F.max("nth") + 1).alias("counted"))
+    checkpoints = reached.select(F.lit(ROLLOUTS).alias("adapter"), F.col("rollout").alias("unit"), F.to_json(F.struct("c.*", "counted")).alias("payload"))
+    used = carried.filter("line_no >= 0 and counted = 1").withColumns({"own": F.coalesce("own", "rollout"), "cwd": F.coalesce("turn_cwd", "meta_cwd")})
     u = lambda c: p(f"info.last_token_usage.{c}")
-    return _draft(
+    drafts = _draft(
         used, source_app=F.lit("codex"), source_event_id=F.concat_ws(":", "own", F.col("nth").cast("string")), raw_timestamp=F.col("j.timestamp"), provider=F.col("provider"), model=F.col("model"), input=u("input_tokens"),
-        output=u("output_tokens"), cached_input=u("cached_input_tokens"), reasoning=u("reasoning_output_tokens"), reported_total=u("total_tokens"), project=project_name(F.col("cwd")), session_id=F.col("own"), source_ref=F.col("rollout"),
+        output=u("output_tokens"), cached_input=u("cached_input_tokens"), reasoning=u("reasoning_output_tokens"), reported_total=u("total_tokens"), project=project_name(F.col("cwd")), session_id=F.col("own"), source_ref=F.col("rollout"), adapter=F.lit(ROLLOUTS), origin=F.col("path"), position=F.col("line_no"),
     )
+    return drafts, checkpoints
 
 
 def rollout_quota(spark: SparkSession, path: str) -> DataFrame:
@@ -156,7 +173,7 @@ def transcripts(raw: DataFrame) -> DataFrame:
     u = lambda c: F.col(f"j.message.usage.{c}")
     return _draft(
         last, source_app=F.lit("claude_code"), source_event_id=F.col("own"), raw_timestamp=F.col("j.timestamp"), provider=F.lit("anthropic"), model=F.col("j.message.model"), input=sum_known(u("input_tokens"), u("cache_creation_input_tokens")),
-        output=u("output_tokens"), cached_input=u("cache_read_input_tokens"), project=project_name(F.col("j.cwd")), session_id=F.col("j.sessionId"), source_ref=F.col("path"),
+        output=u("output_tokens"), cached_input=u("cache_read_input_tokens"), project=project_name(F.col("j.cwd")), session_id=F.col("j.sessionId"), source_ref=F.col("path"), adapter=F.lit(TRANSCRIPTS), origin=F.col("path"), position=F.col("line_no"),
     )
 
 
@@ -171,12 +188,12 @@ def billed_events(spark: SparkSession, path: str) -> DataFrame:
     """Billed events of exported pages: identity by the first id that is set, else by content, numbered among equals."""
     n = "tokenUsage struct<inputTokens:string,outputTokens:string,cacheWriteTokens:string,cacheReadTokens:string,totalCents:string>"
     page = spark.read.option("multiLine", True).schema(f"usageEventsDisplay array<struct<{'timestamp string, model string, kind string, kindLabel string, owningUser string, userEmail string, id string, eventId string, usageEventId string, requestId string, chargedCents string, '.replace(' string', ':string')}{n.replace('tokenUsage ', 'tokenUsage:')}>>").json(path)
-    e = page.select(F.explode("usageEventsDisplay").alias("e")).select("e.*")
+    e = page.select(F.col("_metadata.file_path").alias("page"), F.posexplode("usageEventsDisplay").alias("place", "e")).select("page", "place", "e.*")
     own = F.coalesce(*(clean(F.col(c)) for c in ("id", "eventId", "usageEventId", "requestId")))
     e = e.withColumn("identity", F.coalesce(F.concat(F.lit("id:"), own), F.concat(F.lit("inv:"), joined_hash(*map(F.col, ("timestamp", "model", "kind", "kindLabel", "owningUser", "userEmail"))))))
-    e = e.withColumn("occurrence", F.row_number().over(Window.partitionBy("identity").orderBy("timestamp")) - 1)
+    e = e.withColumn("occurrence", F.row_number().over(Window.partitionBy("identity").orderBy("timestamp", "page", "place")) - 1)
     number = lambda c: F.col(f"tokenUsage.{c}").try_cast("long")
-    return e.select("identity", "occurrence", "timestamp", clean(F.col("model")).alias("model"), provider_of(F.col("model")).alias("provider"), sum_known(number("inputTokens"), number("cacheWriteTokens")).alias("input"), number("outputTokens").alias("output"), number("cacheReadTokens").alias("cached_input"), cents_to_minor(F.coalesce(F.col("chargedCents").try_cast("double"), F.col("tokenUsage.totalCents").try_cast("double"))).alias("amount_minor"))
+    return e.select("page", "place", "identity", "occurrence", "timestamp", clean(F.col("model")).alias("model"), provider_of(F.col("model")).alias("provider"), sum_known(number("inputTokens"), number("cacheWriteTokens")).alias("input"), number("outputTokens").alias("output"), number("cacheReadTokens").alias("cached_input"), cents_to_minor(F.coalesce(F.col("chargedCents").try_cast("double"), F.col("tokenUsage.totalCents").try_cast("double"))).alias("amount_minor"))
 
 
 def billed_drafts(spark: SparkSession, path: str) -> DataFrame:
@@ -184,6 +201,6 @@ def billed_drafts(spark: SparkSession, path: str) -> DataFrame:
     e = billed_events(spark, path)
     return _draft(
         e, source_app=F.lit("cursor"), source_event_id=F.concat_ws("-", F.lit("dashboard"), "identity", F.col("occurrence").cast("string")), raw_timestamp=F.col("timestamp"), provider=F.col("provider"), model=F.col("model"), input=F.col("input"),
-        output=F.col("output"), cached_input=F.col("cached_input"), source_ref=F.lit("dashboard-window"), cost_status=F.when(F.col("amount_minor").isNotNull(), "reported_by_source"), amount_minor=F.col("amount_minor"), currency=F.when(F.col("amount_minor").isNotNull(), "USD"),
+        output=F.col("output"), cached_input=F.col("cached_input"), source_ref=F.lit("dashboard-window"), adapter=F.lit(BILLED), origin=F.col("page"), position=F.col("place"), cost_status=F.when(F.col("amount_minor").isNotNull(), "reported_by_source"), amount_minor=F.col("amount_minor"), currency=F.when(F.col("amount_minor").isNotNull(), "USD"),
         exponent=F.when(F.col("amount_minor").isNotNull(), 4),
     )

@@ -10,6 +10,7 @@ opened. Bytes that aren't UTF-8 become replacement characters. Long stretches ar
 
 from __future__ import annotations
 
+import json
 import os
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -47,39 +48,68 @@ def complete(path: str, size: int) -> int:
 
 
 class TailReader(DataSourceStreamReader):
-    """Offsets are {file: {path, size, end}}: what a file was when listed, and the end of its last complete line."""
+    """Offsets are {file: {path, size, end, there, begin}}: what a file was when listed, the end of its last complete line,
+    whether it was there, and where its lines go on where the offset before doesn't hold the file.
 
-    def __init__(self, folder: str, pattern: str, part_bytes: int):
-        self.folder, self.pattern, self.part_bytes = folder, pattern, part_bytes
+    `places` names a file in which the offset of the last planned batch is kept, so that a reader that starts again knows
+    the place and size of every file it has ever seen, of those that are away too. Without it a file that was away when
+    the stream started again is read from its start, and every file is opened once.
+    """
+
+    def __init__(self, folder: str, pattern: str, part_bytes: int, places: str | None = None):
+        self.folder, self.pattern, self.part_bytes, self.places = folder, pattern, part_bytes, places
         self.known: dict[str, dict] = {}
+        self.listed: set[str] = set()
+        if places is not None and os.path.exists(places):
+            self.known = json.loads(Path(places).read_text())
 
     def initialOffset(self) -> dict:
         return {}
 
     def latestOffset(self) -> dict:
-        now = dict(self.known)  # files that are away keep their place
+        place = lambda file, end: None if file in self.listed else end
+        now = {file: {**seen, "there": False, "begin": place(file, seen["end"])} for file, seen in self.known.items()}
         for path in sorted(map(str, Path(self.folder).rglob(self.pattern))):
-            s = os.stat(path)
-            file = f"{s.st_dev}:{s.st_ino}"
-            seen = self.known.get(file)
-            same = seen is not None and seen["size"] == s.st_size
-            now[file] = {"path": path, "size": s.st_size, "end": seen["end"] if same else complete(path, s.st_size)}
-        self.known = now
+            try:
+                s = os.stat(path)
+                file = f"{s.st_dev}:{s.st_ino}"
+                seen = self.known.get(file)
+                same = seen is not None and seen["size"] == s.st_size
+                end = seen["end"] if same else complete(path, s.st_size)
+            except FileNotFoundError:  # gone since it was listed
+                continue
+            begin = None if seen is None else place(file, 0 if s.st_size < seen["size"] else seen["end"])
+            now[file] = {"path": path, "size": s.st_size, "end": end, "there": True, "begin": begin}
         return now
 
     def partitions(self, start: dict, end: dict) -> list[Stretch]:
-        self.known = {**start, **end, **self.known}
         out = []
         for file, now in end.items():
-            before = start.get(file, {"size": 0, "end": 0})
-            first = 0 if now["size"] < before["size"] else before["end"]
-            path = self.known[file]["path"]
-            out += [Stretch(file, path, a, min(a + self.part_bytes, now["end"]), a == first) for a in range(first, now["end"], self.part_bytes)]
+            if not now["there"]:
+                continue
+            first = now["begin"]
+            if first is None:
+                before = start.get(file, {"size": 0, "end": 0})
+                first = 0 if now["size"] < before["size"] else before["end"]
+            out += [Stretch(file, now["path"], a, min(a + self.part_bytes, now["end"]), a == first) for a in range(first, now["end"], self.part_bytes)]
+        self._keep({**self.known, **start, **end})
+        self.listed = set(end)
         return out
 
+    def _keep(self, known: dict) -> None:
+        self.known = {file: {c: seen[c] for c in ("path", "size", "end")} for file, seen in known.items()}
+        if self.places is not None:
+            temporary = f"{self.places}.{os.getpid()}"
+            Path(temporary).write_text(json.dumps(self.known))
+            os.replace(temporary, self.places)
+
     def read(self, part: Stretch) -> Iterator[pa.RecordBatch]:
+        try:
+            log = open(part.path, "rb")
+        except FileNotFoundError:  # gone since the batch was planned, and its lines with it
+            return
         rows: list[tuple[int, str]] = []
-        with open(part.path, "rb") as f:
+        with log as f:
             if part.whole:
                 f.seek(part.begin)
             else:
@@ -114,10 +144,11 @@ class LogTail(DataSource):
         return "file string, path string, at long, value string"
 
     def streamReader(self, schema) -> TailReader:
-        return TailReader(self.options["folder"], self.options.get("pattern", "*.jsonl"), int(self.options.get("part_bytes", PART_BYTES)))
+        return TailReader(self.options["folder"], self.options.get("pattern", "*.jsonl"), int(self.options.get("part_bytes", PART_BYTES)), self.options.get("places"))
 
 
-def tail(spark: SparkSession, folder: str, pattern: str = "*.jsonl", part_bytes: int = PART_BYTES) -> DataFrame:
-    """The stream of lines appended to the files of `folder`."""
+def tail(spark: SparkSession, folder: str, pattern: str = "*.jsonl", part_bytes: int = PART_BYTES, places: str | None = None) -> DataFrame:
+    """The stream of lines appended to the files of `folder`; `places` is a file of the driver, see `TailReader`."""
     spark.dataSource.register(LogTail)
-    return spark.readStream.format("log_tail").options(folder=folder, pattern=pattern, part_bytes=part_bytes).load()
+    options = {"folder": folder, "pattern": pattern, "part_bytes": part_bytes} | ({} if places is None else {"places": places})
+    return spark.readStream.format("log_tail").options(**options).load()

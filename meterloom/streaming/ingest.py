@@ -1,23 +1,22 @@
-"""Streaming ingestion: micro-batches of drafts committed to a revisioned ledger on Parquet.
+"""Streaming ingestion: drafts to records, and micro-batches committed to a ledger.
 
-The ledger is a log: a commit writes the rows that changed as the folder of its revision, and a key's newest row
-counts. So a commit writes no more than its batch, and reads only keys and hashes of what is stored. A batch that is
-replayed after a failure is compared with the revisions before its own and overwrites its own folder, so that half a
-revision never stays. `compact` folds old revisions into a base, beside the log; a base counts once it is complete.
+A micro-batch is one commit under the number that its stream gave it; one that was committed before a failure is left as it
+is when the stream runs it again. Late corrections are never dropped.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from ..functions.scalars import content_hash, cost_problem, countable, dedupe_key, display_total, parse_timestamp, record_id, timestamp_kind
-from ..operators.ledger import classify
+from ..functions.scalars import clean, content_hash, cost_problem, countable, dedupe_key, display_total, parse_timestamp, record_id, timestamp_kind
+from .ledger import Ledger, Scope, State
 
 COUNTS = ("input", "output", "cached_input", "reasoning")
+CLEANED = ("source_event_id", "raw_timestamp", "provider", "model", "project", "session_id", "pricing_version")
 CONTENT = ("raw_timestamp", "provider", "model", *COUNTS, "reported_total", "project", "session_id")
 COST = ("cost_status", "pricing_version", "amount_minor", "currency", "exponent")
 
@@ -35,10 +34,11 @@ def reject_reason() -> Column:
 def normalized(drafts: DataFrame) -> DataFrame:
     """Drafts as records: identity, content hash, instant and display total; `reject_reason` says why a draft isn't one.
 
-    A count without a quality is exact where it is known; currencies are upper-cased.
+    A count without a quality is exact where it is known; currencies are upper-cased, texts stored without white space
+    around them, blank ones as null.
     """
     value = lambda c: F.when(F.col(f"{c}_quality").isNull(), F.col(c)).otherwise(countable(F.col(c), F.col(f"{c}_quality")))
-    drafts = drafts.withColumn("currency", F.upper("currency"))
+    drafts = drafts.withColumns({c: clean(F.col(c)) for c in CLEANED} | {"currency": F.upper("currency")})
     out = drafts.withColumns(
         {
             "dedupe_key": dedupe_key(F.col("source_app"), F.col("source_event_id"), *map(F.col, CONTENT)),
@@ -54,101 +54,43 @@ def normalized(drafts: DataFrame) -> DataFrame:
     return out.withColumn("id", record_id(F.col("source_app"), F.col("dedupe_key")))
 
 
-class Ledger:
-    def __init__(self, spark: SparkSession, path: str):
-        self.spark, self.path = spark, path.rstrip("/")
-
-    def _folder(self, name: str):
-        hadoop = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}")
-        return hadoop, hadoop.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
-
-    def _base(self) -> int | None:
-        """The last revision of the newest complete base."""
-        folder, files = self._folder("base")
-        marks = files.globStatus(self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder, "upto=*/_SUCCESS")) or []
-        return max((int(m.getPath().getParent().getName().split("=")[1]) for m in marks), default=None)
-
-    def _log(self, schema) -> DataFrame:
-        folder, files = self._folder("log")
-        if not files.exists(folder):
-            return self.spark.createDataFrame([], schema)
-        log, base = self.spark.read.parquet(f"{self.path}/log"), self._base()
-        return log if base is None else log.filter(F.col("revision") > base).unionByName(self.spark.read.parquet(f"{self.path}/base/upto={base}"))
-
-    def compact(self, upto: int) -> None:
-        """Writes the newest row of each key of the revisions up to `upto` as a base that later reads begin with.
-
-        The last revision is what a stream may replay, so `upto` lies before it. The log stays as it is; its folders up to
-        `upto` are no longer read.
-        """
-        last = self.spark.read.parquet(f"{self.path}/log").agg(F.max("revision").alias("r")).first()["r"]
-        if upto >= last:
-            raise ValueError("the last revision can't be compacted")
-        self.current(before=upto + 1).write.mode("overwrite").parquet(f"{self.path}/base/upto={upto}")
-
-    def current(self, schema=None, before: int | None = None) -> DataFrame:
-        """The newest row of each key, of the revisions before `before` where that is given; none may lie in a base."""
-        base = None if before is None else self._base()
-        if base is not None and before <= base:
-            raise ValueError("older than the base")
-        w = Window.partitionBy("dedupe_key").orderBy(F.desc("revision"))
-        log = self._log(schema).withColumn("revision", F.col("revision").cast("long"))
-        log = log if before is None else log.filter(F.col("revision") < before)
-        return log.withColumn("at", F.row_number().over(w)).filter("at = 1").drop("at")
-
-    def commit(self, batch: DataFrame, revision: int) -> None:
-        """Writes the rows of `batch` that change something, the last one of each key.
-
-        Rows of one key come in order of their source's timestamp, then of their content, so a replay orders them alike.
-        """
-        rows = batch.filter("reject_reason is null").drop("reject_reason").withColumn("seq", F.struct(F.coalesce("event_ts", F.timestamp_seconds(F.lit(0))).alias("t"), "content_hash"))
-        schema = rows.drop("seq").withColumn("revision", F.lit(0).cast("long")).schema
-        changed = classify(rows, self.current(schema, revision)).filter("outcome <> 'unchanged'")
-        last = changed.withColumn("at", F.row_number().over(Window.partitionBy("dedupe_key").orderBy(F.desc("seq")))).filter("at = 1")
-        last.drop("seq", "at", "before", "stored_hash", "outcome").write.mode("overwrite").parquet(f"{self.path}/log/revision={revision}")
-
-    def update_hours(self, batch: DataFrame, revision: int) -> None:
-        """Appends the totals of every hour that `batch`, which is committed, may have changed, made anew from the ledger.
-
-        These are the hours of all rows ever stored under its keys, as a correction can move a record; so a replay
-        gives the same totals, and a late row counts like any other. An hour that has lost its last record has n = 0.
-        """
-        hour = F.date_trunc("hour", "event_ts").alias("hour_start")
-        keys = batch.filter("reject_reason is null").select("dedupe_key").distinct()
-        touched = self._log(None).join(keys, "dedupe_key", "left_semi").filter("event_ts is not null").select("source_app", hour).distinct()
-        totals = self.current().select("source_app", hour, "display").groupBy("source_app", "hour_start").agg(F.count("*").alias("n"), F.sum("display").alias("tokens"))
-        rows = touched.join(totals, ["source_app", "hour_start"], "left").withColumn("n", F.coalesce("n", F.lit(0).cast("long")))
-        rows.write.mode("overwrite").parquet(f"{self.path}/hours/revision={revision}")
-
-
-def ingest(drafts: DataFrame, ledger: Ledger, checkpoint: str, hours: bool = False) -> StreamingQuery:
-    """Runs a stream of drafts into the ledger until what is there has been read. Late corrections are never dropped.
-
-    With `hours`, the ledger's hourly totals follow each batch.
-    """
-    return _commits(drafts, normalized, ledger, checkpoint, hours)
+#: What a parser makes of one batch of lines: drafts, and checkpoints of its units where it carries any.
+Parser = Callable[[DataFrame, DataFrame], tuple[DataFrame, DataFrame | None]]
+
 
+def ingest(drafts: DataFrame, ledger: Ledger, checkpoint: str, hours: bool = True) -> StreamingQuery:
+    """Runs a stream of drafts into the ledger until what is there has been read; totals by the hour follow always."""
+    return _commits(drafts, lambda df, held: (df, None), ledger, checkpoint)
 
-def ingest_lines(tail: DataFrame, drafts: Callable[[DataFrame], DataFrame], ledger: Ledger, checkpoint: str, hours: bool = False) -> StreamingQuery:
+
+def ingest_lines(tail: DataFrame, drafts: Callable[[DataFrame], DataFrame], ledger: Ledger, checkpoint: str, hours: bool = True) -> StreamingQuery:
     """Runs appended lines (`sources.tail`) into the ledger; `drafts` reads those of one batch (path, line_no, value).
 
     A message that goes on in a later batch corrects its record.
     """
-    return _commits(tail.withColumnRenamed("at", "line_no"), lambda df: normalized(drafts(df)), ledger, checkpoint, hours)
+    return ingest_parsed(tail, lambda df, held: (drafts(df), None), ledger, checkpoint)
+
 
+def ingest_parsed(tail: DataFrame, parser: Parser, ledger: Ledger, checkpoint: str) -> StreamingQuery:
+    """Like `ingest_lines`, for a parser whose state goes on from batch to batch: what it has reached in each file is a
+    checkpoint of the ledger, committed together with the records."""
+    return _commits(tail.withColumnRenamed("at", "line_no"), parser, ledger, checkpoint)
 
-def _commits(stream: DataFrame, of: Callable[[DataFrame], DataFrame], ledger: Ledger, checkpoint: str, hours: bool) -> StreamingQuery:
+
+def _commits(stream: DataFrame, parser: Parser, ledger: Ledger, checkpoint: str) -> StreamingQuery:
     def commit(df: DataFrame, n: int) -> None:
-        rows = of(df)
-        ledger.commit(rows, n + 1)
-        if hours:
-            ledger.update_hours(rows, n + 1)
+        if not ledger.holds(checkpoint, n):
+            drafts, checkpoints = parser(df, ledger.at().checkpoints())
+            ledger.commit(normalized(drafts), checkpoints=checkpoints, stream=(checkpoint, n))
 
     return stream.writeStream.foreachBatch(commit).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
 def hourly_totals(ledger: Ledger) -> DataFrame:
-    """Hourly totals of the current records by source, as a stream with `hours` has left them."""
-    w = Window.partitionBy("source_app", "hour_start").orderBy(F.desc("revision"))
-    newest = ledger.spark.read.parquet(f"{ledger.path}/hours").withColumn("at", F.row_number().over(w))
-    return newest.filter("at = 1 and n > 0").select("source_app", "hour_start", "n", "tokens")
+    """Hourly totals of the current records by source, folded from what the commits have added and taken away."""
+    hours = ledger.at().hours()
+    tokens = F.when(F.sum("display_counted") > 0, F.sum("display")).cast("long")
+    return hours.filter("hour_start is not null").groupBy("source_app", "hour_start").agg(F.sum("records").alias("n"), tokens.alias("tokens"))
+
+
+__all__ = ["Ledger", "Scope", "State", "hourly_totals", "ingest", "ingest_lines", "ingest_parsed", "normalized", "reject_reason"]
