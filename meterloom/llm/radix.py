@@ -6,7 +6,7 @@ import io
 import pickle
 from collections.abc import Iterator
 
-from pyarrow import fs
+from ..sources.paths import arrow_filesystem
 
 #: Bytes that a node costs beside its edge.
 NODE_BYTES = 250
@@ -40,7 +40,7 @@ class Spill:
         if folder is None:
             self.out = io.BytesIO()
         else:
-            self.fs, root = fs.FileSystem.from_uri(folder)
+            self.fs, root = arrow_filesystem(folder)
             self.fs.create_dir(root, recursive=True)
             self.path = f"{root}/{name}"
             self.out = self.fs.open_output_stream(self.path, buffer_size=1 << 18)

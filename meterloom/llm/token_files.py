@@ -23,13 +23,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.fs
 import xxhash
 import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.paths import arrow_filesystem
 from .common import Scratch, id_and_text
 from .tokens import encoder
 
@@ -135,7 +135,7 @@ class TokenFile:
 
 def _writer(root: str, tokenizer: str, end_id: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        fs, folder = pa.fs.FileSystem.from_uri(root)
+        fs, folder = arrow_filesystem(root)
         task = TaskContext.get()
         name = f"part-{task.partitionId():06d}.ids.zst"
         work = f"{folder}/.{name}.{task.taskAttemptId()}"
@@ -174,7 +174,7 @@ def write_token_files(docs: DataFrame, root: str, tokenizer: str, end_id: int, i
 
 def _reader(root: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        fs, folder = pa.fs.FileSystem.from_uri(root)
+        fs, folder = arrow_filesystem(root)
         for b in batches:
             for name, base in zip(b.column("file").to_pylist(), b.column("base").to_pylist(), strict=True):
                 with fs.open_input_file(f"{folder}/{name}") as file:
