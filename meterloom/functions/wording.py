@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from ..schema import BASELINE_WORDS, DAY_MINUTES, QUALITY_NOTES, RULE_WORDS, SOURCE_LABELS, SYNC_WORDS, TIMESTAMP_NOTES, WEEK_MINUTES, WINDOW_WORDS, named
+from ..schema import BASELINE_WORDS, BASIS_WORDS, DAY_MINUTES, MENU_WINDOWS, QUALITY_NOTES, RULE_WORDS, SOURCE_LABELS, SYNC_WORDS, TIMESTAMP_NOTES, TRAILING_WORDS, WEEK_MINUTES, WINDOW_WORDS, named
 from .scalars import clean, div, even_pace_percent, format_tenths, group_digits, micros
 
 UNKNOWN = "—"
@@ -113,6 +113,17 @@ def pace_gap(state: Column, shortfall: Column) -> Column:
     return F.when((state == "red") & shortfall.isNotNull(), text(runway_text(shortfall), " short"))
 
 
+def basis_note(basis: Column, minutes: Column) -> Column:
+    """What a pace was measured over."""
+    return F.when(basis == "trailing", text(TRAILING_WORDS[0], minutes, TRAILING_WORDS[1])).otherwise(named(basis, BASIS_WORDS))
+
+
+def menu_window(minutes: Column) -> Column:
+    days = (minutes > DAY_MINUTES) & (minutes % DAY_MINUTES == 0)
+    other = F.when(days, text(div(minutes, DAY_MINUTES), "d period")).when(minutes % 60 == 0, text(div(minutes, 60), "h window")).otherwise(text(minutes, "min window"))
+    return named(minutes, MENU_WINDOWS, other)
+
+
 def vs_baseline_note(vs: Column) -> Column:
     return named(vs, BASELINE_WORDS)
 

@@ -95,7 +95,8 @@ def pace(quotas: DataFrame, samples: DataFrame, records: DataFrame, now: datetim
     q = quotas.join(trail, KEY, "left").join(burn_rate(records, now), "source_app", "left").join(typical, "source_app", "left")
     q = q.withColumns({"remaining": F.greatest(F.lit(0), 1000 - F.col("used")), "until_reset": minutes_floor(at(now), F.col("resets_at")), "age": minutes_floor(F.col("observed_at"), at(now)), "opened": window_open_runway()})
     aged = F.col("age") > staleness_limit(F.col("window_minutes"))
-    q = q.withColumn("aged", aged).withColumn("runway", F.when(aged | F.col("trail").isNull() | (F.col("opened") <= F.col("trail.runway")), F.col("opened")).otherwise(F.col("trail.runway")))
+    since_open = aged | F.col("trail").isNull() | F.coalesce(F.col("opened") <= F.col("trail.runway"), F.lit(False))
+    q = q.withColumns({"aged": aged, "basis": F.when(since_open, "window_open").otherwise("trailing"), "basis_minutes": F.when(~since_open, F.col("trail.horizon")), "runway": F.when(since_open, F.col("opened")).otherwise(F.col("trail.runway"))})
     t, runway = F.col("until_reset"), F.col("runway")
     tolerance = F.greatest(div(t, 10), F.col("age"), F.lit(FLOOR_MIN))
     state = (
@@ -113,6 +114,8 @@ def pace(quotas: DataFrame, samples: DataFrame, records: DataFrame, now: datetim
     q = q.withColumns(
         {
             "runway": F.when(measured, runway),
+            "basis": F.when(measured, F.col("basis")),
+            "basis_minutes": F.when(measured, F.col("basis_minutes")),
             "slack": F.when(measured & (F.col("state") == "green"), runway - t),
             "shortfall": F.when(measured & (F.col("state") == "red"), t - runway),
             "pace_ratio": F.when(measured, div(t * 100, runway)),
@@ -120,7 +123,7 @@ def pace(quotas: DataFrame, samples: DataFrame, records: DataFrame, now: datetim
         }
     )
     urgency = F.when(F.col("state") == "red", 0).when(F.col("runway").isNotNull(), 1).otherwise(2)
-    return q.select("source_app", "pool", "label", "window_minutes", "used", "remaining", "until_reset", "age", "aged", "state", "runway", "slack", "shortfall", "pace_ratio", "vs_baseline", urgency.alias("urgency"), F.when(urgency < 2, F.col("runway")).alias("urgency_value"))
+    return q.select("source_app", "pool", "label", "window_minutes", "used", "remaining", "until_reset", "age", "aged", "state", "runway", "slack", "shortfall", "pace_ratio", "vs_baseline", "basis", "basis_minutes", urgency.alias("urgency"), F.when(urgency < 2, F.col("runway")).alias("urgency_value"))
 
 
 def ordered_pace(paced: DataFrame) -> DataFrame:
@@ -185,11 +188,28 @@ def spans(samples: DataFrame) -> DataFrame:
     return ordered.mapInArrow(_scan_spans, "source_app string, pool string, window_minutes long, t0 timestamp_ntz, t1 timestamp_ntz, moved long")
 
 
+def units_upto(points: DataFrame, records: DataFrame) -> DataFrame:
+    """`points` (source_app, t), each once, with the cost units of their source's records up to and at t.
+
+    Records and points are sorted together within the minutes of a source, where units run on; what came before a minute is
+    a running sum over minutes. So no record is joined with a point, and no task holds more than a minute of a source.
+    """
+    spent = records.filter("event_ts is not null").select("source_app", F.col("event_ts").alias("t"), cost_units(F.col("model"), F.col("input"), F.col("output"), F.col("cached_input")).alias("units"), F.lit(0).alias("point"))
+    marks = points.select("source_app", F.col("t"), F.lit(0).cast("long").alias("units"), F.lit(1).alias("point")).distinct()
+    both = spent.unionByName(marks).withColumn("minute", F.date_trunc("minute", "t"))
+    upto = Window.partitionBy("source_app").orderBy("minute").rowsBetween(Window.unboundedPreceding, -1)
+    minutes = both.groupBy("source_app", "minute").agg(F.sum("units").alias("of_minute")).select("source_app", "minute", F.coalesce(F.sum("of_minute").over(upto), F.lit(0)).alias("before"))
+    w = Window.partitionBy("source_app", "minute").orderBy("t", "point").rowsBetween(Window.unboundedPreceding, 0)
+    run = both.withColumn("run", F.sum("units").over(w)).filter("point = 1")
+    return run.join(minutes, ["source_app", "minute"]).select("source_app", "t", (F.col("before") + F.col("run")).alias("upto"))
+
+
 def span_units(cut: DataFrame, records: DataFrame) -> DataFrame:
-    """Cost units of the records in (t0, t1] of each span, joined day by day; spans without any are left out."""
-    spent = records.filter("event_ts is not null").select("source_app", F.col("event_ts").alias("t"), F.to_date("event_ts").alias("day"), cost_units(F.col("model"), F.col("input"), F.col("output"), F.col("cached_input")).alias("units"))
-    by_day = cut.withColumn("day", F.explode(F.sequence(F.to_date("t0"), F.to_date("t1"))))
-    return by_day.join(spent, ["source_app", "day"]).filter((F.col("t") > F.col("t0")) & (F.col("t") <= F.col("t1"))).groupBy(*KEY, "t0", "t1", "moved").agg(F.sum("units").alias("units")).filter("units > 0")
+    """Cost units of the records in (t0, t1] of each span, as the difference of two running sums; spans without any are left out."""
+    ends = units_upto(cut.select("source_app", F.explode(F.array("t0", "t1")).alias("t")), records)
+    at_end = lambda c: ends.select("source_app", F.col("t").alias(c), F.col("upto").alias(f"upto_{c}"))
+    spent = cut.join(at_end("t0"), ["source_app", "t0"]).join(at_end("t1"), ["source_app", "t1"])
+    return spent.select(*KEY, "t0", "t1", "moved", (F.col("upto_t1") - F.col("upto_t0")).alias("units")).filter("units > 0")
 
 
 def calibration(samples: DataFrame, records: DataFrame) -> DataFrame:
@@ -280,15 +300,18 @@ def tiled_sessions(times: DataFrame, by: str, now: datetime, minutes: int = SESS
 
 
 def alerts(quotas: DataFrame, paced: DataFrame, thresholds: DataFrame, snoozed: DataFrame, now: datetime) -> DataFrame:
-    """Thresholds that are crossed, one row each, without those snoozed by key. `thresholds`: source_app, metric, limit_value.
+    """Thresholds that are crossed, one row each, without those snoozed by key. `thresholds`: source_app, metric, limit_value,
+    and where they come from `state.limits` enabled and problem: a limit that is off or can't be taken never fires.
 
     Of each source the window decides that is nearest to the threshold; what is left is that of the confirmed reading.
     """
+    if "enabled" in thresholds.columns:
+        thresholds = thresholds.filter(F.coalesce("enabled", F.lit(True)) & F.col("problem").isNull()).select("source_app", "metric", "limit_value")
     q = quotas.filter(F.col("resets_at") > at(now)).join(paced.select(*KEY, "state", "shortfall", "until_reset"), KEY)
     q = q.withColumns({"remaining": F.greatest(F.lit(0), 1000 - F.col("used")), "minutes": minutes_ceil(at(now), F.col("resets_at"))})
     j = thresholds.join(q, "source_app")
     metric, limit = F.col("metric"), F.col("limit_value")
-    value = F.when(metric == "remaining_percent", F.col("remaining")).when(metric == "minutes_until_reset", F.col("minutes")).otherwise(F.coalesce(F.col("until_reset") - F.col("shortfall"), F.lit(1 << 60)))
+    value = F.when(metric == "remaining_percent", F.col("remaining")).when(metric == "minutes_until_reset", micros(F.col("resets_at"))).otherwise(F.coalesce(F.col("until_reset") - F.col("shortfall"), F.lit(1 << 60)))
     one = j.withColumn("at", F.row_number().over(Window.partitionBy("source_app", "metric").orderBy(value, "window_minutes", "pool"))).filter("at = 1")
     crossed = F.when(metric == "remaining_percent", div(F.col("remaining"), 10) <= limit).when(metric == "minutes_until_reset", F.col("minutes") <= limit).otherwise((F.col("state") == "red") & (F.col("shortfall") >= limit))
     key = F.concat_ws(":", "source_app", F.col("window_minutes").cast("string"), named(metric, METRICS), limit.cast("string"), div(micros(F.col("resets_at")), 1_000_000).cast("string"))

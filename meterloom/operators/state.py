@@ -14,7 +14,6 @@ from .series import KEY, at, pooled
 #: How far a delta reads back, and how far a reconciliation does; a source's limit where none is set; the
 #: largest limit of each metric; what kinds of errors mean that a source can't be reached.
 OVERLAP, RECONCILE, SAMPLE_DAYS = timedelta(hours=6), timedelta(days=30), 62
-SAMPLE_KEPT = timedelta(days=SAMPLE_DAYS)
 DEFAULT_METRIC, DEFAULT_LIMIT = "remaining_percent", 25
 LARGEST_LIMIT = {"remaining_percent": 100, "minutes_until_reset": WEEK_MINUTES, "projected_exhaustion": WEEK_MINUTES}
 UNREACHABLE = ("offline", "rate_limited")

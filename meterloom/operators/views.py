@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 from datetime import datetime
 
@@ -10,8 +11,8 @@ from pyspark.sql import functions as F
 
 from ..functions import scalars as X
 from ..functions import wording as T
-from ..schema import SOURCE_LABELS, SOURCES, named
-from . import ledger
+from ..schema import MENU_WORDS, SOURCE_LABELS, SOURCES, named
+from . import ledger, series
 from .series import KEY, at, pooled, tightest_quotas
 
 #: The source whose row shows its allowance instead of its share, and the fixed order in which a list names sources.
@@ -79,7 +80,7 @@ def quota_rows(quotas: DataFrame, projections: DataFrame, fits: DataFrame, paced
     t = at(now)
     ahead = projections.select(*KEY, "added", "projected")
     fit = fits.select(*KEY, "n_spans", "residual_percent", "provisional")
-    judged = paced.select(*KEY, "state", "runway", "shortfall", "aged", "vs_baseline")
+    judged = paced.select(*KEY, "state", "runway", "shortfall", "aged", "vs_baseline", "basis", "basis_minutes")
     q = pooled(quotas).join(ahead, KEY, "left").join(fit, KEY, "left").join(judged, KEY, "left")
     live, until = F.coalesce("projected", "used"), X.minutes_round(t, F.col("resets_at"))
     derived = F.col("projected").isNotNull()
@@ -96,7 +97,7 @@ def quota_rows(quotas: DataFrame, projections: DataFrame, fits: DataFrame, paced
         T.text(mark(F.coalesce("aged", F.lit(False))), T.pace_compact(state, runway)).alias("verdict"),
         T.pace_gap(state, shortfall).alias("gap"),
         T.reset_text(F.col("resets_at"), t).alias("reset"),
-        T.noted(T.pace_sentence(state, runway, shortfall), T.vs_baseline_note(F.col("vs_baseline")), T.reading_note(F.col("aged"), F.col("observed_at"), t), by="\n").alias("detail"),
+        T.noted(T.pace_sentence(state, runway, shortfall), T.vs_baseline_note(F.col("vs_baseline")), T.basis_note(F.col("basis"), F.col("basis_minutes")), T.reading_note(F.col("aged"), F.col("observed_at"), t), by="\n").alias("detail"),
         F.when(derived, T.projection_note(F.col("used"), F.col("observed_at"), F.col("added"), F.col("provisional"), F.col("n_spans"), F.col("residual_percent"), t)).alias("projection"),
     )
 
@@ -109,9 +110,12 @@ def in_reading_order(rows: DataFrame) -> DataFrame:
 def event_details(records: DataFrame) -> DataFrame:
     """All that is known of each record, and why a figure may not be what it seems.
 
-    Beside the columns of records, `timestamp_interpretation`, `cost_status` and `pricing_version` are read.
+    Beside the columns of records, `timestamp_interpretation`, `cost_status` and `pricing_version` are read, and the quality
+    of each count where the records have one.
     """
-    counts = {c: (X.group_digits(F.col(c)), F.when(F.col(c).isNull(), "unknown").otherwise("exact")) for c in ("input", "output", "cached_input", "reasoning")}
+    plain = lambda c: F.when(F.col(c).isNull(), "unknown").otherwise("exact")
+    quality_of = lambda c: F.coalesce(F.col(f"{c}_quality"), plain(c)) if f"{c}_quality" in records.columns else plain(c)
+    counts = {c: (X.group_digits(F.col(c)), quality_of(c)) for c in ("input", "output", "cached_input", "reasoning")}
     rule = X.total_rule(*map(F.col, ("reported", "input", "output", "reasoning")))
     priced = F.col("amount_minor").isNotNull()
     return records.select(
@@ -144,6 +148,49 @@ def health_rows(health: DataFrame, capabilities: DataFrame, now: datetime) -> Da
     )
 
 
+def menu_rows(quotas: DataFrame, records: DataFrame) -> DataFrame:
+    """The lines of a menu in their order: allowances by source and window, all tokens, the first currency's cost, sources."""
+    line = lambda block, order, id_, text: F.struct(F.lit(block).alias("block"), order.alias("rank"), id_.alias("id"), text.alias("text"))
+    order = lambda *c: F.struct(*(x.alias(f"o{k}") for k, x in enumerate((*c, F.lit("")) if len(c) < 3 else c)))
+    rank = F.array_position(F.array(*map(F.lit, SOURCES)), F.col("source_app"))
+    tag = F.when(F.col("source_app") == "claude_code", "claude").otherwise(F.col("source_app"))
+    when = F.coalesce(T.text("resets ", F.date_format("resets_at", "MMM d, h:mma")), F.lit(MENU_WORDS["idle"]))
+    left = T.text(tag, F.coalesce(T.text(" ", F.lower("label")), F.lit("")), " · ", X.round_tenths(F.greatest(F.lit(0), 1000 - F.col("used"))), MENU_WORDS["left"], T.menu_window(F.col("window_minutes")), MENU_WORDS["of"], when)
+    q = pooled(quotas).select(line(0, order(rank.cast("long"), F.col("window_minutes").cast("long"), F.col("pool")), F.concat_ws(":", F.lit("quota"), "source_app", F.col("window_minutes").cast("string"), "pool"), left).alias("l"))
+    zero = F.lit(0).cast("long")
+    whole = ledger.totals(records).select(line(1, order(zero, zero), F.lit("total"), T.text(X.group_digits(F.col("display")), MENU_WORDS["tokens"])).alias("l"))
+    first = ledger.cost_by_currency(records).agg(F.min(F.struct("currency", "amount_minor", "exponent")).alias("c")).filter("c is not null")
+    cost = first.select(line(2, order(zero, zero), F.lit("cost"), X.format_money(F.col("c.amount_minor"), F.col("c.exponent"), F.col("c.currency"))).alias("l"))
+    groups = ledger.totals(records, "source_app")
+    sources = groups.select(line(3, order(-F.col("display"), zero, named(F.col("source_app"), SOURCE_LABELS)), T.text("source:", F.col("source_app")), T.text(named(F.col("source_app"), SOURCE_LABELS), "  ", X.group_digits(F.col("display")))).alias("l"))
+    lines = q.unionByName(whole).unionByName(cost).unionByName(sources).select("l.*")
+    return lines.select((F.row_number().over(Window.orderBy("block", "rank", "id")) - 1).alias("position"), "id", "text")  # as many as there are allowances and sources
+
+
+@dataclass(frozen=True)
+class Risk:
+    """What a risk view asks for at once, each frame computed once: live allowances, fits, projections and paces."""
+
+    quotas: DataFrame
+    fits: DataFrame
+    projections: DataFrame
+    paced: DataFrame
+
+
+def risk(samples: DataFrame, records: DataFrame, seen_until: datetime, now: datetime, save: Callable[[DataFrame, str], DataFrame]) -> Risk:
+    """Allowances live at `now` by the readings up to `seen_until`, with all that is derived from them.
+
+    `save` writes a frame and reads it back. The inputs are narrowed to what is read and written first, so that records are
+    scanned once and everything after that is made of the narrow tables.
+    """
+    history = save(records.filter(F.col("event_ts") <= at(now)).select("source_app", "model", "event_ts", "input", "output", "cached_input", "display"), "history")
+    seen = save(samples.filter(F.col("observed_at") <= at(seen_until)), "samples")
+    quotas = save(series.live_quotas(seen, seen_until, now), "quotas")
+    fits = save(series.calibration(seen, history), "fits")
+    ahead = save(series.projection(quotas, fits, history, now), "projections")
+    return Risk(quotas, fits, ahead, save(series.pace(series.projected(quotas, ahead, now), seen, history, now), "paces"))
+
+
 @dataclass(frozen=True)
 class Snapshot:
     """What a dashboard asks for at once, all of one revision of the records. Nothing is computed until a frame is used."""

@@ -4,15 +4,17 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from datetime import datetime, timedelta
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from ..functions import scalars as X
 from ..operators import conversations, ledger, series, state, views
 from ..schema import SOURCES
 from ..sources.events_bridge import records, samples
-from ..sources.paths import scratch_folder
+from ..sources.paths import saver, scratch_folder
 from ..streaming.ingest import reject_reason
 from ..streaming.ledger import Ledger, Scope
 
@@ -276,11 +278,11 @@ def _live(spark, sf_dir, pools=True):
     return series.live_quotas(s, SEEN, AS_OF), s.filter(F.col("observed_at") <= series.at(SEEN)), r.filter(F.col("event_ts") <= series.at(AS_OF))
 
 
-def _paced(spark, sf_dir):
-    """Live allowances, and their pace after projection."""
-    quotas, seen, history = _live(spark, sf_dir)
-    ahead = series.projection(quotas, series.calibration(seen, history), history, AS_OF)
-    return quotas, series.pace(series.projected(quotas, ahead, AS_OF), seen, history, AS_OF)
+def _risk(spark, sf_dir) -> views.Risk:
+    """The risk view of all records, read once into a narrow table from which readings and history are made."""
+    save = saver(spark, "risk")
+    r = save(records(spark, sf_dir).select("source_app", "model", "ts", "event_id", "event_ts", "input", "output", "cached_input", "display"), "records")
+    return views.risk(samples(r, True), r, SEEN, AS_OF, save)
 
 
 @query
@@ -313,17 +315,19 @@ def burn_rate(spark, sf_dir):
 
 @query
 def pace_states(spark, sf_dir):
-    return _paced(spark, sf_dir)[1].drop("pool")
+    return _risk(spark, sf_dir).paced.drop("pool")
 
 
 @query
 def binding_window(spark, sf_dir):
-    return series.binding_windows(*_paced(spark, sf_dir)).select("source_app", "label", "window_minutes", "state", "confirmed_remaining", "runway")
+    risk = _risk(spark, sf_dir)
+    return series.binding_windows(risk.quotas, risk.paced).select("source_app", "label", "window_minutes", "state", "confirmed_remaining", "runway")
 
 
 @query
 def status_line(spark, sf_dir):
-    return series.status_text(series.binding_windows(*_paced(spark, sf_dir)))
+    risk = _risk(spark, sf_dir)
+    return series.status_text(series.binding_windows(risk.quotas, risk.paced))
 
 
 @query
@@ -351,8 +355,60 @@ SNOOZED = "cursor:1440:MinutesUntilReset:600:1705795200"
 @query
 def alerts_active(spark, sf_dir):
     thresholds = spark.createDataFrame([(s, m, v) for s in SOURCES for m, v in LIMITS], "source_app string, metric string, limit_value long")
-    quotas, paced = _paced(spark, sf_dir)
-    return series.alerts(quotas, paced, thresholds, spark.createDataFrame([(SNOOZED,)], "alert_key string"), AS_OF)
+    risk = _risk(spark, sf_dir)
+    return series.alerts(risk.quotas, risk.paced, thresholds, spark.createDataFrame([(SNOOZED,)], "alert_key string"), AS_OF)
+
+
+@query
+def alert_board(spark, sf_dir):
+    """Alerts in their order, and which of them are new: fired ones whose window still runs don't fire again."""
+    thresholds = spark.createDataFrame([(s, m, v) for s in SOURCES for m, v in LIMITS], "source_app string, metric string, limit_value long")
+    risk, none = _risk(spark, sf_dir), spark.createDataFrame([], "alert_key string")
+    active = series.alerts(risk.quotas, risk.paced, thresholds, none, AS_OF)
+    fired = state.live_keys(spark.createDataFrame([(SNOOZED,), ("cursor:1440:MinutesUntilReset:600:1705708800",)], "alert_key string"), active)
+    new = state.to_fire(active, fired).select("alert_key", F.lit(True).alias("fires"))
+    board = series.ordered_alerts(active).join(new, "alert_key", "left").withColumn("fires", F.coalesce("fires", F.lit(False)))
+    return board.select("source_app", "window_minutes", "metric", "alert_key", "fires")
+
+
+@query
+def alerts_by_options(spark, sf_dir):
+    """Alerts of the limits that options leave: the last option of a source, if it is on and can be taken, else none."""
+    risk, none = _risk(spark, sf_dir), spark.createDataFrame([], "alert_key string")
+    on = spark.createDataFrame([(1, "codex", "minutes_until_reset", 600, True), (2, "cursor", "minutes_until_reset", 600, False), (3, "claude_code", "remaining_percent", 101, True)], "seq long, source_app string, metric string, limit_value long, enabled boolean")
+    return series.alerts(risk.quotas, risk.paced, state.limits(on), none, AS_OF)
+
+
+def _placed(ordered: DataFrame) -> DataFrame:
+    """A short list with the place of each row, which its order alone doesn't tell."""
+    rows = [(k, *r) for k, r in enumerate(ordered.limit(ledger.LIMIT_MAX).collect())]
+    return ordered.sparkSession.createDataFrame(rows, StructType([StructField("place", LongType()), *ordered.schema.fields]))
+
+
+@query
+def pace_order(spark, sf_dir):
+    """Paces in the order of a list, by place."""
+    ordered = series.ordered_pace(_risk(spark, sf_dir).paced).select("source_app", "label", "state", "runway")
+    return _placed(ordered)
+
+
+@query
+def menu_rows(spark, sf_dir):
+    return views.menu_rows(_live(spark, sf_dir)[0], records(spark, sf_dir))
+
+
+@query
+def quota_groups(spark, sf_dir):
+    """Allowances as a list reads them: sources in their fixed order, shorter windows first."""
+    return _placed(views.in_reading_order(_live(spark, sf_dir)[0].select("source_app", "pool", "window_minutes", "used")))
+
+
+@query
+def awaiting_billing(spark, sf_dir):
+    """Whether a source's activity is newer than all that was published of it, here the records with a project."""
+    r = records(spark, sf_dir)
+    each = lambda s: state.awaiting_upstream(r.filter(F.col("source_app") == s), r.filter((F.col("source_app") == s) & F.col("project").isNotNull())).withColumn("source_app", F.lit(s))
+    return reduce(DataFrame.unionByName, map(each, SOURCES))
 
 
 @query
@@ -392,17 +448,14 @@ def stat_bar(spark, sf_dir):
 @query
 def quota_rows(spark, sf_dir):
     """Every allowance as a row of the screen, from confirmed reading, projection and pace."""
-    quotas, seen, history = _live(spark, sf_dir)
-    fits = series.calibration(seen, history)
-    ahead = series.projection(quotas, fits, history, AS_OF)
-    paced = series.pace(series.projected(quotas, ahead, AS_OF), seen, history, AS_OF)
-    return views.quota_rows(quotas, ahead, fits, paced, AS_OF)
+    risk = _risk(spark, sf_dir)
+    return views.quota_rows(risk.quotas, risk.projections, risk.fits, risk.paced, AS_OF)
 
 
 @query
 def event_details(spark, sf_dir):
     kind, priced = F.when(F.col("event_ts").isNull(), "missing").otherwise("explicit_offset"), F.col("amount_minor").isNotNull()
-    known = {"timestamp_interpretation": kind, "cost_status": F.when(priced, F.when(F.col("currency") == "EUR", "computed_from_pricing").otherwise("reported_by_source")), "pricing_version": F.when(F.col("event_id") % 2 == 0, "v7")}
+    known = {"timestamp_interpretation": kind, "cost_status": F.when(priced, F.when(F.col("currency") == "EUR", "computed_from_pricing").otherwise("reported_by_source")), "pricing_version": F.when(F.col("event_id") % 2 == 0, "v7"), "input_quality": F.when(F.col("input").isNotNull() & (F.col("event_id") % 3 == 0), "estimated"), "output_quality": F.when(F.col("output").isNotNull() & (F.col("event_id") % 3 == 1), "partial")}
     return views.event_details(records(spark, sf_dir).withColumns(known))
 
 
@@ -488,15 +541,15 @@ _PACE = (
   burn AS (SELECT source_app, sum(display) * 60 // 60 AS rate FROM history WHERE event_ts >= TIMESTAMP '2024-01-20 14:00:00' AND display IS NOT NULL GROUP BY source_app),
   tried AS (SELECT q.source_app, q.pool, q.used, q.observed_at, g.h, min_by({'u': s.used, 't': s.observed_at}, {'t': s.observed_at, 'i': s.event_id}) AS o FROM q0 q CROSS JOIN (VALUES (CAST(30 AS BIGINT)), (144), (360)) AS g(h)
       JOIN s ON s.source_app = q.source_app AND s.pool = q.pool AND abs(epoch_us(s.resets_at) - epoch_us(q.resets_at)) <= 120000000 AND epoch_us(s.observed_at) >= epoch_us(q.observed_at) - g.h * 60000000 AND s.observed_at < q.observed_at GROUP BY ALL),
-  trail AS (SELECT source_app, pool, min((1000 - used) * ((epoch_us(observed_at) - epoch_us(o.t)) // 60000000) // (used - o.u)) AS trail FROM tried WHERE (epoch_us(observed_at) - epoch_us(o.t)) // 60000000 >= 10 AND used - o.u >= 20 GROUP BY source_app, pool),
-  q1 AS (SELECT q0.*, trail, burn.rate AS burning, typical, greatest(0, 1000 - used) AS remaining, greatest(0, (epoch_us(resets_at) - epoch_us(TIMESTAMP '2024-01-20 15:00:00')) // 60000000) AS left_min,
+  trail AS (SELECT source_app, pool, best, best.runway AS trail FROM (SELECT source_app, pool, min({'runway': (1000 - used) * ((epoch_us(observed_at) - epoch_us(o.t)) // 60000000) // (used - o.u), 'h': h}) AS best FROM tried WHERE (epoch_us(observed_at) - epoch_us(o.t)) // 60000000 >= 10 AND used - o.u >= 20 GROUP BY source_app, pool)),
+  q1 AS (SELECT q0.*, trail, best.h AS horizon, burn.rate AS burning, typical, greatest(0, 1000 - used) AS remaining, greatest(0, (epoch_us(resets_at) - epoch_us(TIMESTAMP '2024-01-20 15:00:00')) // 60000000) AS left_min,
       greatest(0, (epoch_us(TIMESTAMP '2024-01-20 15:00:00') - epoch_us(observed_at)) // 60000000) AS age, 1440 - greatest(0, (epoch_us(resets_at) - epoch_us(observed_at)) // 60000000) AS gone
       FROM q0 LEFT JOIN trail USING (source_app, pool) LEFT JOIN burn USING (source_app) LEFT JOIN typical USING (source_app)),
   q2 AS (SELECT *, age > 144 AS aged, CASE WHEN gone > 0 AND used >= 20 THEN remaining * gone // used END AS opened, greatest(left_min // 10, age, 15) AS tolerance FROM q1),
   q3 AS (SELECT *, CASE WHEN aged THEN opened ELSE least(coalesce(opened, trail), coalesce(trail, opened)) END AS run FROM q2),
   q4 AS (SELECT *, CASE WHEN remaining = 0 THEN 'exhausted' WHEN aged AND coalesce(burning, 0) > 0 THEN 'unknown' WHEN run IS NULL THEN CASE WHEN used = 0 OR aged THEN 'green' ELSE 'unknown' END
       WHEN run > left_min + tolerance THEN 'green' WHEN run < greatest(0, left_min - tolerance) THEN 'red' ELSE 'amber' END AS state, coalesce(burning, 0) * 100 // nullif(typical, 0) AS ratio FROM q3),
-  pace AS (SELECT *, CASE WHEN state IN ('green', 'red', 'amber') THEN run END AS runway FROM q4),
+  pace AS (SELECT *, CASE WHEN state IN ('green', 'red', 'amber') THEN run END AS runway, CASE WHEN state IN ('green', 'red', 'amber') AND run IS NOT NULL THEN CASE WHEN aged OR trail IS NULL OR coalesce(opened <= trail, FALSE) THEN 'window_open' ELSE 'trailing' END END AS basis FROM q4),
   b AS (SELECT *, greatest(0, 1000 - confirmed) AS confirmed_remaining FROM pace QUALIFY row_number() OVER (PARTITION BY source_app ORDER BY list_position(['exhausted', 'red', 'amber', 'unknown', 'green', 'notStarted'], state), runway NULLS LAST, greatest(0, 1000 - confirmed), pool) = 1)
 """
 )
@@ -614,7 +667,7 @@ ORACLE_SQL: dict[str, str] = {
     "projection": f"{_PACE} SELECT source_app, pool, CAST(window_minutes AS BIGINT) AS window_minutes, used, added, projected FROM projection",
     "pace_states": f"""{_PACE} SELECT source_app, nullif(pool, '') AS label, CAST(1440 AS BIGINT) AS window_minutes, CAST(used AS BIGINT) AS used, CAST(remaining AS BIGINT) AS remaining, CAST(left_min AS BIGINT) AS until_reset, CAST(age AS BIGINT) AS age, aged, state, CAST(runway AS BIGINT) AS runway,
       CAST(CASE WHEN state = 'green' THEN runway - left_min END AS BIGINT) AS slack, CAST(CASE WHEN state = 'red' THEN left_min - runway END AS BIGINT) AS shortfall, CAST(left_min * 100 // nullif(runway, 0) AS BIGINT) AS pace_ratio,
-      CASE WHEN ratio < 75 THEN 'below' WHEN ratio < 150 THEN 'typical' WHEN ratio < 250 THEN 'above' WHEN ratio IS NOT NULL THEN 'farAbove' END AS vs_baseline,
+      CASE WHEN ratio < 75 THEN 'below' WHEN ratio < 150 THEN 'typical' WHEN ratio < 250 THEN 'above' WHEN ratio IS NOT NULL THEN 'farAbove' END AS vs_baseline, basis, CASE WHEN basis = 'trailing' THEN horizon END AS basis_minutes,
       CAST(CASE WHEN state = 'red' THEN 0 WHEN runway IS NOT NULL THEN 1 ELSE 2 END AS INTEGER) AS urgency, CAST(runway AS BIGINT) AS urgency_value FROM pace""",
     "binding_window": f"{_PACE} SELECT source_app, nullif(pool, '') AS label, CAST(1440 AS BIGINT) AS window_minutes, state, CAST(confirmed_remaining AS BIGINT) AS confirmed_remaining, CAST(runway AS BIGINT) AS runway FROM b",
     "status_line": f"""{_PACE} SELECT coalesce(string_agg(concat(CASE source_app WHEN 'claude_code' THEN 'claude' ELSE source_app END, ' ', (confirmed_remaining + 5) // 10, '%', CASE state WHEN 'red' THEN '↓' || {_SHORT.format("runway")} WHEN 'amber' THEN '~' WHEN 'exhausted' THEN '×' ELSE '' END, '·', {_SHORT.format("left_min")}), ' · ' ORDER BY list_position(['codex', 'claude_code', 'cursor'], source_app)), '—') AS line FROM b""",
@@ -641,17 +694,17 @@ ORACLE_SQL: dict[str, str] = {
     "stat_bar": f"""{_RECORDS}, o AS (SELECT *, 1 AS one FROM r WHERE {_WHERE} AND event_ts >= TIMESTAMP '2024-01-05' AND event_ts < TIMESTAMP '2024-01-20'), c AS ({_costs_sql("one", "o")}),
       g AS (SELECT coalesce(sum(display), 0) AS t, coalesce(sum(input), 0) AS i, coalesce(sum(output), 0) AS o, count(*) AS n, count(*) - count(display) AS u, count(*) - count(amount_minor) AS f, min(event_ts) AS a, max(event_ts) AS b FROM o)
       SELECT {_digits_sql("t")} AS tokens, concat({_digits_sql("i")}, ' in · ', {_digits_sql("o")}, ' out') AS in_out, {_count_sql("u", " did not report this")} AS gaps, coalesce((SELECT cost FROM c), '—') AS cost, CASE WHEN f > 0 THEN concat({_digits_sql("f")}, ' without cost') END AS cost_gaps, {_digits_sql("n")} AS events, {_span_sql("a", "b")} AS span FROM g""",
-    "quota_rows": f"""{_PACE}, j AS (SELECT q.source_app, q.pool, q.used, q.resets_at, q.observed_at, a.added, a.projected, f.n_spans, f.residual_percent, f.provisional, p.state, p.runway, p.left_min, p.aged, p.ratio, coalesce(a.projected, q.used) AS live,
+    "quota_rows": f"""{_PACE}, j AS (SELECT q.source_app, q.pool, q.used, q.resets_at, q.observed_at, a.added, a.projected, f.n_spans, f.residual_percent, f.provisional, p.state, p.runway, p.left_min, p.aged, p.ratio, p.basis, p.horizon, coalesce(a.projected, q.used) AS live,
         greatest(0, (epoch_us(q.resets_at) - epoch_us(TIMESTAMP '2024-01-20 15:00:00') + 30000000) // 60000000) AS until FROM quotas q LEFT JOIN projection a USING (source_app, pool) LEFT JOIN fit f USING (source_app, pool) LEFT JOIN pace p USING (source_app, pool))
       SELECT source_app, pool, CAST(1440 AS BIGINT) AS window_minutes, CASE WHEN pool = '' THEN 'day' ELSE lower(pool) END AS name, concat(CASE WHEN projected IS NOT NULL THEN '≈' END, {_tenths_sql("greatest(0, 1000 - live)")}, ' left') AS "left", least(1000, used) AS confirmed_tenths, least(1000, live) AS live_tenths,
         CAST(CASE WHEN until < 1440 THEN round(least(100, (1440 - until) / 1440 * 100)) END AS BIGINT) AS even_pace, CASE WHEN aged THEN '≈' ELSE '' END || CASE state WHEN 'red' THEN concat('out in ', {_runway_sql("runway")}) WHEN 'amber' THEN 'at the edge' WHEN 'green' THEN CASE WHEN runway IS NULL THEN 'idle' ELSE 'on track' END WHEN 'exhausted' THEN 'used up' END AS verdict,
         CASE WHEN state = 'red' THEN concat({_runway_sql("(left_min - runway)")}, ' short') END AS gap, CASE WHEN CAST(resets_at AS DATE) = DATE '2024-01-20' THEN '' ELSE strftime(resets_at, 'resets %b %-d %H:%M') END AS reset,
         concat_ws(chr(10), CASE state WHEN 'red' THEN concat('runs out ', {_runway_sql("(left_min - runway)")}, ' early at this pace') WHEN 'amber' THEN concat({_runway_sql("runway")}, ' of usage left · right at the edge of the window') WHEN 'green' THEN CASE WHEN runway IS NULL THEN 'nothing being spent' ELSE concat({_runway_sql("runway")}, ' of usage left · comfortably inside the window') END WHEN 'exhausted' THEN 'allowance used up' ELSE 'too early to say' END,
-          CASE WHEN ratio < 75 THEN 'lighter than your usual right now' WHEN ratio >= 250 THEN 'far heavier than your usual right now' WHEN ratio >= 150 THEN 'heavier than your usual right now' END, CASE WHEN aged THEN concat('from a reading ', {_ago_sql("observed_at", "2024-01-20 15:00:00")}, '; nothing spent since, so it can only be optimistic') END) AS detail,
+          CASE WHEN ratio < 75 THEN 'lighter than your usual right now' WHEN ratio >= 250 THEN 'far heavier than your usual right now' WHEN ratio >= 150 THEN 'heavier than your usual right now' END, CASE basis WHEN 'window_open' THEN 'averaged since the window opened' WHEN 'trailing' THEN concat('measured over the last ', horizon, 'm') END, CASE WHEN aged THEN concat('from a reading ', {_ago_sql("observed_at", "2024-01-20 15:00:00")}, '; nothing spent since, so it can only be optimistic') END) AS detail,
         CASE WHEN projected IS NOT NULL THEN concat({_tenths_sql("used")}, ' confirmed ', {_ago_sql("observed_at", "2024-01-20 15:00:00")}, chr(10), '+', {_tenths_sql("added")}, ' estimated from usage since', chr(10), CASE WHEN provisional THEN 'rate from a single reading so far, not yet corroborated' ELSE concat('rate fitted from ', n_spans, ' readings, typically within ±', residual_percent, '%') END) END AS projection FROM j""",
     "event_details": _RECORDS
     + "SELECT event_id, "
-    + ", ".join(f"concat_ws(' ', coalesce({_digits_sql(c)}, '—'), CASE WHEN {c} IS NULL THEN 'not reported' END) AS {c}" for c in ("input", "output", "cached_input", "reasoning"))
+    + ", ".join(f"concat_ws(' ', coalesce({_digits_sql(c)}, '—'), CASE WHEN {c} IS NULL THEN 'not reported'{more} END) AS {c}" for c, more in (("input", " WHEN event_id % 3 = 0 THEN 'estimated by the source'"), ("output", " WHEN event_id % 3 = 1 THEN 'the source reported only part of this'"), ("cached_input", ""), ("reasoning", "")))
     + f""", concat_ws(' ', coalesce({_digits_sql("display")}, '—'), CASE WHEN reported IS NOT NULL THEN 'total reported by the source' WHEN input IS NULL AND output IS NULL THEN NULL WHEN reasoning IS NOT NULL THEN 'input + output + reasoning' ELSE 'input + output' END) AS total,
       CASE WHEN amount_minor IS NULL THEN '—' ELSE concat({_money_sql("amount_minor", "exponent", 4)}, ' ', CASE WHEN currency <> 'EUR' THEN 'reported by the source' WHEN event_id % 2 = 0 THEN 'priced locally · v7' ELSE 'priced locally · —' END) END AS cost,
       CASE WHEN model LIKE 'o%' THEN 'openai' ELSE '—' END AS provider, coalesce(project, '—') AS project, coalesce(session_id, '—') AS session, CASE WHEN event_ts IS NULL THEN 'the log recorded no timestamp' END AS logged_note FROM r""",
@@ -672,6 +725,18 @@ ORACLE_SQL: dict[str, str] = {
       c AS (SELECT *, bool_or(paid) OVER (PARTITION BY conversation, turn_no) AS covered FROM t)
       SELECT conversation, "at", bubble, CASE WHEN paid THEN 'tokens' ELSE 'event' END AS kind, CASE WHEN paid THEN carried ELSE model END AS model, CASE WHEN paid THEN tokens END AS tokens FROM c WHERE paid OR (is_user AND NOT covered)""",
 }
+_ALERTS = ORACLE_SQL["alerts_active"]
+_KEYED = _ALERTS[: _ALERTS.index("      SELECT source_app, CAST(1440")]
+ORACLE_SQL["alert_board"] = f"{_KEYED} SELECT source_app, CAST(1440 AS BIGINT) AS window_minutes, metric, alert_key, alert_key <> '{SNOOZED}' AS fires FROM k"
+ORACLE_SQL["alerts_by_options"] = _ALERTS.replace(f"alert_key <> '{SNOOZED}'", "source_app = 'codex' AND metric = 'minutes_until_reset'")
+ORACLE_SQL["pace_order"] = f"{_PACE} SELECT row_number() OVER (ORDER BY CASE WHEN state = 'red' THEN 0 WHEN runway IS NOT NULL THEN 1 ELSE 2 END, runway NULLS FIRST, pool, source_app) - 1 AS place, source_app, nullif(pool, '') AS label, state, CAST(runway AS BIGINT) AS runway FROM pace"
+ORACLE_SQL["quota_groups"] = f"{_PACE} SELECT row_number() OVER (ORDER BY list_position(['codex', 'claude_code', 'cursor'], source_app), pool) - 1 AS place, source_app, pool, CAST(1440 AS BIGINT) AS window_minutes, used FROM quotas"
+ORACLE_SQL["awaiting_billing"] = f"{_RECORDS} SELECT source_app, coalesce(max(event_ts) > max(event_ts) FILTER (project IS NOT NULL), max(event_ts) IS NOT NULL) AS awaiting_upstream FROM r GROUP BY source_app"
+ORACLE_SQL["menu_rows"] = f"""{_PACE}, m1 AS (SELECT 0 AS b, list_position(['cursor', 'claude_code', 'codex'], source_app) AS o, pool AS n, concat_ws(':', 'quota', source_app, 1440, pool) AS id,
+      concat(CASE source_app WHEN 'claude_code' THEN 'claude' ELSE source_app END, CASE WHEN pool <> '' THEN ' ' || lower(pool) ELSE '' END, ' · ', (greatest(0, 1000 - used) + 5) // 10, '% of the day left · resets ', strftime(resets_at, '%b %-d, %-I:%M%p')) AS text FROM quotas),
+    t AS (SELECT source_app, {_LABEL} AS name, coalesce(sum(display), 0) AS t FROM r GROUP BY source_app), c AS (SELECT currency, CAST(sum(amount_minor * CAST(pow(10, 6 - exponent) AS BIGINT)) // CAST(pow(10, 6 - max(exponent)) AS BIGINT) AS BIGINT) AS a, max(exponent) AS e FROM r WHERE amount_minor IS NOT NULL GROUP BY currency ORDER BY currency LIMIT 1),
+    lines AS (SELECT * FROM m1 UNION ALL SELECT 1, 0, '', 'total', concat((SELECT {_digits_sql("sum(t)")} FROM t), ' tokens') UNION ALL SELECT 2, 0, '', 'cost', {_money_sql("a", "e")} FROM c UNION ALL SELECT 3, -t, name, 'source:' || source_app, concat(name, '  ', {_digits_sql("t")}) FROM t)
+    SELECT CAST(row_number() OVER (ORDER BY b, o, n) - 1 AS INTEGER) AS position, id, text FROM lines"""
 _HEALTH = ORACLE_SQL["health_states"].replace("SELECT *, CAST(sum(CAST(material", ", h2 AS (SELECT *, CAST(sum(CAST(material", 1)
 _WORD = "CASE WHEN state = 'current' THEN CASE WHEN awaiting_upstream THEN 'awaiting billing' ELSE 'watching' END ELSE state END"
 _CLOCKS = [f"concat('{words} ', {_ago_sql(clock, '2024-01-31 00:00:00')})" for words, clock in (("app synced", "app_synced_at"), ("source reported", "source_observed_at"))]

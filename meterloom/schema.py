@@ -34,6 +34,10 @@ SOURCE_LABELS = {"cursor": "cursor", "claude_code": "claude code", "codex": "cod
 WINDOW_WORDS = {300: "this session", 10_080: "this week", 1440: "today"}
 SYNC_WORDS = {"syncing": "syncing", "current": "watching", "stale": "stale", "offline": "offline", "error": "error", "unknown": "not checked"}
 BASELINE_WORDS = {"above": "heavier than your usual right now", "farAbove": "far heavier than your usual right now", "below": "lighter than your usual right now"}
+BASIS_WORDS = {"window_open": "averaged since the window opened"}
+TRAILING_WORDS = ("measured over the last ", "m")
+MENU_WINDOWS = {300: "session", 10_080: "week", 1440: "day"}
+MENU_WORDS = {"left": "% of the ", "of": " left · ", "idle": "not started", "tokens": " tokens"}
 TIMESTAMP_NOTES = {
     "assumed_utc": "no timezone in the log; read as UTC",
     "assumed_local": "no timezone in the log; read as local time",

@@ -43,17 +43,23 @@ def samples(records: DataFrame, pools: bool = False) -> DataFrame:
     """Change-only readings of a daily allowance of each source, driven by cost units.
 
     With `pools`, the first source has two allowances, told apart by their labels: one for its small models, one for all
-    others. A day's window is one instance, so each (source, label, day) is a partition of its own.
+    others. Units run on within a minute of an allowance; what came before it that day is a running sum over its minutes,
+    of which a day has 1440, so no task holds a day's events. The reading before an event's own is that of the units
+    before it, so no event looks at another.
     """
-    day = F.to_date("ts")
     pool = F.when(F.col("source_app") == SOURCES[0], F.when(F.col("model").isin("haiku-1", "o4-mini"), "Small models").otherwise("Other models")) if pools else F.lit(None).cast("string")
-    key = Window.partitionBy("source_app", "label", "day")
-    w = key.orderBy("ts", "event_id")
-    metered = records.select("source_app", "ts", "event_id", day.alias("day"), pool.alias("label"), cost_units(F.col("model"), F.col("input"), F.col("output"), F.col("cached_input")).alias("units"))
-    used = div(1000 * F.sum("units").over(w.rowsBetween(Window.unboundedPreceding, 0)), F.sum("units").over(key))
-    read = metered.withColumn("used", F.coalesce(used, F.lit(0)))
+    key = ["source_app", "pool", "day"]
+    metered = records.select("source_app", F.coalesce(pool, F.lit("")).alias("pool"), F.to_date("ts").alias("day"), F.date_trunc("minute", "ts").alias("minute"), "ts", "event_id", cost_units(F.col("model"), F.col("input"), F.col("output"), F.col("cached_input")).alias("units"))
+    day = Window.partitionBy(*key)
+    upto = day.orderBy("minute").rowsBetween(Window.unboundedPreceding, -1)
+    minutes = metered.groupBy(*key, "minute").agg(F.sum("units").alias("of_minute"))
+    minutes = minutes.select(*key, "minute", F.coalesce(F.sum("of_minute").over(upto), F.lit(0)).alias("before"), F.sum("of_minute").over(day).alias("whole"), (F.row_number().over(day.orderBy("minute")) == 1).alias("opens"))
+    w = Window.partitionBy(*key, "minute").orderBy("ts", "event_id")
+    run = F.col("before") + F.sum("units").over(w.rowsBetween(Window.unboundedPreceding, 0))
+    read = metered.join(minutes, [*key, "minute"]).withColumns({"run": run, "first": F.col("opens") & (F.row_number().over(w) == 1)})
+    share = lambda units: F.coalesce(div(1000 * units, F.col("whole")), F.lit(0))
     return (
-        read.withColumn("before", F.lag("used").over(w))
-        .filter("before is null or before <> used")
-        .select("source_app", "label", F.lit(1440).cast("long").alias("window_minutes"), "used", F.date_add("day", 1).cast("timestamp_ntz").alias("resets_at"), F.col("ts").alias("observed_at"), "event_id")
+        read.withColumns({"used": share(F.col("run")), "earlier": share(F.col("run") - F.col("units"))})
+        .filter("first or earlier <> used")
+        .select("source_app", F.nullif("pool", F.lit("")).alias("label"), F.lit(1440).cast("long").alias("window_minutes"), "used", F.date_add("day", 1).cast("timestamp_ntz").alias("resets_at"), F.col("ts").alias("observed_at"), "event_id")
     )

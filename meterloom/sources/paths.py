@@ -5,9 +5,10 @@ from __future__ import annotations
 import re
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyarrow import fs
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 #: Names that Hadoop's connectors give to stores which Arrow knows by another.
 SCHEMES = {"s3a": "s3", "s3n": "s3", "wasb": "abfs", "wasbs": "abfss", "gcs": "gs"}
@@ -44,6 +45,18 @@ def scratch_folder(spark: SparkSession, name: str) -> str:
     return f"{shared.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+def saver(spark: SparkSession, name: str) -> Callable[[DataFrame, str], DataFrame]:
+    """Writes frames below a new folder and reads them back, so that what follows begins from files: shared work is done
+    once, and a lost executor costs its running tasks only."""
+    folder = scratch_folder(spark, name)
+
+    def save(df: DataFrame, table: str) -> DataFrame:
+        df.write.parquet(f"{folder}/{table}")
+        return spark.read.schema(df.schema).parquet(f"{folder}/{table}")
+
+    return save
+
+
 class DriverFiles:
     """Small text files below one folder, through Spark's own file systems."""
 

@@ -370,7 +370,7 @@ class Ledger:
     def prune_samples(self, now: datetime, revision: int) -> State:
         """A commit that keeps only the samples of the last days."""
         before = self.at()
-        kept = before.samples().filter(F.col("observed_at") >= F.lit(now - state.SAMPLE_KEPT).cast("timestamp"))
+        kept = state.pruned_samples(before.samples(), now)
         new = dict(before.manifest) | {"commit": revision, "at": now.isoformat(), "delta": None, "changes": {}, "samples": [self._write(kept, "samples")]}
         self._put(new, over=False)
         return State(self, new)
