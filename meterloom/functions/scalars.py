@@ -108,6 +108,12 @@ def parse_timestamp(raw: Column) -> Column:
     return F.when(n.isNotNull(), F.timestamp_micros(micros)).when(is_resolved(timestamp_kind(raw)), F.try_to_timestamp(s))
 
 
+def line_timestamp(line: Column) -> Column:
+    """The first timestamp that a line of JSON names, from its text alone; null where it isn't one with an offset."""
+    raw = F.regexp_extract(line, '"timestamp":"([^"]*)"', 1)
+    return F.when(raw.rlike(_ZONED), F.try_to_timestamp(raw))
+
+
 def same_instance(a: Column, b: Column) -> Column:
     """One allowance window: both without a reset, or resets at most two minutes apart."""
     return (a.isNull() & b.isNull()) | F.coalesce(F.abs(micros(a) - micros(b)) <= INSTANCE_TOLERANCE_US, F.lit(False))

@@ -7,24 +7,36 @@ number that is assigned while the file's lines are read, so state is carried by
 
 from __future__ import annotations
 
-from datetime import datetime
+from datetime import datetime, timedelta
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions.scalars import clean, cents_to_minor, joined_hash, minutes_floor, parse_timestamp, percent_to_tenths, project_name, provider_of
-from ..schema import CHECKPOINT, DRAFT, MONTH_MINUTES
+from ..functions.scalars import clean, cents_to_minor, joined_hash, line_timestamp, minutes_floor, parse_timestamp, percent_to_tenths, project_name, provider_of
+from ..operators.conversations import turn_drafts
+from ..operators.series import tiled_sessions
+from ..schema import CHECKPOINT, DRAFT, MONTH_MINUTES, QUOTA, SESSION_MINUTES
 
 _ROLLOUT = "timestamp string, type string, payload struct<id:string,cwd:string,model_provider:string,model:string,type:string,info:struct<last_token_usage:struct<input_tokens:bigint,cached_input_tokens:bigint,output_tokens:bigint,reasoning_output_tokens:bigint,total_tokens:bigint>>,rate_limits:struct<primary:struct<used_percent:double,window_minutes:int,resets_at:bigint>>>"
 _TRANSCRIPT = "timestamp string, uuid string, sessionId string, cwd string, type string, message struct<id:string,model:string,usage:struct<input_tokens:bigint,cache_creation_input_tokens:bigint,cache_read_input_tokens:bigint,output_tokens:bigint>>"
-_BUBBLE = "conversationId string, bubbleId string, type int, createdAt string, model string, inputTokens bigint, outputTokens bigint"
+_BUBBLE = "conversationId string, bubbleId string, type int, createdAt string, model string, inputTokens bigint, outputTokens bigint, usageUuid string, requestId string"
 _CARRIED = "own string, provider string, model string, turn_cwd string, meta_cwd string, counted long"
+#: How many files a look at what goes on right now reads.
+FRESHEST = 10
 #: Names of adapters, under which records are replaced and checkpoints kept.
 ROLLOUTS, TRANSCRIPTS, BILLED, BUBBLES, LIVE_REF = "rollouts", "transcripts", "billed", "bubbles", "local-activity"
 _TYPES = dict(c.strip().split(" ") for c in DRAFT.split(","))
 
 
-def lines(spark: SparkSession, path: str, glob: str) -> DataFrame:
+def freshest(spark: SparkSession, path: str, glob: str, n: int = FRESHEST, since: datetime | None = None) -> list[str]:
+    """The `n` files changed last, of those changed at `since` or later; none of them is opened."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", glob).load(path).select("path", "modificationTime")
+    if since is not None:
+        files = files.filter(F.col("modificationTime") >= F.lit(since).cast("timestamp"))
+    return [r["path"] for r in files.orderBy(F.desc("modificationTime"), "path").limit(n).collect()]
+
+
+def lines(spark: SparkSession, path: str | list[str], glob: str) -> DataFrame:
     """(path, line_no, value) of every line of the matching files; a file is one row until its lines are parted, so a single log
     must stay below 2 GB."""
     files = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", glob).text(path, wholetext=True)
@@ -142,12 +154,15 @@ def period_quota(spark: SparkSession, path: str, observed_at: datetime) -> DataF
 
 
 def limit_quota(spark: SparkSession, path: str, now: str) -> DataFrame:
-    """The newest rate-limit line of transcripts as a used-up allowance, if it resets after `now` (a UTC timestamp).
+    """The newest rate-limit line of the freshest transcripts as a used-up allowance, if it resets after `now` (in UTC).
 
     The text names a wall clock and a zone; a clock that isn't after the line's own time is of the next day.
     """
     text = F.array_join(F.transform("j.message.content", lambda c: c.text), " ")
-    raw = _parsed(lines(spark, path, "*.jsonl").filter(F.col("value").contains("rate_limit")), "timestamp string, error string, message struct<content:array<struct<type:string,text:string>>>")
+    files = freshest(spark, path, "*.jsonl")
+    if not files:
+        return spark.createDataFrame([], QUOTA)
+    raw = _parsed(lines(spark, files, "*.jsonl").filter(F.col("value").contains("rate_limit")), "timestamp string, error string, message struct<content:array<struct<type:string,text:string>>>")
     hit = raw.filter(F.col("j.error") == "rate_limit").select(F.try_to_timestamp("j.timestamp").alias("observed_at"), text.alias("text")).filter("observed_at is not null")
     pattern = r"hit your (session|weekly|week) limit.*resets (\d{1,2})(?::(\d{2}))?(am|pm) \(([^)]+)\)"
     part = lambda k: F.regexp_extract("text", pattern, k)
@@ -161,6 +176,43 @@ def limit_quota(spark: SparkSession, path: str, now: str) -> DataFrame:
     return _quota(newest.filter(F.col("resets_at") > F.lit(now).cast("timestamp")), F.lit(None))
 
 
+def activity(spark: SparkSession, path: str, since: datetime) -> DataFrame:
+    """The instants (t) at or after `since` that the lines of the freshest transcripts name first, read from their raw text."""
+    files = freshest(spark, path, "*.jsonl", since=since)
+    if not files:
+        return spark.createDataFrame([], "t timestamp")
+    return lines(spark, files, "*.jsonl").select(line_timestamp(F.col("value")).alias("t")).filter(F.col("t") >= F.lit(since).cast("timestamp"))
+
+
+def allowances_at(spark: SparkSession, cache: str, transcripts: str, now: datetime) -> DataFrame:
+    """What of a transcript source's allowances is live at `now` (UTC): cached windows that haven't reset, the session worked
+    out from activity where its cached one has, and where nothing at all is live the last limit that was hit.
+
+    A session window opens with the first message at or after the end of the one before. It is reported with nothing used,
+    as seen when it opened; without an open one as idle. Transcripts are only read where the cache doesn't say enough.
+    """
+    cached = [r.asDict() for r in cached_quota(spark, cache).collect()]  # four windows at most
+    instant = lambda t: t.replace(tzinfo=None)
+    live = [q for q in cached if q["resets_at"] is None or instant(q["resets_at"]) > now]
+    session = lambda q: q["window_minutes"] == SESSION_MINUTES and q["label"] is None
+    expired = next((q for q in cached if session(q)), None)
+    if not any(map(session, live)) and expired is not None:
+        times = activity(spark, transcripts, instant(expired["resets_at"])).select(F.lit("session").alias("k"), F.col("t").cast("timestamp_ntz").alias("t"))
+        tiled = tiled_sessions(times, "k", now).collect()  # one row, none without activity
+        idle = {"source_app": "claude_code", "label": None, "window_minutes": SESSION_MINUTES, "used_tenths": 0, "resets_at": None}
+        if not tiled:
+            live.insert(0, idle | {"observed_at": expired["observed_at"]})
+        elif tiled[0]["resets_at"] is None:
+            live.insert(0, idle | {"observed_at": now})
+        else:
+            end = tiled[0]["resets_at"]
+            live.insert(0, idle | {"resets_at": end, "observed_at": end - timedelta(minutes=SESSION_MINUTES)})
+    if not live:
+        return limit_quota(spark, transcripts, str(now))
+    columns = [c.strip().split(" ")[0] for c in QUOTA.split(",")]
+    return spark.createDataFrame([tuple(q[c] for c in columns) for q in live], QUOTA)
+
+
 def transcript_drafts(spark: SparkSession, path: str) -> DataFrame:
     return transcripts(lines(spark, path, "*.jsonl"))
 
@@ -181,7 +233,22 @@ def bubbles(spark: SparkSession, path: str) -> DataFrame:
     """Exported bubbles in the columns that `conversations.turn_drafts` folds."""
     b = _parsed(lines(spark, path, "*.jsonl"), _BUBBLE).select("j.*").filter(F.col("type").isin(1, 2))
     tokens = F.coalesce("inputTokens", F.lit(0)) + F.coalesce("outputTokens", F.lit(0))
-    return b.select(F.col("conversationId").alias("conversation"), F.col("createdAt").alias("at"), F.col("bubbleId").alias("bubble"), (F.col("type") == 1).alias("is_user"), clean(F.col("model")).alias("model"), tokens.alias("tokens"))
+    # the clock is written as text or as milliseconds; conversations are ordered by the instant
+    text = F.when(F.col("createdAt").rlike(r"^\d+$"), F.date_format(F.timestamp_millis(F.col("createdAt").try_cast("long")), "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'")).otherwise(F.col("createdAt"))
+    named_ids = (clean(F.col("usageUuid")).alias("usage_id"), clean(F.col("requestId")).alias("request_id"))
+    return b.select(F.col("conversationId").alias("conversation"), text.alias("at"), F.col("bubbleId").alias("bubble"), (F.col("type") == 1).alias("is_user"), clean(F.col("model")).alias("model"), tokens.alias("tokens"), *named_ids, F.coalesce("inputTokens", F.lit(0)).alias("input"), F.coalesce("outputTokens", F.lit(0)).alias("output"))
+
+
+def bubble_drafts(spark: SparkSession, path: str, live: bool = False) -> DataFrame:
+    """Exported bubbles as drafts: replies with tokens under their usage id, turns without any under their request id, else
+    under the bubble's own. With `live` they are placeholders, which the billed feed replaces."""
+    b = turn_drafts(bubbles(spark, path))
+    paid = F.col("kind") == "tokens"
+    own = F.coalesce(F.when(paid, F.col("usage_id")).otherwise(F.col("request_id")), F.col("bubble"))
+    return _draft(
+        b, source_app=F.lit("cursor"), source_event_id=own, raw_timestamp=F.col("at"), model=F.col("model"), input=F.when(paid, F.col("input")), output=F.when(paid, F.col("output")), session_id=F.col("conversation"),
+        source_ref=F.lit(LIVE_REF) if live else F.lit("conversations"), adapter=F.lit(BUBBLES), origin=F.col("conversation"), position=F.lit(0),
+    )
 
 
 def billed_events(spark: SparkSession, path: str) -> DataFrame:
