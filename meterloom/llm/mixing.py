@@ -143,11 +143,13 @@ def mix(
     With `row_col`, a column of whole numbers that differ between rows, they come as a last column `row`.
 
     Null texts have size 0; a document without words takes nothing. A null source is one of its own, after all others.
-    Repeated ids are rows like any others. An empty table gives an empty result. The same rows give the same copies.
+    Repeated ids are rows like any others. An empty table gives an empty result. The same rows give the same copies; rows
+    without an id are told apart by their place, so which of them are copied may change with how the table is dealt.
+    Texts are only counted, batch by batch, so a very long one costs its own size once.
     """
     spark = docs.sparkSession
     scratch = Scratch(spark, "mix")
-    row = (docs[row_col] if row_col else F.lit(0)).cast("long").alias("row")
+    row = (docs[row_col] if row_col else F.monotonically_increasing_id()).cast("long").alias("row")
     base = docs.select(row, docs[id_col].cast("long").alias("doc_id"), docs[source_col].cast("string").alias("source"), F.coalesce(docs[text_col], F.lit("")).alias("text"))
     sized = scratch.save(base.mapInArrow(word_counts, "row long, doc_id long, source string, size long"), "sized")
     plan = scratch.save(_planned(sized, scratch, share, weights, cap), "plan")
