@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from ..schema import BASELINE_WORDS, BASIS_WORDS, DAY_MINUTES, MENU_WINDOWS, QUALITY_NOTES, RULE_WORDS, SOURCE_LABELS, SYNC_WORDS, TIMESTAMP_NOTES, TRAILING_WORDS, WEEK_MINUTES, WINDOW_WORDS, named
+from ..schema import BASELINE_WORDS, BASIS_WORDS, DAY_MINUTES, MENU_WINDOWS, NOTES, QUALITY_NOTES, RULE_WORDS, SOURCE_LABELS, SYNC_WORDS, TIMESTAMP_NOTES, TRAILING_WORDS, WEEK_MINUTES, WINDOW_WORDS, named
 from .scalars import clean, div, even_pace_percent, format_tenths, group_digits, micros
 
 UNKNOWN = "—"
@@ -91,26 +91,26 @@ def reset_text(resets_at: Column, now: Column) -> Column:
 
 
 def even_pace_note(until_reset: Column, window: Column) -> Column:
-    return text("even pace would be ", F.round(even_pace_percent(until_reset, window)).cast("long"), "% used by now")
+    return text(NOTES["even"], F.round(even_pace_percent(until_reset, window)).cast("long"), NOTES["by_now"])
 
 
 def pace_sentence(state: Column, runway: Column, shortfall: Column) -> Column:
-    left = text(runway_text(runway), " of usage left · ")
+    left = text(runway_text(runway), NOTES["left"])
     return (
-        F.when(state == "green", F.when(runway.isNull(), "nothing being spent").otherwise(text(left, "comfortably inside the window")))
-        .when(state == "amber", text(left, "right at the edge of the window"))
-        .when(state == "red", text("runs out ", runway_text(shortfall), " early at this pace"))
-        .otherwise(named(state, {"notStarted": "allowance untouched", "exhausted": "allowance used up", "unknown": "too early to say"}))
+        F.when(state == "green", F.when(runway.isNull(), NOTES["nothing"]).otherwise(text(left, NOTES["inside"])))
+        .when(state == "amber", text(left, NOTES["edge"]))
+        .when(state == "red", text(NOTES["runs_out"], runway_text(shortfall), NOTES["early"]))
+        .otherwise(named(state, {"notStarted": NOTES["untouched"], "exhausted": NOTES["used_up"], "unknown": NOTES["too_early"]}))
     )
 
 
 def pace_compact(state: Column, runway: Column) -> Column:
     """The verdict in few words; null where the reset already says it."""
-    return F.when(state == "red", text("out in ", runway_text(runway))).when(state == "green", F.when(runway.isNull(), "idle").otherwise("on track")).otherwise(named(state, {"amber": "at the edge", "exhausted": "used up"}))
+    return F.when(state == "red", text(NOTES["out_in"], runway_text(runway))).when(state == "green", F.when(runway.isNull(), NOTES["idle"]).otherwise(NOTES["on_track"])).otherwise(named(state, {"amber": NOTES["at_edge"], "exhausted": NOTES["used"]}))
 
 
 def pace_gap(state: Column, shortfall: Column) -> Column:
-    return F.when((state == "red") & shortfall.isNotNull(), text(runway_text(shortfall), " short"))
+    return F.when((state == "red") & shortfall.isNotNull(), text(runway_text(shortfall), NOTES["short"]))
 
 
 def basis_note(basis: Column, minutes: Column) -> Column:
@@ -129,22 +129,22 @@ def vs_baseline_note(vs: Column) -> Column:
 
 
 def reading_note(aged: Column, observed_at: Column, now: Column) -> Column:
-    return F.when(aged, text("from a reading ", ago(observed_at, now), "; nothing spent since, so it can only be optimistic"))
+    return F.when(aged, text(NOTES["reading"], ago(observed_at, now), NOTES["optimistic"]))
 
 
 def projection_note(confirmed: Column, observed_at: Column, added: Column, provisional: Column, n_spans: Column, residual: Column, now: Column) -> Column:
     """Where a projected figure comes from: the confirmed part, what was added, and how good the rate is."""
-    rate = F.when(provisional, "rate from a single reading so far, not yet corroborated").otherwise(text("rate fitted from ", n_spans, " readings, typically within ±", residual, "%"))
-    return noted(text(format_tenths(confirmed), " confirmed ", ago(observed_at, now)), text("+", format_tenths(added), " estimated from usage since"), rate, by="\n")
+    rate = F.when(provisional, NOTES["single"]).otherwise(text(NOTES["fitted"], n_spans, NOTES["within"], residual, "%"))
+    return noted(text(format_tenths(confirmed), NOTES["confirmed"], ago(observed_at, now)), text("+", format_tenths(added), NOTES["estimated"]), rate, by="\n")
 
 
 def sync_word(state: Column, awaiting: Column) -> Column:
-    return F.when((state == "current") & awaiting, "awaiting billing").otherwise(named(state, SYNC_WORDS))
+    return F.when((state == "current") & awaiting, NOTES["billing"]).otherwise(named(state, SYNC_WORDS))
 
 
 def freshness(state: Column, awaiting: Column, synced: Column, observed: Column, error: Column, now: Column) -> Column:
     """Both clocks of a source, as they answer different questions, then what is awaited and what failed."""
-    return noted(sync_word(state, awaiting), text("app synced ", ago(synced, now)), text("source reported ", ago(observed, now)), F.when(awaiting, "activity detected; awaiting billing data"), text("last error: ", error))
+    return noted(sync_word(state, awaiting), text(NOTES["synced"], ago(synced, now)), text(NOTES["reported"], ago(observed, now)), F.when(awaiting, NOTES["awaiting"]), text(NOTES["last_error"], error))
 
 
 def timestamp_note(kind: Column) -> Column:
@@ -160,4 +160,4 @@ def rule_words(rule: Column) -> Column:
 
 
 def cost_note(status: Column, pricing: Column) -> Column:
-    return F.when(status == "reported_by_source", "reported by the source").when(status.isNotNull(), text("priced locally · ", or_unknown(clean(pricing))))
+    return F.when(status == "reported_by_source", NOTES["by_source"]).when(status.isNotNull(), text(NOTES["priced"], or_unknown(clean(pricing))))

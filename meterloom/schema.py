@@ -38,6 +38,39 @@ BASIS_WORDS = {"window_open": "averaged since the window opened"}
 TRAILING_WORDS = ("measured over the last ", "m")
 MENU_WINDOWS = {300: "session", 10_080: "week", 1440: "day"}
 MENU_WORDS = {"left": "% of the ", "of": " left · ", "idle": "not started", "tokens": " tokens"}
+NOTES = {
+    "left": " of usage left · ",
+    "inside": "comfortably inside the window",
+    "edge": "right at the edge of the window",
+    "nothing": "nothing being spent",
+    "runs_out": "runs out ",
+    "early": " early at this pace",
+    "untouched": "allowance untouched",
+    "used_up": "allowance used up",
+    "too_early": "too early to say",
+    "out_in": "out in ",
+    "idle": "idle",
+    "on_track": "on track",
+    "at_edge": "at the edge",
+    "used": "used up",
+    "short": " short",
+    "reading": "from a reading ",
+    "optimistic": "; nothing spent since, so it can only be optimistic",
+    "single": "rate from a single reading so far, not yet corroborated",
+    "fitted": "rate fitted from ",
+    "within": " readings, typically within ±",
+    "confirmed": " confirmed ",
+    "estimated": " estimated from usage since",
+    "even": "even pace would be ",
+    "by_now": "% used by now",
+    "awaiting": "activity detected; awaiting billing data",
+    "billing": "awaiting billing",
+    "synced": "app synced ",
+    "reported": "source reported ",
+    "last_error": "last error: ",
+    "by_source": "reported by the source",
+    "priced": "priced locally · ",
+}
 TIMESTAMP_NOTES = {
     "assumed_utc": "no timezone in the log; read as UTC",
     "assumed_local": "no timezone in the log; read as local time",
