@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from xxhash import xxh3_64_intdigest
 
-from .common import Scratch, crc_mod
+from .common import Scratch, crc_mod, thrifty, thrifty_batches
 
 #: Word numbers: an unknown word, the end of a text, the start of a text, then the words, frequent ones first.
 UNKNOWN, END, START, FIRST = 0, 1, 2, 3
@@ -387,16 +387,17 @@ def katz_scores(docs: DataFrame, fold: int = 7, held: int = 2, id_col: str = "do
 
     Learns from the rows whose crc32(id) modulo `fold` is not `held`; a row without an id is learnt from. A null text is
     empty: its only token is the end. Rows that repeat an id are rows like any others. An empty table, and one without
-    training rows, give defined results: no rows, or scores from a model that has seen nothing.
+    training rows, give defined results: no rows, or scores from a model that has seen nothing. A very long text is one
+    chunk of its own, which a task must hold.
     """
     spark = docs.sparkSession
     scratch = Scratch(spark, "katz")
     key = F.col(id_col).cast("long")
     rows = docs.select(key.alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), F.coalesce(crc_mod(key, fold) == held, F.lit(False)).alias("held_out"))
     n_buckets = max(8, -(-(rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // BUCKET_BYTES))
-    chunks = scratch.save(rows.mapInArrow(_chunks(n_buckets), _SHAPE), "chunks")
+    chunks = scratch.save(rows.mapInArrow(thrifty_batches(_chunks(n_buckets)), _SHAPE), "chunks")
     asked = chunks.filter("kind = 1")
-    words = scratch.save(asked.groupBy("bucket").applyInArrow(_merge_words, _SHAPE), "words").select("bucket", "a", "b")
+    words = scratch.save(asked.groupBy("bucket").applyInArrow(thrifty(_merge_words), _SHAPE), "words").select("bucket", "a", "b")
     counts = words.mapInArrow(_count_counts, "bucket long, count long, words long")
     histogram = counts.groupBy("count").agg(F.sum("words").alias("words")).orderBy(F.desc("count")).collect()
     n_end = chunks.filter("kind = 0").agg(F.sum("n")).first()[0] or 0
@@ -405,10 +406,10 @@ def katz_scores(docs: DataFrame, fold: int = 7, held: int = 2, id_col: str = "do
     before = F.coalesce(F.sum("words").over(Window.partitionBy("count").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     offsets = counts.select("bucket", "count", before.alias("before")).groupBy("bucket").agg(F.collect_list(F.struct("count", "before")).alias("offsets"))
     numbered = words.join(offsets, "bucket")
-    answers = asked.select("chunk", "bucket", "a").groupBy("bucket").cogroup(numbered.groupBy("bucket")).applyInArrow(_numbers(shared), _SHAPE)
+    answers = asked.select("chunk", "bucket", "a").groupBy("bucket").cogroup(numbered.groupBy("bucket")).applyInArrow(thrifty(_numbers(shared)), _SHAPE)
     heads = chunks.filter("kind = 0").select("chunk", "a", "b")
-    found = heads.groupBy("chunk").cogroup(answers.select("chunk", "bucket", "a").groupBy("chunk")).applyInArrow(_pairs(shared, n_buckets), _SHAPE)
-    merged = scratch.save(found.groupBy("bucket").applyInArrow(_merge_pairs(shared, n_buckets), _MERGED), "merged")
+    found = heads.groupBy("chunk").cogroup(answers.select("chunk", "bucket", "a").groupBy("chunk")).applyInArrow(thrifty(_pairs(shared, n_buckets)), _SHAPE)
+    merged = scratch.save(found.groupBy("bucket").applyInArrow(thrifty(_merge_pairs(shared, n_buckets)), _MERGED), "merged")
     scratch.drop("chunks", "words")
 
     sums = merged.agg(*(F.sum(F.get("n_of", F.lit(r))).alias(f"n{r}") for r in range(DISCOUNTED + 1))).first()
@@ -416,7 +417,7 @@ def katz_scores(docs: DataFrame, fold: int = 7, held: int = 2, id_col: str = "do
     by_context = merged.select(F.explode("hot").alias("h")).groupBy("h.v").agg(*(F.sum(F.get("h.n_of", F.lit(r))).alias(f"n{r}") for r in range(DISCOUNTED)), F.sum("h.covered").alias("covered")).collect()
     hot = {r["v"]: ([r[f"n{k}"] for k in range(DISCOUNTED)], r["covered"]) for r in by_context}
     model = spark.sparkContext.broadcast((steps, discounts, hot))
-    partials = merged.filter("kind = 2").select("a", "b", "c", "d", "e", "times", "parts").mapInArrow(_score(model), _SHAPE).select("chunk", "a", "b")
+    partials = merged.filter("kind = 2").select("a", "b", "c", "d", "e", "times", "parts").mapInArrow(thrifty_batches(_score(model)), _SHAPE).select("chunk", "a", "b")
     ends = merged.filter("kind = 0").select("chunk", "a", "b", "c", "d")
     shape = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
-    return ends.groupBy("chunk").cogroup(partials.groupBy("chunk")).applyInArrow(_assemble(steps.n_train), shape)
+    return ends.groupBy("chunk").cogroup(partials.groupBy("chunk")).applyInArrow(thrifty(_assemble(steps.n_train)), shape)
