@@ -77,15 +77,19 @@ def give_back() -> None:
 
 
 def thrifty(run):
-    """A function of Arrow tables that gives memory back after each call."""
+    """A function of one Arrow table or of two that gives memory back after each call."""
 
-    @functools.wraps(run)
-    def call(*tables):
-        out = run(*tables)
+    def of_one(table):
+        out = run(table)
         give_back()
         return out
 
-    return call
+    def of_two(left, right):
+        out = run(left, right)
+        give_back()
+        return out
+
+    return of_one if run.__code__.co_argcount == 1 else of_two
 
 
 def thrifty_batches(run):
