@@ -290,11 +290,12 @@ def tiled_sessions(times: DataFrame, by: str, now: datetime, minutes: int = SESS
 
     Null where the last window has closed and no time has opened another. Each session is read in order of time with
     one window carried along, so its length is not bound by memory. `resets` (by, reset) holds the last resets known:
-    times before them belong to windows that have closed.
+    times before them belong to windows that have closed. A session with a reset and no time since has no open window.
     """
     rows = times.select(by, F.col("t").cast("timestamp_ntz").alias("t"))
     if resets is not None:
         rows = rows.join(resets.select(by, "reset"), by, "left").filter(F.col("reset").isNull() | (F.col("t") >= F.col("reset"))).select(by, "t")
+        rows = rows.unionByName(resets.select(by, F.lit(None).cast("timestamp_ntz").alias("t")))
     shape = f"`{by}` {rows.schema[by].dataType.simpleString()}, resets_at timestamp_ntz"
     return rows.repartition(by).sortWithinPartitions(by, "t").mapInArrow(_tile(by, now, minutes), shape)
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import dataclass
 from datetime import datetime
+from typing import TYPE_CHECKING
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -15,6 +16,9 @@ from ..schema import MENU_WORDS, SOURCE_LABELS, SOURCES, named
 from . import ledger, series
 from .series import KEY, at, pooled, tightest_quotas
 
+if TYPE_CHECKING:
+    from ..streaming.ledger import State
+
 #: The source whose row shows its allowance instead of its share, and the fixed order in which a list names sources.
 METERED = SOURCES[0]
 READING_ORDER = tuple(reversed(SOURCES))
@@ -201,6 +205,8 @@ class Snapshot:
     threads: DataFrame
     recent: DataFrame
     count: DataFrame
+    quotas: DataFrame | None = None
+    health: DataFrame | None = None
 
 
 def snapshot(records: DataFrame, revision: int, overview: ledger.Filter, shown: ledger.Filter, limit: int | None = None) -> Snapshot:
@@ -210,3 +216,27 @@ def snapshot(records: DataFrame, revision: int, overview: ledger.Filter, shown:
     """
     some = shown.apply(records)
     return Snapshot(revision, ledger.totals_all_levels(overview.apply(records)), ledger.totals_all_levels(some), thread_list(some), ledger.recent(some, limit), records.agg(F.count("*").alias("records")))
+
+
+def snapshot_at(state: State, overview: ledger.Filter, shown: ledger.Filter, limit: int | None = None) -> Snapshot:
+    """The snapshot of one commit of a ledger: records, allowances and health all come from its manifest.
+
+    Totals and count are folded from the sums that the commits keep, so they read no record; their date bounds must be whole
+    hours. Threads and the recent list need the records' own times.
+    """
+    records = state.records().withColumn("event_ts", F.col("event_ts").cast("timestamp_ntz"))
+    levels = lambda wanted: _levels(state, wanted)
+    some = shown.apply(records.withColumn("event_id", F.col("id")))
+    return Snapshot(state.revision, levels(overview), levels(shown), thread_list(some), ledger.recent(some, limit), state.totals().select("records"), state.quotas(), state.health())
+
+
+def _levels(state: State, wanted: ledger.Filter) -> DataFrame:
+    none = lambda c: F.lit(None).cast("string").alias(c)
+    whole = state.totals(wanted=wanted).select(none("source_app"), none("model"), F.lit("all").alias("level"), "*")
+    return whole.unionByName(_level(state, wanted, "source_app", "source")).unionByName(_level(state, wanted, "model", "model"))
+
+
+def _level(state: State, wanted: ledger.Filter, by: str, level: str) -> DataFrame:
+    totals = state.totals(by, wanted=wanted)
+    other = "model" if by == "source_app" else "source_app"
+    return totals.withColumns({other: F.lit(None).cast("string"), "level": F.lit(level)})

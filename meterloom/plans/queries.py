@@ -425,6 +425,14 @@ def session_tiling(spark, sf_dir):
     return series.tiled_sessions(times.select("session_id", F.col("event_ts").alias("t")), "session_id", AS_OF)
 
 
+@query
+def session_tiling_from_resets(spark, sf_dir):
+    """Sessions tiled from the end of a window known to have closed, half a day after each began; some have no time since."""
+    times = records(spark, sf_dir).filter(F.col("event_ts") <= series.at(AS_OF)).filter("session_id is not null").select("session_id", F.col("event_ts").alias("t"))
+    resets = times.groupBy("session_id").agg((F.min("t") + F.expr("INTERVAL 12 HOURS")).alias("reset"))
+    return series.tiled_sessions(times, "session_id", AS_OF, resets=resets)
+
+
 @query
 def source_strip(spark, sf_dir):
     return views.source_strip(records(spark, sf_dir), _live(spark, sf_dir)[0])
@@ -737,6 +745,11 @@ ORACLE_SQL["menu_rows"] = f"""{_PACE}, m1 AS (SELECT 0 AS b, list_position(['cur
     t AS (SELECT source_app, {_LABEL} AS name, coalesce(sum(display), 0) AS t FROM r GROUP BY source_app), c AS (SELECT currency, CAST(sum(amount_minor * CAST(pow(10, 6 - exponent) AS BIGINT)) // CAST(pow(10, 6 - max(exponent)) AS BIGINT) AS BIGINT) AS a, max(exponent) AS e FROM r WHERE amount_minor IS NOT NULL GROUP BY currency ORDER BY currency LIMIT 1),
     lines AS (SELECT * FROM m1 UNION ALL SELECT 1, 0, '', 'total', concat((SELECT {_digits_sql("sum(t)")} FROM t), ' tokens') UNION ALL SELECT 2, 0, '', 'cost', {_money_sql("a", "e")} FROM c UNION ALL SELECT 3, -t, name, 'source:' || source_app, concat(name, '  ', {_digits_sql("t")}) FROM t)
     SELECT CAST(row_number() OVER (ORDER BY b, o, n) - 1 AS INTEGER) AS position, id, text FROM lines"""
+ORACLE_SQL["session_tiling_from_resets"] = f"""{_RECORDS.replace("WITH e AS", "WITH RECURSIVE e AS", 1)}, t AS MATERIALIZED (SELECT session_id, event_ts AS t FROM r WHERE session_id IS NOT NULL AND event_ts <= TIMESTAMP '2024-01-20 15:00:00'),
+  k AS (SELECT session_id, min(t) + INTERVAL 12 HOUR AS reset FROM t GROUP BY session_id),
+  w AS (SELECT session_id, min(t) AS o FROM t JOIN k USING (session_id) WHERE t >= reset GROUP BY session_id UNION ALL SELECT w.session_id, min(t.t) FROM w JOIN t ON t.session_id = w.session_id AND t.t >= w.o + INTERVAL 5 HOUR WHERE w.o + INTERVAL 5 HOUR <= TIMESTAMP '2024-01-20 15:00:00' GROUP BY w.session_id),
+  z AS (SELECT session_id, max(o) AS o FROM w GROUP BY session_id)
+  SELECT session_id, CASE WHEN o + INTERVAL 5 HOUR > TIMESTAMP '2024-01-20 15:00:00' THEN o + INTERVAL 5 HOUR END AS resets_at FROM k LEFT JOIN z USING (session_id)"""
 _HEALTH = ORACLE_SQL["health_states"].replace("SELECT *, CAST(sum(CAST(material", ", h2 AS (SELECT *, CAST(sum(CAST(material", 1)
 _WORD = "CASE WHEN state = 'current' THEN CASE WHEN awaiting_upstream THEN 'awaiting billing' ELSE 'watching' END ELSE state END"
 _CLOCKS = [f"concat('{words} ', {_ago_sql(clock, '2024-01-31 00:00:00')})" for words, clock in (("app synced", "app_synced_at"), ("source reported", "source_observed_at"))]

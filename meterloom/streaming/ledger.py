@@ -304,7 +304,9 @@ class Ledger:
             outcome = F.when(F.col("was").isNull(), "inserted").when(F.col("was.content_hash") == F.col("content_hash"), "unchanged").otherwise("updated")
             parts.append(joined.withColumns({"outcome": outcome, "deleted": F.lit(False)}).filter("outcome <> 'unchanged'"))
         if scopes and stored_rows is not None:
-            gone = stored_rows.filter(F.col("source_app").isin(sorted({s.source_app for s in scopes}))).filter(reduce(Column.__or__, (s.holds() for s in scopes)))
+            # a key is of one source, so rows of others needn't be ranked
+            log = before.log().filter(F.col("source_app").isin(sorted({s.source_app for s in scopes})))
+            gone = newest(log).filter(reduce(Column.__or__, (s.holds() for s in scopes)))
             gone = gone if kept is None else gone.join(kept.select("dedupe_key"), "dedupe_key", "left_anti")
             bucket = F.pmod(F.xxhash64("dedupe_key"), F.lit(BUCKETS)).cast("int")
             parts.append(gone.drop("revision").withColumns({"was": F.struct(*WAS), "bucket": bucket, "outcome": F.lit("deleted"), "deleted": F.lit(True)}))

@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from meterloom.operators import ledger as totals
+from meterloom.operators import views
 from meterloom.schema import DRAFT
 from meterloom.sources import logs
 from meterloom.sources.changes import changes
@@ -174,6 +175,23 @@ def test_a_commit_that_dies_changes_nothing(spark, tmp_path, monkeypatch):
     assert stored(store.at(1).records()) == {("codex", "a"): 1, ("codex", "b"): 1}
 
 
+def test_a_snapshot_of_one_commit(spark, tmp_path):
+    """All frames of an earlier commit while later ones go on, totals and count without a record."""
+    store = Ledger(spark, str(tmp_path / "l"))
+    random_commits(spark, store, 8, 3)
+    state = store.at(2)
+    store.commit(batch(spark, [draft("late", source="claude_code", n=99)]), 4)
+    codex = totals.Filter(sources=("codex",))
+    shot = views.snapshot_at(state, totals.Filter(), codex, 5)
+    records = state.records().withColumns({"event_ts": F.col("event_ts").cast("timestamp_ntz"), "event_id": F.col("id")})
+    plain = views.snapshot(records, state.revision, totals.Filter(), codex, 5)
+    rows = lambda df: sorted(map(str, (sorted(r.asDict().items()) for r in df.collect())))
+    for name in ("overview", "summary", "threads", "recent", "count"):
+        assert rows(getattr(shot, name)) == rows(getattr(plain, name)), name
+    assert shot.revision == state.revision == 2 and not any("/records/" in f for f in shot.overview.inputFiles() + shot.count.inputFiles())
+    assert shot.quotas.count() == shot.health.count() == 0
+
+
 def test_revision_samples_and_health(spark, tmp_path):
     """Readings that say the same are no sample, the time of an attempt is no change."""
     store, day = Ledger(spark, str(tmp_path / "l")), datetime(2026, 1, 1)
