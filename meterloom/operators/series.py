@@ -188,28 +188,23 @@ def spans(samples: DataFrame) -> DataFrame:
     return ordered.mapInArrow(_scan_spans, "source_app string, pool string, window_minutes long, t0 timestamp_ntz, t1 timestamp_ntz, moved long")
 
 
-def units_upto(points: DataFrame, records: DataFrame) -> DataFrame:
-    """`points` (source_app, t), each once, with the cost units of their source's records up to and at t.
+def span_units(cut: DataFrame, records: DataFrame) -> DataFrame:
+    """Cost units of the records in (t0, t1] of each span, as the difference of two running sums; spans without any are left out.
 
-    Records and points are sorted together within the minutes of a source, where units run on; what came before a minute is
-    a running sum over minutes. So no record is joined with a point, and no task holds more than a minute of a source.
+    Records and the ends of spans are sorted together within the minutes of a source, where units run on; what came before a
+    minute is a running sum over minutes. So no record is joined with a span, and no task holds more than a minute of a
+    source.
     """
-    spent = records.filter("event_ts is not null").select("source_app", F.col("event_ts").alias("t"), cost_units(F.col("model"), F.col("input"), F.col("output"), F.col("cached_input")).alias("units"), F.lit(0).alias("point"))
-    marks = points.select("source_app", F.col("t"), F.lit(0).cast("long").alias("units"), F.lit(1).alias("point")).distinct()
-    both = spent.unionByName(marks).withColumn("minute", F.date_trunc("minute", "t"))
+    span = F.struct(*KEY, "t0", "t1", "moved")
+    ends = cut.select("source_app", F.explode(F.array(F.struct(F.col("t0").alias("t"), F.lit(-1).alias("sign")), F.struct(F.col("t1").alias("t"), F.lit(1).alias("sign")))).alias("e"), span.alias("span"))
+    ends = ends.select("source_app", "e.t", F.lit(0).cast("long").alias("units"), "e.sign", "span")
+    spent = records.filter("event_ts is not null").select("source_app", F.col("event_ts").alias("t"), cost_units(F.col("model"), F.col("input"), F.col("output"), F.col("cached_input")).alias("units"))
+    both = spent.unionByName(ends, allowMissingColumns=True).withColumn("minute", F.date_trunc("minute", "t"))
     upto = Window.partitionBy("source_app").orderBy("minute").rowsBetween(Window.unboundedPreceding, -1)
     minutes = both.groupBy("source_app", "minute").agg(F.sum("units").alias("of_minute")).select("source_app", "minute", F.coalesce(F.sum("of_minute").over(upto), F.lit(0)).alias("before"))
-    w = Window.partitionBy("source_app", "minute").orderBy("t", "point").rowsBetween(Window.unboundedPreceding, 0)
-    run = both.withColumn("run", F.sum("units").over(w)).filter("point = 1")
-    return run.join(minutes, ["source_app", "minute"]).select("source_app", "t", (F.col("before") + F.col("run")).alias("upto"))
-
-
-def span_units(cut: DataFrame, records: DataFrame) -> DataFrame:
-    """Cost units of the records in (t0, t1] of each span, as the difference of two running sums; spans without any are left out."""
-    ends = units_upto(cut.select("source_app", F.explode(F.array("t0", "t1")).alias("t")), records)
-    at_end = lambda c: ends.select("source_app", F.col("t").alias(c), F.col("upto").alias(f"upto_{c}"))
-    spent = cut.join(at_end("t0"), ["source_app", "t0"]).join(at_end("t1"), ["source_app", "t1"])
-    return spent.select(*KEY, "t0", "t1", "moved", (F.col("upto_t1") - F.col("upto_t0")).alias("units")).filter("units > 0")
+    w = Window.partitionBy("source_app", "minute").orderBy("t", F.col("span").isNotNull()).rowsBetween(Window.unboundedPreceding, 0)
+    run = both.withColumn("run", F.sum("units").over(w)).filter("span is not null").join(minutes, ["source_app", "minute"])
+    return run.groupBy("span").agg(F.sum(F.col("sign") * (F.col("before") + F.col("run"))).alias("units")).filter("units > 0").select("span.*", "units")
 
 
 def calibration(samples: DataFrame, records: DataFrame) -> DataFrame:

@@ -173,7 +173,7 @@ def menu_rows(quotas: DataFrame, records: DataFrame) -> DataFrame:
 
 @dataclass(frozen=True)
 class Risk:
-    """What a risk view asks for at once, each frame computed once: live allowances, fits, projections and paces."""
+    """What a risk view asks for at once: live allowances, fits, projections and paces."""
 
     quotas: DataFrame
     fits: DataFrame
@@ -184,15 +184,15 @@ class Risk:
 def risk(samples: DataFrame, records: DataFrame, seen_until: datetime, now: datetime, save: Callable[[DataFrame, str], DataFrame]) -> Risk:
     """Allowances live at `now` by the readings up to `seen_until`, with all that is derived from them.
 
-    `save` writes a frame and reads it back. The inputs are narrowed to what is read and written first, so that records are
-    scanned once and everything after that is made of the narrow tables.
+    `save` writes a frame and reads it back: readings and fits are used several times. `records` should be narrow and
+    written already, as they are read for each of burn, baseline, duty, spans and projection.
     """
-    history = save(records.filter(F.col("event_ts") <= at(now)).select("source_app", "model", "event_ts", "input", "output", "cached_input", "display"), "history")
+    history = records.filter(F.col("event_ts") <= at(now))
     seen = save(samples.filter(F.col("observed_at") <= at(seen_until)), "samples")
-    quotas = save(series.live_quotas(seen, seen_until, now), "quotas")
+    quotas = series.live_quotas(seen, seen_until, now)
     fits = save(series.calibration(seen, history), "fits")
     ahead = save(series.projection(quotas, fits, history, now), "projections")
-    return Risk(quotas, fits, ahead, save(series.pace(series.projected(quotas, ahead, now), seen, history, now), "paces"))
+    return Risk(quotas, fits, ahead, series.pace(series.projected(quotas, ahead, now), seen, history, now))
 
 
 @dataclass(frozen=True)

@@ -273,27 +273,36 @@ def quota_samples_change_only(spark, sf_dir):
 
 
 def _live(spark, sf_dir, pools=True):
-    r = records(spark, sf_dir)
-    s = samples(r, pools)
-    return series.live_quotas(s, SEEN, AS_OF), s.filter(F.col("observed_at") <= series.at(SEEN)), r.filter(F.col("event_ts") <= series.at(AS_OF))
+    return series.live_quotas(samples(records(spark, sf_dir), pools), SEEN, AS_OF)
+
+
+def _narrow(spark, sf_dir, save) -> DataFrame:
+    """All records, read once and written with the columns from which readings and history are made."""
+    return save(records(spark, sf_dir).select("source_app", "model", "ts", "event_id", "event_ts", "input", "output", "cached_input", "display"), "records")
 
 
 def _risk(spark, sf_dir) -> views.Risk:
-    """The risk view of all records, read once into a narrow table from which readings and history are made."""
     save = saver(spark, "risk")
-    r = save(records(spark, sf_dir).select("source_app", "model", "ts", "event_id", "event_ts", "input", "output", "cached_input", "display"), "records")
+    r = _narrow(spark, sf_dir, save)
     return views.risk(samples(r, True), r, SEEN, AS_OF, save)
 
 
+def _calibrating(spark, sf_dir):
+    """Readings and history, both written."""
+    save = saver(spark, "fit")
+    r = _narrow(spark, sf_dir, save)
+    return save(samples(r, True).filter(F.col("observed_at") <= series.at(SEEN)), "samples"), r.filter(F.col("event_ts") <= series.at(AS_OF))
+
+
 @query
 def quota_latest(spark, sf_dir):
-    return _live(spark, sf_dir, pools=False)[0].select("source_app", "used", "resets_at", "observed_at")
+    return _live(spark, sf_dir, pools=False).select("source_app", "used", "resets_at", "observed_at")
 
 
 @query
 def quota_pools(spark, sf_dir):
     """The newest reading of each allowance, and which is the tightest of its source."""
-    quotas = _live(spark, sf_dir)[0]
+    quotas = _live(spark, sf_dir)
     tightest = series.tightest_quotas(quotas).select(*series.KEY, F.lit(True).alias("tightest"))
     return quotas.join(tightest, series.KEY, "left").select("source_app", "label", "used", "resets_at", "observed_at", F.coalesce("tightest", F.lit(False)).alias("tightest"))
 
@@ -332,20 +341,19 @@ def status_line(spark, sf_dir):
 
 @query
 def calibration_spans(spark, sf_dir):
-    _, seen, history = _live(spark, sf_dir)
+    seen, history = _calibrating(spark, sf_dir)
     return series.span_units(series.spans(seen), history)
 
 
 @query
 def calibration_fit(spark, sf_dir):
-    _, seen, history = _live(spark, sf_dir)
-    return series.calibration(seen, history)
+    return series.calibration(*_calibrating(spark, sf_dir))
 
 
 @query
 def projection(spark, sf_dir):
-    quotas, seen, history = _live(spark, sf_dir)
-    return series.projection(quotas, series.calibration(seen, history), history, AS_OF)
+    seen, history = _calibrating(spark, sf_dir)
+    return series.projection(series.live_quotas(seen, SEEN, AS_OF), series.calibration(seen, history), history, AS_OF)
 
 
 LIMITS = (("remaining_percent", 45), ("minutes_until_reset", 600), ("projected_exhaustion", 60))
@@ -394,13 +402,13 @@ def pace_order(spark, sf_dir):
 
 @query
 def menu_rows(spark, sf_dir):
-    return views.menu_rows(_live(spark, sf_dir)[0], records(spark, sf_dir))
+    return views.menu_rows(_live(spark, sf_dir), records(spark, sf_dir))
 
 
 @query
 def quota_groups(spark, sf_dir):
     """Allowances as a list reads them: sources in their fixed order, shorter windows first."""
-    return _placed(views.in_reading_order(_live(spark, sf_dir)[0].select("source_app", "pool", "window_minutes", "used")))
+    return _placed(views.in_reading_order(_live(spark, sf_dir).select("source_app", "pool", "window_minutes", "used")))
 
 
 @query
@@ -435,7 +443,7 @@ def session_tiling_from_resets(spark, sf_dir):
 
 @query
 def source_strip(spark, sf_dir):
-    return views.source_strip(records(spark, sf_dir), _live(spark, sf_dir)[0])
+    return views.source_strip(records(spark, sf_dir), _live(spark, sf_dir))
 
 
 @query
