@@ -6,9 +6,10 @@ on, so that the count of a word follows from its number by a short table of step
 tokens). A chunk of documents asks the partitions for the numbers of its distinct words. Bigrams are pairs of numbers,
 partitioned by history, so that the sums of a context, which its backoff weight needs, are made where its bigrams are
 counted; only histories with more occurrences than a partition should hold spread over several by second word, and
-their sums, of no more contexts than there are partitions, are added up and broadcast. A seen bigram has its Good-Turing
-discounted relative frequency, an unseen one the backoff weight of its context times the unigram of its second word;
-the weights make each context sum to exactly one.
+their sums, of no more contexts than there are partitions, are added up and broadcast. Each order is the same recursion:
+what has been seen has its Good-Turing discounted relative frequency, what hasn't the backoff weight of its context times
+the probability one order lower. A bigram backs off to the unigram of its second word, the unigram, whose only context is
+the empty one, to an even share of all words; the weights make each context sum to exactly one.
 
 Documents are never joined with n-grams one by one: each task sends, for a chunk of documents, the sorted distinct
 pairs of a partition with the documents they stand in, and gets back one partial sum for each document, since log
@@ -81,13 +82,24 @@ class Contexts:
         return np.where(counts > 0, seen, unseen)
 
 
+def unigrams(counts: np.ndarray, types: np.ndarray) -> np.ndarray:
+    """Probability of a word of each count, where types[k] words have counts[k] and unseen ones have none.
+
+    The order without a history: one context, discounted by its own counts of counts, that backs off to an even share.
+    """
+    d = good_turing([int(types[counts == r].sum()) for r in range(1, DISCOUNTED + 2)])
+    even = 1.0 / types.sum()
+    off = np.where(counts <= DISCOUNTED, d[np.minimum(counts, DISCOUNTED)], 1.0)
+    sums = ((off * counts) @ types, float(counts @ types), types[counts > 0].sum() * even)
+    return 10.0 ** Contexts(d, *(np.array([x]) for x in sums)).score(np.zeros(len(counts), np.int64), np.full(len(counts), even), counts)
+
+
 class Katz(Contexts):
     """A whole model in arrays by word number."""
 
-    def __init__(self, unigrams: np.ndarray, discounts: np.ndarray, seen: np.ndarray, context: np.ndarray, covered: np.ndarray):
-        use = np.arange(len(unigrams)) != START  # a start is never predicted
-        self.p = np.where(use, unigrams + _HALF, 0.0)
-        self.p /= self.p.sum()
+    def __init__(self, counts: np.ndarray, discounts: np.ndarray, seen: np.ndarray, context: np.ndarray, covered: np.ndarray):
+        use = np.arange(len(counts)) != START  # a start is never predicted
+        self.p = np.where(use, unigrams(counts, use.astype(np.int64)), 0.0)
         super().__init__(discounts, seen, context, covered)
 
     def log10(self, v: np.ndarray, w: np.ndarray, counts: np.ndarray) -> np.ndarray:
@@ -104,15 +116,19 @@ class Steps:
         self.n_train = sum(c * n for c, n in zip(counts, words, strict=True)) + n_end
         self.starts = np.concatenate(([UNKNOWN, END, START], FIRST + np.cumsum([0, *words])[:-1])).astype(np.int64)
         self.counts = np.array([0, n_end, n_end, *counts], np.int64)
+        self.unigrams = unigrams(self.counts, np.array([1, 1, 0, *words], np.int64))
         if FIRST + self.n_types > 1 << 32:
             raise ValueError("more than 2**32 different words")
 
+    def _step(self, numbers: np.ndarray) -> np.ndarray:
+        return np.searchsorted(self.starts, numbers, "right") - 1
+
     def count(self, numbers: np.ndarray) -> np.ndarray:
-        return self.counts[np.searchsorted(self.starts, numbers, "right") - 1]
+        return self.counts[self._step(numbers)]
 
     def p(self, numbers: np.ndarray) -> np.ndarray:
-        """Half a count is added to each word, the end and the unknown word."""
-        return (self.count(numbers) + _HALF) / (self.n_train + _HALF * (self.n_types + 2))
+        """Probability of words without a history; a start is never predicted."""
+        return self.unigrams[self._step(numbers)]
 
     def parts(self, v: np.ndarray, n_buckets: int) -> np.ndarray:
         """Partitions over which the bigrams of a history spread: one unless it takes more than two partitions' share."""

@@ -210,12 +210,14 @@ def test_katz_contexts_sum_to_one():
     pairs[5] = pairs[5] * 10  # nothing to discount
     pairs[6] = 7  # followed by every class
     pairs[:, katz.START] = 0
-    unigrams = pairs.sum(0) + 1.0
+    unigrams = pairs.sum(0) + 1
+    unigrams[katz.UNKNOWN] = 0
     d = katz.good_turing([int((pairs == r).sum()) for r in range(1, 7)])
     p = katz.Katz(unigrams, d, *np.zeros((3, size))).p
     off = np.where(pairs <= katz.DISCOUNTED, d[np.minimum(pairs, katz.DISCOUNTED)], 1.0) * pairs
     model = katz.Katz(unigrams, d, off.sum(1), pairs.sum(1).astype(float), ((pairs > 0) * p).sum(1))
     w = np.array([k for k in range(size) if k != katz.START])
+    assert abs(p[w].sum() - 1) < 1e-9 and (p[w] > 0).all()
     for v in range(size):
         total = (10 ** model.log10(np.full(len(w), v), w, pairs[v][w])).sum()
         assert abs(total - 1) < 1e-9, v
@@ -225,20 +227,31 @@ def test_katz_every_word_has_its_own_bigrams(documents):
     raw = {i: [katz.START, *t.encode().lower().split(), katz.END] for i, t in texts(documents).items()}
     train = [x for i, x in raw.items() if zlib.crc32(str(i).encode()) % 7 != 2]
     ones, pairs = Counter(w for x in train for w in x[1:]), Counter(p for x in train for p in zip(x, x[1:], strict=False))
-    total, d = sum(ones.values()) + 0.5 * (len(ones) + 1), katz.good_turing([sum(c == r for c in pairs.values()) for r in range(1, 7)])
+    counts = {(v, w): c for (v, w), c in pairs.items()} | {((), w): c for w, c in ones.items()}
+    d = {n: katz.good_turing([sum(c == r for c in of.values()) for r in range(1, 7)]) for n, of in ((1, ones), (2, pairs))}
     context, seen, covered = Counter(), Counter(), Counter()
-    for (v, w), c in pairs.items():
-        context[v] += c
-        seen[v] += c * (d[c] if c <= katz.DISCOUNTED else 1)
-        covered[v] += (ones[w] + 0.5) / total
+
+    def lower(v, w):  # the end of the recursion is an even share of all words and the unknown one
+        return 1 / (len(ones) + 1) if v == () else p((), w)
+
+    def off(v, c):
+        return d[1 if v == () else 2][c] if c <= katz.DISCOUNTED else 1
 
     def p(v, w):
         if not context[v]:
-            return (ones[w] + 0.5) / total
+            return lower(v, w)
         short = context[v] - seen[v] < 0.5
-        if c := pairs[v, w]:
-            return c * (d[c] if c <= katz.DISCOUNTED else 1) * ((context[v] - 0.5) / seen[v] if short else 1) / context[v]
-        return (0.5 if short else context[v] - seen[v]) / context[v] / (1 - covered[v]) * (ones[w] + 0.5) / total
+        if c := counts.get((v, w), 0):
+            return c * off(v, c) * ((context[v] - 0.5) / seen[v] if short else 1) / context[v]
+        return (0.5 if short else context[v] - seen[v]) / context[v] / (1 - covered[v]) * lower(v, w)
+
+    for unigram in (True, False):  # the weights of bigrams need the unigrams
+        for (v, w), c in counts.items():
+            if (v == ()) == unigram:
+                context[v] += c
+                seen[v] += c * off(v, c)
+                covered[v] += lower(v, w)
+    assert abs(sum(p((), w) for w in [*ones, katz.UNKNOWN]) - 1) < 1e-9
 
     for r in katz.katz_scores(documents).collect():
         x = raw[r["doc_id"]]
