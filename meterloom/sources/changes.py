@@ -2,7 +2,8 @@
 
 `spark.readStream.format("ledger_changes").option("ledger", path).option("schema", ddl)` begins after the commit `after`
 (0: all). An offset is a commit's number, so a reader that holds commit n gets exactly what later ones changed, whatever
-has been compacted since. A task reads one file of one commit; only manifests are read on the driver.
+has been compacted since; where the ledger has forgotten some of that, the reader stops with an error. A task reads one
+file of one commit; only manifests are read on the driver.
 """
 
 from __future__ import annotations
@@ -51,6 +52,9 @@ class ChangeReader(DataSourceStreamReader):
     def partitions(self, start: dict, end: dict) -> list[ChangedFile]:
         files, root = arrow_filesystem(self.ledger)
         out = []
+        mark = f"{root}/forgotten.json"
+        if files.get_file_info(mark).type == fs.FileType.File and start["commit"] < (upto := json.loads(files.open_input_stream(mark).read())["upto"]):
+            raise ValueError(f"changes up to commit {upto} are forgotten, this reader holds {start['commit']}")
         for commit, path in sorted(self._manifests().items()):
             if start["commit"] < commit <= end["commit"]:
                 manifest = json.loads(files.open_input_stream(path).read())

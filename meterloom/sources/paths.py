@@ -7,6 +7,7 @@ import tempfile
 import uuid
 from collections.abc import Callable
 
+from py4j.protocol import Py4JJavaError
 from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 
@@ -79,8 +80,12 @@ class DriverFiles:
         finally:
             stream.close()
 
-    def swap(self, name: str, text: str, over: bool) -> None:
-        """Writes a file that is there whole or not at all; with `over` in place of an older one, else only where there is none."""
+    def has(self, name: str) -> bool:
+        return self.fs.exists(self._path(name))
+
+    def swap(self, name: str, text: str, over: bool) -> bool:
+        """Writes a file that is there whole or not at all; with `over` in place of an older one, else only where there is
+        none. Whether it has been written: without `over` another writer may have been first."""
         folder, _, last = name.rpartition("/")
         temporary = self._path(f"{folder}/.{last}.{uuid.uuid4().hex}")
         stream = self.fs.create(temporary, False)
@@ -92,7 +97,14 @@ class DriverFiles:
         array = self.jvm.java.lang.reflect.Array.newInstance(rename.NONE.getClass(), 1)
         array[0] = rename.OVERWRITE if over else rename.NONE
         context = self.jvm.org.apache.hadoop.fs.FileContext.getFileContext(self.fs.getUri(), self.conf)
-        context.rename(context.makeQualified(temporary), context.makeQualified(self._path(name)), array)
+        try:
+            context.rename(context.makeQualified(temporary), context.makeQualified(self._path(name)), array)
+        except Py4JJavaError as e:
+            self.fs.delete(temporary, False)
+            if over or not e.java_exception.getClass().getName().endswith("FileAlreadyExistsException"):
+                raise
+            return False
+        return True
 
     def drop(self, name: str) -> None:
         self.fs.delete(self._path(name), True)

@@ -9,8 +9,10 @@ before, dealt to buckets by key; a key's newest row counts. A commit reads only
 old and new rows come signed sums by hour, source and model and by thread, so that totals are folds of small tables and
 read no records. `compact` folds old folders into one.
 
-There is one writer at a time: a manifest is never written over by a later commit of the same number, unless the last
-commit is repeated.
+Writers may meet: a manifest is never written over by a later commit of the same number, unless the last commit is
+repeated. Who finds its number taken works out its changes anew against the state that is there now. That rests on a file
+system whose rename doesn't write over files, as HDFS' does; on object stores one writer at a time is to be let in.
+`vacuum` removes what no manifest names.
 """
 
 from __future__ import annotations
@@ -19,7 +21,7 @@ import json
 import uuid
 from collections.abc import Iterable
 from dataclasses import dataclass
-from datetime import UTC, datetime
+from datetime import UTC, datetime, timedelta
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -34,6 +36,12 @@ from ..sources.paths import DriverFiles
 #: Parts that keys are dealt to; a batch reads those it touches.
 BUCKETS = 32
 
+#: How often a commit is worked out anew when other writers are first.
+TRIES = 10
+
+#: How long a folder that no manifest names stays: longer than a commit runs, or a reader holds on to a state.
+GRACE = timedelta(days=1)
+
 #: What `was` keeps of the row before: enough to take it out of every sum.
 WAS = ("content_hash", "event_ts", "model", "session_id", *COUNTS, "amount_minor", "currency", "exponent")
 SUMS = ("records", *COUNTS, *(f"{c}_counted" for c in COUNTS), "priced")
@@ -66,6 +74,12 @@ class Scope:
 EMPTY = {"commit": 0, "revision": 0, "floor": 0, "at": None, "records": [], "hours": [], "threads": [], "costs": [], "samples": [], "quotas": None, "marks": None, "health": None, "checkpoints": None, "delta": None, "changes": {}, "streams": {}}
 
 
+def _folders(manifest: dict) -> set[str]:
+    """Every folder that a manifest names."""
+    held = [manifest[name] for name in ("quotas", "marks", "health", "checkpoints", "delta")]
+    return {f for f in held if f} | {f for name in ("records", "hours", "threads", "costs", "samples") for f in manifest[name]}
+
+
 class State:
     """All tables as of one commit."""
 
@@ -204,8 +218,8 @@ class Ledger:
             raise ValueError("older than the base")
         return State(self, found)
 
-    def _put(self, manifest: dict, over: bool) -> None:
-        self.files.swap(f"manifests/{manifest['commit']:012d}.json", json.dumps(manifest), over)
+    def _put(self, manifest: dict, over: bool) -> bool:
+        return self.files.swap(f"manifests/{manifest['commit']:012d}.json", json.dumps(manifest), over)
 
     def _write(self, df: DataFrame, table: str, *partition: str) -> str:
         folder = f"data/{table}/{uuid.uuid4().hex}"
@@ -257,17 +271,38 @@ class Ledger:
         `replace_quotas_of` replace those of, what is stored; readings that changed are sampled. `attempts` (source_app,
         outcome, observed_at, awaiting, error), one for each source, move its health; `checkpoints` (adapter, unit, payload)
         replace those of their unit. The state's revision counts commits that changed records, allowances or health.
+
+        Where another writer has taken the number, a commit without a number of its own is worked out again, `TRIES` times.
         """
-        last = self.last()
+        scopes, at = list(scopes), datetime.now(UTC) if at is None else at
+        for _ in range(TRIES if revision is None else 1):
+            if (made := self._commit(batch, revision, scopes, quotas, replace_quotas_of, attempts, checkpoints, at, stream)) is not None:
+                return made
+        raise ValueError("other writers have been first" if revision is None else f"commit {revision} has been made by another writer")
+
+    def _commit(
+        self,
+        batch: DataFrame | None,
+        revision: int | None,
+        scopes: list[Scope],
+        quotas: DataFrame | None,
+        replace_quotas_of: str | None,
+        attempts: DataFrame | None,
+        checkpoints: DataFrame | None,
+        at: datetime,
+        stream: tuple[str, int] | None,
+    ) -> State | None:
+        """One try; None where another writer has been first."""
+        made = self.commits()
+        last = max(made, default=0)
         revision = last + 1 if revision is None else revision
         if revision < last or revision < 1:
             raise ValueError(f"commit {last} has been made already")
-        before = self.at(max((n for n in self.commits() if n < revision), default=0))
-        at = datetime.now(UTC) if at is None else at
+        before = self.at(max((n for n in made if n < revision), default=0))
         new = dict(before.manifest) | {"commit": revision, "at": at.isoformat(), "delta": None, "changes": {}}
         if stream is not None:
             new["streams"] = new["streams"] | {stream[0]: stream[1]}
-        scopes, work, advanced = list(scopes), [], False
+        work, advanced = [], False
         if batch is not None or scopes:
             advanced |= self._records(batch, revision, scopes, before, new, work)
         if quotas is not None:
@@ -280,10 +315,10 @@ class Ledger:
             rows = before.checkpoints().withColumn("new", F.lit(0)).unionByName(checkpoints.select("adapter", "unit", "payload").withColumn("new", F.lit(1)))
             new["checkpoints"] = self._write(rows.groupBy("adapter", "unit").agg(F.max_by("payload", "new").alias("payload")), "checkpoints")
         new["revision"] = before.revision + advanced
-        self._put(new, over=revision == last)
-        for folder in work:
+        put = self._put(new, over=revision == last)
+        for folder in work if put else [*work, *(_folders(new) - _folders(before.manifest))]:
             self.files.drop(folder)
-        return State(self, new)
+        return State(self, new) if put else None
 
     def _records(self, batch: DataFrame | None, revision: int, scopes: list[Scope], before: State, new: dict, work: list[str]) -> bool:
         stored_rows = newest(before.log())
@@ -374,9 +409,42 @@ class Ledger:
         before = self.at()
         kept = state.pruned_samples(before.samples(), now)
         new = dict(before.manifest) | {"commit": revision, "at": now.isoformat(), "delta": None, "changes": {}, "samples": [self._write(kept, "samples")]}
-        self._put(new, over=False)
+        if not self._put(new, over=False):
+            raise ValueError(f"commit {revision} has been made by another writer")
         return State(self, new)
 
+    def forget(self, upto: int) -> None:
+        """Drops the manifests of the commits up to `upto`, which lies before the base, so that `vacuum` can remove what only
+        they name. What these commits published is gone with them: a reader of changes that hasn't come so far stops with an
+        error and must begin again from a state."""
+        if upto >= self.manifest(self.last())["floor"]:
+            raise ValueError("only commits before the base can be forgotten")
+        self.files.swap("forgotten.json", json.dumps({"upto": max(upto, self.forgotten())}), over=True)
+        for n in self.commits():
+            if n <= upto:
+                self.files.drop(f"manifests/{n:012d}.json")
+
+    def forgotten(self) -> int:
+        """The last commit whose changes may be gone."""
+        return json.loads(self.files.read("forgotten.json"))["upto"] if self.files.has("forgotten.json") else 0
+
+    def vacuum(self, now: datetime | None = None, grace: timedelta = GRACE) -> list[str]:
+        """Removes the folders that no manifest has named for the time of `grace`, and returns their names.
+
+        These are left by commits that died or were repeated and by `compact`. A folder is marked by the first call that finds
+        it unnamed and removed by a later one, so commits under way and readers of a state have that long to be done."""
+        now = datetime.now(UTC) if now is None else now
+        now = now.replace(tzinfo=UTC) if now.tzinfo is None else now
+        there = [f"data/{table}/{f}" for table in self.files.names("data") for f in self.files.names(f"data/{table}")]
+        named = set().union(*(_folders(self.manifest(n)) for n in self.commits()))  # read after what is there
+        marks = json.loads(self.files.read("unnamed.json")) if self.files.has("unnamed.json") else {}
+        unnamed = {f: marks.get(f, now.isoformat()) for f in there if f not in named}
+        gone = [f for f, since in unnamed.items() if datetime.fromisoformat(since) <= now - grace]
+        for f in gone:
+            self.files.drop(f)
+        self.files.swap("unnamed.json", json.dumps({f: since for f, since in unnamed.items() if f not in set(gone)}), over=True)
+        return gone
+
 
 def _was_type(rows: DataFrame) -> str:
     kinds = dict(rows.dtypes)

@@ -316,3 +316,69 @@ def test_a_message_in_two_transcripts(spark, tmp_path):
 
 def test_addresses():
     assert [arrow_uri(u) for u in ("s3a://b/k", "s3n://b", "wasbs://c@a/x", "abfss://c@a/x", "gs://b/k", "hdfs://n:8020/x", "file:/tmp/x", "file:///tmp/x", "/tmp/x")] == ["s3://b/k", "s3://b", "abfss://c@a/x", "abfss://c@a/x", "gs://b/k", "hdfs://n:8020/x", "/tmp/x", "/tmp/x", "/tmp/x"]
+
+
+def test_writers_that_meet_both_commit(spark, tmp_path, monkeypatch):
+    """A writer finds its number taken, twice, by one that changes the same keys; its own commit follows theirs."""
+    store, other = Ledger(spark, str(tmp_path / "l")), Ledger(spark, str(tmp_path / "l"))
+    store.commit(batch(spark, [draft("a"), draft("gone")]))
+    put, rivals = Ledger._put, [[draft("a", n=2), draft("b")], [draft("a", n=3), draft("c")]]
+
+    def late(self, manifest, over):
+        if self is store and rivals:
+            other.commit(batch(spark, rivals.pop(0)))
+        return put(self, manifest, over)
+
+    monkeypatch.setattr(Ledger, "_put", late)
+    made = store.commit(batch(spark, [draft("a", n=7), draft("c", n=3)]), scopes=[Scope("codex", datetime(2030, 1, 1))])
+    assert made.commit == 4 and store.commits() == [1, 2, 3, 4]
+    assert stored(store.current()) == {("codex", "a"): 7, ("codex", "c"): 3}
+    assert stored(store.at(3).records()) == {("codex", "a"): 3, ("codex", "b"): 1, ("codex", "c"): 1, ("codex", "gone"): 1}
+    assert [(r["inserted"], r["updated"], r["deleted"]) for r in store.changes().orderBy("commit").collect()] == [(2, 0, 0), (1, 1, 0), (1, 1, 0), (0, 2, 2)]
+    total = store.at().totals().first()
+    assert (total["records"], total["input"]) == (2, 10)
+    named = {f for n in store.commits() for f in store.manifest(n)["records"]}
+    assert {f"data/records/{f.name}" for f in (tmp_path / "l" / "data" / "records").iterdir()} == named  # lost tries have left nothing
+    rivals.append([draft("d")])
+    with pytest.raises(ValueError, match="another writer"):
+        store.commit(batch(spark, [draft("e")]), 5)
+    assert store.last() == 5 and ("codex", "e") not in stored(store.current())
+
+
+def test_what_no_manifest_names_is_removed(spark, tmp_path):
+    store, now = Ledger(spark, str(tmp_path / "l")), datetime(2026, 1, 1)
+    history = random_commits(spark, store, 6)  # five
+    store.commit(batch(spark, [draft("z")]), 6)
+    store.commit(batch(spark, [draft("z")]), 6)  # repeated: the folders of the first one are named nowhere
+    (tmp_path / "l" / "data" / "records" / "died").mkdir()
+    folders = lambda: {f"data/{t.name}/{f.name}" for t in (tmp_path / "l" / "data").iterdir() for f in t.iterdir()}
+    all_of = lambda: [sorted(map(str, df.collect())) for s in (store.at(),) for df in (s.records(), s.hours(), s.threads(), s.costs())]
+    before, held = all_of(), store.at(2).records()
+    assert store.vacuum(now) == []
+    assert store.vacuum(now + timedelta(hours=23)) == []
+    gone = store.vacuum(now + timedelta(days=1))
+    assert "data/records/died" in gone and not set(gone) & folders() and all_of() == before
+    assert stored(held) == {k: r[5] for k, r in history[1][0].items()}
+
+    store.compact(5)
+    with pytest.raises(ValueError, match="base"):
+        store.forget(5)
+    store.forget(3)
+    assert store.commits() == [4, 5, 6] and all_of() == before
+    store.vacuum(now + timedelta(days=2))
+    assert stored(held) == {k: r[5] for k, r in history[1][0].items()}  # a reader has until the next day
+    size = len(folders())
+    assert store.vacuum(now + timedelta(days=3)) and len(folders()) < size and all_of() == before
+    assert store.vacuum(now + timedelta(days=9)) == []
+    assert stored(store.at(5).records()) == {k: r[5] for k, r in history[4][0].items()}
+    store.commit(batch(spark, [draft("later")]))
+    assert ("codex", "later") in stored(store.current())
+
+    def read(after):
+        got = []
+        changes(store, after, ("source_event_id",)).writeStream.foreachBatch(lambda df, n: got.extend(df.collect())).option("checkpointLocation", str(tmp_path / str(after))).trigger(availableNow=True).start().awaitTermination()
+        return {r["commit"] for r in got}
+
+    assert read(3) == {n for n, (_, change, _) in enumerate(history, 1) if n > 3 and change} | {6, 7}
+    with pytest.raises(Exception, match="forgotten"):
+        read(2)
