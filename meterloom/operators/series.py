@@ -184,7 +184,7 @@ def spans(samples: DataFrame) -> DataFrame:
     history isn't bound by memory.
     """
     s = pooled(samples).select("source_app", "pool", F.col("window_minutes").cast("long").alias("window_minutes"), "observed_at", F.col("used").cast("long").alias("used"), "resets_at", "event_id")
-    ordered = s.repartition(*KEY).sortWithinPartitions(*KEY, "observed_at", "event_id")
+    ordered = _dealt(s, *KEY).sortWithinPartitions(*KEY, "observed_at", "event_id")
     return ordered.mapInArrow(_scan_spans, "source_app string, pool string, window_minutes long, t0 timestamp_ntz, t1 timestamp_ntz, moved long")
 
 
@@ -239,6 +239,13 @@ def projected(quotas: DataFrame, projections: DataFrame, now: datetime) -> DataF
     return quotas.join(ahead, KEY, "left").withColumns({"observed_at": F.when(F.col("projected").isNotNull(), at(now)).otherwise(F.col("observed_at")), "used": F.coalesce("projected", "used")}).drop("projected")
 
 
+def _dealt(rows: DataFrame, *keys: str) -> DataFrame:
+    """All rows of a key in one task. They are dealt by a hash of the keys: a repartition by keys that joins or aggregations
+    have dealt the rows by already is left out, and adaptive execution, to which a map over batches names no need, may
+    then coalesce the sides of a union differently or split a join."""
+    return rows.repartition(F.xxhash64(*keys))
+
+
 def _tile(by: str, now: datetime, minutes: int):
     import numpy as np
     import pyarrow as pa
@@ -292,7 +299,7 @@ def tiled_sessions(times: DataFrame, by: str, now: datetime, minutes: int = SESS
         rows = rows.join(resets.select(by, "reset"), by, "left").filter(F.col("reset").isNull() | (F.col("t") >= F.col("reset"))).select(by, "t")
         rows = rows.unionByName(resets.select(by, F.lit(None).cast("timestamp_ntz").alias("t")))
     shape = f"`{by}` {rows.schema[by].dataType.simpleString()}, resets_at timestamp_ntz"
-    return rows.repartition(by).sortWithinPartitions(by, "t").mapInArrow(_tile(by, now, minutes), shape)
+    return _dealt(rows, by).sortWithinPartitions(by, "t").mapInArrow(_tile(by, now, minutes), shape)
 
 
 def alerts(quotas: DataFrame, paced: DataFrame, thresholds: DataFrame, snoozed: DataFrame, now: datetime) -> DataFrame:

@@ -188,3 +188,21 @@ def test_session_tiling_against_a_loop(spark):
         spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
     assert len(got) == len(want) and dict(got) == want
     assert "collect_set" not in tiled._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_session_tiling_from_resets_one_row_each(spark):
+    """Joins of large tables deal both sides by session already; a session still is in one task."""
+    now, day = datetime(2026, 1, 1, 17), datetime(2026, 1, 1)
+    times = spark.range(0, 40_000, 1, 2).select(F.concat(F.lit("s"), (F.col("id") % 400).cast("string")).alias("k"), (F.lit(day) + F.make_dt_interval(mins=F.col("id") / 40)).cast("timestamp_ntz").alias("t"))
+    resets = times.groupBy("k").agg((F.min("t") + F.expr("INTERVAL 12 HOURS")).alias("reset"))
+    want = [tuple(r) for r in series.tiled_sessions(times, "k", now, resets=resets).collect()]
+    # sides of the union that are coalesced differently
+    large = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.advisoryPartitionSizeInBytes": "8k", "spark.sql.adaptive.coalescePartitions.minPartitionSize": "1b", "spark.sql.adaptive.coalescePartitions.parallelismFirst": "false"}
+    for k, v in large.items():
+        spark.conf.set(k, v)
+    try:
+        got = [tuple(r) for r in series.tiled_sessions(times, "k", now, resets=resets).collect()]
+    finally:
+        for k in large:
+            spark.conf.unset(k)
+    assert len(got) == 400 and sorted(got) == sorted(want) and any(r[1] is not None for r in got)
