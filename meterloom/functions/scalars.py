@@ -30,6 +30,18 @@ def trimmed(c: Column) -> Column:
     return F.coalesce(clean(c), F.lit(""))
 
 
+def packed(text: Column) -> Column:
+    """A string as bytes, half as many where it is lowercase hex, as hashes are; the first byte tells which."""
+    raw = F.unhex(text)
+    return F.when(F.lower(F.hex(raw)) == text, F.concat(F.lit(bytearray(b"\0")), raw)).otherwise(F.concat(F.lit(bytearray(b"\1")), text.cast("binary")))
+
+
+def unpacked(value: Column) -> Column:
+    """The string of `packed`."""
+    rest = F.substr(value, F.lit(2))
+    return F.when(F.substr(value, F.lit(1), F.lit(1)) == F.lit(bytearray(b"\0")), F.lower(F.hex(rest))).otherwise(rest.cast("string"))
+
+
 def dedupe_key(source: Column, event_id: Column, *content: Column) -> Column:
     """Identity by the source's own event id, else by content, trimmed."""
     own = clean(event_id)

@@ -247,7 +247,7 @@ def _committed(spark, sf_dir) -> Ledger:
 @query
 def ledger_after_commits(spark, sf_dir):
     """The records that stand after three commits, and the commit that each is of."""
-    return _committed(spark, sf_dir).current().select("dedupe_key", "content_hash", "revision")
+    return _committed(spark, sf_dir).current(columns=("dedupe_key", "content_hash", "revision"))
 
 
 @query

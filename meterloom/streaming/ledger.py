@@ -27,6 +27,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.scalars import packed, unpacked
 from ..operators import state
 from ..operators.ledger import COUNTS, Filter, capped
 from ..operators.series import KEY, pooled
@@ -36,6 +37,15 @@ from ..sources.paths import DriverFiles
 #: Parts that keys are dealt to; a batch reads those it touches.
 BUCKETS = 32
 
+#: Drafts up to which a commit sends their keys to the log, not the log's rows to them.
+FEW = 100_000
+
+#: Drafts by which a bucket passes the others, if it isn't to be taken for one with a hot key.
+HOT = 100_000
+
+#: Rows up to which one task writes a bucket; those of larger commits are written by several.
+CELL_ROWS = 250_000
+
 #: How often a commit is worked out anew when other writers are first.
 TRIES = 10
 
@@ -94,14 +104,13 @@ class State:
             return None if schema is None else spark.createDataFrame([], schema)
         return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), frames)
 
-    def log(self, buckets: list[int] | None = None) -> DataFrame | None:
-        """Every row of the log, tombstones too, of some buckets only where these are given."""
-        log = self._read(self.manifest["records"])
-        return log if log is None or buckets is None else log.filter(F.col("bucket").isin(buckets))
+    def log(self) -> DataFrame | None:
+        """Every row of the log, tombstones too."""
+        return self._read(self.manifest["records"])
 
-    def records(self) -> DataFrame | None:
-        """The newest row of each key that isn't deleted; None before the first commit of records."""
-        return newest(self.log())
+    def records(self, columns: Iterable[str] | None = None) -> DataFrame | None:
+        """The newest row of each key that isn't deleted, all columns or those named; None before the first commit of records."""
+        return newest(self.log(), columns)
 
     def quotas(self) -> DataFrame:
         return self._read(filter(None, [self.manifest["quotas"]]), QUOTA)
@@ -171,12 +180,36 @@ def _whole_hours(wanted: Filter | None) -> Column:
     return out
 
 
-def newest(log: DataFrame | None) -> DataFrame | None:
-    """A key's newest row, where that isn't a tombstone. Keys meet by partial aggregation, so a long history is no hot key."""
+def newest(log: DataFrame | None, columns: Iterable[str] | None = None) -> DataFrame | None:
+    """A key's newest row, where that isn't a tombstone, with all columns or those named. Keys meet by partial aggregation, so
+    a long history is no hot key; nothing but the columns named travels."""
     if log is None:
         return None
-    columns = [c for c in log.columns if c not in ("bucket", "was", "outcome")]
-    return log.groupBy("dedupe_key").agg(F.max_by(F.struct(*columns), "revision").alias("r")).select("r.*").filter("not deleted").drop("deleted")
+    names = [c for c in log.columns if c not in ("bucket", "was", "outcome", "deleted")] if columns is None else list(columns)
+    met = log.groupBy(packed(F.col("dedupe_key")).alias("key")).agg(F.max_by(F.struct(*(_narrow(c) for c in names if c != "dedupe_key"), F.col("deleted").alias("_deleted")), "revision").alias("r"))
+    return met.filter("not r._deleted").select(*(unpacked(F.col("key")).alias(c) if c == "dedupe_key" else _wide(c, f"r.{c}") for c in names))
+
+
+def _narrow(column: str) -> Column:
+    """A column of records as it travels: hashes as bytes."""
+    return (packed(F.col(column)) if column == "content_hash" else F.col(column)).alias(column)
+
+
+def _wide(column: str, of: str) -> Column:
+    return (unpacked(F.col(of)) if column == "content_hash" else F.col(of)).alias(column)
+
+
+def _near(log: DataFrame, kept: DataFrame | None, rows: int, touched: list[int], scopes: list[Scope]) -> DataFrame:
+    """The rows of the log that a batch or its scopes may change: of few drafts their keys' rows, of many those of the buckets
+    they touch, and all of the sources that scopes name, as a key is of one source."""
+    scoped = F.coalesce(F.col("source_app").isin(sorted({s.source_app for s in scopes})), F.lit(False)) if scopes else F.lit(False)
+    if kept is None:
+        return log.filter(scoped)
+    of_batch = F.col("bucket").isin(touched)
+    if rows > FEW:
+        return log.filter(scoped | of_batch)
+    few = log.filter(~scoped & of_batch).join(F.broadcast(kept.select("dedupe_key").distinct()), "dedupe_key", "left_semi")
+    return log.filter(scoped).unionByName(few) if scopes else few
 
 
 def _signed(delta: DataFrame) -> DataFrame:
@@ -235,9 +268,10 @@ class Ledger:
         log = self.at().log()
         return self.spark.createDataFrame([], schema) if log is None else log
 
-    def current(self, schema=None, before: int | None = None) -> DataFrame:
-        """The current records, or those as of the commits before `before`, none of which may lie in a base."""
-        out = self.at(None if before is None else before - 1).records()
+    def current(self, schema=None, before: int | None = None, columns: Iterable[str] | None = None) -> DataFrame:
+        """The current records, or those as of the commits before `before`, none of which may lie in a base; all columns or
+        those named."""
+        out = self.at(None if before is None else before - 1).records(columns)
         return self.spark.createDataFrame([], schema) if out is None else out
 
     def changes(self) -> DataFrame:
@@ -321,36 +355,56 @@ class Ledger:
         return State(self, new) if put else None
 
     def _records(self, batch: DataFrame | None, revision: int, scopes: list[Scope], before: State, new: dict, work: list[str]) -> bool:
-        stored_rows = newest(before.log())
-        parts, kept = [], None
+        """Drafts and stored rows meet in one shuffle, dealt as the delta is written; of stored rows only `WAS` travels, and the
+        whole row where a scope holds it."""
+        log, kept, rows = before.log(), None, 0
+        if log is None and batch is None:
+            return False
+        hashed = F.xxhash64("dedupe_key")
+        bucket, key = F.pmod(hashed, F.lit(BUCKETS)).cast("int"), packed(F.col("dedupe_key")).alias("key")
+        sides, columns, touched = [], [], []
         if batch is not None:
-            rows = batch.filter("reject_reason is null").drop("reject_reason")
-            order = F.struct(*(F.col(c) for c in ("origin", "position") if c in rows.columns), F.monotonically_increasing_id().alias("place"))
-            rows = rows.withColumn("order", order).withColumn("bucket", F.pmod(F.xxhash64("dedupe_key"), F.lit(BUCKETS)).cast("int"))
-            columns = [c for c in rows.columns if c != "order"]
-            folder, kept = self._saved(rows.groupBy("dedupe_key").agg(F.max_by(F.struct(*columns), "order").alias("r")).select("r.*"), "work")
+            drafts = batch.filter("reject_reason is null").drop("reject_reason")
+            columns = [c for c in drafts.columns if c != "dedupe_key"]
+            folder, kept = self._saved(drafts.withColumns({"bucket": bucket, "place": F.monotonically_increasing_id()}), "work")
             work.append(folder)
-            if stored_rows is None:
-                joined = kept.withColumn("was", F.lit(None).cast(_was_type(kept)))
-            else:
-                touched = [r["bucket"] for r in kept.select("bucket").distinct().collect()]  # at most BUCKETS
-                log = before.log(touched).join(kept.select("dedupe_key"), "dedupe_key", "left_semi")
-                joined = kept.join(newest(log).select("dedupe_key", F.struct(*WAS).alias("was")), "dedupe_key", "left")
-            outcome = F.when(F.col("was").isNull(), "inserted").when(F.col("was.content_hash") == F.col("content_hash"), "unchanged").otherwise("updated")
-            parts.append(joined.withColumns({"outcome": outcome, "deleted": F.lit(False)}).filter("outcome <> 'unchanged'"))
-        if scopes and stored_rows is not None:
-            # a key is of one source, so rows of others needn't be ranked
-            log = before.log().filter(F.col("source_app").isin(sorted({s.source_app for s in scopes})))
-            gone = newest(log).filter(reduce(Column.__or__, (s.holds() for s in scopes)))
-            gone = gone if kept is None else gone.join(kept.select("dedupe_key"), "dedupe_key", "left_anti")
-            bucket = F.pmod(F.xxhash64("dedupe_key"), F.lit(BUCKETS)).cast("int")
-            parts.append(gone.drop("revision").withColumns({"was": F.struct(*WAS), "bucket": bucket, "outcome": F.lit("deleted"), "deleted": F.lit(True)}))
-        if not parts:
-            return False
-        delta = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts).withColumn("revision", F.lit(revision).cast("long"))
-        folder, delta = self._saved(delta.repartition("bucket"), "records", "bucket")
+            dealt = dict(kept.groupBy("bucket").agg(F.count("*").alias("n")).collect())  # at most BUCKETS
+            rows, touched = sum(dealt.values()), sorted(dealt)
+            order = F.struct(*(F.col(c) for c in ("origin", "position") if c in columns), "place").alias("order")
+            fresh = kept.select("bucket", hashed.alias("hashed"), key, F.struct(*(_narrow(c) for c in columns)).alias("new"), order)
+            if max(dealt.values(), default=0) > 2 * rows / BUCKETS + HOT:  # a key that is drafted again and again
+                fresh = fresh.groupBy("bucket", "hashed", "key").agg(F.max_by("new", "order").alias("new"), F.max("order").alias("order"))
+            sides.append(fresh)
+        stored = []
+        if log is not None:
+            stored = [c for c in log.columns if c not in ("dedupe_key", "bucket", "was", "outcome", "deleted", "revision")] if scopes else []
+            near = _near(log, kept, rows, touched, scopes)
+            if rows > FEW or scopes:
+                rows += near.count()
+            held = [F.when(reduce(Column.__or__, (s.holds() for s in scopes)), F.struct(*stored)).alias("whole")] if scopes else []
+            sides.append(near.select(bucket.alias("bucket"), hashed.alias("hashed"), key, F.struct(*map(_narrow, WAS), "deleted", *held).alias("old"), F.col("revision").alias("of")))
+        met = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), sides)
+        met = met.withColumn("cell", F.pmod(F.shiftright("hashed", 5), F.lit(1 + rows // (BUCKETS * CELL_ROWS)))).repartition("bucket", "cell")
+        latest = ([F.max_by("new", "order").alias("new")] if batch is not None else []) + ([F.max_by("old", "of").alias("old")] if log is not None else [])
+        met = met.groupBy("bucket", "cell", "key").agg(*latest)
+
+        there = F.coalesce(~F.col("old.deleted"), F.lit(False)) if log is not None else F.lit(False)
+        drafted = F.col("new").isNotNull() if batch is not None else F.lit(False)
+        same = F.col("old.content_hash") == F.col("new.content_hash") if log is not None and batch is not None else F.lit(False)
+        outcome = F.when(drafted, F.when(~there, "inserted").when(~same | same.isNull(), "updated"))
+        if stored:
+            outcome = outcome.when(there & F.col("old.whole").isNotNull(), "deleted")
+        if log is not None:
+            was = F.when(there, F.struct(*(_wide(c, f"old.{c}") for c in WAS)))
+        else:
+            was = F.lit(None).cast(_was_type(drafts))
+        value = lambda c: F.when(drafted, _wide(c, f"new.{c}")).otherwise(F.col(f"old.whole.{c}")) if c in columns and c in stored else _wide(c, f"new.{c}") if c in columns else F.col(f"old.whole.{c}")
+        names = [*columns, *(c for c in stored if c not in columns)]
+        changed = met.withColumn("outcome", outcome).filter("outcome is not null")
+        delta = changed.select("bucket", unpacked(F.col("key")).alias("dedupe_key"), *(value(c).alias(c) for c in names), was.alias("was"), "outcome", (F.col("outcome") == "deleted").alias("deleted"), F.lit(revision).cast("long").alias("revision"))
+        folder, delta = self._saved(delta, "records", "bucket")
         counted = {(r["source_app"], r["outcome"]): r["n"] for r in delta.groupBy("source_app", "outcome").agg(F.count("*").alias("n")).collect()}
-        seen = {} if kept is None else dict(kept.groupBy("source_app").agg(F.count("*").alias("n")).collect())
+        seen = {} if kept is None else dict(kept.groupBy("source_app").agg(F.count_distinct(key).alias("n")).collect())
         for source in sorted({s for s, _ in counted} | set(seen)):
             n = {k: counted.get((source, k), 0) for k in ("inserted", "updated", "deleted")}
             new["changes"][source] = n | {"unchanged": seen.get(source, 0) - n["inserted"] - n["updated"]}

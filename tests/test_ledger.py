@@ -7,13 +7,16 @@ from datetime import datetime, timedelta
 import pytest
 from pyspark.sql import functions as F
 
+from meterloom.functions import scalars as X
 from meterloom.operators import ledger as totals
 from meterloom.operators import views
+from meterloom.plans.queries import QUERIES
 from meterloom.schema import DRAFT
 from meterloom.sources import logs
 from meterloom.sources.changes import changes
 from meterloom.sources.paths import arrow_uri
 from meterloom.sources.tail import tail
+from meterloom.streaming import ledger as ledger_module
 from meterloom.streaming.ingest import Ledger, Scope, hourly_totals, ingest, ingest_lines, ingest_parsed, normalized
 from test_ingest import drafts_of
 from test_tail import Steps
@@ -382,3 +385,37 @@ def test_what_no_manifest_names_is_removed(spark, tmp_path):
     assert read(3) == {n for n, (_, change, _) in enumerate(history, 1) if n > 3 and change} | {6, 7}
     with pytest.raises(Exception, match="forgotten"):
         read(2)
+
+
+@pytest.mark.parametrize("limits", [{"FEW": 0}, {"FEW": 0, "HOT": -(10**9), "CELL_ROWS": 1}])
+def test_large_commits(spark, tmp_path, monkeypatch, limits):
+    """Batches too large for their keys to be sent about, keys drafted again and again, buckets written by several tasks."""
+    for name, value in limits.items():
+        monkeypatch.setattr(ledger_module, name, value)
+    store = Ledger(spark, str(tmp_path / "l"))
+    history = random_commits(spark, store, 3, 4)
+    for commit, (want, change, state) in enumerate(history, 1):
+        assert stored(store.at(commit).records()) == {k: r[5] for k, r in want.items()}
+        counted = {k: sum(n[k] for n in state.manifest["changes"].values()) for k in ("inserted", "updated", "deleted")}
+        assert counted == {k: sum(o == k for _, o in change) for k in counted}
+
+
+def test_commits_shuffle_each_draft_once(spark):
+    """Three commits, two of them against stored rows, and the records after them: bytes shuffled for each of 10,000 records."""
+
+    def shuffled():
+        spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty()
+        executors = spark.sparkContext._jsc.sc().statusStore().executorList(False)
+        return sum(executors.apply(k).totalShuffleWrite() for k in range(executors.size()))
+
+    before = shuffled()
+    assert len(QUERIES["ledger_after_commits"](spark, "/root/testdata/sf0.01").collect()) > 9000
+    assert shuffled() - before < 900 * 10_000
+
+
+def test_packed_strings_come_back(spark):
+    texts = ["", "ab", "AB", "abc", "0" * 64, "zz", "é", " ", "00", None, "\x00ab"]
+    df = spark.createDataFrame([(t,) for t in texts], "t string").select("t", X.packed(F.col("t")).alias("p"))
+    rows = df.select("t", X.unpacked(F.col("p")).alias("u"), "p").collect()
+    assert all(r["t"] == r["u"] for r in rows) and len({bytes(r["p"]) for r in rows if r["p"] is not None}) == len(texts) - 1
+    assert {len(r["p"]) for r in rows if r["t"] == "0" * 64} == {33}
